@@ -137,7 +137,7 @@ def _item(items: Column, group: Column, key: str, field: str) -> Column:
 
 def verbs(methods: Column) -> Column:
     """Upper-case methods of a definition; constants of the REST server stand for theirs."""
-    names = F.transform(F.split(F.upper(methods), "[,|]"), F.trim)
+    names = F.transform(F.split(F.upper(methods), "[,|]"), lambda n: F.trim(n))
     known = F.create_map(*[F.lit(x) for k, v in W.REST_VERBS.items() for x in (k, v)])
     flat = F.flatten(F.transform(names, lambda n: F.split(F.coalesce(known[F.element_at(F.split(n, "::"), -1)], n), ",")))
     return F.filter(flat, lambda n: n != "")

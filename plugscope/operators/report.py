@@ -72,7 +72,7 @@ def coverage(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
 
 def summary(endpoints: DataFrame, plugins: DataFrame | None = None) -> DataFrame:
     """One row of counters: total, by level, by type, authenticated, plugins."""
-    counts = [F.count_if(F.col("auth_level") == k).alias(f"{n}_count") for k, n in enumerate(W.LEVELS)] + [F.count_if(F.col("type") == t).alias(f"{t}_count") for t in W.TYPES]
+    counts = [F.count_if(F.col("auth_level") == k).alias(f"{n}_count") for k, n in enumerate(W.LEVELS)] + [F.count_if(F.col("type") == t).alias(f"{t}_type_count") for t in W.TYPES]
     out = endpoints.agg(F.count("*").alias("total_endpoints"), *counts, F.count_if(F.col("auth_level") >= 1).alias("authenticated_count"))
     listed = plugins.agg(F.count("*").alias("total_plugins")) if plugins is not None else endpoints.agg(F.count_distinct("plugin_slug").alias("total_plugins"))
     return out.join(F.broadcast(listed))  # one row each
