@@ -64,10 +64,13 @@ def expand_foreach(hooks: DataFrame, facts: Facts) -> DataFrame:
     return out.withColumn("hook", F.when(F.col("literal").isNotNull(), F.regexp_replace("hook", r"\{[^}]+\}", F.col("literal"))).otherwise(F.col("hook"))).drop("ph", "literal")
 
 
-def ajax(facts: Facts, config: Config | None = None, bodies: DataFrame | None = None) -> DataFrame:
+def ajax(facts: Facts, config: Config | None = None, bodies: DataFrame | None = None, compat: bool = False) -> DataFrame:
+    """AJAX endpoints. With ``compat``, public admin-post hooks count as admin's and public admin actions are lost."""
     config = config or Config()
     bodies = callback_facts(facts) if bodies is None else bodies
     hooks = expand_foreach(hook_calls(facts).where(R.starts_with_any(F.col("hook"), [h[0] for h in W.AJAX_HOOKS])), facts)
+    if compat:
+        hooks = hooks.where(~F.col("hook").startswith("admin_action_nopriv_")).withColumn("hook", F.regexp_replace("hook", "^admin_post_nopriv_", "admin_post_"))
     hooks = with_body(hooks, bodies)
     case = lambda k: reduce(lambda acc, h: acc.when(F.col("hook").startswith(h[0]), F.lit(h[k])), W.AJAX_HOOKS, F.when(F.lit(False), F.lit(W.AJAX_HOOKS[0][k])))
     hooks = hooks.withColumns({"base": case(2), "named": case(3), "rule": case(4), "action": R.ajax_route(F.col("hook"))})
@@ -160,6 +163,8 @@ def rest(facts: Facts, config: Config | None = None, bodies: DataFrame | None =
     )
     defs = defs.withColumn("callback", F.when(F.col("callback") == "", "unknown").otherwise(F.col("callback")))
     blocked = F.col("perm").eqNullSafe("__return_false") | F.col("perm_code").eqNullSafe("false")
+    if compat:
+        blocked = blocked & (F.col("grp") == -1) & ~F.col("short")  # only single definitions are filtered
     chained = graph.capability_chain(facts.functions)
     asked = with_body(defs.where(~blocked), bodies, "perm").withColumnRenamed("body", "perm_body")
     asked = asked.withColumn("cb_name", F.element_at(F.split("perm", "::"), -1)).join(chained.withColumnRenamed("name", "cb_name"), [*KEY, "cb_name"], "left").drop("cb_name")
@@ -183,9 +188,11 @@ def rest(facts: Facts, config: Config | None = None, bodies: DataFrame | None =
 MENUS = {"add_menu_page": (2, 3, 4), "add_submenu_page": (3, 4, 5)} | {f"add_{n}_page": (2, 3, 4) for n in ("options", "dashboard", "management", "theme", "plugins", "users", "posts", "media", "links", "pages", "comments")}
 
 
-def admin_pages(facts: Facts, config: Config | None = None, bodies: DataFrame | None = None) -> DataFrame:
+def admin_pages(facts: Facts, config: Config | None = None, bodies: DataFrame | None = None, compat: bool = False) -> DataFrame:
+    """Menu pages. With ``compat``, five menu functions give no rows and a found callback collapses levels other than admin and subscriber."""
     config = config or Config()
-    rows = facts.calls.where(F.col("callee").isin(*MENUS) & (F.size("args") >= 4))
+    menus = [m for m in MENUS if not (compat and m in ("add_posts_page", "add_media_page", "add_links_page", "add_pages_page", "add_comments_page"))]
+    rows = facts.calls.where(F.col("callee").isin(*menus) & (F.size("args") >= 4))
     sub = F.col("callee") == "add_submenu_page"
     at = lambda n, of: F.when(sub, _arg(n + 1, of)).otherwise(_arg(n, of))
     rows = rows.withColumns({"cap": at(2, "vals"), "slug": at(3, "vals"), "callback": F.when(at(4, "callbacks") == "", "unknown").otherwise(at(4, "callbacks"))})
@@ -196,7 +203,10 @@ def admin_pages(facts: Facts, config: Config | None = None, bodies: DataFrame |
         for k, v in given.items():
             known = F.when(F.col("cap") == k, W.LEVELS.index(v)).otherwise(known)
     rows = with_body(rows, callback_facts(facts) if bodies is None else bodies)
-    level = F.greatest(F.coalesce(known, F.lit(W.ADMIN)), F.coalesce("body.level", F.lit(0)))
+    cap, own = F.coalesce(known, F.lit(W.ADMIN)), F.coalesce("body.level", F.lit(0))
+    level = F.greatest(cap, own)
+    if compat:
+        level = F.when(F.col("body").isNull(), cap).when((cap == W.ADMIN) | (own == W.ADMIN), W.ADMIN).when((cap == 1) | (own == 1), 1).otherwise(0)
     ns = F.when(sub, F.concat(F.lit("add_submenu_page:"), _arg(0))).otherwise(F.col("callee"))
     return _rows(rows.where("slug <> ''"), "admin", route=R.admin_route(F.col("slug")), method=F.lit("GET"), auth_level=level, callback=_clean(F.col("callback")), namespace=ns)
 
@@ -327,8 +337,8 @@ def wrapper_calls(facts: Facts, config: Config | None = None) -> DataFrame:
 
 
 def detect_all(facts: Facts, config: Config | None = None, compat: bool = False) -> DataFrame:
-    """Union of all detectors."""
+    """Union of all detectors; ``compat`` reproduces historical quirks where the intent is the default."""
     config = config or Config()
     bodies = callback_facts(facts)
-    found = [rest(facts, config, bodies, compat), ajax(facts, config, bodies), admin_pages(facts, config, bodies), shortcodes(facts, bodies), widgets(facts), blocks(facts, bodies), hook_input(facts, bodies), direct_files(facts), framework(facts, config, bodies), wrapper_calls(facts, config)]
+    found = [rest(facts, config, bodies, compat), ajax(facts, config, bodies, compat), admin_pages(facts, config, bodies, compat), shortcodes(facts, bodies), widgets(facts), blocks(facts, bodies), hook_input(facts, bodies), direct_files(facts), framework(facts, config, bodies), wrapper_calls(facts, config)]
     return reduce(DataFrame.unionByName, found)

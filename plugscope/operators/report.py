@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +69,7 @@ def coverage(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
 
 def summary(endpoints: DataFrame, plugins: DataFrame | None = None) -> DataFrame:
     """One row of counters: total, by level, by type, authenticated, plugins."""
-    counts = [F.count_if(F.col("auth_level") == k).alias(f"{n}_count") for k, n in enumerate(W.LEVELS)] + [F.count_if(F.col("type") == t).alias(f"{t}_type_count") for t in W.TYPES]
+    counts = [F.count_if(F.col("auth_level") == k).alias(f"{n}_count") for k, n in enumerate(W.LEVELS)] + [F.count_if(F.col("type") == t).alias(f"{'admin_pages' if t == 'admin' else t}_count") for t in W.TYPES]
     out = endpoints.agg(F.count("*").alias("total_endpoints"), *counts, F.count_if(F.col("auth_level") >= 1).alias("authenticated_count"))
     listed = plugins.agg(F.count("*").alias("total_plugins")) if plugins is not None else endpoints.agg(F.count_distinct("plugin_slug").alias("total_plugins"))
     return out.join(F.broadcast(listed))  # one row each
@@ -111,50 +108,14 @@ def write_report(endpoints: DataFrame, path: str) -> None:
     as_json(endpoints).withColumn("auth_level", F.get_json_object("json", "$.auth_level")).write.partitionBy("auth_level").text(path)
 
 
-def text_report(endpoints: DataFrame) -> Iterator[str]:
-    """Sections by level in ascending order; streams partition by partition."""
-    last = None
-    shown = endpoints.orderBy("auth_level", "type", "plugin_slug", "route", "method", "file", "line")
-    for r in shown.toLocalIterator():
-        if r["auth_level"] != last:
-            last = r["auth_level"]
-            yield f"== {W.LEVELS[last].upper()} =="
-        verb = f" {r['method'] or 'GET'}" if r["type"] == "rest" else ""
-        hidden = r["callback"] in ("", "unknown", "array_defined")
-        yield f"[{r['type']}]{verb} {r['route']} ({r['plugin_slug']}/{r['file']}:{r['line']})" + ("" if hidden else f" -> {r['callback']}")
-
-
-def render_tree(paths: list[list[str]]) -> str:
-    """Box drawing of call paths in pre-order."""
-    tree: dict = {}
-    for p in paths:
-        at = tree
-        for x in p:
-            at = at.setdefault(x, {})
-
-    def draw(node: dict, lead: str) -> list[str]:
-        out = []
-        for k, (name, below) in enumerate(node.items()):
-            end = k == len(node) - 1
-            out.append(f"{lead}{'└── ' if end else '├── '}{name}")
-            out += draw(below, lead + ("    " if end else "│   "))
-        return out
-
-    lines = []
-    for name, below in tree.items():
-        lines += [name, *draw(below, "")]
-    return "\n".join(lines)
-
-
-def nested(paths: list[list[str]]) -> str:
-    """JSON of call paths as nested nodes."""
-    tree: dict = {}
-    for p in paths:
-        at = tree
-        for x in p:
-            at = at.setdefault(x, {})
-    node = lambda name, below: {"function": name} | ({"calls": [node(*x) for x in below.items()]} if below else {})
-    return json.dumps([node(*x) for x in tree.items()])
+def call_trees(endpoints: DataFrame, functions: DataFrame) -> DataFrame:
+    """Endpoints with ``paths``: the call paths below each callback, in pre-order, made once for each (plugin, callback)."""
+    from . import graph
+
+    name = F.element_at(F.split("callback", "::"), -1)
+    roots = endpoints.select("plugin_slug", name.alias("root")).where("root <> ''").distinct()
+    trees = graph.call_paths(functions, roots).where("depth > 0").groupBy("plugin_slug", "root").agg(F.array_sort(F.collect_list(F.slice("path", 2, 1 << 30))).alias("paths"))  # at most NODE_BUDGET rows
+    return endpoints.withColumn("root", name).join(trees, ["plugin_slug", "root"], "left").drop("root")
 
 
 def path_match(a: Column, b: Column) -> Column:
@@ -171,8 +132,12 @@ def verify_targets(targets: DataFrame, endpoints: DataFrame, reachable: DataFram
         own = rows.select("plugin_slug", "file").distinct().withColumn("name", base("file"))
         return t.join(own, ["plugin_slug", "name"]).where(path_match(F.col("relative_path"), F.col("file"))).select("tid").distinct().withColumn(flag, F.lit(True))
 
-    out = t.join(met(endpoints, "direct_match"), "tid", "left").join(met(reachable, "reachable"), "tid", "left")
-    return out.select(*targets.columns, F.coalesce("direct_match", F.lit(False)).alias("direct_match"), (F.coalesce("direct_match", F.lit(False)) | F.coalesce("reachable", F.lit(False))).alias("reachable"))
+    counts = endpoints.groupBy("plugin_slug").agg(F.count("*").alias("endpoints_in_plugin"))
+    near = t.join(endpoints.select("plugin_slug", "file", F.concat_ws(" ", F.upper("type"), "route").alias("label")).withColumn("name", base("file")), ["plugin_slug", "name"]).where(path_match(F.col("relative_path"), F.col("file")))
+    labels = near.groupBy("tid").agg(F.array_sort(F.collect_set("label")).alias("matched_endpoints"))
+    out = t.join(met(endpoints, "direct_match"), "tid", "left").join(met(reachable, "in_call_graph"), "tid", "left").join(labels, "tid", "left").join(counts, "plugin_slug", "left")
+    direct, graph_hit = F.coalesce("direct_match", F.lit(False)), F.coalesce("in_call_graph", F.lit(False))
+    return out.select(*targets.columns, direct.alias("direct_match"), graph_hit.alias("in_call_graph"), (direct | graph_hit).alias("reachable"), F.coalesce("endpoints_in_plugin", F.lit(0)).alias("endpoints_in_plugin"), F.coalesce("matched_endpoints", F.array().cast("array<string>")).alias("matched_endpoints"))
 
 
 def match_manual(manual: DataFrame, detected: DataFrame, least: float = 0.5) -> DataFrame:
@@ -192,3 +157,32 @@ def validation_metrics(matched: DataFrame) -> DataFrame:
     """Coverage in percent by type; 0 where there is nothing to find."""
     out = matched.groupBy("type").agg(F.count("*").alias("total"), F.count("matched").alias("detected"))
     return out.withColumn("coverage", F.coalesce(F.try_divide(100.0 * F.col("detected"), F.col("total")), F.lit(0.0)))
+
+
+def auth_accuracy(matched: DataFrame, manual: DataFrame, detected: DataFrame) -> DataFrame:
+    """(correct, wrong, accuracy) of the levels of matched routes; 0 where nothing matched."""
+    key = ["plugin_slug", "type", "route"]
+    truth = manual.select(*key, "level").distinct()
+    found = detected.select("plugin_slug", "type", F.col("route").alias("matched"), "auth_level").groupBy("plugin_slug", "type", "matched").agg(F.min("auth_level").alias("auth_level"))
+    both = matched.where("matched is not null").join(truth, key).join(found, ["plugin_slug", "type", "matched"])
+    right = R.level_value(F.col("level")) == F.col("auth_level")
+    out = both.agg(F.count_if(right).alias("correct"), F.count_if(~right).alias("wrong"))
+    return out.withColumn("accuracy", F.coalesce(F.try_divide(100.0 * F.col("correct"), F.col("correct") + F.col("wrong")), F.lit(0.0)))
+
+
+def missed_patterns(matched: DataFrame, n: int = 20) -> DataFrame:
+    """The most frequent leading parts of routes that nothing matched, a report's limit."""
+    pattern = F.array_join(F.slice(F.split(R.normal_route(F.col("route")), "/"), 1, 2), "/")
+    return matched.where("matched is null").groupBy("type", pattern.alias("pattern")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type", "pattern").limit(n)
+
+
+def worst_plugins(matched: DataFrame, n: int = 10) -> DataFrame:
+    """Plugins with the least share of matched routes, a report's limit."""
+    by = matched.groupBy("plugin_slug").agg(F.count("*").alias("total"), F.count("matched").alias("found"))
+    return by.withColumn("coverage", 100.0 * F.col("found") / F.col("total")).orderBy("coverage", F.desc("total"), "plugin_slug").limit(n)
+
+
+def extra_detected(matched: DataFrame, detected: DataFrame) -> DataFrame:
+    """Detected routes that no manual row matched."""
+    used = matched.where("matched is not null").select("plugin_slug", "type", F.col("matched").alias("route"))
+    return detected.select("plugin_slug", "type", "route").distinct().join(used, ["plugin_slug", "type", "route"], "left_anti")

@@ -50,6 +50,9 @@ class Analysis:
     def with_chains(self) -> DataFrame:
         return report.attach_chains(self.endpoints, self.facts.functions)
 
+    def trees(self) -> DataFrame:
+        return report.call_trees(self.endpoints, self.facts.functions)
+
     def reachable_files(self) -> DataFrame:
         return graph.reachable_files(self.facts, self.endpoints)
 
@@ -69,11 +72,11 @@ def analyze(files: DataFrame, config: Config | None = None, compat: bool = False
     return Analysis(endpoints, plugins, facts)
 
 
-def analyze_directory(spark: SparkSession, root: str, config: Config | None = None) -> Analysis:
+def analyze_directory(spark: SparkSession, root: str, config: Config | None = None, compat: bool = False) -> Analysis:
     """A directory is one plugin if a PHP file at its root has a plugin header, else each sub-directory is one."""
     whole = corpus.read_corpus(spark, root, single=True)
     single = corpus.is_single_plugin(whole).first()["single"]
-    return analyze(whole if single else corpus.read_corpus(spark, root), config)
+    return analyze(whole if single else corpus.read_corpus(spark, root), config, compat)
 
 
 def verify_reachability(files: DataFrame, targets: DataFrame, config: Config | None = None) -> DataFrame:
@@ -84,13 +87,11 @@ def verify_reachability(files: DataFrame, targets: DataFrame, config: Config | N
 
 
 def reachability_summary(verified: DataFrame) -> DataFrame:
-    return verified.agg(F.count("*").alias("total"), F.count_if("direct_match").alias("direct"), F.count_if("reachable").alias("reachable"), F.count_if(~F.col("reachable")).alias("unreachable"))
+    return verified.agg(F.count("*").alias("total"), F.count_if("reachable").alias("reachable"), F.count_if(~F.col("reachable")).alias("not_reachable"), F.count_if("direct_match").alias("endpoints_found"))
 
 
 def register(spark: SparkSession, done: Analysis) -> None:
     """Views ``endpoints``, ``plugins``, ``calls``, ``functions``, ``classes`` and SQL functions of the engine."""
-    from pyspark.sql import types as T
-
     from ..functions import auth
     from ..php import lexer
 
@@ -118,7 +119,6 @@ def register(spark: SparkSession, done: Analysis) -> None:
                 yield c["callee"], c["line"], c["vals"]
 
     spark.udtf.register("php_calls", F.udtf(PhpCalls, returnType="callee string, line int, vals array<string>"))
-    del T
 
 
 def level_names(endpoints: DataFrame) -> DataFrame:

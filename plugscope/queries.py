@@ -319,7 +319,7 @@ _ORDERS_SQL = "(SELECT 'p' || (o_custkey % 50) AS plugin_slug, ['rest', 'ajax',
     "SELECT count(*) AS total_endpoints, "
     + ", ".join(f"count(*) FILTER (auth_level = {k}) AS {n}_count" for k, n in enumerate(W.LEVELS))
     + ", "
-    + ", ".join(f"count(*) FILTER (type = '{t}') AS {t}_type_count" for t in W.TYPES)
+    + ", ".join(f"count(*) FILTER (type = '{t}') AS {'admin_pages' if t == 'admin' else t}_count" for t in W.TYPES)
     + f", count(*) FILTER (auth_level >= 1) AS authenticated_count, count(DISTINCT plugin_slug) AS total_plugins FROM {_ORDERS_SQL}"
 )
 def endpoint_summary(spark, sf_dir):
@@ -356,13 +356,13 @@ def band_anti_join(spark, sf_dir):
 
 
 @_query(
-    """WITH pre(hook, cb) AS (VALUES ('STA', 'a'), ('STANDARD P', 'b'), ('ECONOMY ', 'c'), ('PROMO BRUSHED', 'd')), f AS (SELECT DISTINCT p_type AS fired FROM part)
-SELECT fired, cb AS callback FROM f JOIN pre ON starts_with(fired, hook) UNION SELECT fired, 'e' FROM f WHERE fired = 'SMALL PLATED TIN'"""
+    """WITH pre(hook, cb) AS (VALUES ('P', 'a'), ('Brand#1', 'b'), ('Brand', 'c'), ('Brand#2x', 'd')), f AS (SELECT DISTINCT p_brand AS fired FROM part)
+SELECT fired, cb AS callback FROM f JOIN pre ON starts_with(fired, hook) UNION SELECT fired, 'e' FROM f WHERE fired = 'Brand#13'"""
 )
 def hook_prefix_join(spark, sf_dir):
     """Fired hooks with registered callbacks: exact names and prefixes."""
-    reg = spark.createDataFrame([("p", "STA", True, "a", "f"), ("p", "STANDARD P", True, "b", "f"), ("p", "ECONOMY ", True, "c", "f"), ("p", "PROMO BRUSHED", True, "d", "f"), ("p", "SMALL PLATED TIN", False, "e", "f")], "plugin_slug string, hook string, is_prefix boolean, callback string, file string")
-    names = _table(spark, sf_dir, "part").select(F.lit("p").alias("plugin_slug"), F.col("p_type").alias("fired")).distinct()
+    reg = spark.createDataFrame([("p", "P", True, "a", "f"), ("p", "Brand#1", True, "b", "f"), ("p", "Brand", True, "c", "f"), ("p", "Brand#2x", True, "d", "f"), ("p", "Brand#13", False, "e", "f")], "plugin_slug string, hook string, is_prefix boolean, callback string, file string")
+    names = _table(spark, sf_dir, "part").select(F.lit("p").alias("plugin_slug"), F.col("p_brand").alias("fired")).distinct()
     return graph.fired(names, reg).select("fired", "callback")
 
 

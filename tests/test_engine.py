@@ -12,7 +12,7 @@ from plugscope.php.facts import File, header
 from plugscope.php.lexer import strip_comments
 from plugscope.plans import analyze as A
 from plugscope.plans.facts import build
-from plugscope.sources import corpus, http
+from plugscope.sources import corpus, http, sinks
 
 MAIN = r"""<?php
 /*
@@ -127,8 +127,13 @@ def test_report(done):
     assert (p["name"], p["version"], p["files_analyzed"]) == ("Demo", "1.2", 5) and p["errors"] == ["bin.php: binary"]
     gap = done.coverage_gaps().collect()
     assert [g["reason"] for g in gap] == ["complex_expression"] or not gap
-    text = "\n".join(report.text_report(done.endpoints))
-    assert "== UNAUTHENTICATED ==" in text and "[rest] GET /wp-json/demo/v2/open" in text
+    text = "\n".join(sinks.text_report(done.endpoints))
+    assert text.startswith("\n" + "=" * 60 + "\nUNAUTHENTICATED ENDPOINTS (") and "GET /wp-json/demo/v2/open -> a" in text and "SHORTCODE [demo] -> this::tag [GET:g, POST:field]" in text
+    assert "Unauthenticated: " in sinks.summary_text(s.asDict())
+    chains = "\n".join(sinks.chain_report(done.trees()))
+    assert "  Callback: this::early" in chains and "    └── helper\n        └── inner" in chains
+    full = json.loads(sinks.full_report(done))
+    assert full["summary"]["total_plugins"] == 1 and len(full["endpoints"]["admin"]) == s["admin_count"]
     one = json.loads(report.as_json(done.with_chains().where("route = 'init:this::early'")).first()["json"])
     assert one["auth_level"] == "unauthenticated" and one["function_calls"] == ["helper", "inner"]
 
@@ -146,7 +151,8 @@ def test_graph(spark, done):
     assert sorted(r["path"] for r in paths.collect()) == [["early"], ["early", "helper"], ["early", "helper", "inner"]]
     order = {(r["fqn"], r["pos"]): r["node"] for r in graph.method_order(done.facts.classes).collect()}
     assert order[("Demo\\Inc\\Sub", 1)] == "Demo\\Inc\\Extra" and order[("Demo\\Inc\\Sub", 2)] == "Demo\\Inc\\Job"
-    assert report.render_tree([["a"], ["a", "b"], ["a", "c"]]) == "a\n├── b\n└── c"
+    assert sinks.render_tree([["b"], ["b", "d"], ["c"]], "") == ["├── b", "│   └── d", "└── c"]
+    assert sinks.nested([["b"], ["b", "d"]]) == [{"function": "b", "calls": [{"function": "d"}]}]
 
 
 def test_dedup_fold(spark):
@@ -265,3 +271,36 @@ def test_sql_functions(spark, done):
 def test_php_build_counts(spark):
     files = spark.createDataFrame([("p", "a.php", b"<?php function f(){ g(); }")], "plugin_slug string, file string, content binary")
     assert build(files).functions.select("name", F.size("calls")).first()[:] == ("f", 1)
+
+
+def test_compat_quirks(spark):
+    code = b"""<?php add_action('admin_post_nopriv_a', 'f'); add_action('admin_action_nopriv_b', 'f');
+    add_posts_page('T', 'T', 'edit_posts', 's1', 'x'); add_menu_page('T', 'T', 'edit_others_posts', 's2', 'f'); function f() {}"""
+    facts = build(spark.createDataFrame([("p", "a.php", code)], "plugin_slug string, file string, content binary"))
+    level = lambda df: {r["route"].rpartition("=")[2]: r["auth_level"] for r in df.collect()}
+    assert level(detect.ajax(facts)) == {"a": 0, "b": 0}
+    assert level(detect.ajax(facts, compat=True)) == {"a": 5}
+    assert level(detect.admin_pages(facts)) == {"s1": 2, "s2": 4}
+    assert level(detect.admin_pages(facts, compat=True)) == {"s2": 0}
+
+
+def test_validation(spark):
+    m = spark.createDataFrame([("p", "rest", "/wp-json/a/v1/items", "admin"), ("p", "rest", "/zzz/y", "editor"), ("q", "ajax", "wp_ajax_go", "subscriber")], "plugin_slug string, type string, route string, level string")
+    d = spark.createDataFrame([("p", "rest", "/wp-json/a/v1/items", 5), ("q", "ajax", "wp-admin/admin-ajax.php?action=go", 0)], "plugin_slug string, type string, route string, auth_level int")
+    got = report.match_manual(m, d).cache()
+    a = report.auth_accuracy(got, m, d).first()
+    assert (a["correct"], a["wrong"], a["accuracy"]) == (1, 1, 50.0)
+    assert [r["pattern"] for r in report.missed_patterns(got).collect()] == ["zzz/y"]
+    assert report.worst_plugins(got).first()["plugin_slug"] == "p"
+    assert report.extra_detected(got, d).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from plugscope.__main__ import main
+
+    (tmp_path / "a.php").write_text("<?php\n/*\n * Plugin Name: A\n */\nadd_action('wp_ajax_nopriv_x', 'f');")
+    assert main(["--analyze", str(tmp_path), "--unauth", "--save", str(tmp_path / "out.json")]) == 0
+    assert "AJAX wp-admin/admin-ajax.php?action=x -> f" in capsys.readouterr().out
+    assert json.loads((tmp_path / "out.json").read_text())["plugins"][0]["name"] == "A"
+    assert main(["--analyze", str(tmp_path), "--chain-json"]) == 0
+    assert json.loads(capsys.readouterr().out)[0]["auth_level"] == "unauthenticated"
