@@ -11,7 +11,8 @@ Candidates are verified with the exact edit distance of the whole item to its be
 
 Items are a bounded table (``MOST_BYTES``, checked; beyond that they are searched in blocks). Edge
 cases: null and empty texts have no hits; items below ``LEAST`` normalised bytes name nothing and are
-skipped; repeated items each give a hit; null item ids are kept. Extra columns pass through.
+skipped; repeated items each give a hit; null item ids are kept. Extra columns pass through; one of the
+result's own name is replaced.
 """
 
 from __future__ import annotations

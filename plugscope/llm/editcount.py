@@ -10,7 +10,8 @@ from its leaves, without encoding them again.
 
 Edge cases: a null text is empty; a null list of edits is none; edits apply in order, each to the
 text that the earlier ones left; their places are clamped to the text; an edit with a null text
-deletes. Repeated rows are counted each. Extra columns pass through.
+deletes. Repeated rows are counted each. Extra columns pass through;
+one of the result's own name is replaced.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import _SPACE, TOKENIZER, Encoder, encoder
+from .tokens import TOKENIZER, Encoder, encoder
 
 SEGMENT = 512
 LARGE = 8
-_WHITE = frozenset(chr(c) for c in range(0x3001) if chr(c) in _SPACE or 9 <= c <= 13)
+_WHITE = frozenset(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def safe_cut(text: str, at: int) -> bool:

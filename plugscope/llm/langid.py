@@ -6,7 +6,8 @@ it; its log probabilities are the mean over its windows.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0. A text shorter than a
 window is padded with zero bytes. Without any labelled row every text is ``und``. Ties between
-languages go to the alphabetically first. Other columns pass through unchanged.
+languages go to the alphabetically first. Other columns pass through; ones
+named as the results are replaced.
 """
 
 from __future__ import annotations

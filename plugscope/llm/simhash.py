@@ -9,7 +9,8 @@ of its links would; a distributed component search follows.
 
 Edge cases: a null or wordless text has fingerprint 0 and is linked like any other. Fewer words than
 a shingle give one shingle. Repeated rows and equal texts share a fingerprint. Null ids count as the
-largest. Extra columns are ignored by ``components`` and kept by ``with_fingerprints``.
+largest. Extra columns are ignored by ``components`` and kept by ``with_fingerprints``,
+which replaces one of the result's own name.
 """
 
 from __future__ import annotations
@@ -174,7 +175,6 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (k, key); the last bucket of a batch waits for the next batch."""
-    rest: list[np.ndarray] = []
 
     def flush(k: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (key[1:] != key[:-1])]) if len(k) else np.zeros(0, bool)
@@ -209,7 +209,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = ([k[cut:]], [key[cut:]], [fp[cut:]])
     if held is not None:
         yield from flush(*map(np.concatenate, held))
-    del rest
+
 
 
 def links(distinct: DataFrame) -> DataFrame:
