@@ -151,12 +151,16 @@ def rest(facts: Facts, config: Config | None = None, bodies: DataFrame | None =
     bodies = callback_facts(facts) if bodies is None else bodies
     rows = rest_calls(facts).where(~F.col("ns").rlike(r"^(array\(|\[)"))
     own = rows.withColumn("own", F.filter("items", lambda i: i["arg"] == F.col("arg")))
+    given = F.coalesce(F.get("args", F.col("arg")), F.lit(""))
+    held = F.coalesce(F.get("callbacks", F.col("arg")), F.lit("")).startswith("property:")
+    # a variable without an array before the call says nothing; a property's array is judged by what surrounds the call
+    own = own.withColumn("held", held & (F.size("own") == 0)).where(F.col("short") | F.col("held") | (F.size("own") > 0) | given.rlike(r"(?i)^(\[|array\s*\(|$)"))
     groups = F.array_distinct(F.transform(F.filter("own", lambda i: i["key"].isin("methods", "callback") & (i["grp"] >= 0)), lambda i: i["grp"]))
     rows = own.withColumn("grp", F.explode(F.when(F.size(groups) > 0, groups).otherwise(F.array(F.lit(-1)))))
     defs = rows.withColumns(
         {
             "methods": F.coalesce(_item(F.col("own"), F.col("grp"), "methods", "val"), F.when(F.col("verb") != "", F.col("verb")), F.lit("GET")),
-            "callback": F.coalesce(_item(F.col("own"), F.col("grp"), "callback", "cb"), F.when(F.col("short"), _arg(1, "callbacks")), F.lit("unknown")),
+            "callback": F.coalesce(_item(F.col("own"), F.col("grp"), "callback", "cb"), F.when(F.col("short"), _arg(1, "callbacks")), F.when(F.col("held"), F.get("callbacks", F.col("arg"))), F.lit("unknown")),
             "perm": _item(F.col("own"), F.col("grp"), "permission_callback", "cb"),
             "perm_code": F.lower(F.trim(_item(F.col("own"), F.col("grp"), "permission_callback", "value"))),
         }
@@ -172,7 +176,7 @@ def rest(facts: Facts, config: Config | None = None, bodies: DataFrame | None =
     admin_name = name.rlike("admin|manage")
     level_of_body = F.when(F.col("perm_body.level") > 0, F.when((F.col("perm_body.level") == 1) & (F.col("chain_level") > 0), F.col("chain_level")).otherwise(F.col("perm_body.level"))).when(F.col("perm_body.returns") == 0, 0).when(F.col("chain_level") > 0, F.col("chain_level")).when(admin_name, W.ADMIN).otherwise(1)
     never = F.col("perm_body.returns") == W.ADMIN
-    declared = F.when(F.col("perm").isNull(), F.when(F.col("short") & (F.size("own") == 0), F.when(F.col("verb") != "", F.col("context_level")).otherwise(W.ADMIN)).otherwise(0)).when((F.col("perm") == "__return_true") | (F.col("perm_code") == "true"), 0).when(F.col("perm_body").isNotNull(), level_of_body).when(admin_name, W.ADMIN).otherwise(1)
+    declared = F.when(F.col("perm").isNull(), F.when(F.col("held"), F.col("context_level")).when(F.col("short") & (F.size("own") == 0), F.when(F.col("verb") != "", F.col("context_level")).otherwise(W.ADMIN)).otherwise(0)).when((F.col("perm") == "__return_true") | (F.col("perm_code") == "true"), 0).when(F.col("perm_body").isNotNull(), level_of_body).when(admin_name, W.ADMIN).otherwise(1)
     closed = F.col("perm").startswith("closure@") & never & (F.col("perm_body.level") == 0)
     asked = asked.where(~F.coalesce(closed, F.lit(False))).withColumn("declared", declared)
     public = (F.col("perm") == "__return_true") | (F.col("perm_code") == "true")
@@ -184,6 +188,23 @@ def rest(facts: Facts, config: Config | None = None, bodies: DataFrame | None =
     return _rows(out, "rest", route=R.rest_route(F.col("ns"), F.col("path")), method=F.col("verb1"), auth_level=F.col("level"), callback=_clean(F.col("callback")), namespace=F.col("ns"))
 
 
+def controllers(facts: Facts) -> DataFrame:
+    """Routes that classes name themselves: a ``getRoutePath`` method, or constants API_NAMESPACE and ROUTE_PATH."""
+    ns = facts.symbols.where(F.lower("name").isin("namespace", "rest_namespace", "api_namespace")).groupBy(*KEY, "class").agg(F.max_by("value", "off").alias("ns"))
+    fns = facts.functions.where("class <> ''")
+    path = fns.where("name = 'getRoutePath' and size(literals) > 0").select(*KEY, "class", "line", "off", F.col("literals")[0].alias("path"))
+    verb = fns.where("name in ('getMethods', 'getMethod') and size(literals) > 0").groupBy(*KEY, "class").agg(F.min_by(F.col("literals")[0], "off").alias("verb"))
+    asks = fns.where("name in ('permissionCallback', 'getPermissionCallback', 'checkPermission', 'check_permission', 'permissions_check')").groupBy(*KEY, "class").agg(F.max("level").alias("asked"), F.min("returns").alias("least"))
+    rows = path.join(ns, [*KEY, "class"], "left").join(verb, [*KEY, "class"], "left").join(asks, [*KEY, "class"], "left")
+    level = F.when(F.col("asked") > 0, F.col("asked")).when(F.col("least") == 0, 0).when(F.col("asked").isNotNull(), 1).otherwise(0)
+    space = F.coalesce("ns", F.lit("{namespace}"))
+    own = _rows(rows.withColumn("m", F.explode(verbs(F.coalesce("verb", F.lit("GET"))))), "rest", route=R.rest_route(space, F.col("path")), method=F.col("m"), auth_level=level, callback=F.concat("class", F.lit("::getRoutePath")), namespace=space)
+    const = facts.symbols.where("kind = 'const' and name in ('API_NAMESPACE', 'ROUTE_PATH')").groupBy(*KEY, "class").agg(F.max(F.when(F.col("name") == "API_NAMESPACE", F.col("value"))).alias("ns"), F.max(F.when(F.col("name") == "ROUTE_PATH", F.col("value"))).alias("path"), F.min("off").alias("off"))
+    const = const.where("ns is not null and path is not null").join(fns.groupBy(*KEY, "class").agg(F.max(F.when(F.col("returns") == 0, 1).otherwise(0)).alias("open")), [*KEY, "class"], "left")
+    listed = _rows(const, "rest", route=R.rest_route(F.col("ns"), F.col("path")), method=F.lit("GET"), auth_level=F.when(F.col("open") == 1, 0).otherwise(W.ADMIN), callback=F.lit("array_defined"), namespace=F.col("ns"), line=F.lit(0))
+    return own.unionByName(listed)
+
+
 # Menu functions, and the places of capability, slug and callback in their arguments.
 MENUS = {"add_menu_page": (2, 3, 4), "add_submenu_page": (3, 4, 5)} | {f"add_{n}_page": (2, 3, 4) for n in ("options", "dashboard", "management", "theme", "plugins", "users", "posts", "media", "links", "pages", "comments")}
 
@@ -340,5 +361,5 @@ def detect_all(facts: Facts, config: Config | None = None, compat: bool = False)
     """Union of all detectors; ``compat`` reproduces historical quirks where the intent is the default."""
     config = config or Config()
     bodies = callback_facts(facts)
-    found = [rest(facts, config, bodies, compat), ajax(facts, config, bodies, compat), admin_pages(facts, config, bodies, compat), shortcodes(facts, bodies), widgets(facts), blocks(facts, bodies), hook_input(facts, bodies), direct_files(facts), framework(facts, config, bodies), wrapper_calls(facts, config)]
+    found = [rest(facts, config, bodies, compat), ajax(facts, config, bodies, compat), admin_pages(facts, config, bodies, compat), shortcodes(facts, bodies), widgets(facts), blocks(facts, bodies), hook_input(facts, bodies), direct_files(facts), framework(facts, config, bodies), wrapper_calls(facts, config), controllers(facts)]
     return reduce(DataFrame.unionByName, found)

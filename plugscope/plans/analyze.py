@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..config import Config
 from ..functions import rules as R
 from ..functions import words as W
 from ..operators import detect, graph, report
-from ..sources import corpus
+from ..sources import corpus, http
 from .facts import Facts, build, shared_dir
 
 
@@ -123,3 +124,14 @@ def register(spark: SparkSession, done: Analysis) -> None:
 
 def level_names(endpoints: DataFrame) -> DataFrame:
     return endpoints.withColumn("level_name", R.level_name(F.col("auth_level")))
+
+
+def run(spark: SparkSession, page: Callable[[int], str], info: Callable[[str], dict], zip_of: Callable[[str], bytes], max_pages: int = 0, max_plugins: int = 0, config: Config | None = None) -> tuple[Analysis, DataFrame]:
+    """Fetch a listing, details and archives, then analyse: the analysis, and the downloads with their errors.
+
+    ``page``, ``info`` and ``zip_of`` read a listing page, a plugin's details and an archive; wrap them in ``http.Retry``.
+    """
+    listed = http.details(info, http.popular(page, max_pages, 0), max_plugins)
+    rows = list(http.download(zip_of, [(p["slug"], p["download_link"]) for p in listed]))
+    zips = spark.createDataFrame(rows, "plugin_slug string, content binary, error string")
+    return analyze(corpus.unzip(zips.where("error is null")), config), zips.select("plugin_slug", "error")

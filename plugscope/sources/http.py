@@ -7,7 +7,8 @@ import re
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from email.message import Message
 
@@ -88,3 +89,36 @@ def popular(fetch: Callable[[int], str], max_pages: int, max_plugins: int) -> li
         if page > last or max_pages and page > max_pages:
             return out
         html = fetch(page)
+
+
+def details(fetch: Callable[[str], dict], slugs: list[str], most: int = 0, workers: int = 10) -> list[dict]:
+    """Plugin details in the order of slugs; failures are skipped and replaced by later slugs, up to ``most`` (0: all)."""
+    if most < 0:
+        raise ValueError("the bound must not be negative")
+    out: list[dict] = []
+    with ThreadPoolExecutor(workers) as pool:
+        for i in range(0, len(slugs), workers):
+            for future in [pool.submit(fetch, s) for s in slugs[i : i + workers]]:
+                try:
+                    out.append(future.result())
+                except (OSError, ValueError):
+                    continue
+                if most and len(out) == most:
+                    return out
+    return out
+
+
+def download(fetch: Callable[[str], bytes], plugins: list[tuple[str, str]], workers: int = 10, progress: Callable[[str, bool], None] | None = None) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """(slug, ZIP bytes, error) of plugins (slug, url); a failed download is a row with its error."""
+
+    def one(slug: str, url: str) -> tuple[str, bytes | None, str | None]:
+        try:
+            row = (slug, fetch(url), None)
+        except OSError as e:
+            row = (slug, None, str(e))
+        if progress:
+            progress(slug, row[2] is None)
+        return row
+
+    with ThreadPoolExecutor(workers) as pool:
+        yield from pool.map(lambda p: one(*p), plugins)

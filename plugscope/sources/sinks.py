@@ -133,3 +133,18 @@ def plugin_list(plugins: DataFrame) -> Iterator[str]:
     name = F.when(F.length("name") > 38, F.concat(F.substring("name", 1, 35), F.lit("..."))).otherwise(F.col("name"))
     for r in plugins.select("plugin_slug", name.alias("name"), "version").orderBy("plugin_slug").toLocalIterator():
         yield f"{r['plugin_slug']:<40} {r['name']:<38} {r['version']}"
+
+
+def validation_text(metrics: DataFrame, missed: DataFrame, worst: DataFrame, accuracy: DataFrame) -> Iterator[str]:
+    """Coverage by type, level accuracy, most missed patterns, worst plugins."""
+    yield "COVERAGE"
+    for r in metrics.orderBy("type").toLocalIterator():
+        yield f"{r['type']:<20} {r['total']:>10} {r['detected']:>10} {r['coverage']:>9.1f}%"
+    a = accuracy.first()
+    yield f"Auth accuracy: {a['accuracy']:.1f}% ({a['correct']} correct, {a['wrong']} wrong)"
+    yield "TOP MISSED PATTERNS"
+    for r in missed.toLocalIterator():
+        yield f"{r['n']:>6} {r['type']} {r['pattern']}"
+    yield "WORST PLUGINS"
+    for r in worst.toLocalIterator():
+        yield f"{r['coverage']:>9.1f}% {r['plugin_slug']} ({r['found']}/{r['total']})"

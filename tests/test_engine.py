@@ -293,6 +293,8 @@ def test_validation(spark):
     assert [r["pattern"] for r in report.missed_patterns(got).collect()] == ["zzz/y"]
     assert report.worst_plugins(got).first()["plugin_slug"] == "p"
     assert report.extra_detected(got, d).count() == 0
+    text = "\n".join(sinks.validation_text(report.validation_metrics(got), report.missed_patterns(got), report.worst_plugins(got), report.auth_accuracy(got, m, d)))
+    assert "Auth accuracy: 50.0% (1 correct, 1 wrong)" in text and "     1 rest zzz/y" in text
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -304,3 +306,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads((tmp_path / "out.json").read_text())["plugins"][0]["name"] == "A"
     assert main(["--analyze", str(tmp_path), "--chain-json"]) == 0
     assert json.loads(capsys.readouterr().out)[0]["auth_level"] == "unauthenticated"
+
+
+def test_rest_arguments_and_controllers(spark):
+    code = b"""<?php class C { private $args; const REST_NAMESPACE = 'c/v1'; function go() { is_super_admin();
+    register_rest_route('a/v1', '/held', $this->args); register_rest_route('a/v1', '/lost', $nothing); register_rest_route('a/v1', '/empty', []); } }
+    class R { protected $namespace = 'r/v1'; function getRoutePath() { return '/own'; } function getMethods() { return 'POST'; } function checkPermission() { return current_user_can('edit_posts'); } }"""
+    facts = build(spark.createDataFrame([("p", "a.php", code)], "plugin_slug string, file string, content binary"))
+    got = {r["route"]: (r["auth_level"], r["callback"]) for r in detect.rest(facts).collect()}
+    # the 500 characters around the call name a capability, which goes before the admin check
+    assert got == {"/wp-json/a/v1/held": (2, "property:$this->args"), "/wp-json/a/v1/empty": (0, "unknown")}
+    own = {(r["route"], r["method"], r["auth_level"]) for r in detect.controllers(facts).collect()}
+    assert own == {("/wp-json/r/v1/own", "POST", 2)}
+
+
+def test_full_run(spark):
+    import io
+    import zipfile
+
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("p2/p2.php", "<?php\n/*\n * Plugin Name: Two\n */\nadd_action('wp_ajax_nopriv_x', 'f');")
+    def info(slug):
+        if slug == "p1":
+            raise OSError("gone")
+        return {"slug": slug, "download_link": f"z/{slug}"}
+    def archive(url):
+        if url == "z/p3":
+            raise OSError("no file")
+        return buf.getvalue()
+    done, got = A.run(spark, lambda k: f'<a href="/plugins/p{k}/">x</a><a href="/page/3/">3</a>', info, archive)
+    assert [r["plugin_slug"] for r in done.plugins.collect()] == ["p2"] and done.endpoints.count() == 1
+    assert {r["plugin_slug"]: r["error"] for r in got.collect()} == {"p2": None, "p3": "no file"}
+    assert http.details(info, ["p1", "p2", "p4"], 1) == [{"slug": "p2", "download_link": "z/p2"}]
