@@ -26,14 +26,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the least (doc_id, fingerprint) of each component; of repeated rows, one."""
-    tagged = docs.withColumn("__fp", simhash.fingerprint_column(F.col("text"))).withColumn("__row", F.monotonically_increasing_id())
-    marks = materialize(tagged.select("__row", F.col("doc_id").alias("id"), F.col("__fp").alias("fp")), "dedup-marks")
-    least = marks.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("least"))
+    # written once with a row number, so that both passes below see the same numbers
+    tagged = materialize(docs.withColumn("__fp", simhash.fingerprint_column(F.col("text"))).withColumn("__row", F.monotonically_increasing_id()), "dedup-rows")
+    marks = tagged.select("__row", F.col("doc_id").alias("id"), F.col("__fp").alias("fp"))
+    least = materialize(marks.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("least")), "dedup-least")
     nodes = simhash.components(simhash.links(least))
     rooted = least.join(nodes, least["fp"] == nodes["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.__row").alias("__row"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(kept, "__row", "left_semi").select(docs.columns)
+    # both sides grow with the corpus: never broadcast
+    return tagged.join(kept.hint("merge"), "__row", "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
