@@ -1,9 +1,11 @@
-"""Encoding of whole texts with the ``tokenizers`` library, one pre-token at a time.
+"""Encoding of whole texts with the ``tokenizers`` library, one new pre-token at a time.
 
 Byte-level BPE never merges over pre-token borders, so the ids of a text are the ids of its
-pre-tokens in order. A text is first cut at white space into chunks (each a whole number of
-pre-tokens); a chunk's ids are looked up in a cache and, when new, are made by the library's model.
-The cache lives as long as the Python worker and is emptied at ``CACHE_CHUNKS`` entries.
+pre-tokens in order. Where single spaces separate pieces that neither begin nor end with white space,
+a pre-token border lies before each space whatever surrounds it; such a text is split at its spaces
+and each piece's ids are looked up in a cache. Other texts, and pieces with white space inside, are
+cut by the pre-tokenizer's pattern. Ids of new pre-tokens are made by the library's model.
+The cache lives as long as the Python worker and is emptied at ``CACHE_PIECES`` entries.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ import regex
 from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_CHUNKS = 1_000_000
+CACHE_PIECES = 1_200_000
+LONG = 64  # longer pieces are not kept
 # Unicode's White_Space property.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_MARKS = frozenset(".,;:!?")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -33,42 +37,69 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        self._model = Tokenizer.from_file(path).model
+        self._tokenize = Tokenizer.from_file(path).model.tokenize
         self._letters = _byte_alphabet()
-        self._words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self._spaced: dict[str, bytes] = {}  # ids of a space and the key
+        self._plain: dict[str, bytes] = {}  # ids of the key itself
 
     def _word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
         mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(mapped)])
-
-    def chunk(self, chunk: str) -> bytes:
-        found = self.chunks.get(chunk)
-        if found is None:
-            if len(self.chunks) + len(self._words) >= CACHE_CHUNKS:
-                self.chunks.clear()
-                self._words.clear()
-            parts = []
-            for word in _PRE_TOKEN.findall(chunk):
-                ids = self._words.get(word)
-                if ids is None:
-                    ids = self._word(word)
-                    if len(word) < 64:
-                        self._words[word] = ids
-                parts.append(ids)
-            found = b"".join(parts)
-            if len(chunk) < 64:
-                self.chunks[chunk] = found
-        return found
+        return b"".join([t.id.to_bytes(4, "little") for t in self._tokenize(mapped)])
+
+    def _keep(self, cache: dict[str, bytes], key: str, ids: bytes) -> bytes:
+        if len(key) < LONG:
+            if len(self._spaced) + len(self._plain) >= CACHE_PIECES:
+                self._spaced.clear()
+                self._plain.clear()
+            cache[key] = ids
+        return ids
+
+    def _pre_token(self, word: str) -> bytes:
+        """Ids of a pre-token from the cache that its first character decides."""
+        cache, key = (self._spaced, word[1:]) if word[0] == " " and not word[1:2].isspace() and len(word) > 1 else (self._plain, word)
+        found = cache.get(key)
+        return self._keep(cache, key, self._word(word)) if found is None else found
+
+    def _new(self, piece: str) -> bytes:
+        """Ids of a space and a piece that is not in the cache."""
+        if piece.isalpha():
+            return self._keep(self._spaced, piece, self._word(" " + piece))
+        if piece[-1] in _MARKS and piece[:-1].isalpha():
+            return self._keep(self._spaced, piece, self._pre_token(" " + piece[:-1]) + self._pre_token(piece[-1]))
+        if "\n" in piece:  # hardly ever seen twice
+            return self._cut(" " + piece)
+        return self._keep(self._spaced, piece, self._cut(" " + piece))
+
+    def _cut(self, text: str) -> bytes:
+        """Ids of any text, by the pattern."""
+        out = []
+        for chunk in CHUNK.findall(text):
+            body = chunk[1:] if chunk[0] == " " else chunk
+            cache, key = (self._spaced, body) if chunk[0] == " " and body and not body[0].isspace() else (self._plain, chunk)
+            ids = cache.get(key)
+            if ids is None:
+                ids = self._keep(cache, key, b"".join([self._pre_token(w) for w in _PRE_TOKEN.findall(chunk)]))
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text; null is the empty text."""
         if not text:
             return b""
-        pieces, get = CHUNK.findall(text), self.chunks.get
-        found = [get(p) for p in pieces]
+        pieces = text.split(" ")
+        first = pieces[0]
+        if not first or first[0].isspace() or first[-1].isspace():
+            return self._cut(text)
+        found = list(map(self._spaced.get, pieces))
+        found[0] = self._cut(first)
         if None in found:
-            found = [self.chunk(p) if ids is None else ids for p, ids in zip(pieces, found)]
+            for at, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[at]
+                    if not piece or piece[0].isspace() or piece[-1].isspace():
+                        return self._cut(text)
+                    found[at] = self._new(piece)
         return b"".join(found)
 
     def count(self, text: str) -> int:
