@@ -173,7 +173,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHAR
                 block = np.concatenate([np.arange(blocks[x]) for x in found]) if found else np.zeros(0, int)
                 yield pd.DataFrame({"qid": qid, "q": [v] * len(leaf), "leaf": leaf, "block": block})
 
-    asked = distinct.where("asks").select("vid", "v").repartition(F.col("vid")).mapInPandas(visits, "qid long, q array<double>, leaf int, block int")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number that is given is not merged: queries are few rows but much work
+    asked = distinct.where("asks").select("vid", "v").repartition(tasks, F.col("vid")).mapInPandas(visits, "qid long, q array<double>, leaf int, block int")
     cut = spark.createDataFrame([(int(x), int(n)) for x, n in enumerate(blocks) if n > 1], "leaf int, blocks int")
     members = entries.join(F.broadcast(cut), "leaf", "left").withColumn("block", F.pmod("vid", F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
 
