@@ -36,21 +36,23 @@ def dedup(endpoints: DataFrame, salts: int = 1) -> DataFrame:
     """One row per (plugin, route, method, type): an ordered fold over rows sorted by file and callback.
 
     A later row replaces the survivor if its level is higher and the survivor's is not 0, or if only
-    the survivor's callback says nothing. The fold's state is one row, so a group is first cut to the
-    rows that can ever survive: per level and kind of callback only the first one in order.
+    the survivor's callback says nothing. Both rules look at a row's level and kind of callback alone,
+    so a row that follows one with the same two never replaces the survivor: only such rows are left out.
     """
     key = ["plugin_slug", "route", "method", "type"]
     rest = [c for c in endpoints.columns if c not in key]
     order = ["file", "callback", *[c for c in ("line", "auth_level", "raw_code") if c in rest]]
     order += [c for c in rest if c not in order]
-    first = endpoints.groupBy(*key, "auth_level", generic(F.col("callback")).alias("__g")).agg(F.min(F.struct(*order)).alias("__r"))
-    rows = F.array_sort(F.collect_list("__r"))
+    kind = F.struct("auth_level", generic(F.col("callback")).alias("generic"))
+    rows = endpoints.select(*key, F.struct(*order).alias("__r"), kind.alias("__k"))
+    rows = rows.withColumn("__before", F.lag("__k").over(Window.partitionBy(*key).orderBy("__r")))
+    rows = rows.where(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(F.col("__k")))
 
     def fold(acc: Column, x: Column) -> Column:
         take = ((x["auth_level"] > acc["auth_level"]) & (acc["auth_level"] != 0)) | (generic(acc["callback"]) & ~generic(x["callback"]))
         return F.when(take, x).otherwise(acc)
 
-    grouped = first.groupBy(*key).agg(rows.alias("__all"))
+    grouped = rows.groupBy(*key).agg(F.array_sort(F.collect_list("__r")).alias("__all"))
     return grouped.select(*key, F.aggregate(F.slice("__all", 2, 1 << 30), F.col("__all")[0], fold).alias("__r")).select(*key, *[F.col(f"__r.{c}").alias(c) for c in rest]).select(endpoints.columns)
 
 

@@ -1,12 +1,14 @@
 """The engine over a small corpus written for these tests."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plugscope.config import Config, Profile, capability_dim, guard_level
 from plugscope.functions import auth
+from plugscope.functions import words as W
 from plugscope.operators import detect, graph, report
 from plugscope.php.facts import File, header
 from plugscope.php.lexer import strip_comments
@@ -167,6 +169,20 @@ def test_dedup_fold(spark):
     assert tuple(run({"auth_level": 1, "callback": "closure", "file": "a"}, {"auth_level": 1, "callback": "y", "file": "b"})) == (1, "y")
 
 
+def test_dedup_is_the_plain_fold(spark):
+    rng = random.Random(3)
+    given = [("p", "r", "POST", "ajax", level, f, c) for level, f, c in [(5, "a", "closure"), (3, "b", "named"), (5, "c", "closure")]]
+    given += [("p", f"x{rng.randrange(60)}", "POST", "ajax", rng.randrange(7), f"{i:04}", rng.choice(["closure", "inline", "f", "g"])) for i in range(900)]
+    want = {}
+    for row in sorted(given, key=lambda x: x[5:]):
+        old = want.get(row[1])
+        if old is None or (row[4] > old[4] and old[4] != 0) or (old[6] in W.GENERIC_CALLBACKS and row[6] not in W.GENERIC_CALLBACKS):
+            want[row[1]] = row
+    df = spark.createDataFrame(given, "plugin_slug string, route string, method string, type string, auth_level int, file string, callback string")
+    got = {r["route"]: tuple(r) for r in report.dedup(df).collect()}
+    assert want["r"][4:] == (5, "c", "closure") and got == want
+
+
 def test_auth_rules():
     c = Config()
     assert auth.infer_level("if (!current_user_can('edit_others_posts')) {}", c) == 4
