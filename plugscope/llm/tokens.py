@@ -4,7 +4,8 @@ Byte-level BPE never merges over pre-token borders, so the ids of a text are the
 pre-tokens in order. Where single spaces separate pieces that neither begin nor end with white space,
 a pre-token border lies before each space whatever surrounds it; such a text is split at its spaces
 and each piece's ids are looked up in a cache. Other texts, and pieces with white space inside, are
-cut by the pre-tokenizer's pattern. Ids of new pre-tokens are made by the library's model.
+cut by the pre-tokenizer's pattern. Ids of new pre-tokens are made by the library's model. A text that
+holds one of the tokenizer's added tokens is encoded by the library itself.
 The cache lives as long as the Python worker and is emptied at ``CACHE_PIECES`` entries.
 """
 
@@ -37,7 +38,9 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        self._tokenize = Tokenizer.from_file(path).model.tokenize
+        self._library = Tokenizer.from_file(path)
+        self._tokenize = self._library.model.tokenize
+        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._letters = _byte_alphabet()
         self._spaced: dict[str, bytes] = {}  # ids of a space and the key
         self._plain: dict[str, bytes] = {}  # ids of the key itself
@@ -87,6 +90,9 @@ class Encoder:
         """Ids of the whole text; null is the empty text."""
         if not text:
             return b""
+        for added in self._added:
+            if added in text:
+                return b"".join([i.to_bytes(4, "little") for i in self._library.encode(text, add_special_tokens=False).ids])
         pieces = text.split(" ")
         first = pieces[0]
         if not first or first[0].isspace() or first[-1].isspace():

@@ -57,6 +57,31 @@ def test_encoder_is_the_librarys(text):
     assert np.frombuffer(tokens.encoder().encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+_PARTS = st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", " ", "\n", "ab", "é", "'s", " 12", "."])
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(_PARTS, max_size=12).map("".join))
+def test_added_tokens_are_the_librarys(text):
+    t = test_added_tokens_are_the_librarys.__dict__.setdefault("t", Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    assert np.frombuffer(tokens.encoder().encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.encoder().encode("one two<|endoftext|>three"), "<u4").tolist() == [505, 734, 50256, 15542]
+
+
+def test_edit_counts_with_added_tokens(monkeypatch):
+    monkeypatch.setattr(editcount, "SEGMENT", 16)
+    rng, enc = np.random.default_rng(2), tokens.encoder()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(200):
+        now = "".join(rng.choice(["<|endoftext|>", " ", "word", " long words", "\n"], 40))
+        tree = editcount.SegmentTree(now, enc)
+        for _ in range(4):
+            s, n, new = int(rng.integers(len(now))), int(rng.integers(20)), str(rng.choice(["<|endoftext|>", "|>", "<|endof", " x", ""]))
+            tree.edit(s, s + n, new)
+            now = now[:s] + new + now[s + n :]
+            assert tree.text() == now and tree.total == len(t.encode(now, add_special_tokens=False).ids)
+
+
 # 1
 
 def test_language_id(spark):
