@@ -7,17 +7,23 @@ window's length follows the item's (the largest class of at most half of it); it
 every word, texts from every ``STRIDE``-th word, so a passage meets its item at the same word several
 times. Each repetition samples ``SAMPLE`` steps of the walk into a key; their number is set by
 simulation so that a passage with ``DESIGN_EDITS`` edits per byte meets its item with ``RECALL``.
-Candidates are verified with the exact edit distance of the whole item to its best place in the text.
+
+Walks lose passages with more edits, and those without word starts. So every byte of a text is also a
+seed: its next 4 to 8 bytes are looked up among those at every byte of every item, and an item is a
+candidate where enough seeds lie on near diagonals. Their length and number are set by simulation for
+each class, so that a passage with ``MOST_EDITS`` edits per byte is met with ``RECALL``; exact copies
+always are. Candidates are verified with the exact edit distance of the whole item to its best place in the text.
 
 Items are a bounded table (``MOST_BYTES``, checked; beyond that they are searched in blocks). Edge
-cases: null and empty texts have no hits; items below ``LEAST`` normalised bytes name nothing and are
-skipped; repeated items each give a hit; null item ids are kept. Extra columns pass through; one of the
+cases: null and empty texts have no hits; items below ``LEAST`` normalised bytes are searched exactly, on
+word borders (none are needed in scripts without spaces); empty ones are skipped; repeated items each give a hit; null item ids are kept. Extra columns pass through; one of the
 result's own name is replaced.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +44,11 @@ RECALL = 0.98
 MOST_BYTES = 64_000_000
 _SEED = 20240117
 _GROUP = 1 << 13
+SEEDS = (8, 7, 6, 5, 4)  # lengths, the first that is sure enough is taken
+SURE = 3  # seeds that the longer lengths need
+_BAND = 32  # diagonals of a band; two neighbours count together
+_CHUNK = 1 << 16  # text bytes whose seeds are looked up at once
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def _letters() -> np.ndarray:
@@ -114,6 +125,9 @@ class Index:
     samples: dict[int, np.ndarray] = field(default_factory=dict)  # class -> all samples of each window (windows x repetitions)
     bits: dict[int, np.ndarray] = field(default_factory=dict)  # class -> table that most foreign keys fail
     reps: int = 0
+    seeds: dict[int, tuple] = field(default_factory=dict)  # seed length -> sorted keys, their items and places, table of bits
+    least: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # seeds that make an item a candidate
+    short: dict[int, tuple[bytes, int]] = field(default_factory=dict)  # item -> bytes to find, and its place in them
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -163,22 +177,133 @@ def repetitions(texts: list[np.ndarray], rate: float = DESIGN_EDITS, recall: flo
     return int(enough[0]) + 1 if len(enough) else most
 
 
+def seed_keys(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place, zeros beyond the end; shorter seeds are their upper bytes."""
+    padded = np.concatenate([text, np.zeros(7, np.uint8)]).astype(np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8")[:, 0].astype(np.uint64) if len(text) else np.zeros(0, np.uint64)
+
+
+def _upper(keys: np.ndarray, q: int) -> np.ndarray:
+    return keys >> np.uint64(64 - 8 * q)
+
+
+def _pairs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) for each place in low..high of each row."""
+    n = high - low
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def shared_seeds(text: np.ndarray, copy: np.ndarray, q: int) -> int:
+    """The most seeds that both share in two neighbouring bands."""
+    mine, theirs = (_upper(seed_keys(t)[: max(len(t) - q + 1, 0)], q) for t in (text, copy))
+    order = np.argsort(mine, kind="stable")
+    row, at = _pairs(*(np.searchsorted(mine[order], theirs, side) for side in ("left", "right")))
+    bands = np.bincount((row - order[at] + len(text)) // _BAND, minlength=2)
+    return int((bands[:-1] + bands[1:]).max())
+
+
+def seed_plan(texts: list[np.ndarray], rate: float = MOST_EDITS, recall: float = RECALL) -> tuple[int, float]:
+    """Length of the seeds of a class, and the least share of an item's length that their number must be."""
+    rng = np.random.default_rng(_SEED + 3)
+    tried = texts if len(texts) <= 200 else [texts[i] for i in rng.permutation(len(texts))[:200]]
+    copies = [(t, _edited(t, rate, rng)) for t in tried for _ in range(-(-400 // len(tried)))]
+    for q in SEEDS:
+        found = np.array([shared_seeds(t, c, q) for t, c in copies])
+        share = np.sort(found / [len(t) for t, _ in copies])[int((1 - recall) / 2 * len(copies))]  # half of the losses allowed
+        if share * min(len(t) for t in texts) >= (SURE if q > SEEDS[-1] else 1):
+            return q, float(share)
+    raise ValueError(f"no seed length reaches recall {recall} at {rate} edits per byte")
+
+
+def _seed_table(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple:
+    keys, items, places = (np.concatenate(x) for x in zip(*entries))
+    order = np.argsort(keys, kind="stable")
+    bits = max(16, math.ceil(math.log2(len(keys) * 32)))
+    table = np.zeros(1 << bits, bool)
+    table[((keys * _MIX) >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return keys[order], items[order], places[order], table
+
+
+def add_seeds(index: Index, texts: list[np.ndarray], recall: float) -> None:
+    entries: dict[int, list] = {}
+    index.least = np.ones(len(texts), np.int64)
+    for size in index.sizes:
+        own = [k for k, t in enumerate(texts) if len(t) >= LEAST and size_class(len(t)) == size]
+        q, share = seed_plan([texts[k] for k in own], recall=recall)
+        for k in own:
+            keys = _upper(seed_keys(texts[k])[: len(texts[k]) - q + 1], q)
+            entries.setdefault(q, []).append((keys, np.full(len(keys), k), np.arange(len(keys))))
+            index.least[k] = max(1, int(share * len(texts[k])))
+    for k, text in enumerate(texts):
+        if len(text) < LEAST:
+            letters = text.tobytes().decode("utf-8", "replace")
+            before, after = (b"" if _UNSPACED.match(c) else b" " for c in (letters[0], letters[-1]))
+            wanted = before + text.tobytes() + after
+            index.short[k] = wanted, len(before)
+            q = min(8, len(wanted))
+            key = _upper(seed_keys(np.frombuffer(wanted, np.uint8))[:1], q)
+            entries.setdefault(q, []).append((key, np.array([k]), np.zeros(1, np.int64)))
+    index.seeds = {q: _seed_table(found) for q, found in entries.items()}
+
+
+def seeded(index: Index, joined: np.ndarray, bounds: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(text, item, least diagonal) of candidates, and (text, item, place) of short items that are there."""
+    short = np.zeros(len(index.texts), bool)
+    short[list(index.short)] = True
+    longest = max(map(len, index.texts))
+    width = int(np.diff(bounds).max(initial=0) + longest) // _BAND + 2
+    parts, exact = [], []
+    for start in range(0, int(bounds[-1]), _CHUNK):
+        stop = min(start + _CHUNK, int(bounds[-1]))
+        keys8 = seed_keys(joined[start : stop + 7])[: stop - start]
+        for q, (keys, items, places, table) in index.seeds.items():
+            own = _upper(keys8, q)
+            likely = np.flatnonzero(table[((own * _MIX) >> np.uint64(65 - table.size.bit_length())).view(np.int64)])
+            row, entry = _pairs(*(np.searchsorted(keys, own[likely], side) for side in ("left", "right")))
+            at, item = likely[row] + start, items[entry]
+            doc = np.searchsorted(bounds, at, "right") - 1
+            named = short[item]
+            for d, k, a in zip(doc[named].tolist(), item[named].tolist(), at[named].tolist()):
+                wanted, lead = index.short[k]
+                if joined[a : a + len(wanted)].tobytes() == wanted:
+                    exact.append((d, k, a - int(bounds[d]) + lead))
+            band = (at - bounds[doc] - places[entry] + longest) // _BAND
+            parts.append(np.unique(((doc * len(short) + item) * width + band)[~named], return_counts=True))
+    if not parts:
+        return [], exact
+    cells, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(cells)).astype(np.int64)
+    # a pair of bands is named by its lower one, which may hold no seed
+    pairs = np.sort(np.concatenate([cells, cells - 1]))
+    pairs = pairs[np.diff(pairs, prepend=pairs[:1] - 1) > 0]
+    count = np.zeros(len(pairs), np.int64)
+    count[np.searchsorted(pairs, cells)] += counts
+    count[np.searchsorted(pairs, cells - 1)] += counts
+    owner = (pairs + 1) // width  # the last band of an owner is never used, so it stands before the first of the next
+    enough = count >= index.least[owner % len(short)]
+    low = (pairs - owner * width)[enough] * _BAND - longest
+    return list(zip((owner[enough] // len(short)).tolist(), (owner[enough] % len(short)).tolist(), low.tolist())), exact
+
+
 def build(items: list[tuple[object, str]], recall: float = RECALL) -> Index | None:
     ids, texts = [], []
     for item, text in items:
         norm = normalise((text or "").encode("utf-8", "replace"))[0][1:-1]
-        if len(norm) >= LEAST:
+        if len(norm):
             ids.append(item)
             texts.append(norm)
     if not texts:
         return None
-    reps = max(8, repetitions(texts, recall=recall))
-    out = Index(ids, [t.tobytes() for t in texts], tuple(sorted({size_class(len(t)) for t in texts})), sampled_steps(reps), reps=reps)
+    walked = [t for t in texts if len(t) >= LEAST]
+    reps = max(8, repetitions(walked, recall=recall)) if walked else 8
+    out = Index(ids, [t.tobytes() for t in texts], tuple(sorted({size_class(len(t)) for t in walked})), sampled_steps(reps), reps=reps)
+    add_seeds(out, texts, recall)
     random = moves(2 * max(CLASSES))
     for size in out.sizes:
         windows, samples = [], []
         for k, text in enumerate(texts):
-            if size_class(len(text)) == size:
+            if len(text) >= LEAST and size_class(len(text)) == size:
                 padded = np.concatenate([[32], text, [32], np.zeros(2 * size + 2)]).astype(np.uint8)
                 starts = words_of(padded[: len(text) + 1])
                 starts = starts[starts - 1 + size <= len(text)]
@@ -244,9 +369,74 @@ def may_match(item: bytes, text: bytes, most: int) -> bool:
     return True
 
 
+def least_distances(items: list[bytes], regions: list[bytes]) -> np.ndarray:
+    """Least distance of each item to any place of its region; the items take equally many 64-bit words.
+
+    Myers' bit vectors as in ``best_place``, for all pairs at once; zeros behind a region match nothing.
+    """
+    words = -(-len(items[0]) // 64)
+    number = {item: k for k, item in enumerate(dict.fromkeys(items))}
+    masks = np.zeros((words, len(number), 256), np.uint64)
+    for item, k in number.items():
+        place = np.arange(len(item))
+        np.bitwise_or.at(masks, (place // 64, k, np.frombuffer(item, np.uint8)), np.uint64(1) << (place % 64).astype(np.uint64))
+    masks = masks.reshape(words, -1)
+    row = np.array([number[i] for i in items]) * 256
+    text = np.zeros((max(map(len, regions)), len(items)), np.intp)
+    for k, region in enumerate(regions):
+        text[: len(region), k] = np.frombuffer(region, np.uint8)
+    one, last = np.uint64(1), np.uint64(63)
+    top = np.array([(len(i) - 1) % 64 for i in items], np.uint64)
+    score = np.array([len(i) for i in items])
+    best = score.copy()
+    up, down = [np.full(len(items), ~np.uint64(0)) for _ in range(words)], [np.zeros(len(items), np.uint64) for _ in range(words)]
+    for byte in text:
+        at = row + byte
+        carry = plus_in = minus_in = np.uint64(0)
+        for w in range(words):
+            eq, u, d = masks[w].take(at), up[w], down[w]
+            total = (eq & u) + u
+            over = total < u
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            zero = (total ^ u) | eq
+            plus, minus = d | ~(zero | u), u & zero
+            if w == words - 1:
+                score += ((plus >> top) & one).view(np.int64)
+                score -= ((minus >> top) & one).view(np.int64)
+            x = eq | d
+            plus, plus_in = (plus << one) | plus_in, plus >> last
+            minus, minus_in = (minus << one) | minus_in, minus >> last
+            up[w], down[w] = minus | ~(x | plus), plus & x
+        np.minimum(best, score, out=best)
+    return best
+
+
+def hopeful(pairs: list[tuple[bytes, bytes, int]]) -> np.ndarray:
+    """Whether each (item, region, most edits) is within its edits; large groups are judged at once."""
+    out = np.ones(len(pairs), bool)
+    groups: dict[int, list[int]] = {}
+    for k, (item, region, _) in enumerate(pairs):
+        groups.setdefault(-(-len(item) // 64), []).append(k)
+    for words, group in groups.items():
+        group.sort(key=lambda k: len(pairs[k][1]))
+        # regions of one batch are at most twice as long as its shortest
+        cuts = [0]
+        for i, k in enumerate(group):
+            if i - cuts[-1] >= 4096 or len(pairs[k][1]) > 2 * len(pairs[group[cuts[-1]]][1]) + 64:
+                cuts.append(i)
+        for i, j in zip(cuts, [*cuts[1:], len(group)]):
+            own = group[i:j]
+            if len(own) < 32 or words > 16:
+                out[own] = [may_match(*pairs[k]) for k in own]
+            else:
+                out[own] = least_distances([pairs[k][0] for k in own], [pairs[k][1] for k in own]) <= [pairs[k][2] for k in own]
+    return out
+
+
 def search(index: Index, texts: list[bytes], most_edits: float = MOST_EDITS) -> list[list[tuple]]:
     """Hits of each text: (item id, start, end, distance, similarity); places are bytes of the text."""
-    pad = np.zeros(2 * max(index.sizes) + 2, np.uint8)
+    pad = np.zeros(2 * max(CLASSES) + 2, np.uint8)
     pieces, offsets, size = [], [], 0
     for t in texts:
         norm, at = normalise(t)
@@ -254,9 +444,11 @@ def search(index: Index, texts: list[bytes], most_edits: float = MOST_EDITS) ->
         offsets.append(size)
         size += len(norm)
     joined = np.concatenate([p[0] for p in pieces] + [pad])
-    starts = words_of(joined[:size])[::STRIDE]
-    random = moves(2 * max(index.sizes))
     bounds = np.array([*offsets, size])
+    words = words_of(joined[:size])
+    nth = np.arange(len(words)) - np.searchsorted(words, bounds)[np.searchsorted(bounds, words, "right") - 1]
+    starts = words[nth % STRIDE == 0]
+    random = moves(2 * max(CLASSES))
     asked: set[tuple[int, int, int]] = set()
     for cls, keys in walk_keys(joined, starts, index.sizes, index.plan, random).items():
         shift = np.uint64(65 - index.bits[cls].size.bit_length())
@@ -271,18 +463,33 @@ def search(index: Index, texts: list[bytes], most_edits: float = MOST_EDITS) ->
                 own = own[same.sum(axis=1) >= SAMPLE + AGREE * SAMPLE * (index.reps - 1)]
                 for item, place in index.windows[cls][own].tolist():
                     doc = int(np.searchsorted(bounds, starts[w], "right")) - 1
-                    asked.add((doc, item, (int(starts[w]) - offsets[doc] - place) // 64))
+                    asked.add((doc, item, (int(starts[w]) - offsets[doc] - place) // 64 * 64))
+    found_seeds, exact = seeded(index, joined, bounds)
     hits: list[dict] = [{} for _ in texts]
-    for doc, item, near in sorted(asked):
-        norm, at = pieces[doc]
-        text = index.texts[item]
-        most = int(most_edits * len(text))
-        lo = max(0, near * 64 - most - 2)
-        region = norm[lo : near * 64 + 64 + len(text) + most + 2].tobytes()
-        found = best_place(text, region, most) if may_match(text, region, most) else None
-        if found and (item not in hits[doc] or found[0] < hits[doc][item][3]):
-            distance, s, e = found
-            hits[doc][item] = (index.ids[item], int(at[lo + s]), int(at[min(lo + e, len(at) - 1)]), distance, 1 - distance / len(text))
+    for doc, item, place in sorted(exact, reverse=True):
+        at = pieces[doc][1]
+        hits[doc][item] = (index.ids[item], int(at[place]), int(at[min(place + len(index.texts[item]), len(at) - 1)]), 0, 1.0)
+    spans: list[list[int]] = []  # overlapping regions of a text and an item are verified as one
+    for doc, item, low in sorted(asked.union(found_seeds)):
+        if spans and spans[-1][:2] == [doc, item] and low <= spans[-1][3]:
+            spans[-1][3] = low + 64
+        else:
+            spans.append([doc, item, low, low + 64])
+    for first in range(0, len(spans), 1 << 15):
+        part = spans[first : first + (1 << 15)]
+        wanted = []
+        for doc, item, low, high in part:
+            text = index.texts[item]
+            most = int(most_edits * len(text))
+            wanted.append((text, pieces[doc][0][max(0, low - most - 2) : max(0, high + len(text) + most + 2)].tobytes(), most))
+        for k in np.flatnonzero(hopeful(wanted)).tolist():
+            doc, item, low, _ = part[k]
+            text, region, most = wanted[k]
+            lo, (norm, at) = max(0, low - most - 2), pieces[doc]
+            found = best_place(text, region, most)
+            if found and (item not in hits[doc] or found[0] < hits[doc][item][3]):
+                distance, s, e = found
+                hits[doc][item] = (index.ids[item], int(at[lo + s]), int(at[min(lo + e, len(at) - 1)]), distance, 1 - distance / len(text))
     return [[h for _, h in sorted(d.items())] for d in hits]
 
 

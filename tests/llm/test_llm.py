@@ -244,6 +244,31 @@ def test_recall_of_edited_passages(spark):
     assert met >= 0.95 * len(items)
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.15, 0.2])
+def test_recall_up_to_the_bound(spark, rate):
+    items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
+    index = decontaminate.build(items)
+    rng = np.random.default_rng(6)
+    around = [decontaminate.normalise(t.encode())[0].tobytes()[:2000] for t in pdf_of(spark)["text"][:40]]
+    docs_, want = [], []
+    for k, (item, text) in enumerate(items * 3):
+        plain = decontaminate.normalise(text.encode())[0][1:-1]
+        doc = around[k % 40] + decontaminate._edited(plain, rate, rng).tobytes() + around[(k + 1) % 40]
+        if decontaminate.best_place(plain.tobytes(), doc, int(decontaminate.MOST_EDITS * len(plain))):
+            docs_.append(doc)
+            want.append(item)
+    met = [item in [h[0] for h in hits] for item, hits in zip(want, decontaminate.search(index, docs_))]
+    assert len(met) >= 40 and np.mean(met) >= decontaminate.RECALL
+
+
+def test_least_distances_are_exact():
+    rng = np.random.default_rng(0)
+    for low, high in ((50, 64), (65, 128), (129, 192)):
+        own = [bytes(rng.integers(97, 100, rng.integers(low, high + 1)).astype(np.uint8)) for _ in range(40)]
+        regions = [decontaminate._edited(np.frombuffer(i, np.uint8), 0.2, rng).tobytes() + b"abc" * int(rng.integers(9)) for i in own]
+        assert decontaminate.least_distances(own, regions).tolist() == [decontaminate.best_place(i, r, len(i))[0] for i, r in zip(own, regions)]
+
+
 @given(st.binary(min_size=1, max_size=12), st.binary(max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_best_place_is_exact(item, text):
