@@ -261,6 +261,15 @@ def test_recall_up_to_the_bound(spark, rate):
     assert len(met) >= 40 and np.mean(met) >= decontaminate.RECALL
 
 
+def test_exact_copies_of_every_item():
+    texts = ["столица Российской Федерации", "What is the capital city of France?", "中国的首都是北京市而不是上海市也不是广州市吗请回答", "东京都", "internationalization standardization committees documentation"]
+    index = decontaminate.build(list(enumerate(texts)))
+    for phase in range(4):
+        doc = "a " * phase + f"x {texts[0]} и {texts[1].upper()} 我们知道{texts[2]}了{texts[3]}的 {texts[4]} z"
+        assert [(h[0], h[3]) for h in decontaminate.search(index, [b"y", doc.encode()])[1]] == [(k, 0) for k in range(5)]
+    assert decontaminate.search(decontaminate.build([(1, "the cat")]), [b"bathe cat", b"the cats", b"The, cat!"])[2][0][:3] == (1, 0, 8)
+
+
 def test_least_distances_are_exact():
     rng = np.random.default_rng(0)
     for low, high in ((50, 64), (65, 128), (129, 192)):
