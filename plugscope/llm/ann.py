@@ -6,10 +6,11 @@ sqrt(M^2 - |x|^2) with M the largest norm, which a query has as 0. A query walks
 through one priority queue of branches, ordered by the least margin on their path, until the leaves
 met hold ``share`` of all entries; candidates are then scored exactly in double precision.
 
-Equal vectors are indexed once, with their ``k + 1`` smallest ids: ties go to smaller ids, so no
-other id of them can be among the k nearest. Queries with equal vectors are searched once. A leaf is
-dealt out in blocks of its members, and each task gives the k + 1 best of a block for each query, so
-neither pairs nor leaves are gathered whole.
+Equal vectors are indexed once, with their ``k + 1`` smallest distinct ids, each at most k times: ties
+go to smaller ids, so no other row of them can be among the k nearest of any query. Queries with equal
+vectors are searched once. A leaf is dealt out in blocks of its members, and each task gives the best of
+a block for each query, up to k + 1 distinct ids with at most k rows each, so neither pairs nor leaves
+are gathered whole.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, as
 queries or candidates; so do vectors whose length is not the most common one. With fewer than k
@@ -20,6 +21,7 @@ its candidates. Null ids are candidates that come last in ties, never queries. A
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,11 +140,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHAR
     if dims is None:
         return spark.createDataFrame([], out_schema)
     rows = rows.where(F.size("v") == dims["d"])
-    # distinct vectors with their least k + 1 ids; ids are cut in two steps, so that a common vector gathers few
-    least = lambda c: F.slice(F.array_sort(c, lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0)), 1, k + 1)
-    numbered = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(256)))
-    held = numbered.groupBy("v", "salt").agg(least(F.collect_list("id")).alias("ids"), F.max(F.when(is_query, True).otherwise(False)).alias("asks"))
+    # distinct vectors with their least k + 1 ids, each at most k times; ids are cut in two steps, so that a common vector gathers few
+    least = lambda c: F.slice(F.array_sort(c), 1, k + 1)
+    counted = rows.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"), F.max(F.when(is_query, True).otherwise(False)).alias("asks"))
+    numbered = counted.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(256))).withColumn("one", F.struct(F.col("id").isNull().alias("none"), "id", "n"))
+    held = numbered.groupBy("v", "salt").agg(least(F.collect_list("one")).alias("ids"), F.max("asks").alias("asks"))
     held = held.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"), F.max("asks").alias("asks"))
+    held = held.withColumn("ids", F.flatten(F.transform("ids", lambda x: F.array_repeat(x["id"], x["n"]))))
     distinct = materialize(held.withColumn("vid", F.monotonically_increasing_id()), "ann-vectors")
     total, bound = distinct.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     part = min(1.0, 1.2 * sample / total)
@@ -185,16 +189,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHAR
             first = np.array([min((i for i in o if i is not None), default=np.iinfo(np.int64).max) for o in ids])
             for qid, q in zip(asking["qid"], asking["q"]):
                 s = (x * np.asarray(q)).sum(axis=1)  # the same order of terms for each pair
-                for i in np.lexsort((first, -s))[: k + 1]:
-                    out.append((qid, vids[i], float(s[i]), ids[i]))
+                seen, firsts = Counter(), set()
+                for i in np.lexsort((first, -s)):
+                    if len(firsts) > k:  # without the query's own id, k rows come before all others
+                        break
+                    firsts.add(first[i])
+                    if any(seen[x] < k for x in ids[i]):
+                        out.append((qid, vids[i], float(s[i]), ids[i]))
+                        seen.update(ids[i])
         return pd.DataFrame(out, columns=["qid", "vid", "score", "ids"])
 
     best = asked.groupBy("leaf", "block").cogroup(members.groupBy("leaf", "block")).applyInPandas(score, "qid long, vid long, score double, ids array<long>")
     best = best.groupBy("qid", "vid").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
-    order = F.struct(-F.col("score"), F.coalesce(F.array_min("ids"), F.lit(2**63 - 1)).alias("first"), "ids")
-    merged = best.groupBy("qid", (F.col("vid") % 8).alias("part")).agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("near"))
+    # at most k rows of an id, then k + 1 ids by their best rows: whichever id is the query's, k rows of others are left
+    by_id = best.select("qid", (-F.col("score")).alias("minus"), F.explode("ids").alias("id")).groupBy("qid", "id").agg(F.slice(F.array_sort(F.collect_list("minus")), 1, k).alias("all"))
+    order = F.struct(F.col("all")[0].alias("minus"), F.coalesce("id", F.lit(2**63 - 1)).alias("key"), "id", "all")
+    merged = by_id.groupBy("qid", F.pmod(F.xxhash64("id"), F.lit(8)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("near"))
     merged = merged.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
-    flat = merged.select("qid", F.slice(F.array_sort(F.flatten(F.transform("near", lambda n: F.transform(n["ids"], lambda i: F.struct(n["col1"].alias("minus"), F.coalesce(i, F.lit(2**63 - 1)).alias("key"), i.alias("id")))))), 1, k + 1).alias("near"))
+    flat = merged.select("qid", F.array_sort(F.flatten(F.transform("near", lambda n: F.transform(n["all"], lambda m: F.struct(m.alias("minus"), n["key"].alias("key"), n["id"].alias("id")))))).alias("near"))
     queries = materialize(rows.where(is_query).where("id is not null").select("id", "v"), "ann-queries")
     named = queries.join(distinct.where("asks").select("v", F.col("vid").alias("qid")), "v").select("id", "qid")
     own = named.join(flat, "qid").select("id", F.slice(F.filter("near", lambda n: ~n["id"].eqNullSafe(F.col("id"))), 1, k).alias("near"))

@@ -434,6 +434,23 @@ def test_nearest_edges(spark):
     assert sorted(few["vec_id"]) == [61, 62]
 
 
+def test_nearest_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    made = lambda: [float(v) for v in rng.standard_normal(8)]
+    base = made()
+    rows = [(20, base)] * 30 + [(40, [3 * x + 0.01 * y for x, y in zip(base, made())]) for _ in range(30)] + [(i, made()) for i in range(101, 161) if i % 20] + [(103, made())] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    s = (x * np.array(base)).sum(axis=1)
+    want = [int(ids[i]) for i in np.lexsort((ids, -s)) if ids[i] != 20][:20]
+    got = ann.search(df, F.col("id") == 20).toPandas()
+    assert len(got) == 30 * 20
+    for rank, own in got.groupby("rank"):
+        assert set(own["vec_id"]) == {want[rank - 1]}
+    got = ann.search(df, F.col("id") == 40).toPandas()
+    assert len(got) == 30 * 20 and (got["vec_id"] != 40).all()
+
+
 # 9
 
 @given(st.text(alphabet="ab 'sé.\n\t12  ", max_size=300), st.lists(st.tuples(st.integers(-5, 320), st.integers(-5, 320), st.text(alphabet="xy \n.é", max_size=12)), max_size=6))
