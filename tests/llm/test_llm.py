@@ -418,6 +418,16 @@ def test_nearest(spark):
     assert met / total >= 0.9
 
 
+def test_nearest_by_share_alone(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_ROWS", 0)
+    sf = "/root/testdata/sf0.1"
+    e = table(spark, sf, "embeddings").toPandas()
+    ids, x = e["vec_id"].to_numpy(), np.array(e["embedding"].tolist(), np.float64)
+    want = brute(ids, x, np.flatnonzero(ids % 20 == 0))
+    got = queries.op8_nearest(spark, sf).toPandas().groupby("query_id")["vec_id"].agg(set)
+    assert sum(len(got[q] & {i for i, _ in near}) for q, near in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_nearest_edges(spark):
     rng = np.random.default_rng(0)
     base = [float(v) for v in rng.standard_normal(8)]
