@@ -55,7 +55,10 @@ def _nation(spark: SparkSession, sf_dir: str, *code) -> Facts:
     return _corpus(df, F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("n"), "n_nationkey", F.lit(".php")), *code)
 
 
-KEY = F.col("s_suppkey")
+def _key() -> Column:
+    return F.col("s_suppkey")
+
+
 SHORT = ["plugin_slug", "route", "method", "auth_level"]
 
 
@@ -65,8 +68,8 @@ FROM supplier UNION ALL SELECT 'n' || s_nationkey, '{ADMIN_AJAX}pub' || s_suppke
 )
 def ajax_literal(spark, sf_dir):
     """AJAX literals, their public twins, and the correlation of both."""
-    hook = F.when(KEY % 2 == 0, "wp_ajax_nopriv_act").otherwise("wp_ajax_act")
-    facts = _supplier(spark, sf_dir, "add_action('wp_ajax_act", KEY, "', 'f');\nadd_action('", hook, KEY, "', 'g');\nadd_action('wp_ajax_nopriv_pub", KEY, "', 'f');")
+    hook = F.when(_key() % 2 == 0, "wp_ajax_nopriv_act").otherwise("wp_ajax_act")
+    facts = _supplier(spark, sf_dir, "add_action('wp_ajax_act", _key(), "', 'f');\nadd_action('", hook, _key(), "', 'g');\nadd_action('wp_ajax_nopriv_pub", _key(), "', 'f');")
     return detect.ajax(facts).groupBy("plugin_slug", "route", "method", "auth_level").agg(F.count("*").alias("n"))
 
 
@@ -75,8 +78,8 @@ def ajax_literal(spark, sf_dir):
 )
 def rest_literal_methods(spark, sf_dir):
     """Literal REST routes and the expansion of their methods."""
-    methods = F.when(KEY % 2 == 0, "'get, post'").otherwise("WP_REST_Server::EDITABLE")
-    facts = _supplier(spark, sf_dir, "register_rest_route('ns", F.col("s_nationkey"), "/v1', '/s/", KEY, "', array('methods' => ", methods, ", 'callback' => 'cb", KEY, "', 'permission_callback' => '__return_true'));")
+    methods = F.when(_key() % 2 == 0, "'get, post'").otherwise("WP_REST_Server::EDITABLE")
+    facts = _supplier(spark, sf_dir, "register_rest_route('ns", F.col("s_nationkey"), "/v1', '/s/", _key(), "', array('methods' => ", methods, ", 'callback' => 'cb", _key(), "', 'permission_callback' => '__return_true'));")
     return detect.rest(facts).select(*SHORT, "callback")
 
 
@@ -85,16 +88,16 @@ def rest_literal_methods(spark, sf_dir):
 )
 def rest_permission_levels(spark, sf_dir):
     """Levels of missing, public, inline, named and chained permission callbacks."""
-    perm = F.when(KEY % 5 == 0, "").when(KEY % 5 == 1, ", 'permission_callback' => '__return_true'").when(KEY % 5 == 2, ", 'permission_callback' => function () { return current_user_can('edit_posts'); }").when(KEY % 5 == 3, ", 'permission_callback' => 'own_check'").otherwise(", 'permission_callback' => [$this, 'first']")
-    facts = _supplier(spark, sf_dir, "class A { function first() { return $this->second(); } function second() { return current_user_can('moderate_comments'); } function go() {\nregister_rest_route('a/v1', '/x", KEY, "', ['callback' => 'c'", perm, "]); } }\nfunction own_check() { return current_user_can('manage_options'); }")
+    perm = F.when(_key() % 5 == 0, "").when(_key() % 5 == 1, ", 'permission_callback' => '__return_true'").when(_key() % 5 == 2, ", 'permission_callback' => function () { return current_user_can('edit_posts'); }").when(_key() % 5 == 3, ", 'permission_callback' => 'own_check'").otherwise(", 'permission_callback' => [$this, 'first']")
+    facts = _supplier(spark, sf_dir, "class A { function first() { return $this->second(); } function second() { return current_user_can('moderate_comments'); } function go() {\nregister_rest_route('a/v1', '/x", _key(), "', ['callback' => 'c'", perm, "]); } }\nfunction own_check() { return current_user_can('manage_options'); }")
     return detect.rest(facts).select("route", "auth_level")
 
 
 @_query("""SELECT '/wp-json/b/v1/y' || s_suppkey AS route, unnest(['GET', 'DELETE']) AS method FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT '/wp-json/b/v1/y' || s_suppkey, 'DELETE' FROM supplier WHERE s_suppkey % 3 = 0""")
 def rest_multi_definitions(spark, sf_dir):
     """Routes with several definitions; blocked ones go."""
-    perm = F.when(KEY % 3 == 0, "'__return_false'").otherwise("'__return_true'")
-    facts = _supplier(spark, sf_dir, "register_rest_route('b/v1', 'y", KEY, "', [['methods' => 'GET', 'callback' => 'a', 'permission_callback' => ", perm, "], ['methods' => 'DELETE', 'callback' => 'b', 'permission_callback' => '__return_true']]);")
+    perm = F.when(_key() % 3 == 0, "'__return_false'").otherwise("'__return_true'")
+    facts = _supplier(spark, sf_dir, "register_rest_route('b/v1', 'y", _key(), "', [['methods' => 'GET', 'callback' => 'a', 'permission_callback' => ", perm, "], ['methods' => 'DELETE', 'callback' => 'b', 'permission_callback' => '__return_true']]);")
     return detect.rest(facts).select("route", "method")
 
 
@@ -163,8 +166,8 @@ def widgets(spark, sf_dir):
 @_query("""SELECT 'block:acme/b' || s_suppkey || ':render' AS route, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS auth_level FROM supplier UNION ALL SELECT 'block:acme/b' || s_suppkey || ':editor', 2 FROM supplier""")
 def blocks(spark, sf_dir):
     """Blocks: render rows by their callback's body, editor rows for contributors."""
-    body = F.when(KEY % 2 == 0, "if (!is_user_logged_in()) return;").otherwise("")
-    facts = _supplier(spark, sf_dir, "register_block_type('acme/b", KEY, "', array('render_callback' => 'draw'));\nfunction draw() { ", body, " }")
+    body = F.when(_key() % 2 == 0, "if (!is_user_logged_in()) return;").otherwise("")
+    facts = _supplier(spark, sf_dir, "register_block_type('acme/b", _key(), "', array('render_callback' => 'draw'));\nfunction draw() { ", body, " }")
     return detect.blocks(facts).select("route", "auth_level")
 
 
@@ -209,9 +212,9 @@ def foreach_expand(spark, sf_dir):
 )
 def ajax_hook_kinds(spark, sf_dir):
     """Hook prefixes other than wp_ajax_, with their own levels."""
-    hook = F.when(KEY % 4 == 0, "admin_post_p").when(KEY % 4 == 1, "admin_post_nopriv_q").when(KEY % 4 == 2, "admin_action_r").otherwise("wc_ajax_t")
-    body = F.when(KEY % 4 == 2, "if (!is_user_logged_in()) die;").otherwise("")
-    facts = _supplier(spark, sf_dir, "add_action('", hook, KEY, "', 'f'); function f() { ", body, " }")
+    hook = F.when(_key() % 4 == 0, "admin_post_p").when(_key() % 4 == 1, "admin_post_nopriv_q").when(_key() % 4 == 2, "admin_action_r").otherwise("wc_ajax_t")
+    body = F.when(_key() % 4 == 2, "if (!is_user_logged_in()) die;").otherwise("")
+    facts = _supplier(spark, sf_dir, "add_action('", hook, _key(), "', 'f'); function f() { ", body, " }")
     return detect.ajax(facts).select("route", "auth_level")
 
 
@@ -253,7 +256,7 @@ def hook_input_far(spark, sf_dir):
 @_query("""SELECT 's' || s_suppkey || '.php' AS route FROM supplier WHERE s_suppkey % 3 = 0""")
 def direct_files(spark, sf_dir):
     """Files that read the request at once, without a guard."""
-    code = F.when(KEY % 3 == 0, "echo $_GET['x'];").when(KEY % 3 == 1, "if (!defined('ABSPATH')) exit; echo $_GET['x'];").otherwise("echo 1;")
+    code = F.when(_key() % 3 == 0, "echo $_GET['x'];").when(_key() % 3 == 1, "if (!defined('ABSPATH')) exit; echo $_GET['x'];").otherwise("echo 1;")
     return detect.direct_files(_supplier(spark, sf_dir, code)).select("route")
 
 
@@ -288,7 +291,7 @@ def xmlrpc_methods(spark, sf_dir):
 @_query("""SELECT 's' || s_suppkey || '.php' AS file, CAST(2 AS INTEGER) AS line, CASE WHEN s_suppkey % 3 = 0 THEN 'dynamic_args' ELSE 'complex_expression' END AS reason FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0""")
 def coverage_gaps(spark, sf_dir):
     """Registrations without an endpoint within three lines, with the reason."""
-    code = F.when(KEY % 3 == 0, "register_rest_route($a, $b, $c);").otherwise("register_rest_route(make(), 'x', []);")
+    code = F.when(_key() % 3 == 0, "register_rest_route($a, $b, $c);").otherwise("register_rest_route(make(), 'x', []);")
     facts = _supplier(spark, sf_dir, code)
     found = detect.rest(facts).where(F.regexp_extract("file", r"(\d+)", 1).cast("int") % 2 == 1)
     return report.coverage_gaps(found, facts.calls).select("file", "line", "reason")
@@ -414,7 +417,7 @@ def mro(spark, sf_dir):
 @_query("""WITH RECURSIVE r(root, node) AS (SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 10 = 0 UNION SELECT r.root, s.s_suppkey FROM r JOIN supplier s ON s.s_suppkey = r.node + 1 AND s.s_suppkey % 7 <> 0) SELECT 's' || root || '.php' AS root, 's' || node || '.php' AS file FROM r""")
 def reachable_includes(spark, sf_dir):
     """Files that includes reach, transitively."""
-    code = F.when((KEY + 1) % 7 == 0, "").otherwise(F.concat(F.lit("require_once __DIR__ . '/s"), (KEY + 1).cast("string"), F.lit(".php';")))
+    code = F.when((_key() + 1) % 7 == 0, "").otherwise(F.concat(F.lit("require_once __DIR__ . '/s"), (_key() + 1).cast("string"), F.lit(".php';")))
     s = _table(spark, sf_dir, "supplier")
     facts = _corpus(s, F.lit("p"), F.concat(F.lit("s"), "s_suppkey", F.lit(".php")), code)
     roots = s.where("s_suppkey % 10 = 0").select(F.lit("p").alias("plugin_slug"), F.concat(F.lit("s"), "s_suppkey", F.lit(".php")).alias("root"))
@@ -424,7 +427,7 @@ def reachable_includes(spark, sf_dir):
 @_query("""SELECT 'n' || s_nationkey AS plugin_slug, 's' || s_suppkey || '.php' AS file FROM supplier""")
 def reachable_files(spark, sf_dir):
     """Files that requests reach: root files here are all of them."""
-    facts = _supplier(spark, sf_dir, "add_action('init', 'f", KEY, "'); function f", KEY, "() {}")
+    facts = _supplier(spark, sf_dir, "add_action('init', 'f", _key(), "'); function f", _key(), "() {}")
     return graph.reachable_files(facts, detect.ajax(facts)).select("plugin_slug", "file")
 
 
@@ -510,8 +513,8 @@ SELECT s_suppkey, CAST(CASE WHEN route = '/user/x' THEN greatest(lv, 1) WHEN rou
 )
 def route_heuristics(spark, sf_dir):
     """Route words that raise or lower a declared level."""
-    route = F.when(KEY % 5 == 0, "/user/x").when(KEY % 5 == 1, "/settings/y").when(KEY % 5 == 2, "/public/z").when(KEY % 5 == 3, "/delete/q").otherwise("/plain")
-    return _table(spark, sf_dir, "supplier").select("s_suppkey", R.route_level(route, F.lit("a/v1"), (KEY % 3).cast("int"), F.lit(False)).cast("int").alias("auth_level"))
+    route = F.when(_key() % 5 == 0, "/user/x").when(_key() % 5 == 1, "/settings/y").when(_key() % 5 == 2, "/public/z").when(_key() % 5 == 3, "/delete/q").otherwise("/plain")
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", R.route_level(route, F.lit("a/v1"), (_key() % 3).cast("int"), F.lit(False)).cast("int").alias("auth_level"))
 
 
 @_query(
@@ -552,8 +555,8 @@ def resolve_constants(spark, sf_dir):
 @_query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN true ELSE false END AS hit FROM supplier""")
 def path_match(spark, sf_dir):
     """Case-free equality or suffix of paths."""
-    a = F.concat(F.lit("Dir/Sub/S"), KEY, F.lit(".php"))
-    b = F.when(KEY % 2 == 0, F.concat(F.lit("sub\\s"), KEY, F.lit(".PHP"))).otherwise(F.concat(F.lit("ub/s"), KEY, F.lit(".php")))
+    a = F.concat(F.lit("Dir/Sub/S"), _key(), F.lit(".php"))
+    b = F.when(_key() % 2 == 0, F.concat(F.lit("sub\\s"), _key(), F.lit(".PHP"))).otherwise(F.concat(F.lit("ub/s"), _key(), F.lit(".php")))
     return _table(spark, sf_dir, "supplier").select("s_suppkey", report.path_match(a, b).alias("hit"))
 
 
@@ -576,8 +579,8 @@ def plugin_headers(spark, sf_dir):
 @_query("""SELECT 'p' || s_nationkey AS plugin_slug, s_suppkey AS k FROM supplier WHERE s_suppkey % 4 IN (0, 3)""")
 def corpus_prune(spark, sf_dir):
     """PHP files that a scan keeps: by suffix, by directory, by composer.json above."""
-    name = F.when(KEY % 4 == 0, "inc/a").when(KEY % 4 == 1, "vendor/a").when(KEY % 4 == 2, "lib/deep/a").otherwise("Vendor/a")
-    s = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), "s_nationkey").alias("plugin_slug"), F.concat(name, "s_suppkey", F.lit(".PHP")).alias("file"), F.lit(b"<?php").alias("content"), KEY.alias("k"))
+    name = F.when(_key() % 4 == 0, "inc/a").when(_key() % 4 == 1, "vendor/a").when(_key() % 4 == 2, "lib/deep/a").otherwise("Vendor/a")
+    s = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), "s_nationkey").alias("plugin_slug"), F.concat(name, "s_suppkey", F.lit(".PHP")).alias("file"), F.lit(b"<?php").alias("content"), _key().alias("k"))
     composer = s.select("plugin_slug").distinct().select("plugin_slug", F.lit("lib/composer.json").alias("file"), F.lit(b"{}").alias("content"), F.lit(None).cast("long").alias("k"))
     return corpus.php_files(s.unionByName(composer), Config()).select("plugin_slug", "k")
 
@@ -587,7 +590,7 @@ def full_analysis(spark, sf_dir):
     """The whole analysis over a generated corpus: parse, detect, resolve, dedup."""
     from .plans.analyze import analyze
 
-    code = F.concat(F.lit("<?php\n/*\n * Plugin Name: X\n */\nadd_action('wp_ajax_nopriv_a"), KEY, F.lit("', 'f'); function f() { return $_POST['x']; }\nregister_rest_route('x/v1', '/r"), KEY, F.lit("', ['callback' => 'f', 'permission_callback' => '__return_true']);\nadd_menu_page('T', 'T', 'manage_options', 'm"), KEY, F.lit("', 'f');"))
+    code = F.concat(F.lit("<?php\n/*\n * Plugin Name: X\n */\nadd_action('wp_ajax_nopriv_a"), _key(), F.lit("', 'f'); function f() { return $_POST['x']; }\nregister_rest_route('x/v1', '/r"), _key(), F.lit("', ['callback' => 'f', 'permission_callback' => '__return_true']);\nadd_menu_page('T', 'T', 'manage_options', 'm"), _key(), F.lit("', 'f');"))
     files = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("plugin_slug"), F.concat(F.lit("s"), "s_suppkey", F.lit(".php")).alias("file"), code.cast("binary").alias("content"))
     return analyze(files).endpoints.select("plugin_slug", "type", "route", "method", "auth_level", "callback", "file", "line")
 
