@@ -1,21 +1,25 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees.
 
-The forest is fitted on a bounded sample (``SAMPLE`` rows by a hash of their id) on the driver; every
+The forest is fitted on a bounded sample (``SAMPLE`` rows by a hash of their vector) on the driver; every
 row is indexed, in every tree. Inner products become angles-free distances by one more component,
 sqrt(M^2 - |x|^2) with M the largest norm, which a query has as 0. A query walks all trees at once
-through one priority queue of branches, ordered by the least margin on their path, until the leaves
-met hold ``share`` of all entries; candidates are then scored exactly in double precision.
+through one priority queue of branches, ordered by the sum of the margins that their path crosses, until
+the leaves met hold ``HELD`` of the sample's entries; leaves not met count as the last one met. A row's
+cost is the sum over the trees of its leaves' costs, and the rows of least cost, ``SHARE`` of all and
+``LEAST_CANDIDATES`` at least (a search budget of so many per query, for tables of any size), are scored
+exactly in double precision, each once.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest distinct ids, each at most k times: ties
 go to smaller ids, so no other row of them can be among the k nearest of any query. Queries with equal
-vectors are searched once. A leaf is dealt out in blocks of its members, and each task gives the best of
-a block for each query, up to k + 1 distinct ids with at most k rows each, so neither pairs nor leaves
-are gathered whole.
+vectors are searched once. Rows are dealt out in ``BLOCK``s by a hash and queries in ``CHUNK``s; a task has
+a block and a chunk, and gives the best of the block for each query, up to k + 1 distinct ids with at
+most k rows each. So no task holds more than a block and a chunk, and leaves are never gathered.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, as
-queries or candidates; so do vectors whose length is not the most common one. With fewer than k
+queries or candidates; components that a shorter vector lacks count as zero. With fewer than k
 candidates all are given. Repeated ids are rows of their own; only rows with the query's id are not
-its candidates. Null ids are candidates that come last in ties, never queries. An empty table gives no row.
+its candidates. Null ids are candidates that come last in ties, never queries. An empty table gives no
+row. Extra columns are ignored; there are no texts.
 """
 
 from __future__ import annotations
@@ -33,11 +37,13 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE = 20_000
-TREES = 10
-LEAF = 160  # sampled rows in a leaf, at most
-SHARE = 0.11
-LEAST_ROWS = 1000  # a query's leaves hold so many entries a tree at least
-BLOCK = 20_000  # members of a leaf in a task
+TREES = 32
+LEAF = 80  # sampled rows in a leaf, at most
+HELD = 0.4  # of the sample's entries, in the leaves that a query's walk meets
+SHARE = 0.1
+LEAST_CANDIDATES = 400
+BLOCK = 25_000  # rows in a task
+CHUNK = 1_000  # queries in a task
 K = 20
 
 
@@ -51,6 +57,7 @@ class Forest:
     roots: list[int]
     leaves: int
     bound: float
+    sizes: list[int]  # sampled rows of each leaf
 
     def augmented(self, x: np.ndarray) -> np.ndarray:
         rest = np.maximum(self.bound - (x * x).sum(axis=1), 0)
@@ -68,28 +75,30 @@ class Forest:
             out[:, t] = -1 - node
         return out
 
-    def search(self, query: np.ndarray, sizes: np.ndarray, wanted: float) -> list[int]:
-        """Leaves in the order of the shared queue, until they hold ``wanted`` entries."""
+    def costs(self, query: np.ndarray, wanted: float) -> np.ndarray:
+        """Cost of each leaf: the margins that its path crosses, or those of the last leaf that the queue gave."""
         margins = self.normal[:, : len(query)] @ query - self.cut
-        queue = [(-np.inf, n) for n in self.roots]
+        right = (margins > 0).astype(np.int64)
+        rows = np.arange(len(margins))
+        near, far = self.child[rows, right].tolist(), self.child[rows, 1 - right].tolist()
+        margins = np.abs(margins).tolist()
+        queue = [(0.0, n) for n in self.roots]
         heapq.heapify(queue)
-        out, held = [], 0
+        out, held, cost = np.full(self.leaves, -1.0, np.float32), 0, 0.0
         while queue and held < wanted:
-            worst, node = heapq.heappop(queue)
-            if node < 0:
-                out.append(-1 - node)
-                held += sizes[-1 - node]
-                continue
-            m = margins[node]
-            near, far = self.child[node, int(m > 0)], self.child[node, int(m <= 0)]
-            heapq.heappush(queue, (worst, int(near)))
-            heapq.heappush(queue, (max(worst, abs(m)), int(far)))
+            cost, node = heapq.heappop(queue)
+            while node >= 0:
+                heapq.heappush(queue, (cost + margins[node], far[node]))
+                node = near[node]
+            out[-1 - node] = cost
+            held += self.sizes[-1 - node]
+        out[out < 0] = cost
         return out
 
 
 def fit_forest(sample: np.ndarray, bound: float, trees: int = TREES, leaf: int = LEAF, seed: int = 11) -> Forest:
     rng = np.random.default_rng(seed)
-    forest = Forest(np.zeros((0, sample.shape[1] + 1)), np.zeros(0), np.zeros((0, 2), int), [], 0, bound)
+    forest = Forest(np.zeros((0, sample.shape[1] + 1)), np.zeros(0), np.zeros((0, 2), int), [], 0, bound, [])
     points = forest.augmented(sample)
     normals, cuts, children = [], [], []
     leaves = 0
@@ -113,6 +122,7 @@ def fit_forest(sample: np.ndarray, bound: float, trees: int = TREES, leaf: int =
                         children[at] = [grow(rows[~right]), grow(rows[right])]
                         return at
         leaves += 1
+        forest.sizes.append(len(rows))
         return -leaves
 
     forest.roots = [grow(np.arange(len(points))) for _ in range(trees)]
@@ -136,10 +146,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHAR
     spark = vectors.sparkSession
     out_schema = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dims = rows.agg(F.max(F.size("v")).alias("d")).first()["d"]
     if dims is None:
         return spark.createDataFrame([], out_schema)
-    rows = rows.where(F.size("v") == dims["d"])
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("v"))))
     # distinct vectors with their least k + 1 ids, each at most k times; ids are cut in two steps, so that a common vector gathers few
     least = lambda c: F.slice(F.array_sort(c), 1, k + 1)
     counted = rows.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"), F.max(F.when(is_query, True).otherwise(False)).alias("asks"))
@@ -148,59 +158,57 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHAR
     held = held.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"), F.max("asks").alias("asks"))
     held = held.withColumn("ids", F.flatten(F.transform("ids", lambda x: F.array_repeat(x["id"], x["n"]))))
     distinct = materialize(held.withColumn("vid", F.monotonically_increasing_id()), "ann-vectors")
-    total, bound = distinct.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    total, asking, bound = distinct.agg(F.count("*"), F.count_if("asks"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     part = min(1.0, 1.2 * sample / total)
     picked = distinct.where(F.xxhash64(F.lit("ann"), "v").bitwiseAND(F.lit(0xFFFFFF)) < part * 0x1000000).select("v").limit(sample)
-    points = _matrix(picked.toPandas()["v"]) if total else np.zeros((0, dims["d"]))
+    points = _matrix(picked.toPandas()["v"]) if total else np.zeros((0, dims))
     points = points[np.lexsort(points.T)] if len(points) else points
-    forest = fit_forest(points.reshape(-1, dims["d"]), float(bound))
+    forest = fit_forest(points.reshape(-1, dims), float(bound))
 
     def leaves_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"vid": pdf["vid"], "ids": pdf["ids"], "v": pdf["v"], "leaf": list(forest.assign(_matrix(pdf["v"])))})
-
-    indexed = materialize(distinct.select("vid", "ids", "v").mapInPandas(leaves_of, "vid long, ids array<long>, v array<double>, leaf array<int>"), "ann-index")
-    sizes = np.zeros(max(forest.leaves, 1), np.int64)
-    entries = indexed.select("vid", "ids", "v", F.explode("leaf").alias("leaf"))
-    for r in entries.groupBy("leaf").count().collect():  # as many rows as the forest has leaves
-        sizes[r["leaf"]] = r["count"]
-    blocks = np.maximum(1, -(-sizes // BLOCK))
-    wanted = len(forest.roots) * max(share * total, LEAST_ROWS)
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qid, v in zip(pdf["vid"], pdf["v"]):
-                v = np.asarray(v, np.float64)
-                found = forest.search(v, sizes, wanted)
-                leaf = np.repeat(found, blocks[found])
-                block = np.concatenate([np.arange(blocks[x]) for x in found]) if found else np.zeros(0, int)
-                yield pd.DataFrame({"qid": qid, "q": [v] * len(leaf), "leaf": leaf, "block": block})
-
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number that is given is not merged: queries are few rows but much work
-    asked = distinct.where("asks").select("vid", "v").repartition(tasks, F.col("vid")).mapInPandas(visits, "qid long, q array<double>, leaf int, block int")
-    cut = spark.createDataFrame([(int(x), int(n)) for x, n in enumerate(blocks) if n > 1], "leaf int, blocks int")
-    members = entries.join(F.broadcast(cut), "leaf", "left").withColumn("block", F.pmod("vid", F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+                leaf = forest.assign(_matrix(pdf["v"]))
+                yield pd.DataFrame({"vid": pdf["vid"], "ids": pdf["ids"], "v": pdf["v"], "asks": pdf["asks"], "leaf": [x.tobytes() for x in leaf]})
+
+    index = "vid long, ids array<long>, v array<double>, asks boolean, leaf binary"
+    indexed = materialize(distinct.select("vid", "ids", "v", "asks").mapInPandas(leaves_of, index), "ann-index")
+    blocks, chunks = -(-total // BLOCK), max(1, -(-asking // CHUNK))
+    mixed = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "v"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    members = indexed.select("vid", "ids", "v", "leaf", mixed("block", blocks).alias("block"), each(chunks).alias("chunk"))
+    asked = indexed.where("asks").select(F.col("vid").alias("qid"), F.col("v").alias("q"), mixed("chunk", chunks).alias("chunk"), each(blocks).alias("block"))
+    taken = min(1.0, max(share, LEAST_CANDIDATES / total))
+    wanted = HELD * sum(forest.sizes)
 
     def score(asking: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asking) and len(own):
             x, vids, ids = _matrix(own["v"]), own["vid"].to_numpy(), own["ids"].tolist()
             first = np.array([min((i for i in o if i is not None), default=np.iinfo(np.int64).max) for o in ids])
+            leaf = np.frombuffer(b"".join(own["leaf"]), np.int32).reshape(len(own), -1).T.copy()
+            last = min(len(x), int(np.ceil(taken * len(x)))) - 1
             for qid, q in zip(asking["qid"], asking["q"]):
-                s = (x * np.asarray(q)).sum(axis=1)  # the same order of terms for each pair
+                q = np.asarray(q)
+                of_leaf, cost = forest.costs(q, wanted), np.zeros(len(x), np.float32)
+                for tree in leaf:
+                    cost += of_leaf[tree]
+                near = np.flatnonzero(cost <= np.partition(cost, last)[last])
+                s = (x[near] * q).sum(axis=1)  # the same order of terms for each pair
                 seen, firsts = Counter(), set()
-                for i in np.lexsort((first, -s)):
+                for j in np.lexsort((first[near], -s)):
+                    i = near[j]
                     if len(firsts) > k:  # without the query's own id, k rows come before all others
                         break
                     firsts.add(first[i])
-                    if any(seen[x] < k for x in ids[i]):
-                        out.append((qid, vids[i], float(s[i]), ids[i]))
+                    if any(seen[n] < k for n in ids[i]):
+                        out.append((qid, vids[i], float(s[j]), ids[i]))
                         seen.update(ids[i])
         return pd.DataFrame(out, columns=["qid", "vid", "score", "ids"])
 
-    best = asked.groupBy("leaf", "block").cogroup(members.groupBy("leaf", "block")).applyInPandas(score, "qid long, vid long, score double, ids array<long>")
-    best = best.groupBy("qid", "vid").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
+    tasks = max(blocks * chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a number that is given is not merged: few rows, much work
+    dealt = lambda df: df.repartition(tasks, "block", "chunk").groupBy("block", "chunk")
+    best = dealt(asked).cogroup(dealt(members)).applyInPandas(score, "qid long, vid long, score double, ids array<long>")
     # at most k rows of an id, then k + 1 ids by their best rows: whichever id is the query's, k rows of others are left
     by_id = best.select("qid", (-F.col("score")).alias("minus"), F.explode("ids").alias("id")).groupBy("qid", "id").agg(F.slice(F.array_sort(F.collect_list("minus")), 1, k).alias("all"))
     order = F.struct(F.col("all")[0].alias("minus"), F.coalesce("id", F.lit(2**63 - 1)).alias("key"), "id", "all")
