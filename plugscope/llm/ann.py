@@ -44,6 +44,7 @@ SHARE = 0.1
 LEAST_CANDIDATES = 400
 BLOCK = 25_000  # rows in a task
 CHUNK = 1_000  # queries in a task
+TOGETHER = 32  # queries whose costs are added up at once
 K = 20
 
 
@@ -76,7 +77,7 @@ class Forest:
         return out
 
     def costs(self, query: np.ndarray, wanted: float) -> np.ndarray:
-        """Cost of each leaf: the margins that its path crosses, or those of the last leaf that the queue gave."""
+        """Cost of each leaf, 0 to 255: the margins that its path crosses, of those of the last leaf that the queue gave."""
         margins = self.normal[:, : len(query)] @ query - self.cut
         right = (margins > 0).astype(np.int64)
         rows = np.arange(len(margins))
@@ -93,7 +94,7 @@ class Forest:
             out[-1 - node] = cost
             held += self.sizes[-1 - node]
         out[out < 0] = cost
-        return out
+        return (out * (255 / cost if cost else 0)).astype(np.uint8)
 
 
 def fit_forest(sample: np.ndarray, bound: float, trees: int = TREES, leaf: int = LEAF, seed: int = 11) -> Forest:
@@ -176,37 +177,58 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHAR
     blocks, chunks = -(-total // BLOCK), max(1, -(-asking // CHUNK))
     mixed = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "v"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    members = indexed.select("vid", "ids", "v", "leaf", mixed("block", blocks).alias("block"), each(chunks).alias("chunk"))
-    asked = indexed.where("asks").select(F.col("vid").alias("qid"), F.col("v").alias("q"), mixed("chunk", chunks).alias("chunk"), each(blocks).alias("block"))
     taken = min(1.0, max(share, LEAST_CANDIDATES / total))
     wanted = HELD * sum(forest.sizes)
 
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), CHUNK):
+                own = pdf.iloc[i : i + CHUNK]
+                yield own.assign(costs=[forest.costs(np.asarray(q), wanted).tobytes() for q in own["q"]])
+
+    tasks = max(blocks * chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a number that is given is not merged: few rows, much work
+    members = indexed.select("vid", "ids", "v", "leaf", mixed("block", blocks).alias("block"), each(chunks).alias("chunk"))
+    asked = indexed.where("asks").select(F.col("vid").alias("qid"), F.col("v").alias("q"), mixed("chunk", chunks).alias("chunk")).repartition(tasks, "qid")
+    asked = asked.mapInPandas(walked, "qid long, q array<double>, chunk int, costs binary").withColumn("block", each(blocks))
+
+    def nearest(x: np.ndarray, q: np.ndarray, near: np.ndarray, first: np.ndarray, ids: list) -> list[tuple]:
+        """(score, row) of the best rows in ``near``: k + 1 distinct first ids, at most k rows of an id."""
+        s = (x[near] * q).sum(axis=1)  # the same order of terms for each pair
+        most = 4 * (k + 1)
+        while True:
+            best = np.flatnonzero(s >= -np.partition(-s, most)[most]) if len(s) > most else np.arange(len(s))
+            out, seen, firsts = [], Counter(), set()
+            for j in best[np.lexsort((first[near[best]], -s[best]))]:
+                i = near[j]
+                if len(firsts) > k:  # without the query's own id, k rows come before all others
+                    return out
+                firsts.add(first[i])
+                if any(seen[n] < k for n in ids[i]):
+                    out.append((float(s[j]), i))
+                    seen.update(ids[i])
+            if len(best) == len(s):
+                return out
+            most *= 8
+
     def score(asking: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asking) and len(own):
             x, vids, ids = _matrix(own["v"]), own["vid"].to_numpy(), own["ids"].tolist()
             first = np.array([min((i for i in o if i is not None), default=np.iinfo(np.int64).max) for o in ids])
-            leaf = np.frombuffer(b"".join(own["leaf"]), np.int32).reshape(len(own), -1).T.copy()
+            leaf = np.frombuffer(b"".join(own["leaf"]), np.int32).reshape(len(own), -1).T.astype(np.intp)
             last = min(len(x), int(np.ceil(taken * len(x)))) - 1
-            for qid, q in zip(asking["qid"], asking["q"]):
-                q = np.asarray(q)
-                of_leaf, cost = forest.costs(q, wanted), np.zeros(len(x), np.float32)
+            for i in range(0, len(asking), TOGETHER):
+                part = asking.iloc[i : i + TOGETHER]
+                of_leaf = np.stack([np.frombuffer(c, np.uint8) for c in part["costs"]], axis=1).copy()  # a row of bytes for each leaf
+                cost = np.zeros((len(x), len(part)), np.uint16)
                 for tree in leaf:
-                    cost += of_leaf[tree]
-                near = np.flatnonzero(cost <= np.partition(cost, last)[last])
-                s = (x[near] * q).sum(axis=1)  # the same order of terms for each pair
-                seen, firsts = Counter(), set()
-                for j in np.lexsort((first[near], -s)):
-                    i = near[j]
-                    if len(firsts) > k:  # without the query's own id, k rows come before all others
-                        break
-                    firsts.add(first[i])
-                    if any(seen[n] < k for n in ids[i]):
-                        out.append((qid, vids[i], float(s[j]), ids[i]))
-                        seen.update(ids[i])
+                    cost += of_leaf.take(tree, axis=0)
+                for qid, q, own_cost in zip(part["qid"], part["q"], np.ascontiguousarray(cost.T)):
+                    limit = np.searchsorted(np.cumsum(np.bincount(own_cost)), last + 1)  # the least cost that enough rows have
+                    near = np.flatnonzero(own_cost <= limit)
+                    out += [(qid, vids[r], s, ids[r]) for s, r in nearest(x, np.asarray(q), near, first, ids)]
         return pd.DataFrame(out, columns=["qid", "vid", "score", "ids"])
 
-    tasks = max(blocks * chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a number that is given is not merged: few rows, much work
     dealt = lambda df: df.repartition(tasks, "block", "chunk").groupBy("block", "chunk")
     best = dealt(asked).cogroup(dealt(members)).applyInPandas(score, "qid long, vid long, score double, ids array<long>")
     # at most k rows of an id, then k + 1 ids by their best rows: whichever id is the query's, k rows of others are left
