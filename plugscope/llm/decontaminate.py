@@ -14,10 +14,12 @@ candidate where enough seeds lie on near diagonals. Their length and number are
 each class, so that a passage with ``MOST_EDITS`` edits per byte is met with ``RECALL``; exact copies
 always are. Candidates are verified with the exact edit distance of the whole item to its best place in the text.
 
-Items are a bounded table (``MOST_BYTES``, checked; beyond that they are searched in blocks). Edge
-cases: null and empty texts have no hits; items below ``LEAST`` normalised bytes are searched exactly, on
-word borders (none are needed in scripts without spaces); empty ones are skipped; repeated items each give a hit; null item ids are kept. Extra columns pass through; one of the
-result's own name is replaced.
+Items are indexed in blocks of ``MOST_BYTES`` of text, one index at a time in a task. Edge cases: null
+and empty texts have no hits; very long texts are looked up in pieces, candidates on piece borders
+included; items below ``LEAST`` normalised bytes are searched exactly, on word borders (none are needed
+in scripts without spaces); empty ones are skipped; repeated items each give a hit; null item ids are
+kept. A text's hits depend on it alone. An empty table on either side gives no hits. Extra columns pass
+through; one of the result's own name is replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 CLASSES = (24, 48, 96)
 LEAST = 2 * CLASSES[0]
 STRIDE = 4
@@ -41,7 +45,7 @@ MOST_EDITS = 0.2
 AGREE = 0.5
 DESIGN_EDITS = 0.05
 RECALL = 0.98
-MOST_BYTES = 64_000_000
+MOST_BYTES = 4_000_000  # text of the items of a block; its index takes up to 80 times as much
 _SEED = 20240117
 _GROUP = 1 << 13
 SEEDS = (8, 7, 6, 5, 4)  # lengths, the first that is sure enough is taken
@@ -125,7 +129,7 @@ class Index:
     samples: dict[int, np.ndarray] = field(default_factory=dict)  # class -> all samples of each window (windows x repetitions)
     bits: dict[int, np.ndarray] = field(default_factory=dict)  # class -> table that most foreign keys fail
     reps: int = 0
-    seeds: dict[int, tuple] = field(default_factory=dict)  # seed length -> sorted keys, their items and places, table of bits
+    seeds: dict[int, tuple] = field(default_factory=dict)  # seed length -> distinct sorted keys, where the entries of each begin, their items and places, table of bits
     least: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # seeds that make an item a candidate
     short: dict[int, tuple[bytes, int]] = field(default_factory=dict)  # item -> bytes to find, and its place in them
 
@@ -194,6 +198,16 @@ def _pairs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
+def _slices(counts: np.ndarray, most: int = 1 << 16) -> Iterator[slice]:
+    """Slices of rows whose counts add up to about ``most`` at a time; rows without any are left out at the ends."""
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(ends) and ends[-1] > (ends[at - 1] if at else 0):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
 def shared_seeds(text: np.ndarray, copy: np.ndarray, q: int) -> int:
     """The most seeds that both share in two neighbouring bands."""
     mine, theirs = (_upper(seed_keys(t)[: max(len(t) - q + 1, 0)], q) for t in (text, copy))
@@ -222,7 +236,9 @@ def _seed_table(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tup
     bits = max(16, math.ceil(math.log2(len(keys) * 32)))
     table = np.zeros(1 << bits, bool)
     table[((keys * _MIX) >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return keys[order], items[order], places[order], table
+    keys = keys[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[starts], np.append(starts, len(keys)), items[order], places[order], table
 
 
 def add_seeds(index: Index, texts: list[np.ndarray], recall: float) -> None:
@@ -257,12 +273,17 @@ def seeded(index: Index, joined: np.ndarray, bounds: np.ndarray) -> tuple[list[t
     for start in range(0, int(bounds[-1]), _CHUNK):
         stop = min(start + _CHUNK, int(bounds[-1]))
         keys8 = seed_keys(joined[start : stop + 7])[: stop - start]
-        for q, (keys, items, places, table) in index.seeds.items():
+        near = np.arange(np.searchsorted(bounds, start, "right") - 1, np.searchsorted(bounds, stop))
+        owner = np.repeat(near, np.diff(np.clip(bounds[near[0] : near[-1] + 2], start, stop)))  # text of each byte
+        for q, (keys, begins, items, places, table) in index.seeds.items():
             own = _upper(keys8, q)
-            likely = np.flatnonzero(table[((own * _MIX) >> np.uint64(65 - table.size.bit_length())).view(np.int64)])
-            row, entry = _pairs(*(np.searchsorted(keys, own[likely], side) for side in ("left", "right")))
+            likely = np.flatnonzero(table.take(((own * _MIX) >> np.uint64(65 - table.size.bit_length())).view(np.int64)))
+            found = np.minimum(np.searchsorted(keys, own[likely]), len(keys) - 1)
+            met = keys[found] == own[likely]
+            likely, found = likely[met], found[met]
+            row, entry = _pairs(begins[found], begins[found + 1])
             at, item = likely[row] + start, items[entry]
-            doc = np.searchsorted(bounds, at, "right") - 1
+            doc = owner[at - start]
             named = short[item]
             for d, k, a in zip(doc[named].tolist(), item[named].tolist(), at[named].tolist()):
                 wanted, lead = index.short[k]
@@ -456,14 +477,14 @@ def search(index: Index, texts: list[bytes], most_edits: float = MOST_EDITS) ->
             mixed = _mixed(keys[rep], rep)
             likely = np.flatnonzero(index.bits[cls][(mixed >> shift).view(np.int64)])
             lows, highs = (np.searchsorted(index.keys[cls], mixed[likely], side) for side in ("left", "right"))
-            met = highs > lows
-            for w, lo, hi in zip(likely[met].tolist(), lows[met], highs[met]):
-                own = index.owners[cls][lo:hi]
-                same = (keys[:, w] ^ index.samples[cls][own]).view(np.uint8) == 0
-                own = own[same.sum(axis=1) >= SAMPLE + AGREE * SAMPLE * (index.reps - 1)]
-                for item, place in index.windows[cls][own].tolist():
-                    doc = int(np.searchsorted(bounds, starts[w], "right")) - 1
-                    asked.add((doc, item, (int(starts[w]) - offsets[doc] - place) // 64 * 64))
+            for part in _slices(highs - lows):
+                row, entry = _pairs(lows[part], highs[part])
+                w, own = likely[part][row], index.owners[cls][entry]
+                same = ((keys[:, w].T ^ index.samples[cls][own]).view(np.uint8) == 0).sum(axis=1)
+                enough = same >= SAMPLE + AGREE * SAMPLE * (index.reps - 1)
+                at, (item, place) = starts[w[enough]], index.windows[cls][own[enough]].T
+                doc = np.searchsorted(bounds, at, "right") - 1
+                asked.update(zip(doc.tolist(), item.tolist(), ((at - bounds[doc] - place) // 64 * 64).tolist()))
     found_seeds, exact = seeded(index, joined, bounds)
     hits: list[dict] = [{} for _ in texts]
     for doc, item, place in sorted(exact, reverse=True):
@@ -520,17 +541,25 @@ def hits_column(index: Index | None, text: Column, most_edits: float = MOST_EDIT
     return hits(text)
 
 
-def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> Iterator[Index | None]:
-    """Indexes of blocks of items whose texts hold at most ``most_bytes``; one block unless the table is large."""
+def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_bytes: int | None = None) -> Iterator[Index | None]:
+    """Indexes of blocks of items whose texts hold about ``most_bytes``; one block unless the table is large."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    count = max(1, -(-size // most_bytes))
+    count = max(1, -(-size // (most_bytes or MOST_BYTES)))
     for k in range(count):
         part = items if count == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k)
         yield build(sorted(((r["id"], r["text"]) for r in part.toLocalIterator()), key=lambda x: (x[0] is None, x)))
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "hits") -> DataFrame:
-    """``docs`` with the array of hits of each row; empty where the text is clean."""
-    found = [hits_column(index, F.col(text_col)) for index in blocks_of(benchmark) if index is not None]
-    return docs.withColumn(out, F.concat(*found) if found else F.array().cast(HITS))
+    """``docs`` with the array of hits of each row; empty where the text is clean.
+
+    With more than one block of items the rows are written after each, so that a task holds one index only.
+    """
+    found = 0
+    for index in blocks_of(benchmark):
+        if index is not None:
+            own = hits_column(index, F.col(text_col))
+            docs = materialize(docs, "decontaminated").withColumn(out, F.concat(out, own)) if found else docs.withColumn(out, own)
+            found += 1
+    return docs if found else docs.withColumn(out, F.array().cast(HITS))

@@ -270,6 +270,36 @@ def test_exact_copies_of_every_item():
     assert decontaminate.search(decontaminate.build([(1, "the cat")]), [b"bathe cat", b"the cats", b"The, cat!"])[2][0][:3] == (1, 0, 8)
 
 
+def test_hits_against_brute_force(spark):
+    """Every hit is within the bound, and nearly all pairs within it are hits."""
+    texts = [r["text"] for r in table(spark, SF, "documents").where("length(text) between 1 and 3000").orderBy("doc_id").limit(50).collect()]
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").orderBy("item_id").limit(20).collect()]
+    rng = np.random.default_rng(3)
+    for k, rate in enumerate([0.05, 0.1, 0.15] * 8):
+        edited = decontaminate._edited(np.frombuffer(items[k % 20][1].lower().encode(), np.uint8), rate, rng)
+        texts.append(f"{texts[k]} {edited.tobytes().decode('utf-8', 'replace')} {texts[k + 1]}")
+    index = decontaminate.build(items)
+    got = {(d, h[0]) for d, hits in enumerate(decontaminate.search(index, [t.encode() for t in texts])) for h in hits}
+    want = set()
+    for d, text in enumerate(texts):
+        norm = decontaminate.normalise(text.encode())[0].tobytes()
+        want |= {(d, item) for (item, _), own in zip(items, index.texts) if decontaminate.best_place(own, norm, int(0.2 * len(own)))}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 20
+
+
+def test_hits_do_not_depend_on_neighbours_or_blocks(spark, monkeypatch):
+    docs, items = table(spark, SF, "documents").where("length(text) < 5000").limit(80), table(spark, SF, "benchmark")
+    index = decontaminate.build([(r["item_id"], r["text"]) for r in items.collect()])
+    rows = docs.collect()
+    alone = {r["doc_id"]: decontaminate.search(index, [(r["text"] or "").encode()])[0] for r in rows}
+    together = decontaminate.search(index, [(r["text"] or "").encode() for r in rows])
+    assert [alone[r["doc_id"]] for r in rows] == together
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 3000)
+    kept = spark.createDataFrame(rows, docs.schema)
+    got = {r["doc_id"]: {h["item_id"] for h in r["hits"] if h["distance"] == 0} for r in decontaminate.with_hits(kept, items).collect()}
+    assert got == {d: {h[0] for h in hits if h[3] == 0} for d, hits in alone.items()}
+
+
 def test_least_distances_are_exact():
     rng = np.random.default_rng(0)
     for low, high in ((50, 64), (65, 128), (129, 192)):
