@@ -538,7 +538,8 @@ def hits_column(index: Index | None, text: Column, most_edits: float = MOST_EDIT
                 out += search(index, part, most_edits)
             yield pd.Series([[dict(zip(("item_id", "start", "end", "distance", "similarity"), h)) for h in found] for found in out], dtype=object)
 
-    return hits(text)
+    # as if not deterministic: else a filter that an explode implies makes the hits a second time
+    return hits.asNondeterministic()(text)
 
 
 def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_bytes: int | None = None) -> Iterator[Index | None]:
