@@ -51,7 +51,7 @@ _GROUP = 1 << 13
 SEEDS = (8, 7, 6, 5, 4)  # lengths, the first that is sure enough is taken
 SURE = 3  # seeds that the longer lengths need
 _BAND = 32  # diagonals of a band; two neighbours count together
-_CHUNK = 1 << 16  # text bytes whose seeds are looked up at once
+_CHUNK = 1 << 15  # text bytes whose seeds are looked up at once
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
@@ -115,6 +115,32 @@ def walk_keys(text: np.ndarray, starts: np.ndarray, sizes: tuple, plan: dict[int
     return keys
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass
+class SeedTable:
+    """Distinct seeds in the order of their hash; the entries of the k-th are ``begins[k]`` to ``begins[k + 1]``."""
+
+    keys: np.ndarray
+    begins: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+    taken: np.ndarray  # slots of the hash that hold a seed
+    first: np.ndarray  # the first seed of each slot
+    run: int  # the most seeds of a slot
+
+    def find(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``seeds`` are in the table, the place of each in ``keys``)."""
+        slot = (seeds * _MIX >> np.uint64(65 - self.taken.size.bit_length())).view(np.int64)
+        likely = np.flatnonzero(self.taken.take(slot))
+        at, wanted = self.first[slot[likely]], seeds[likely]
+        for _ in range(self.run - 1):
+            at = at + (self.keys[at] != wanted) * (at < len(self.keys) - 1)
+        met = self.keys[at] == wanted
+        return likely[met], at[met]
+
+
 @dataclass
 class Index:
     """Keys of item windows by class and repetition; a plain value that travels to the executors."""
@@ -123,20 +149,15 @@ class Index:
     texts: list[bytes]
     sizes: tuple
     plan: dict[int, np.ndarray]
-    keys: dict[int, np.ndarray] = field(default_factory=dict)  # class -> sorted (key mixed with repetition)
-    owners: dict[int, np.ndarray] = field(default_factory=dict)  # class -> window of each key
+    keys: dict[int, SeedTable] = field(default_factory=dict)  # class -> keys mixed with the repetition, and their windows
     windows: dict[int, np.ndarray] = field(default_factory=dict)  # class -> (item, place in the item) of each window
     samples: dict[int, np.ndarray] = field(default_factory=dict)  # class -> all samples of each window (windows x repetitions)
-    bits: dict[int, np.ndarray] = field(default_factory=dict)  # class -> table that most foreign keys fail
     reps: int = 0
-    seeds: dict[int, tuple] = field(default_factory=dict)  # seed length -> distinct sorted keys, where the entries of each begin, their items and places, table of bits
+    seeds: dict[int, SeedTable] = field(default_factory=dict)  # by seed length
     least: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # seeds that make an item a candidate
     short: dict[int, tuple[bytes, int]] = field(default_factory=dict)  # item -> bytes to find, and its place in them
 
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
 def _mixed(key: np.ndarray, rep: int) -> np.ndarray:
     mixed = (key ^ np.uint64(0xD6E8FEB86659FD93 * (rep + 1) & 0xFFFFFFFFFFFFFFFF)) * _MIX
     return mixed ^ (mixed >> np.uint64(29))
@@ -230,15 +251,19 @@ def seed_plan(texts: list[np.ndarray], rate: float = MOST_EDITS, recall: float =
     raise ValueError(f"no seed length reaches recall {recall} at {rate} edits per byte")
 
 
-def _seed_table(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple:
+def _seed_table(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> SeedTable:
     keys, items, places = (np.concatenate(x) for x in zip(*entries))
-    order = np.argsort(keys, kind="stable")
-    bits = max(16, math.ceil(math.log2(len(keys) * 32)))
-    table = np.zeros(1 << bits, bool)
-    table[((keys * _MIX) >> np.uint64(64 - bits)).astype(np.int64)] = True
+    order = np.argsort(keys * _MIX, kind="stable")  # _MIX is odd, so equal hashes are equal seeds
     keys = keys[order]
     starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-    return keys[starts], np.append(starts, len(keys)), items[order], places[order], table
+    own = keys[starts]
+    bits = max(16, math.ceil(math.log2(len(own) * 16)))
+    slot = (own * _MIX >> np.uint64(64 - bits)).astype(np.int64)
+    taken, first = np.zeros(1 << bits, bool), np.zeros(1 << bits, np.int64)
+    taken[slot] = True
+    first[slot[::-1]] = np.arange(len(own))[::-1]
+    run = int(np.diff(np.flatnonzero(np.diff(slot, prepend=-1, append=-1))).max())
+    return SeedTable(own, np.append(starts, len(keys)), items[order], places[order], taken, first, run)
 
 
 def add_seeds(index: Index, texts: list[np.ndarray], recall: float) -> None:
@@ -275,21 +300,17 @@ def seeded(index: Index, joined: np.ndarray, bounds: np.ndarray) -> tuple[list[t
         keys8 = seed_keys(joined[start : stop + 7])[: stop - start]
         near = np.arange(np.searchsorted(bounds, start, "right") - 1, np.searchsorted(bounds, stop))
         owner = np.repeat(near, np.diff(np.clip(bounds[near[0] : near[-1] + 2], start, stop)))  # text of each byte
-        for q, (keys, begins, items, places, table) in index.seeds.items():
-            own = _upper(keys8, q)
-            likely = np.flatnonzero(table.take(((own * _MIX) >> np.uint64(65 - table.size.bit_length())).view(np.int64)))
-            found = np.minimum(np.searchsorted(keys, own[likely]), len(keys) - 1)
-            met = keys[found] == own[likely]
-            likely, found = likely[met], found[met]
-            row, entry = _pairs(begins[found], begins[found + 1])
-            at, item = likely[row] + start, items[entry]
+        for q, table in index.seeds.items():
+            likely, found = table.find(_upper(keys8, q))
+            row, entry = _pairs(table.begins[found], table.begins[found + 1])
+            at, item = likely[row] + start, table.items[entry]
             doc = owner[at - start]
             named = short[item]
             for d, k, a in zip(doc[named].tolist(), item[named].tolist(), at[named].tolist()):
                 wanted, lead = index.short[k]
                 if joined[a : a + len(wanted)].tobytes() == wanted:
                     exact.append((d, k, a - int(bounds[d]) + lead))
-            band = (at - bounds[doc] - places[entry] + longest) // _BAND
+            band = (at - bounds[doc] - table.places[entry] + longest) // _BAND
             parts.append(np.unique(((doc * len(short) + item) * width + band)[~named], return_counts=True))
     if not parts:
         return [], exact
@@ -331,13 +352,8 @@ def build(items: list[tuple[object, str]], recall: float = RECALL) -> Index | No
                 samples.append(walk_keys(padded, starts, (size,), out.plan, random)[size].T)
                 windows.append(np.stack([np.full(len(starts), k), starts - 1], axis=1))
         out.windows[size], out.samples[size] = np.concatenate(windows), np.concatenate(samples)
-        joined = np.concatenate([_mixed(out.samples[size][:, rep], rep) for rep in range(reps)])
-        order = np.argsort(joined, kind="stable")
-        out.keys[size], out.owners[size] = joined[order], order % len(out.windows[size])
-        bits = max(16, math.ceil(math.log2(len(joined) * 32)))
-        table = np.zeros(1 << bits, bool)
-        table[(joined >> np.uint64(64 - bits)).astype(np.int64)] = True
-        out.bits[size] = table
+        place = np.arange(len(out.windows[size]))
+        out.keys[size] = _seed_table([(_mixed(out.samples[size][:, rep], rep), place, place) for rep in range(reps)])
     return out
 
 
@@ -379,80 +395,78 @@ def best_place(item: bytes, text: bytes, most: int) -> tuple[int, int, int] | No
     return distance, end - ends(item[::-1], back, True)[1], end
 
 
-def may_match(item: bytes, text: bytes, most: int) -> bool:
-    """False only if more than ``most`` edits are certain: each edit changes at most q of the item's q-grams."""
-    for q in (5, 4, 3):
-        least = len(item) - q + 1 - most * q
-        if least > 0:
-            there = {text[i : i + q] for i in range(len(text) - q + 1)}
-            if sum([item[i : i + q] in there for i in range(len(item) - q + 1)]) < least:
-                return False
-    return True
-
-
-def least_distances(items: list[bytes], regions: list[bytes]) -> np.ndarray:
-    """Least distance of each item to any place of its region; the items take equally many 64-bit words.
+def least_distances(pieces: list[bytes], regions: list[bytes]) -> np.ndarray:
+    """Least distance of each piece, of 1 to 64 bytes, to any place of its region.
 
     Myers' bit vectors as in ``best_place``, for all pairs at once; zeros behind a region match nothing.
     """
-    words = -(-len(items[0]) // 64)
-    number = {item: k for k, item in enumerate(dict.fromkeys(items))}
-    masks = np.zeros((words, len(number), 256), np.uint64)
-    for item, k in number.items():
-        place = np.arange(len(item))
-        np.bitwise_or.at(masks, (place // 64, k, np.frombuffer(item, np.uint8)), np.uint64(1) << (place % 64).astype(np.uint64))
-    masks = masks.reshape(words, -1)
-    row = np.array([number[i] for i in items]) * 256
-    text = np.zeros((max(map(len, regions)), len(items)), np.intp)
-    for k, region in enumerate(regions):
-        text[: len(region), k] = np.frombuffer(region, np.uint8)
-    one, last = np.uint64(1), np.uint64(63)
-    top = np.array([(len(i) - 1) % 64 for i in items], np.uint64)
-    score = np.array([len(i) for i in items])
+    number = {piece: k for k, piece in enumerate(dict.fromkeys(pieces))}
+    masks = np.zeros((len(number), 256), np.uint64)
+    free = np.zeros(len(number), np.uint64)  # a piece ends at the top bit; bits below it match all and cost nothing
+    for piece, k in number.items():
+        low = 64 - len(piece)
+        free[k] = (1 << low) - 1
+        np.bitwise_or.at(masks, (k, np.frombuffer(piece, np.uint8)), np.uint64(1) << np.arange(low, 64).astype(np.uint64))
+    masks = (masks | free[:, None]).reshape(-1)
+    which = np.array([number[i] for i in pieces])
+    longest = max(1, *map(len, regions))
+    text = np.ascontiguousarray(np.frombuffer(b"".join([r.ljust(longest, b"\0") for r in regions]), np.uint8).reshape(-1, longest).T)
+    score = np.array([len(i) for i in pieces])
     best = score.copy()
-    up, down = [np.full(len(items), ~np.uint64(0)) for _ in range(words)], [np.zeros(len(items), np.uint64) for _ in range(words)]
+    row, one, sign = which * 256, np.uint64(1), np.int64(63)
+    up, down = ~free[which], np.zeros(len(pieces), np.uint64)
+    at, eq, zero, plus, step = (np.empty_like(x) for x in (row, up, up, up, score))
     for byte in text:
-        at = row + byte
-        carry = plus_in = minus_in = np.uint64(0)
-        for w in range(words):
-            eq, u, d = masks[w].take(at), up[w], down[w]
-            total = (eq & u) + u
-            over = total < u
-            total += carry
-            carry = (over | (total < carry)).astype(np.uint64)
-            zero = (total ^ u) | eq
-            plus, minus = d | ~(zero | u), u & zero
-            if w == words - 1:
-                score += ((plus >> top) & one).view(np.int64)
-                score -= ((minus >> top) & one).view(np.int64)
-            x = eq | d
-            plus, plus_in = (plus << one) | plus_in, plus >> last
-            minus, minus_in = (minus << one) | minus_in, minus >> last
-            up[w], down[w] = minus | ~(x | plus), plus & x
+        np.add(row, byte, out=at)
+        np.take(masks, at, out=eq, mode="clip")
+        np.bitwise_and(eq, up, out=zero)
+        zero += up
+        zero ^= up
+        zero |= eq
+        zero |= down
+        np.bitwise_or(zero, up, out=plus)
+        np.invert(plus, out=plus)
+        plus |= down
+        up &= zero  # where the distance falls along the text
+        score -= np.right_shift(plus.view(np.int64), sign, out=step)
+        score += np.right_shift(up.view(np.int64), sign, out=step)
+        plus <<= one
+        up <<= one
+        np.bitwise_and(plus, zero, out=down)
+        plus |= zero
+        np.invert(plus, out=plus)
+        up |= plus
         np.minimum(best, score, out=best)
     return best
 
 
 def hopeful(pairs: list[tuple[bytes, bytes, int]]) -> np.ndarray:
-    """Whether each (item, region, most edits) is within its edits; large groups are judged at once."""
-    out = np.ones(len(pairs), bool)
-    groups: dict[int, list[int]] = {}
-    for k, (item, region, _) in enumerate(pairs):
-        groups.setdefault(-(-len(item) // 64), []).append(k)
-    for words, group in groups.items():
-        group.sort(key=lambda k: len(pairs[k][1]))
-        # regions of one batch are at most twice as long as its shortest
+    """False only if an (item, region, most edits) needs more edits.
+
+    A region begins ``most`` + 2 bytes before the first place where the item may begin, and ends as many
+    after the last one's end. The edits of an item are those of its pieces, and a piece's are its least
+    distance to the part of the region that it can reach, or more; a pair is given up as soon as the
+    pieces so far need too many.
+    """
+    bound, most = np.zeros(len(pairs), np.int64), np.array([m for _, _, m in pairs], np.int64)
+    alive, first = list(range(len(pairs))), 0
+    while alive := [k for k in alive if first < len(pairs[k][0]) and bound[k] <= most[k]]:
+        parts = []
+        for k in alive:
+            item, region, _ = pairs[k]
+            piece = item[first : first + 64]
+            parts.append((region[first : len(region) - len(item) + first + len(piece)], piece, k))
+        parts.sort(key=lambda x: len(x[0]))
+        # short batches cost as many steps as long ones, so only much longer regions begin a new one
         cuts = [0]
-        for i, k in enumerate(group):
-            if i - cuts[-1] >= 4096 or len(pairs[k][1]) > 2 * len(pairs[group[cuts[-1]]][1]) + 64:
+        for i, (part, _, _) in enumerate(parts):
+            if i - cuts[-1] >= 4096 or len(part) > 4 * len(parts[cuts[-1]][0]) + 512:
                 cuts.append(i)
-        for i, j in zip(cuts, [*cuts[1:], len(group)]):
-            own = group[i:j]
-            if len(own) < 32 or words > 16:
-                out[own] = [may_match(*pairs[k]) for k in own]
-            else:
-                out[own] = least_distances([pairs[k][0] for k in own], [pairs[k][1] for k in own]) <= [pairs[k][2] for k in own]
-    return out
+        for i, j in zip(cuts, [*cuts[1:], len(parts)]):
+            regions, pieces, own = zip(*parts[i:j])
+            bound[list(own)] += least_distances(list(pieces), list(regions))
+        first += 64
+    return bound <= most
 
 
 def search(index: Index, texts: list[bytes], most_edits: float = MOST_EDITS) -> list[list[tuple]]:
@@ -472,14 +486,12 @@ def search(index: Index, texts: list[bytes], most_edits: float = MOST_EDITS) ->
     random = moves(2 * max(CLASSES))
     asked: set[tuple[int, int, int]] = set()
     for cls, keys in walk_keys(joined, starts, index.sizes, index.plan, random).items():
-        shift = np.uint64(65 - index.bits[cls].size.bit_length())
         for rep in range(index.reps):
-            mixed = _mixed(keys[rep], rep)
-            likely = np.flatnonzero(index.bits[cls][(mixed >> shift).view(np.int64)])
-            lows, highs = (np.searchsorted(index.keys[cls], mixed[likely], side) for side in ("left", "right"))
+            likely, found = index.keys[cls].find(_mixed(keys[rep], rep))
+            lows, highs = index.keys[cls].begins[found], index.keys[cls].begins[found + 1]
             for part in _slices(highs - lows):
                 row, entry = _pairs(lows[part], highs[part])
-                w, own = likely[part][row], index.owners[cls][entry]
+                w, own = likely[part][row], index.keys[cls].items[entry]
                 same = ((keys[:, w].T ^ index.samples[cls][own]).view(np.uint8) == 0).sum(axis=1)
                 enough = same >= SAMPLE + AGREE * SAMPLE * (index.reps - 1)
                 at, (item, place) = starts[w[enough]], index.windows[cls][own[enough]].T
