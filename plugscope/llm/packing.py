@@ -4,13 +4,15 @@ A document of n ids fills ``n // LENGTH`` sequences whole; its remainder is an o
 LENGTH - 1 lengths. The histogram of remainders, whose size does not grow with the corpus, goes to
 the driver. A linear program over patterns (multisets of lengths that fit a sequence) covers it: a
 revised simplex whose new columns come from a knapsack dynamic program over the dual prices. The
-solution is rounded down; patterns that leave more than ``WASTE`` ids are dropped. Remainders are
-ranked within their length, and a rank tells pattern copy, place and offset in closed form. Ranks
-beyond the patterns are laid end to end and cut at sequence borders, so only the last sequence of
-all has more padding.
-
-Edge cases: a null or empty text is the end id alone; repeated rows are packed each; an empty table
-gives no piece. Extra columns are ignored.
+solution is rounded down; patterns that leave more than ``WASTE`` ids are dropped. What that leaves
+gets patterns of its own, one at a time: the longest order and the lengths that fill its sequence
+best, by a knapsack over what is left. Remainders are ranked within their length, and a rank tells
+pattern copy, place and offset in closed form. Ranks beyond all patterns, of lengths that nothing
+left fills up, are laid end to end and cut at sequence borders.
+
+Edge cases: a null or empty text is the end id alone; a very long text fills whole sequences; equal
+lengths (ties) take their places in the order of task and row; repeated rows are packed each; null ids
+are kept; an empty table gives no piece. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ LENGTH = 1024
 END_ID = 0
 WASTE = 4
 GAP = 2e-3
-PIVOTS = 1200
+PIVOTS = 400
+MOST_BYTES = 32_000_000  # of the tasks' first ranks, to be sent to every executor
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _FLUSH = 16_000_000
 
@@ -70,17 +73,19 @@ def column_generation(demand: np.ndarray, length: int = LENGTH, gap: float = GAP
             p[size] = length // size
         patterns.append(p)
     inverse = np.linalg.inv(np.array([p[sizes] for p in patterns], float).T)
-    amount = np.maximum(inverse @ demand[sizes], 0)
+    amount, total, change = np.maximum(inverse @ demand[sizes], 0), inverse.sum(axis=0), np.empty_like(inverse)
     for step in range(pivots):
         if step % 200 == 199:  # keeps rounding errors small
             inverse = np.linalg.inv(np.array([p[sizes] for p in patterns], float).T)
-            amount = np.maximum(inverse @ demand[sizes], 0)
+            amount, total = np.maximum(inverse @ demand[sizes], 0), inverse.sum(axis=0)
         prices = np.zeros(len(demand))
-        prices[sizes] = inverse.sum(axis=0)
+        prices[sizes] = total
         value, pattern = knapsack(np.maximum(prices, 0), length)
         if value <= 1 + gap:  # the optimum is at least (sum of amounts) / value
             break
-        column = inverse @ pattern[sizes]
+        own = pattern[sizes]
+        at = np.flatnonzero(own)
+        column = inverse[:, at] @ own[at]
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(column > 1e-9, amount / column, np.inf)
         out = int(ratio.argmin())
@@ -91,12 +96,57 @@ def column_generation(demand: np.ndarray, length: int = LENGTH, gap: float = GAP
         amount[out] = step_size
         amount = np.maximum(amount, 0)
         row = inverse[out] / column[out]
-        inverse = inverse - np.outer(column, row)
+        total = total + (1 - column.sum()) * row
+        np.multiply(column[:, None], row, out=change)
+        inverse -= change
         inverse[out] = row
         patterns[out] = pattern
     return [(float(x), p) for x, p in zip(amount, patterns) if x > 1e-9]
 
 
+def fill(left: np.ndarray, room: int) -> np.ndarray:
+    """Counts of lengths, of those ``left``, that fill most of ``room``: a knapsack whose prices are the lengths."""
+    reach, steps = 1, []  # bit r: some of the lengths so far add up to r
+    full = (1 << (room + 1)) - 1
+    for size in np.flatnonzero(left[: room + 1])[::-1].tolist():
+        for _ in range(min(int(left[size]), room // size)):
+            more = (reach | reach << size) & full
+            if more == reach:
+                break
+            steps.append((size, reach))
+            reach = more
+        if reach >> room & 1:
+            break
+    pattern, at = np.zeros(len(left), np.int64), reach.bit_length() - 1
+    for size, before in reversed(steps):
+        if not before >> at & 1:
+            pattern[size] += 1
+            at -= size
+    return pattern
+
+
+def residual(left: np.ndarray, length: int, waste: int) -> list[tuple[int, np.ndarray]]:
+    """(copies, pattern) of what the rounded solution leaves: the longest order with what fills its sequence best.
+
+    A pattern is repeated as long as its orders last; a longest order that nothing fills up is left out.
+    """
+    out, left = [], left.copy()
+    while left.any():
+        size = int(np.flatnonzero(left)[-1])
+        left[size] -= 1
+        pattern = fill(left, length - size)
+        left[size] += 1
+        pattern[size] += 1
+        if length - int(pattern @ np.arange(len(left))) > waste:
+            left[size] = 0  # fewer of them would leave others no better filled
+            continue
+        held = np.flatnonzero(pattern)
+        copies = int((left[held] // pattern[held]).min())
+        left -= copies * pattern
+        out.append((copies, pattern))
+    return out
+
+
 @dataclass
 class Plan:
     """Where the r-th remainder of each length goes; at most a few entries per pattern."""
@@ -132,15 +182,17 @@ def plan(demand: np.ndarray, length: int = LENGTH, waste: int = WASTE) -> Plan:
     sizes = np.arange(len(demand))
     cuts: list[list[int]] = [[] for _ in demand]
     runs: list[list[tuple[int, int, int]]] = [[] for _ in demand]
-    covered, sequence = [0] * len(demand), 0
+    left, chosen = demand.copy(), []
     for amount, pattern in column_generation(demand, length):
-        copies = int(amount + 1e-6)
         held = np.flatnonzero(pattern)
-        copies = min([copies, *((int(demand[s]) - covered[s]) // int(pattern[s]) for s in held)])
-        if copies < 1 or length - int(pattern @ sizes) > waste:
-            continue
+        copies = min(int(amount + 1e-6), int((left[held] // pattern[held]).min()))
+        if copies >= 1 and length - int(pattern @ sizes) <= waste:
+            chosen.append((copies, pattern))
+            left -= copies * pattern
+    covered, sequence = [0] * len(demand), 0
+    for copies, pattern in chosen + residual(left, length, waste):
         offset = 0
-        for s in held.tolist():
+        for s in np.flatnonzero(pattern).tolist():
             cuts[s].append(covered[s])
             runs[s].append((sequence, int(pattern[s]), offset))
             covered[s] += copies * int(pattern[s])
@@ -232,10 +284,15 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, leng
         demand[r["rem"]] = r["n"]
     earlier = Window.partitionBy("rem").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     tasks = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = counts.groupBy("part").agg(F.sum("whole").alias("whole")).select("part", F.coalesce(F.sum("whole").over(tasks), F.lit(0)).alias("whole_base"))
-    bases = counts.select("part", "rem", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")).join(whole, "part")
-    joined = stored.join(bases.hint("merge"), ["part", "rem"])
-    return joined.select("rem", "rank", "before", "whole", "doc_id", "n_tokens", "ids", "base", "whole_base").mapInArrow(_placed(plan(demand, length)), PIECE_SCHEMA)
+    first = counts.select("part", F.struct("rem", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")).alias("one"), "whole")
+    first = first.groupBy("part").agg(F.array_sort(F.collect_list("one")).alias("all"), F.sum("whole").alias("whole"))  # at most ``length`` entries a task
+    first = first.select("part", F.col("all.rem").alias("rems"), F.col("all.base").alias("bases"), F.coalesce(F.sum("whole").over(tasks), F.lit(0)).alias("whole_base"))
+    first = materialize(first, "packing-bases")
+    size = first.agg(F.sum(F.size("rems"))).first()[0] or 0
+    # a row of each task; when they are many, rows with ids are shuffled instead
+    joined = stored.join(F.broadcast(first) if 12 * size <= MOST_BYTES else first.hint("merge"), "part")
+    base = F.get("bases", (F.array_position("rems", F.col("rem")) - 1).cast("int")).alias("base")
+    return joined.select("rem", "rank", "before", "whole", "doc_id", "n_tokens", "ids", base, "whole_base").mapInArrow(_placed(plan(demand, length)), PIECE_SCHEMA)
 
 
 def padding(pieces: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -195,6 +195,25 @@ def test_knapsack_is_optimal():
     assert np.isclose(value, best[12]) and np.isclose(pattern @ prices, value) and pattern @ np.arange(13) <= 12
 
 
+def test_patterns_carry_nearly_all_remainders():
+    rng = np.random.default_rng(5)
+    for n in (200, 2000, 100_000):
+        demand = np.bincount(np.minimum(rng.lognormal(5, 1.2, n).astype(int) + 1, 1023), minlength=1024)
+        got = packing.plan(demand)
+        assert sum(got.covered) >= 0.95 * n and got.tail <= 8
+
+
+def test_many_tasks_without_broadcast(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    want = packing.pack(docs.repartition(5, "doc_id")).drop("ids")
+    want = sorted(map(tuple, want.groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens")).collect()))
+    monkeypatch.setattr(packing, "MOST_BYTES", 0)
+    got = packing.pack(docs.repartition(5, "doc_id")).drop("ids").toPandas()
+    assert sorted(got.groupby("doc_id").agg({"length": "sum", "doc_tokens": "max"}).itertuples(name=None)) == want
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g["offset"].to_numpy() == np.concatenate([[0], g["length"].cumsum().to_numpy()[:-1]])).all()
+
+
 @given(st.lists(st.integers(0, 40), min_size=16, max_size=16))
 @settings(max_examples=40, deadline=None)
 def test_plan_places_each_remainder_once(demand):
