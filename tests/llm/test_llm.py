@@ -200,7 +200,7 @@ def test_patterns_carry_nearly_all_remainders():
     for n in (200, 2000, 100_000):
         demand = np.bincount(np.minimum(rng.lognormal(5, 1.2, n).astype(int) + 1, 1023), minlength=1024)
         got = packing.plan(demand)
-        assert sum(got.covered) >= 0.95 * n and got.tail <= 8
+        assert got.tail <= 2  # sequences of remainders that no pattern holds
 
 
 def test_many_tasks_without_broadcast(spark, monkeypatch):
