@@ -32,7 +32,7 @@ def _arg(n: int, of: str = "vals") -> Column:
 
 def callback_facts(facts: Facts) -> DataFrame:
     """First function of each name in a file: what its body says of authentication and input."""
-    first = facts.functions.groupBy(*KEY, "name").agg(F.min_by(F.struct("level", "guard", "returns", "reads_input", "fields", "keys", "class"), "off").alias("body"))
+    first = facts.functions.groupBy(*KEY, "name").agg(F.min_by(F.struct("level", "guard", "returns", "reads_input", "fields", "keys", "class", "first_field", "query_var"), "off").alias("body"))
     return first.withColumnRenamed("name", "cb_name")
 
 
@@ -41,6 +41,25 @@ def with_body(df: DataFrame, bodies: DataFrame, callback: str = "callback") -> D
     return df.withColumn("cb_name", F.element_at(F.split(F.col(callback), "::"), -1)).join(bodies, [*KEY, "cb_name"], "left").drop("cb_name")
 
 
+def delegated_levels(wanted: DataFrame, facts: Facts) -> DataFrame:
+    """(plugin_slug, file, cb_name, asked) of public callbacks ``wanted`` (plugin_slug, file, cb_name).
+
+    The body is looked up in the file, else in the plugin's other files. Where it asks for no level, the
+    highest level of the methods it calls counts, one step deep; a nonce in one of them is a subscriber's.
+    """
+    each = facts.functions.select(*KEY, "name", "off", F.struct("level", "has_nonce", "asks").alias("f"))
+    here = each.groupBy(*KEY, "name").agg(F.min_by("f", "off").alias("here"))
+    there = each.groupBy("plugin_slug", "name").agg(F.min_by("f", F.struct("file", "off")).alias("there"))
+
+    def body(df: DataFrame, name: str) -> DataFrame:
+        named = df.withColumn("name", F.col(name))
+        return named.join(here, [*KEY, "name"], "left").join(there, ["plugin_slug", "name"], "left").withColumn("f", F.coalesce("here", "there")).drop("here", "there", "name")
+
+    found = body(wanted.select(*KEY, "cb_name").distinct(), "cb_name").where("f is not null").select(*KEY, "cb_name", F.col("f.level").alias("own"), F.explode_outer(F.when(F.col("f.level") == 0, F.col("f.asks"))).alias("ask"))
+    level = F.when(F.col("f.level") > 0, F.col("f.level")).when(F.col("f.has_nonce"), W.SUBSCRIBER).otherwise(0)
+    return body(found, "ask").groupBy(*KEY, "cb_name").agg(F.greatest(F.max("own"), F.max(level)).alias("asked"))
+
+
 def _clean(callback: Column) -> Column:
     return F.when(callback.startswith("closure@"), "closure").otherwise(callback)
 
@@ -71,11 +90,13 @@ def ajax(facts: Facts, config: Config | None = None, bodies: DataFrame | None =
     hooks = expand_foreach(hook_calls(facts).where(R.starts_with_any(F.col("hook"), [h[0] for h in W.AJAX_HOOKS])), facts)
     if compat:
         hooks = hooks.where(~F.col("hook").startswith("admin_action_nopriv_")).withColumn("hook", F.regexp_replace("hook", "^admin_post_nopriv_", "admin_post_"))
-    hooks = with_body(hooks, bodies)
+    hooks = with_body(hooks, bodies).withColumn("cb_name", F.element_at(F.split("callback", "::"), -1))
+    public = hooks.where(F.col("hook").startswith("wp_ajax_nopriv_"))
+    hooks = hooks.join(delegated_levels(public, facts), [*KEY, "cb_name"], "left").drop("cb_name")
     case = lambda k: reduce(lambda acc, h: acc.when(F.col("hook").startswith(h[0]), F.lit(h[k])), W.AJAX_HOOKS, F.when(F.lit(False), F.lit(W.AJAX_HOOKS[0][k])))
     hooks = hooks.withColumns({"base": case(2), "named": case(3), "rule": case(4), "action": R.ajax_route(F.col("hook"))})
     name = F.regexp_extract("action", "=([^=]*)$", 1)
-    own = F.col("body.level")
+    own = F.when(F.col("hook").startswith("wp_ajax_nopriv_"), F.col("asked")).otherwise(F.col("body.level"))
     level = F.when((F.col("rule") == "raise") & (own > F.col("base")), own).when((F.col("rule") == "lower") & (own == 1), 1).otherwise(F.col("base"))
     hooks = hooks.withColumn("level", level)
     level = F.when(F.col("named") & (F.col("level") < W.ADMIN) & R.is_admin_action(name, config), W.ADMIN).otherwise(F.col("level"))
@@ -306,7 +327,9 @@ def framework(facts: Facts, config: Config | None = None, bodies: DataFrame | No
     bodies = callback_facts(facts) if bodies is None else bodies
     hooks = with_body(hook_calls(facts).where("hook in ('template_redirect', 'parse_request')"), bodies)
     level = F.when(F.col("hook") == "template_redirect", F.greatest(F.coalesce("body.level", F.lit(0)), F.when(F.col("body").isNull(), F.col("context_level")).otherwise(0))).otherwise(F.coalesce("body.level", F.lit(0)))
-    found.append(_rows(hooks, "rest", route=F.concat(F.lit("/"), F.translate("hook", "_", "-"), F.lit(":"), _clean(F.col("callback"))), method=F.lit("GET"), auth_level=level, callback=_clean(F.col("callback")), namespace=F.col("hook")))
+    plain = F.concat(F.lit("/"), F.translate("hook", "_", "-"), F.lit(":"), _clean(F.col("callback")))
+    asked = F.when(F.col("body.first_field") != "", F.concat(F.lit("/?action="), F.col("body.first_field"))).when(F.col("body.query_var") != "", F.concat(F.lit("/"), F.col("body.query_var"))).otherwise(plain)
+    found.append(_rows(hooks, "rest", route=asked, method=F.lit("GET"), auth_level=level, callback=_clean(F.col("callback")), namespace=F.col("hook")))
     found.append(content_types(facts))
     filt = with_body(hook_calls(facts).where("hook = 'xmlrpc_methods'"), bodies)
     keys = F.when(F.size("body.keys") > 0, F.col("body.keys")).otherwise(F.array(F.lit("custom")))
@@ -330,13 +353,13 @@ def content_types(facts: Facts) -> DataFrame:
 def wrappers(facts: Facts) -> DataFrame:
     """Functions that pass a parameter on as a hook's name: (plugin, class, method, index, prefix, kind)."""
     fns = facts.functions.where("not is_closure").select(*KEY, F.col("name").alias("enclosing_fn"), F.col("class").alias("enclosing_class"), "params", "is_static", "off", "end_off")
-    hook = facts.calls.where("callee in ('add_action', 'add_filter')").select(*KEY, F.col("off").alias("at"), _arg(0).alias("v"), F.lit("hook").alias("kind"), F.lit("").alias("ns"))
-    rest_ = facts.calls.where("callee = 'register_rest_route'").select(*KEY, F.col("off").alias("at"), _arg(1).alias("v"), F.lit("rest").alias("kind"), _arg(0).alias("ns"))
+    hook = facts.calls.where("callee in ('add_action', 'add_filter')").select(*KEY, F.col("off").alias("at"), _arg(0).alias("v"), F.lit("hook").alias("kind"), F.lit("").alias("ns"), F.lit(None).cast("string").alias("perm"))
+    rest_ = facts.calls.where("callee = 'register_rest_route'").select(*KEY, F.col("off").alias("at"), _arg(1).alias("v"), F.lit("rest").alias("kind"), _arg(0).alias("ns"), _item(F.filter("items", lambda i: i["arg"] == 2), F.lit(-1), "permission_callback", "cb").alias("perm"))
     made = hook.unionByName(rest_).join(fns, KEY).where("at >= off and at < end_off and enclosing_fn not in ('register_routes', 'register_rest_route')")
     name = R.placeholder(R.clean_interpolation(F.col("v")))
     at = F.array_position("params", name)
     prefix = F.regexp_extract("v", r"^([^{$]*)", 1)
-    return made.where((name != "") & (at > 0)).select("plugin_slug", F.col("enclosing_class").alias("class_name"), F.col("enclosing_fn").alias("method_name"), "is_static", (at - 1).cast("int").alias("param_index"), prefix.alias("prefix"), F.col("file").alias("source_file"), "kind", "ns", "params").distinct()
+    return made.where((name != "") & (at > 0)).select("plugin_slug", F.col("enclosing_class").alias("class_name"), F.col("enclosing_fn").alias("method_name"), "is_static", (at - 1).cast("int").alias("param_index"), prefix.alias("prefix"), F.col("file").alias("source_file"), "kind", "ns", "params", "perm").distinct()
 
 
 def wrapper_calls(facts: Facts, config: Config | None = None) -> DataFrame:
@@ -353,8 +376,11 @@ def wrapper_calls(facts: Facts, config: Config | None = None) -> DataFrame:
     routes = calls.where("kind = 'rest'")
     method = F.coalesce(F.get("vals", F.coalesce(F.when(at("methods") >= 0, at("methods")), F.when(at("method") >= 0, at("method"))).cast("int")), F.lit("GET"))
     handler = F.coalesce(F.get("callbacks", F.when(at("callback") >= 0, at("callback")).cast("int")), F.lit("wrapper_callback"))
-    routes = routes.withColumn("verb1", F.explode(verbs(method)))
-    return found.unionByName(_rows(routes, "rest", route=R.rest_route(F.col("ns"), F.col("v")), method=F.col("verb1"), auth_level=F.lit(1), callback=_clean(handler), namespace=F.col("ns")))
+    bodies = callback_facts(facts).select("plugin_slug", F.col("file").alias("source_file"), "cb_name", F.col("body.level").alias("perm_level"), F.col("body.returns").alias("perm_returns"))
+    routes = routes.withColumn("cb_name", F.element_at(F.split("perm", "::"), -1)).join(bodies, ["plugin_slug", "source_file", "cb_name"], "left")
+    level = F.when((F.col("perm") == "__return_true") | (F.col("perm_returns") == 0), 0).otherwise(F.coalesce("perm_level", F.lit(W.SUBSCRIBER)))
+    routes = routes.withColumn("verb1", F.explode(verbs(method))).withColumn("level", level)
+    return found.unionByName(_rows(routes, "rest", route=R.rest_route(F.col("ns"), F.col("v")), method=F.col("verb1"), auth_level=F.col("level"), callback=_clean(handler), namespace=F.col("ns")))
 
 
 def detect_all(facts: Facts, config: Config | None = None, compat: bool = False) -> DataFrame:

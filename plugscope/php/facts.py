@@ -16,6 +16,8 @@ _DIRECT = re.compile(r"""\$_(?:POST|GET|REQUEST)\s*\[\s*['"]action['"]\s*\]\s*={
 _BOOTSTRAP = re.compile(r"\b(?:ABSPATH|WPINC|WP_UNINSTALL_PLUGIN)\b|function_exists\s*\(\s*['\"](?:add_action|add_filter)['\"]")
 _LITERAL = re.compile(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\"""")
 
+DELEGATES = 5  # instance calls, and as many static ones, that a body's level may be delegated to
+
 
 @dataclass
 class Scope:
@@ -187,7 +189,7 @@ class File:
                 "name": name or f"closure@{self.tokens[i].start}", "class": cls["name"] if cls and name else "", "is_closure": not name, "is_static": "static" in mods,
                 "visibility": next((v for v in ("private", "protected") if v in mods), "public"), "params": params, "off": self.tokens[i].start, "end_off": self.tokens[last].end,
                 "line": self.src.line(self.tokens[i].start), "body": body, "first": k, "last": last, "level": auth.infer_level(body, self.config), "guard": auth.guard_in(body), "returns": returns, "returns_of": asked,
-                "reads_input": auth.reads_input(body), "fields": auth.input_fields(body), "keys": re.findall(r"\$\w+\s*\[\s*['\"]([\w.]+)['\"]\s*\]\s*=[^=]", body), "has_nonce": auth.has_nonce(body), "capability": auth.capability_in(body), "literals": [x for m in re.finditer(r"\breturn\b([^;]*);", body) for x in literals(m[1])], "calls": [],
+                "reads_input": auth.reads_input(body), "fields": auth.input_fields(body), "keys": re.findall(r"\$\w+\s*\[\s*['\"]([\w.]+)['\"]\s*\]\s*=[^=]", body), "has_nonce": auth.has_nonce(body), "capability": auth.capability_in(body), "literals": [x for m in re.finditer(r"\breturn\b([^;]*);", body) for x in literals(m[1])], "calls": [], "first_field": auth.first_field(body), "query_var": auth.query_var(body),
             }
         )
 
@@ -465,5 +467,6 @@ def facts(text: str, config: Config | None = None) -> str:
     drop = {"first", "last", "body"}
     kept = [{k: v for k, v in x.items() if k not in drop} for x in f.functions]
     for x in kept:
+        x["asks"] = [c for kind in (("this", "var"), ("static",)) for c in [c for c, k, _ in x["calls"] if k in kind][:DELEGATES]]
         x["calls"] = sorted({c for c, _, _ in x["calls"]})
     return json.dumps({"functions": kept, "classes": [{k: v for k, v in c.items() if k not in drop} for c in f.classes], "calls": f.calls, "symbols": f.symbols, "foreachs": f.foreachs, "includes": f.includes, "namespace": f.namespace, "uses": f.uses, "direct": f.direct(), "header": header(text)})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 
-_FN = "array<struct<name:string,class:string,is_closure:boolean,is_static:boolean,visibility:string,params:array<string>,off:int,end_off:int,line:int,level:int,guard:int,returns:int,returns_of:array<string>,reads_input:boolean,has_nonce:boolean,fields:array<string>,keys:array<string>,capability:string,literals:array<string>,calls:array<string>>>"
+_FN = "array<struct<name:string,class:string,is_closure:boolean,is_static:boolean,visibility:string,params:array<string>,off:int,end_off:int,line:int,level:int,guard:int,returns:int,returns_of:array<string>,reads_input:boolean,has_nonce:boolean,fields:array<string>,keys:array<string>,capability:string,literals:array<string>,calls:array<string>,asks:array<string>,first_field:string,query_var:string>>"
 _CLASS = "array<struct<name:string,fqn:string,kind:string,parent:string,interfaces:array<string>,traits:array<string>,off:int,end_off:int,line:int>>"
 _ITEM = "array<struct<arg:int,grp:int,key:string,value:string,val:string,cb:string>>"
 _CALL = f"array<struct<off:int,line:int,callee:string,receiver_kind:string,receiver:string,args:array<string>,vals:array<string>,callbacks:array<string>,items:{_ITEM},raw:string,enclosing_class:string,enclosing_fn:string,context_level:int,raw_level:int,before:string>>"
