@@ -152,7 +152,7 @@ def match_manual(manual: DataFrame, detected: DataFrame, least: float = 0.5) ->
     score = F.when(F.col("norm") == F.col("fnorm"), 2.0).otherwise(R.fuzzy_score(F.col("key"), F.col("fkey")))
     pairs = m.join(d, ["plugin_slug", "type"]).withColumn("score", score).where(F.col("score") >= least)
     best = pairs.groupBy("plugin_slug", "type", "route").agg(F.max(F.struct("score", F.col("found"))).alias("b"))
-    return m.join(best, ["plugin_slug", "type", "route"], "left").select("plugin_slug", "type", "route", F.col("b.found").alias("matched"), F.least(F.col("b.score"), F.lit(1.0)).alias("score"))
+    return m.join(best, ["plugin_slug", "type", "route"], "left").select("plugin_slug", "type", "route", F.col("b.found").alias("matched"), F.when(F.col("b.score") > 1, 1.0).otherwise(F.col("b.score")).alias("score"))
 
 
 def validation_metrics(matched: DataFrame) -> DataFrame:

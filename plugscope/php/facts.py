@@ -102,6 +102,7 @@ class File:
         if j >= len(self.tokens):
             return
         end, traits, name = self.src.close(j), [], self.tokens[i + 1].text
+        self.classes.append({"name": name, "fqn": f"{self.namespace}\\{name}" if self.namespace else name, "kind": kind, "parent": parent, "interfaces": interfaces, "traits": traits, "off": self.tokens[i].start, "end_off": self.tokens[end].end, "line": self.src.line(self.tokens[i].start), "first": j, "last": end})
         k = j + 1
         while k < end:
             x = self.tokens[k]
@@ -125,7 +126,6 @@ class File:
                 self._symbol(kind_of, x.text[1:], k + 2, stop, x.start, name)
                 k = stop
             k += 1
-        self.classes.append({"name": name, "fqn": f"{self.namespace}\\{name}" if self.namespace else name, "kind": kind, "parent": parent, "interfaces": interfaces, "traits": traits, "off": self.tokens[i].start, "end_off": self.tokens[end].end, "line": self.src.line(self.tokens[i].start), "first": j, "last": end})
 
     def _statement_end(self, i: int) -> int:
         while i < len(self.tokens) and self.tokens[i].text != ";":
@@ -143,7 +143,7 @@ class File:
             self.scope.consts[name] = value
         else:
             self.scope.props[name] = value
-        self.symbols.append({"class": cls, "kind": kind, "name": name, "value": value, "off": off})
+        self.symbols.append({"class": cls, "kind": kind, "name": name, "value": value, "raw": self.src.span(first, last), "off": off})
 
     def _class_at(self, off: int) -> dict | None:
         held = [c for c in self.classes if c["off"] <= off < c["end_off"]]
@@ -196,6 +196,8 @@ class File:
     def _assignments(self) -> None:
         for i, t in enumerate(self.tokens):
             if t.kind == "var" and self._is(i + 1, "=") and (i == 0 or self.tokens[i - 1].text not in ("->", "::")):
+                if self._class_at(t.start) and not self._function_at(t.start):
+                    continue  # a property
                 end = self._statement_end(i)
                 self.scope.assigns.append((t.start, t.text[1:], i + 2, end))
                 self.symbols.append({"class": "", "kind": "var", "name": t.text[1:], "value": self.src.span(i + 2, end), "off": t.start})

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cases, tools
 from .config import Config, capability_dim
 from .functions import rules as R
 from .functions import words as W
@@ -101,13 +102,13 @@ def rest_multi_definitions(spark, sf_dir):
     return detect.rest(facts).select("route", "method")
 
 
-@_query("""SELECT '/wp-json/own' || n_nationkey || '/v2/z' || n_nationkey AS route, 'own' || n_nationkey || '/v2' AS namespace, CAST(1 AS INTEGER) AS line_after_first FROM nation""")
+@_query("""SELECT '/wp-json/own' || n_nationkey || '/v2/z' || n_nationkey AS route, 'own' || n_nationkey || '/v2' AS namespace, CAST(3 AS INTEGER) AS line FROM nation""")
 def rest_symbol_resolution(spark, sf_dir):
     """Namespaces from constants, properties, variables and concatenations."""
     key = F.col("n_nationkey")
     ref = F.when(key % 3 == 0, "self::NS").when(key % 3 == 1, "$this->space").otherwise("$ns")
     facts = _nation(spark, sf_dir, "class A { const NS = 'own", key, "/v2'; protected $space = 'own", key, "/v2'; function go() { $ns = 'own", key, "' . '/v2';\nregister_rest_route(", ref, ", '/z' . ", key, ", ['callback' => 'c', 'permission_callback' => '__return_true']); } }")
-    return detect.rest(facts).select("route", "namespace", F.lit(1).alias("line_after_first"))
+    return detect.rest(facts).select("route", "namespace", F.col("line").cast("int").alias("line"))
 
 
 @_query(
@@ -338,7 +339,11 @@ def filter_auth(spark, sf_dir):
 
 @_query(f"SELECT o_orderkey FROM {_ORDERS_SQL} WHERE type = 'rest' AND plugin_slug = 'p7'")
 def filter_type(spark, sf_dir):
-    return _orders(spark, sf_dir).where("type = 'rest' and plugin_slug = 'p7'").select("o_orderkey")
+    """Accessors of an analysis: by type, then by plugin."""
+    from .plans.analyze import Analysis
+
+    of = lambda rows: Analysis(rows, None, None)
+    return of(of(_orders(spark, sf_dir)).by_type("rest")).by_plugin("p7").select("o_orderkey")
 
 
 @_query(f"SELECT auth_level, {LEVEL_SQL.format(x='auth_level')} AS name, count(*) AS n FROM {_ORDERS_SQL} GROUP BY auth_level")
@@ -424,11 +429,21 @@ def reachable_includes(spark, sf_dir):
     return graph.closure(graph.include_edges(facts.files, facts.includes), roots).select("root", F.col("node").alias("file"))
 
 
-@_query("""SELECT 'n' || s_nationkey AS plugin_slug, 's' || s_suppkey || '.php' AS file FROM supplier""")
+@_query(
+    """SELECT 'n' || s_nationkey AS plugin_slug, p || s_suppkey || '.php' AS file FROM supplier, (VALUES ('root', 0), ('inc/deep', 0), ('inc/more', 1), ('lib/class-k', 2), ('templates/t', 3)) v(p, c) WHERE c = 0 OR s_suppkey % 4 = c"""
+)
 def reachable_files(spark, sf_dir):
-    """Files that requests reach: root files here are all of them."""
-    facts = _supplier(spark, sf_dir, "add_action('init', 'f", _key(), "'); function f", _key(), "() {}")
-    return graph.reachable_files(facts, detect.ajax(facts)).select("plugin_slug", "file")
+    """Root files, then what they include, what that includes, classes they name, and templates; nested files that nothing names stay out."""
+    s = _table(spark, sf_dir, "supplier")
+    k, kind = _key().cast("string"), _key() % 4
+    root = F.concat(F.lit("<?php add_action('wp_ajax_f', 'f"), k, F.lit("'); function f"), k, F.lit("() {} require __DIR__ . '/inc/deep"), k, F.lit(".php';"), F.when(kind == 2, F.concat(F.lit(" new Lib_K"), k, F.lit("();"))).otherwise(""))
+    deep = F.concat(F.lit("<?php "), F.when(kind == 1, F.concat(F.lit("include 'more"), k, F.lit(".php';"))).otherwise(""))
+    made = [("root", root), ("inc/deep", deep), ("inc/more", F.lit("<?php echo 1;")), ("lib/class-k", F.concat(F.lit("<?php class Lib_K"), k, F.lit(" {}"))), ("other/unnamed", F.lit("<?php echo 2;"))]
+    rows = [F.struct(F.concat(F.lit(p), k, F.lit(".php")).alias("file"), c.cast("binary").alias("content")) for p, c in made]
+    page = F.struct(F.concat(F.lit("templates/t"), k, F.lit(".php")).alias("file"), F.lit("<?php echo 3;").cast("binary").alias("content"))
+    files = s.withColumn("r", F.explode(F.concat(F.array(*rows), F.when(kind == 3, F.array(page)).otherwise(F.array())))).select(F.concat(F.lit("n"), "s_nationkey").alias("plugin_slug"), "r.*")
+    facts = build(files)
+    return graph.reachable_files(facts, detect.ajax(facts).unionByName(detect.hook_input(facts)).unionByName(detect.direct_files(facts))).select("plugin_slug", "file")
 
 
 @_query("""SELECT 'a' || n_nationkey AS name, ['b' || n_nationkey, 'c' || n_nationkey] AS function_calls FROM nation""")
@@ -488,7 +503,7 @@ def installs_bucket(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", R.install_bucket(n).alias("bucket"))
 
 
-@_query("""SELECT doc_id, length(text) + 13 AS n, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, true AS blank FROM documents WHERE NOT contains(text, '*/')""")
+@_query("""SELECT doc_id, coalesce(length(text), 0) + 13 AS n, coalesce(length(text) - length(replace(text, chr(10), '')), 0) + 1 AS lines, true AS blank FROM documents""")
 def strip_comments_len(spark, sf_dir):
     """Comments are blanked; length and line breaks stay."""
     from .php.lexer import strip_comments
@@ -497,7 +512,8 @@ def strip_comments_len(spark, sf_dir):
     def strip(s):
         return s.map(strip_comments)
 
-    d = _table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("*/"))).withColumn("s", strip(F.concat(F.lit("<?php /*"), "text", F.lit("*/\n1;"))))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("* "))  # a comment's end cannot stand inside it
+    d = _table(spark, sf_dir, "documents").withColumn("s", strip(F.concat(F.lit("<?php /*"), text, F.lit("*/\n1;"))))
     breaks = F.length("s") - F.length(F.replace("s", F.lit("\n"), F.lit("")))
     return d.select("doc_id", F.length("s").cast("long").alias("n"), breaks.cast("long").alias("lines"), (F.trim(F.regexp_replace("s", r"\s+", " ")) == "<?php 1;").alias("blank"))
 
@@ -518,27 +534,36 @@ def route_heuristics(spark, sf_dir):
 
 
 @_query(
-    """WITH m AS (SELECT DISTINCT p_brand AS b, 'a/v1/' || lower(replace(p_type, ' ', '/')) AS route FROM part WHERE p_partkey % 2 = 0), d AS (SELECT DISTINCT p_brand AS b, 'a/v1/' || lower(replace(p_type, ' ', '/')) AS route FROM part WHERE p_partkey % 2 = 1)
-SELECT b AS plugin_slug, m.route, CAST(1.0 AS DOUBLE) AS score FROM m WHERE EXISTS (SELECT 1 FROM d WHERE d.b = m.b AND d.route = m.route)"""
+    """SELECT 'p' || p_partkey AS plugin_slug, '/wp-json/a/v1/' || CASE p_partkey % 6 WHEN 0 THEN 'items' WHEN 1 THEN 'items/{id}' WHEN 2 THEN 'catalogue' WHEN 3 THEN 'orders/cancel/all' WHEN 4 THEN 'orders/list' ELSE 'zzz' END AS route,
+CAST(CASE p_partkey % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 WHEN 3 THEN 0.6 WHEN 4 THEN 0.8 END AS DOUBLE) AS score FROM part"""
 )
 def fuzzy_match(spark, sf_dir):
-    """Manual routes with their best detected route, here the exact ones."""
-    p = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("plugin_slug"), F.lit("rest").alias("type"), F.concat(F.lit("a/v1/"), F.lower(F.replace("p_type", F.lit(" "), F.lit("/")))).alias("route"), "p_partkey")
-    return report.match_manual(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1")).where("score = 1.0 and route = matched").select("plugin_slug", "route", "score")
+    """Manual routes with the score of their best detected route: equal, the same last part, a contained one, shared parts, none."""
+    k = F.col("p_partkey") % 6
+    pick = lambda *routes: F.element_at(F.array(*map(F.lit, routes)), (k + 1).cast("int"))
+    p = _table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("plugin_slug"), F.lit("rest").alias("type"), "p_partkey")
+    manual = p.withColumn("route", F.concat(F.lit("/wp-json/a/v1/"), pick("items", "items/{id}", "catalogue", "orders/cancel/all", "orders/list", "zzz")))
+    detected = p.withColumn("route", pick("/wp-json/a/v1/items", "/wp-json/a/v1/items/{key}", "/wp-json/b/v2/catalogue", "/wp-json/a/v1/orders/cancel/one", "/wp-json/a/v1/orders/list/all", "/wp-json/b/q"))
+    return report.match_manual(manual, detected).select("plugin_slug", "route", "score")
 
 
-@_query("""SELECT conv_id, turn, last_value(h IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS level FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'admin' WHEN 'system' THEN 'editor' END AS h FROM conversations)""")
+@_query(
+    """WITH l AS (SELECT s_nationkey AS f, s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 'admin' WHEN 3 THEN 'subscriber' END AS h FROM supplier), c AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY f ORDER BY k ROWS UNBOUNDED PRECEDING) AS level FROM l)
+SELECT 'f' || f AS file, CAST(k AS BIGINT) AS line_no, level, CASE k % 5 WHEN 1 THEN '/wp-json/a/' WHEN 2 THEN 'wp_ajax_b' ELSE 'admin.php?page=' END || k AS route, CASE k % 5 WHEN 1 THEN 'rest' WHEN 2 THEN 'ajax' ELSE 'admin' END AS type FROM c WHERE h IS NULL AND level IS NOT NULL"""
+)
 def carry_forward(spark, sf_dir):
-    """Section headers hold for the lines after them."""
-    h = F.when(F.col("role") == "user", "admin").when(F.col("role") == "system", "editor")
-    over = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(h, True).over(over).alias("level"))
+    """Manual truth: section headers hold for the lines after them."""
+    k = _key() % 5
+    text = F.when(k == 0, "== Admin endpoints ==").when(k == 3, "SUBSCRIBER:").otherwise(F.concat(F.when(k == 1, "  /wp-json/a/").when(k == 2, "wp_ajax_b").otherwise("admin.php?page="), _key()))
+    lines = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), "s_nationkey").alias("file"), _key().alias("line_no"), text.alias("value"))
+    return corpus.manual_truth(lines)
 
 
-@_query("""SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, event_type, user_id LIMIT 20""")
+@_query("""SELECT 'ajax' AS type, event_type || '/x' || user_id AS pattern, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, type, pattern LIMIT 20""")
 def topn_missed(spark, sf_dir):
-    """The 20 most frequent patterns, a report's limit."""
-    return _table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type", "user_id").limit(20)
+    """The 20 most frequent patterns without a match, a report's limit."""
+    rows = _table(spark, sf_dir, "events").select(F.lit("ajax").alias("type"), F.concat(F.lit("/"), "event_type", F.lit("/x"), "user_id", F.lit("/y"), "event_id").alias("route"), F.lit(None).cast("string").alias("matched"))
+    return report.missed_patterns(rows)
 
 
 @_query("""SELECT 'F' || n_nationkey || '.php' AS file, '/wp-json/k' || n_nationkey || '/v1/r' AS route, ' [resolved-from-constant:NSX' || n_nationkey || ']' AS tag FROM nation""")
@@ -601,8 +626,8 @@ UNION ALL SELECT 'n' || s_nationkey, 'direct', 's' || s_suppkey || '.php', 'GET/
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | cases.queries() | tools.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | cases.oracle_sql() | tools.oracle_sql()

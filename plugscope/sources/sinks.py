@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words as W
@@ -33,16 +34,44 @@ def _sections(endpoints: DataFrame) -> Iterator[tuple[list[str], dict]]:
         yield lead, row.asDict()
 
 
+def head_column() -> Column:
+    """Verb and route of a REST endpoint, else the type's label and the route."""
+    label = F.lit("")
+    for kind, text in _LABEL.items():
+        label = F.when(F.col("type") == kind, text).otherwise(label)
+    verb = F.when(F.coalesce("method", F.lit("")) == "", "GET").otherwise(F.col("method"))
+    return F.when(F.col("type") == "rest", F.concat(verb, F.lit(" "), "route")).otherwise(F.concat(label, "route"))
+
+
+def line_column(endpoints: DataFrame) -> Column:
+    """An endpoint's line: head, callback, input fields of shortcodes, and what it calls."""
+    line = F.concat(head_column(), F.when(F.col("callback").isin(*HIDDEN), "").otherwise(F.concat(F.lit(" -> "), "callback")))
+    line = F.concat(line, F.when((F.col("type") == "shortcode") & (F.col("raw_code") != ""), F.concat(F.lit(" "), "raw_code")).otherwise(""))
+    if "function_calls" in endpoints.columns:
+        line = F.concat(line, F.when(F.size("function_calls") > 0, F.concat(F.lit(" ["), F.array_join("function_calls", ", "), F.lit("]"))).otherwise(""))
+    return line
+
+
+def text_lines(endpoints: DataFrame) -> DataFrame:
+    """(auth_level, kind, text) of the report in order: a section's title (kind 0), then its endpoints (kind 1)."""
+    title = F.lit("")
+    for k, name in enumerate(W.LEVELS):
+        title = F.when(F.col("auth_level") == k, _TITLE.get(k, name.upper())).otherwise(title)
+    counts = endpoints.groupBy("auth_level").agg(F.count("*").alias("n"))
+    heads = counts.select("auth_level", F.lit(0).alias("kind"), F.concat(title, F.lit(" ENDPOINTS ("), "n", F.lit(")")).alias("text"), *[F.lit(None).alias(c) for c in ORDER[1:]])
+    rows = endpoints.select("auth_level", F.lit(1).alias("kind"), line_column(endpoints).alias("text"), *ORDER[1:])
+    return heads.unionByName(rows).orderBy("auth_level", "kind", *ORDER[1:]).select("auth_level", "kind", "text")
+
+
+def write_text(endpoints: DataFrame, path: str) -> None:
+    """The report's lines as text files, in order over files."""
+    text_lines(endpoints).select("text").write.text(path)
+
+
 def text_report(endpoints: DataFrame) -> Iterator[str]:
     """One line an endpoint, in sections by level."""
-    for lead, r in _sections(endpoints):
-        yield from lead
-        line = _head(r) + ("" if r["callback"] in HIDDEN else f" -> {r['callback']}")
-        if r["raw_code"] and r["type"] == "shortcode":
-            line += f" {r['raw_code']}"
-        if r.get("function_calls"):
-            line += f" [{', '.join(r['function_calls'])}]"
-        yield line
+    for r in text_lines(endpoints).toLocalIterator():
+        yield from [r["text"]] if r["kind"] else ["", RULE, r["text"], RULE]
 
 
 def _tree(paths: list[list[str]]) -> dict:
@@ -77,6 +106,26 @@ def nested(paths: list[list[str]]) -> list[dict]:
     return [node(*x) for x in _tree(paths).items()]
 
 
+def tree_column(paths: Column, lead: str = "") -> Column:
+    """Box drawing of the call paths of each row, a line a node."""
+
+    @F.pandas_udf("string")
+    def draw(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: "" if x is None else "\n".join(render_tree([list(p) for p in x], lead)))
+
+    return draw(paths)
+
+
+def chain_column(paths: Column) -> Column:
+    """Call paths of each row as JSON of nested nodes."""
+
+    @F.pandas_udf("string")
+    def chain(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: json.dumps(nested([] if x is None else [list(p) for p in x]), ensure_ascii=False))
+
+    return chain(paths)
+
+
 def chain_report(endpoints: DataFrame) -> Iterator[str]:
     """Endpoints with ``paths`` as call trees."""
     for lead, r in _sections(endpoints):

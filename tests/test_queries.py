@@ -9,7 +9,7 @@ from plugscope import queries as Q
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = [n for n in Q.oracle_sql() if n not in ("full_analysis", "reachable_files")]
+NAMES = list(Q.oracle_sql())
 
 
 def normal(df):
@@ -28,7 +28,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", NAMES)
 def test_same_as_sql(spark, con, name):
     assert normal(Q.queries()[name](spark, SF).toPandas()).equals(normal(con.sql(Q.oracle_sql()[name]).df()))
 
