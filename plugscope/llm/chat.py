@@ -123,6 +123,38 @@ def read_role(prefix: str, template: Template) -> str:
     return unescape(prefix[len(lead) : len(prefix) - len(trail)])
 
 
+def parse(formatted: str, template: Template | None = None) -> list[tuple[str, str]]:
+    """(role, text) of the turns of a formatted conversation, from its text alone."""
+    template = template or Template()
+    marks = {prefix: (role, suffix) for role, (prefix, suffix, _) in template.roles.items()}
+    lead, trail = template.other[0].split("{role}")
+    control = re.compile("|".join(re.escape(c) for c in sorted(template.controls, key=len, reverse=True)))
+    out, at = [], 0
+
+    def upto(mark: str, start: int) -> int:
+        """Place of the next control string, which must be ``mark``."""
+        found = control.search(formatted, start)
+        if not found or not formatted.startswith(mark, found.start()):
+            raise ValueError(f"{mark} expected after {start}")
+        return found.start()
+
+    while at < len(formatted):
+        named = next((p for p in sorted(marks, key=len, reverse=True) if formatted.startswith(p, at)), None)
+        if named is not None:
+            role, suffix = marks[named]
+            at += len(named)
+        elif formatted.startswith(lead, at):
+            end = upto(trail, at + len(lead))
+            role, suffix = unescape(formatted[at + len(lead) : end]), template.other[1]
+            at = end + len(trail)
+        else:
+            raise ValueError(f"no turn begins at {at}")
+        end = upto(suffix, at)
+        out.append((role, unescape(formatted[at:end])))
+        at = end + len(suffix)
+    return out
+
+
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 

@@ -5,12 +5,14 @@ the cut whatever lies beyond its neighbours: between a character that is not whi
 followed by one that is not. Leaves hold the segments' token counts, inner nodes the sums. An edit
 re-encodes the segments it touches; where it changes the characters around a cut, the neighbour on
 that side is taken along as boundary context until the region ends at safe cuts. New counts go into
-the touched leaves and up their paths. When a leaf grows beyond ``LARGE`` segments the tree is rebuilt
-from its leaves, without encoding them again.
+the touched leaves and up their paths. A region beyond ``LARGE`` segments is cut anew and the tree rebuilt
+around it, the other leaves with their counts. ``tree_column`` gives trees to be stored, and
+``edited_column`` applies later edits to stored trees.
 
 Edge cases: a null text is empty; a null list of edits is none; edits apply in order, each to the
 text that the earlier ones left; their places are clamped to the text; an edit with a null text
-deletes. Repeated rows are counted each. Extra columns pass through;
+deletes. A very long text without safe cuts (no single spaces) is one segment, which each edit encodes
+again. There are no ties; an empty table gives no row. Repeated rows are counted each. Extra columns pass through;
 one of the result's own name is replaced.
 """
 
@@ -107,11 +109,14 @@ class SegmentTree:
         while last + 1 < len(self.texts) and not self._border(last + 1, region, False):
             last += 1
             region += self.texts[last]
-        self._set(first, region, self._count(region))
+        parts = segments(region) if len(region) > LARGE * SEGMENT else [region]
+        counts = [self._count(p) for p in parts]
         for leaf in range(first + 1, last + 1):
             self._set(leaf, "", 0)
-        if len(region) > LARGE * SEGMENT:
-            self._rebuild(first, region)
+        if len(parts) == 1:
+            self._set(first, region, counts[0])
+        else:
+            self._rebuild(first, parts, counts)
 
     def _border(self, leaf: int, region: str, left: bool) -> bool:
         other = self.texts[leaf]
@@ -119,18 +124,26 @@ class SegmentTree:
             return False
         return safe_cut(other + region[:2], len(other)) if left else safe_cut(region + other[:2], len(region))
 
-    def _rebuild(self, leaf: int, region: str) -> None:
-        parts = segments(region)
-        texts, counts = [], []
-        for k, text in enumerate(self.texts):
-            if k == leaf:
-                texts += parts
-                counts += [self._count(p) for p in parts]
-            elif text:
-                texts.append(text)
-                counts.append(self.sums[self.width + k])
-        self.texts = texts or [""]
-        self._build(counts or [0])
+    def _rebuild(self, leaf: int, parts: list[str], counts: list[int]) -> None:
+        """The tree with ``parts`` in the place of a leaf; other leaves keep their counts."""
+        kept = [(t, self.sums[self.width + k]) for k, t in enumerate(self.texts)]
+        kept[leaf : leaf + 1] = zip(parts, counts)
+        kept = [x for x in kept if x[0]] or [("", 0)]
+        self.texts = [t for t, _ in kept]
+        self._build([n for _, n in kept])
+
+    @classmethod
+    def stored(cls, texts: list[str], counts: list[int], encode: Encoder) -> SegmentTree:
+        """A tree of stored segments; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree._encode, tree.encoded, tree.texts = encode, 0, list(texts) or [""]
+        tree._build(list(counts) or [0])
+        return tree
+
+    def leaves(self) -> tuple[list[str], list[int]]:
+        """Segments and their counts, as ``stored`` takes them."""
+        held = [(t, self.sums[self.width + k]) for k, t in enumerate(self.texts) if t]
+        return [t for t, _ in held], [n for _, n in held]
 
     def text(self) -> str:
         return "".join(self.texts)
@@ -159,6 +172,41 @@ def count_column(text: Column, edits: Column, tokenizer: str = TOKENIZER) -> Col
     return counted(text, edits)
 
 
+TREE = "struct<segments:array<string>,counts:array<long>,reencoded_chars:long>"
+
+
+def tree_column(text: Column, tokenizer: str = TOKENIZER) -> Column:
+    """The segment tree of each whole text, to be stored: its leaves, from which sums follow without encoding."""
+
+    @F.pandas_udf(TREE)
+    def built(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode = encoder(tokenizer)
+        for texts in batches:
+            trees = [SegmentTree(t or "", encode) for t in texts]
+            yield pd.DataFrame([(*t.leaves(), t.encoded) for t in trees], columns=["segments", "counts", "reencoded_chars"])
+
+    return built(text)
+
+
+def edited_column(tree: Column, edits: Column, tokenizer: str = TOKENIZER) -> Column:
+    """Stored trees after ``edits``; only what the edits touch, with its boundary context, is encoded."""
+
+    @F.pandas_udf(TREE)
+    def edited(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        encode = encoder(tokenizer)
+        for texts, counts, lists in batches:
+            rows = []
+            for held, n, edit_list in zip(texts, counts, lists):
+                t = SegmentTree.stored(held if held is not None else [], n if n is not None else [], encode)
+                for e in [] if edit_list is None else edit_list:
+                    if e is not None:
+                        t.edit(int(e["start"] or 0), int(e["end"] or 0), e["text"] or "")
+                rows.append((*t.leaves(), t.encoded))
+            yield pd.DataFrame(rows, columns=["segments", "counts", "reencoded_chars"])
+
+    return edited(tree["segments"], tree["counts"], edits)
+
+
 def with_counts(docs: DataFrame, edits: Column, text_col: str = "text", out: str = "counts") -> DataFrame:
     """``docs`` with a struct of token counts before and after the edits of each row."""
     return docs.withColumn(out, count_column(F.col(text_col), edits))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -26,10 +26,10 @@ WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 12
 EMBED = 8
-#: Bounds of the training sample: rows per language, languages, windows per row.
+#: Bounds of the training sample: rows of a language, rows of all languages, windows of a row (spread over its whole text).
 SAMPLE_ROWS = 1200
-SAMPLE_LANGS = 64
-SAMPLE_WINDOWS = 3
+SAMPLE_ALL = 100_000
+SAMPLE_WINDOWS = 16
 STEPS = 500
 BATCH = 96
 _LETTER = re.compile(r"[^\W\d_]")
@@ -129,25 +129,29 @@ def _sampled_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Train on a bounded sample: at most SAMPLE_ROWS rows of each of SAMPLE_LANGS languages.
+    """Train on a bounded sample of every language: at most SAMPLE_ROWS rows of each, and SAMPLE_ALL in all.
 
     Rows are picked by a hash of their id, so that the sample does not depend on the order of rows.
     """
+    spark = rows.sparkSession
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row of each language
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.15 * SAMPLE_ROWS / n))])
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_ALL // len(counts)))
+    share = spark.createDataFrame([(k, min(1.0, 1.15 * most / n + 30 / n)) for k, n in counts.items()], "lang string, share double")
     hashed = F.xxhash64(F.lit("langid"), F.col("id")).bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(0x1000000))
-    picked = rows.where(F.col("lang").isin(*counts)).where(hashed < share[F.col("lang")])
-    got = picked.mapInPandas(_sampled_windows, "lang string, bytes binary").limit(SAMPLE_LANGS * SAMPLE_ROWS * SAMPLE_WINDOWS).toPandas().sort_values(["lang", "bytes"], kind="stable")
+    likely = rows.withColumn("hash", hashed).join(F.broadcast(share), "lang").where("hash < share")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id", "text"))
+    picked = likely.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "text")
+    got = picked.mapInPandas(_sampled_windows, "lang string, bytes binary").toPandas().sort_values(["lang", "bytes"], kind="stable")
     if not len(got):
         return None
     langs = sorted(got["lang"].unique())
     per = [got[got["lang"] == k]["bytes"].tolist() for k in langs]
     rng = np.random.default_rng(3)
-    even = [[group[i] for i in rng.permutation(len(group))[: SAMPLE_ROWS * SAMPLE_WINDOWS]] for group in per]
-    size = max(map(len, even))
+    size = min(max(map(len, per)), 3 * SAMPLE_ROWS)
+    even = [[group[i] for i in rng.permutation(len(group))[:size]] for group in per]
     even = [(group * (size // len(group) + 1))[:size] for group in even]  # each language counts alike
     windows = np.frombuffer(b"".join(b for group in even for b in group), np.uint8).reshape(-1, WINDOW)
     return train(windows, np.repeat(np.arange(len(langs)), size), langs)

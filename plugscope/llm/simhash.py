@@ -8,7 +8,8 @@ fingerprints are beyond the radius. A bucket gives links that connect the same f
 of its links would; a distributed component search follows.
 
 Edge cases: a null or wordless text has fingerprint 0 and is linked like any other. Fewer words than
-a shingle give one shingle. Repeated rows and equal texts share a fingerprint. Null ids count as the
+a shingle give one shingle. Very long texts are hashed in runs of 65,536 shingles. An empty table has no
+component. Repeated rows and equal texts share a fingerprint. Null ids count as the
 largest. Extra columns are ignored by ``components`` and kept by ``with_fingerprints``,
 which replaces one of the result's own name.
 """
@@ -122,27 +123,28 @@ def _unpack(words: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))
 
 
-def bucket_links(fps: np.ndarray, radius: int = RADIUS, spans: tuple = ()) -> list[tuple[int, int]]:
+def bucket_links(fps: np.ndarray, radius: int = RADIUS, bits: tuple = ()) -> list[tuple[int, int]]:
     """Links of a spanning forest of the graph of all links among distinct fingerprints.
 
-    ``spans``: bit blocks in which the fingerprints may differ. A large bucket is dealt out by each
-    of radius + 1 parts of those bits, in one of which any link agrees; equal parts bound the work.
+    ``bits``: those in which the fingerprints may differ. A large bucket is dealt out by each of
+    radius + 1 parts of those bits, in one of which any link agrees; what is still large, but a quarter
+    of it at most, is dealt out again by the bits that are left.
     """
     n = len(fps)
     if n < 2:
         return []
     if n == 2:
         return [(int(fps[0]), int(fps[1]))] if int(fps[0] ^ fps[1]).bit_count() <= radius else []
-    if n > LARGE and spans:
-        bits = [b for lo, hi in spans for b in range(lo, hi)]
+    if n > LARGE and len(bits) > radius:
         links = []
         for part in range(radius + 1):
             mask = np.uint64(sum(1 << b for b in bits[part :: radius + 1]))
             key = fps & mask
             order = np.argsort(key, kind="stable")
             cuts = np.flatnonzero(np.diff(key[order])) + 1
+            left = tuple(b for b in bits if b not in bits[part :: radius + 1])
             for group in np.split(fps[order], cuts):
-                links += bucket_links(group, radius)
+                links += bucket_links(group, radius, left if 4 * len(group) <= n else ())
         return links
     planes = Planes(fps)
     left = np.zeros(planes.planes.shape[1], np.uint64)
@@ -182,8 +184,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.append(starts[1:], len(k))
         links: list[tuple[int, int]] = []
         for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            spans = tuple(_SPANS[b] for b in range(BLOCKS) if b not in _KEYS[k[s]])
-            links += bucket_links(fp[s:e].view(np.uint64), RADIUS, spans)
+            free = tuple(bit for b in range(BLOCKS) if b not in _KEYS[k[s]] for bit in range(*_SPANS[b]))
+            links += bucket_links(fp[s:e].view(np.uint64), RADIUS, free)
         if links:
             a, b = (np.array(x, np.uint64).view(np.int64) for x in zip(*links))
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])

@@ -94,6 +94,38 @@ def test_language_id(spark):
     assert got["score"].between(0, 1).all()
 
 
+def test_forward_pass_against_loops():
+    """The batched network equals one written with loops over positions, widths and filters."""
+    rng = np.random.default_rng(0)
+    windows = rng.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    m = langid.train(rng.integers(0, 256, (40, langid.WINDOW)).astype(np.uint8), rng.integers(0, 3, 40), ["a", "b", "c"])
+    for w, got in zip(windows, m.logits(windows)):
+        hidden = []
+        for f in range(langid.FILTERS * len(langid.WIDTHS)):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            kernel = m.kernel.reshape(max(langid.WIDTHS), langid.EMBED, -1)[:, :, f]
+            assert not kernel[width:].any()
+            best = max(sum(float(m.embed[w[p + j]] @ kernel[j]) for j in range(width)) for p in range(langid.WINDOW - max(langid.WIDTHS) + 1))
+            hidden.append(max(best + m.bias[f], 0))
+        assert np.allclose(got, np.array(hidden) @ m.dense + m.offset, atol=1e-3)
+
+
+def test_every_labelled_language_is_a_class(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 40, f"l{i % 80:02d}") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == [f"l{k:02d}" for k in range(80)]
+
+
+def test_one_id_does_not_unbind_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(langid, "STEPS", 2)
+    rows = [(None, "same words here", "a")] * 300 + [(7, "andere Worte", "b")] * 300
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda w, y, names, seed=7: seen.append((len(w), names)))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen == [] or seen[0][0] <= 2 * 3 * 10
+
+
 def test_language_edges(spark, docs, empty):
     model = langid.train(*_toy_windows())
     got = langid.identify(docs, model).toPandas()
@@ -384,6 +416,44 @@ def test_sharding_moves_little(spark):
     assert sum(hi - lo for _, lo, hi, _, _ in plan) == 15
 
 
+def test_ring_against_brute_force():
+    """Each key goes clockwise to the first node of a shard with room, arcs in order, as a plain walk says."""
+    rng = np.random.default_rng(2)
+    places, owners = sharding.ring(5, 7)
+    arcs = np.searchsorted(places, rng.integers(0, 2**64, 400, dtype=np.uint64)) % len(places)
+    counts, room = np.bincount(arcs, minlength=len(places)), sharding.capacities(400, 5)
+    got = {(arc, r): s for arc, lo, hi, s, _ in sharding.runs(counts, owners, room) for r in range(lo, hi)}
+    left, want, spilled = room.copy(), {}, []
+    for arc, n in enumerate(counts):
+        for r in range(n):
+            if left[owners[arc]]:
+                left[owners[arc]] -= 1
+                want[arc, r] = owners[arc]
+            else:
+                spilled.append((arc, r))
+    for arc, r in spilled:
+        step = next(s for s in range(1, len(owners)) if left[owners[(arc + s) % len(owners)]])
+        want[arc, r] = owners[(arc + step) % len(owners)]
+        left[want[arc, r]] -= 1
+    assert got == want and not left.any()
+
+
+def test_one_more_shard_moves_few_keys():
+    keys = sharding._mix(np.arange(1, 100_001).astype(np.uint64))
+    shard_of = {}
+    for shards in (24, 25):
+        places, owners = sharding.ring(shards)
+        arcs = np.searchsorted(places, keys) % len(places)
+        order = np.lexsort((keys, arcs))
+        counts = np.bincount(arcs, minlength=len(places))
+        first = np.cumsum(counts) - counts
+        own = np.empty(len(keys), int)
+        for arc, lo, hi, s, _ in sharding.runs(counts, owners, sharding.capacities(len(keys), shards)):
+            own[order[first[arc] + lo : first[arc] + hi]] = s
+        shard_of[shards] = own
+    assert 0.04 <= (shard_of[24] != shard_of[25]).mean() < 0.12  # a 25th, and what the bounds pass on
+
+
 # 6
 
 def expected_chat(rows):
@@ -415,6 +485,17 @@ def test_escape_is_reversible(text):
     assert chat.unescape(safe) == text and not any(c in safe for c in t.controls)
 
 
+ROLES = st.sampled_from(["system", "user", "assistant", "tool", "", "[/ROLE]\\"])
+
+
+@given(st.lists(st.tuples(ROLES, st.text(alphabet="</s>[INT] \\SYOURE|a\n", max_size=30)), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_formatted_text_is_parsed_back(turns):
+    t = chat.Template()
+    joined = "".join(t.marks(r)[0] + chat.escape(x, t) + t.marks(r)[1] for r, x in turns)
+    assert chat.parse(joined, t) == turns
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "assistant", "x"), (1, 1, "user", None), (None, 0, None, "a"), (2, 0, "system", "s"), (2, 1, "user", "u"), (2, 2, "assistant", "v"), (3, 0, "tool[/ROLE]", "\\"), (3, 0, "tool[/ROLE]", "\\"), (4, None, "user", "q")]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, part int, state string")
@@ -557,6 +638,28 @@ def test_edit_counts(text, edits):
         editcount.SEGMENT = old
 
 
+def test_stored_trees_take_later_edits(spark, reference):
+    docs = table(spark, SF, "documents").where("length(text) > 3000").limit(20)
+    trees = docs.select("doc_id", "text", editcount.tree_column(F.col("text")).alias("tree"))
+    path = new_path(spark, "t-trees")
+    trees.write.parquet(path)
+    edits = queries.edits_of(F.col("doc_id"), F.col("text"))
+    for r in spark.read.parquet(path).withColumn("after", editcount.edited_column(F.col("tree"), edits)).withColumn("edits", edits).collect():
+        text = r["text"]
+        for e in r["edits"]:
+            text = text[: e["start"]] + e["text"] + text[max(e["end"], e["start"]) :] if e["start"] <= len(text) else text + e["text"]
+        assert "".join(r["after"]["segments"]) == text
+        assert sum(r["after"]["counts"]) == len(reference.encode(text, add_special_tokens=False).ids)
+        assert r["after"]["reencoded_chars"] < 0.9 * len(text)
+
+
+def test_edit_nulls(spark):
+    rows = [(1, "one two three", [(0, 3, None), None]), (2, None, [(0, 0, "x")]), (3, "", None), (4, "a b", [(None, None, None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:long,end:long,text:string>>")
+    got = {r["doc_id"]: r["c"] for r in df.select("doc_id", editcount.count_column(F.col("text"), F.col("edits")).alias("c")).collect()}
+    assert [got[k]["chars_after"] for k in (1, 2, 3, 4)] == [10, 1, 0, 3]
+
+
 def test_edit_query(spark, docs, empty, reference):
     src = table(spark, SF, "documents").select("doc_id", "text")
     edits = {r["doc_id"]: (r["text"], r["e"]) for r in src.select("doc_id", "text", queries.edits_of(F.col("doc_id"), F.col("text")).alias("e")).collect()}
@@ -649,6 +752,43 @@ def test_buckets_lose_no_component(large, monkeypatch):
     assert {f: min(g) for g in mine.values() for f in g} == want
 
 
+def test_large_buckets_are_dealt_out_again(monkeypatch):
+    """A bucket whose fingerprints differ in few bits stays large after one deal; no component is lost."""
+    rng = np.random.default_rng(8)
+    bits = tuple(range(0, 40))
+    fps = np.unique(np.bitwise_or.reduce(rng.integers(0, 2, (1500, 12)).astype(np.uint64) << np.array(bits[::4] + (1, 2), np.uint64), axis=1))
+    want = {frozenset(c) for c in brute_components(fps)}
+    monkeypatch.setattr(simhash, "LARGE", 20)
+    root = {int(f): int(f) for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in simhash.bucket_links(fps, 4, bits):
+        assert (a ^ b).bit_count() <= 4
+        root[find(a)] = find(b)
+    groups = {}
+    for f in fps.tolist():
+        groups.setdefault(find(f), set()).add(f)
+    assert {frozenset(g) for g in groups.values()} == want
+
+
+def brute_components(fps):
+    left, out = {int(f) for f in fps}, []
+    while left:
+        queue, group = [left.pop()], set()
+        while queue:
+            at = queue.pop()
+            group.add(at)
+            near = {f for f in left if (f ^ at).bit_count() <= 4}
+            left -= near
+            queue += near
+        out.append(group)
+    return out
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(chain).collect()}
