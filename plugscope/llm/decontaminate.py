@@ -50,7 +50,7 @@ _SEED = 20240117
 _GROUP = 1 << 13
 SEEDS = (8, 7, 6, 5, 4)  # lengths, the first that is sure enough is taken
 SURE = 3  # seeds that the longer lengths need
-_BAND = 32  # diagonals of a band; two neighbours count together
+_BAND = 8  # diagonals of a band; two neighbours count together
 _CHUNK = 1 << 15  # text bytes whose seeds are looked up at once
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
 
