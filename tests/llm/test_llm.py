@@ -123,7 +123,7 @@ def test_one_id_does_not_unbind_the_sample(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(langid, "train", lambda w, y, names, seed=7: seen.append((len(w), names)))
     langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert seen == [] or seen[0][0] <= 2 * 3 * 10
+    assert seen == [] or seen[0][0] <= 2 * 3 * 10  # windows of two languages
 
 
 def test_language_edges(spark, docs, empty):
