@@ -51,6 +51,7 @@ _GROUP = 1 << 13
 SEEDS = (8, 7, 6, 5, 4)  # lengths, the first that is sure enough is taken
 SURE = 3  # seeds that the longer lengths need
 _BAND = 8  # diagonals of a band; two neighbours count together
+TOGETHER = 2_000_000  # text bytes that are searched at once
 _CHUNK = 1 << 15  # text bytes whose seeds are looked up at once
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -100,12 +101,11 @@ def walk_keys(text: np.ndarray, starts: np.ndarray, sizes: tuple, plan: dict[int
                 wanted.setdefault(int(s), []).append((size, rep))
     keys = {size: np.zeros((len(plan[size]), len(starts)), np.uint64) for size in sizes}
     eight = np.uint64(8)
-    wide = text.astype(np.intp)  # indexes that need no cast
     for i in range(0, len(starts), _GROUP):
         at = starts[i : i + _GROUP].astype(np.intp)
         byte, move = np.empty_like(at), np.empty_like(at)
         for step in range(max(wanted) + 1 if wanted else 0):
-            np.take(wide, at, out=byte, mode="clip")
+            byte[:] = text.take(at, mode="clip")
             for size, rep in wanted.get(step, ()):
                 row = keys[size][rep, i : i + _GROUP]
                 np.left_shift(row, eight, out=row)
@@ -259,7 +259,7 @@ def _seed_table(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> See
     own = keys[starts]
     bits = max(16, math.ceil(math.log2(len(own) * 16)))
     slot = (own * _MIX >> np.uint64(64 - bits)).astype(np.int64)
-    taken, first = np.zeros(1 << bits, bool), np.zeros(1 << bits, np.int64)
+    taken, first = np.zeros(1 << bits, bool), np.zeros(1 << bits, np.int32)
     taken[slot] = True
     first[slot[::-1]] = np.arange(len(own))[::-1]
     run = int(np.diff(np.flatnonzero(np.diff(slot, prepend=-1, append=-1))).max())
@@ -543,7 +543,7 @@ def hits_column(index: Index | None, text: Column, most_edits: float = MOST_EDIT
             for t in texts:
                 part.append((t or "").encode("utf-8", "replace"))
                 size += len(part[-1])
-                if size > 4_000_000:
+                if size > TOGETHER:
                     out += search(index, part, most_edits)
                     part, size = [], 0
             if part:
