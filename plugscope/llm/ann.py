@@ -39,7 +39,7 @@ from .common import materialize
 SAMPLE = 20_000
 TREES = 32
 LEAF = 80  # sampled rows in a leaf, at most
-HELD = 0.4  # of the sample's entries, in the leaves that a query's walk meets
+HELD = 0.7  # of the sample's entries, in the leaves that a query's walk meets
 SHARE = 0.1
 LEAST_CANDIDATES = 400
 BLOCK = 25_000  # rows in a task
