@@ -185,6 +185,29 @@ def test_token_file_layout(spark, docs, empty):
     assert tokenfile.digests(spark, path).count() == 0
 
 
+def rows_scanned(df):
+    """Rows that the scan of an executed query gave on, after stripes and row groups were pruned."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_lookups_are_pruned_by_metadata(spark):
+    import glob
+
+    import pyarrow.orc as orc
+
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text")).repartition(3)
+    path = new_path(spark, "t-orc")
+    tokenfile.write(docs, path)
+    files = [orc.ORCFile(f) for f in glob.glob(path.removeprefix("file://") + "/*.orc")]
+    assert sum(f.nrows for f in files) == 20_000 and {f.row_index_stride for f in files if f.nrows} == {1000}
+    assert rows_scanned(tokenfile.read(spark, path)) == 20_000
+    assert rows_scanned(tokenfile.read(spark, path, F.col("doc_id") == 7776)) <= 1000  # one row group
+    absent = [rows_scanned(tokenfile.read(spark, path, F.col("doc_id") == k)) for k in range(7001, 7021, 2)]
+    assert sum(x == 0 for x in absent) >= 8  # within the bounds of a row group, refused by its Bloom filter
+
+
 # 3
 
 def check_packing(pieces, ids_of):
