@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, editcount, langid, packing, sharding, simhash, tokenfile, urls
+from . import ann, chat, decontaminate, editcount, langid, lexical, merkle, negatives, packing, sharding, simhash, tokenfile, urls
 from .common import new_path, table
 
 SHARDS = 24
@@ -75,6 +75,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_column(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_token_orc, op3_packing, op4_decontamination, op5_sharding, op6_chat, op7_url_filter, op8_nearest, op9_token_counts, op10_simhash, pipeline]
+    found = [op1_language_id, op2_token_orc, op3_packing, op4_decontamination, op5_sharding, op6_chat, op7_url_filter, op8_nearest, op9_token_counts, op10_simhash, op11_lexical_search, op12_fingerprints, op13_hard_negatives, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -96,8 +109,59 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM spl
 """
 
 
+_LEXICAL_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}')) AS t FROM documents),
+i AS (SELECT DISTINCT row, item_id, t FROM (SELECT row, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}')) AS t FROM (SELECT row_number() OVER () AS row, item_id, text FROM benchmark))),
+c AS (SELECT r, doc_id, t, count(*) AS tf FROM d GROUP BY r, doc_id, t),
+size AS (SELECT r, count(*) AS n FROM d GROUP BY r),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM size),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM c GROUP BY t), total),
+s AS (SELECT row, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * docs) // len))))) AS BIGINT) AS score
+  FROM i JOIN c USING (t) JOIN w USING (t) JOIN size USING (r), total GROUP BY row, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_MERKLE_SQL = """
+WITH a AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, sha256(coalesce(text, ''))) AS r, doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT r, doc_id, t, n, n // 4 AS q, coalesce(lead(t) OVER (ORDER BY r), first_value(t) OVER (ORDER BY r)) AS nt FROM a),
+e AS (SELECT *, left(t, n - q) || left(nt, q) AS et FROM p),
+f AS (SELECT *, {root_t} AS rt, {root_e} AS re, {root_n} AS rn, {marks_t} AS mt, {marks_e} AS me, {marks_n} AS mn, {flat_t} AS pt, {flat_e} AS pe FROM e),
+g AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(pt), len(pe)) + 1), lambda k: pt[k] = pe[k]), false) - 1, least(len(pt), len(pe))) AS front FROM f),
+h AS (SELECT *, CAST(coalesce(list_sum(list_transform(pt[1:front], lambda x: length(x))), 0) AS BIGINT) AS b FROM g),
+k AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(pt), len(pe)) + 1), lambda k: pt[len(pt) + 1 - k] = pe[len(pe) + 1 - k]), false) - 1, least(len(pt), len(pe))) AS back FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(et) AS edited_sha256, rt AS fingerprint, re AS edited_fingerprint,
+  CASE WHEN rt = re THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(mt, me)) / (len(mt) + len(me) + 2) END AS near_edited,
+  CASE WHEN rt = rn THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(mt, mn)) / (len(mt) + len(mn) + 2) END AS near_next,
+  CASE WHEN rt <> re THEN b END AS edit_start,
+  CASE WHEN rt <> re THEN greatest(b, CAST(n - coalesce(list_sum(list_transform(pt[len(pt) + 1 - back:], lambda x: length(x))), 0) AS BIGINT)) END AS edit_end
+FROM k
+"""
+
+
+def _merkle_sql() -> str:
+    sections = lambda c: f"string_split(regexp_replace({c}, '(\n\n+)([^\n])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+    paragraphs = lambda c: f"regexp_extract_all({c}, '{merkle.PARAGRAPH}')"
+    digest = lambda c: f"sha256(array_to_string(list_transform({paragraphs(c)}, lambda y: sha256(y)), ''))"
+    root = lambda c: f"sha256(array_to_string(list_transform({sections(c)}, lambda x: {digest('x')}), ''))"
+    runs = lambda c: f"list_distinct(flatten(list_transform({paragraphs(c)}, lambda x: regexp_extract_all(x, '{merkle.MARK}'))))"
+    made = {f"{name}_{short}": of(c) for short, c in (("t", "t"), ("e", "et"), ("n", "nt")) for name, of in (("root", root), ("marks", runs), ("flat", paragraphs))}
+    return _MERKLE_SQL.format(**made)
+
+
+_NEGATIVES_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, v.r, v.vec_id, a.label = v.label AS same, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score FROM v a JOIN v ON a.r <> v.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST, r) AS n FROM s WHERE same) WHERE n <= 5),
+g AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM g WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(str(r) for r in RULES)
-    return {"op7_url_filter": _URL_SQL.format(rules=rules)}
+    return {"op7_url_filter": _URL_SQL.format(rules=rules), "op11_lexical_search": _LEXICAL_SQL.replace("{term}", _TERM), "op12_fingerprints": _merkle_sql(), "op13_hard_negatives": _NEGATIVES_SQL}
 
 
