@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 from ..config import Config
@@ -16,6 +16,9 @@ _DIRECT = re.compile(r"""\$_(?:POST|GET|REQUEST)\s*\[\s*['"]action['"]\s*\]\s*={
 _BOOTSTRAP = re.compile(r"\b(?:ABSPATH|WPINC|WP_UNINSTALL_PLUGIN)\b|function_exists\s*\(\s*['\"](?:add_action|add_filter)['\"]")
 _LITERAL = re.compile(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\"""")
 
+_KEY_FOLLOWS = re.compile(r"\s*=>")
+_BUILTIN_TYPES = frozenset("array callable bool boolean int integer float double string iterable object mixed void null false true never self static parent".split())
+
 DELEGATES = 5  # instance calls, and as many static ones, that a body's level may be delegated to
 
 
@@ -24,8 +27,55 @@ class Scope:
     """What names of a file stand for; the last assignment wins."""
 
     consts: dict[str, str] = field(default_factory=dict)  # NAME and Class::NAME
+    lower: dict[str, str] = field(default_factory=dict)  # the same by lower-case names, the first of each
     props: dict[str, str] = field(default_factory=dict)
-    assigns: list[tuple[int, str, int, int]] = field(default_factory=list)  # offset, variable, tokens of the value
+    assigns: dict[str, tuple[list[int], list[tuple[int, int]]]] = field(default_factory=dict)  # of each variable: offsets, tokens of the values
+
+    def constant(self, name: str, value: str) -> None:
+        self.consts[name] = value
+        self.lower.setdefault(name.lower(), value)
+
+    def assign(self, name: str, off: int, first: int, last: int) -> None:
+        offs, values = self.assigns.setdefault(name, ([], []))
+        offs.append(off)
+        values.append((first, last))
+
+    def last(self, name: str, before: int, since: int = 0) -> tuple[int, int, int] | None:
+        """Offset and tokens of a variable's last assignment in since..before-1."""
+        offs, values = self.assigns.get(name, ((), ()))
+        k = bisect_left(offs, before) - 1
+        return (offs[k], *values[k]) if k >= 0 and offs[k] >= since else None
+
+
+class Nesting:
+    """Innermost span at an offset: a sweep over the spans' ends leaves segments that are found by bisection."""
+
+    def __init__(self, spans: list[dict]):
+        self.starts: list[int] = []
+        self.held: list[tuple[dict, ...]] = []
+        stack: list[dict] = []
+        for x in sorted(spans, key=lambda x: (x["off"], -x["end_off"])):
+            self._close(stack, x["off"])
+            stack.append(x)
+            self._add(x["off"], stack)
+        self._close(stack, None)
+
+    def _close(self, stack: list[dict], before: int | None) -> None:
+        while stack and (before is None or stack[-1]["end_off"] <= before):
+            end = stack.pop()["end_off"]
+            self._add(end, stack)
+
+    def _add(self, off: int, stack: list[dict]) -> None:
+        if self.starts and self.starts[-1] == off:
+            self.held[-1] = tuple(stack)
+        else:
+            self.starts.append(off)
+            self.held.append(tuple(stack))
+
+    def at(self, off: int) -> tuple[dict, ...]:
+        """Spans around an offset, the outermost first."""
+        k = bisect_right(self.starts, off) - 1
+        return self.held[k] if k >= 0 else ()
 
 
 class File:
@@ -45,7 +95,12 @@ class File:
         self.includes: list[dict] = []
         self.namespace = ""
         self.uses: dict[str, str] = {}
+        self._open: list[dict] = []  # classes and functions around the place that _declarations has come to
+        self._inside: tuple[Nesting, Nesting] | None = None
+        self._values: dict[str, list[dict]] = {}  # properties by name
+        self.made: dict[tuple[str, str], str] = {}  # classes of (class, property)
         self._declarations()
+        self._inside = Nesting(self.classes), Nesting(self.functions)
         self._assignments()
         self._calls()
         self._direct_actions()
@@ -101,8 +156,9 @@ class File:
             j += 1
         if j >= len(self.tokens):
             return
-        end, traits, name = self.src.close(j), [], self.tokens[i + 1].text
-        self.classes.append({"name": name, "fqn": f"{self.namespace}\\{name}" if self.namespace else name, "kind": kind, "parent": parent, "interfaces": interfaces, "traits": traits, "off": self.tokens[i].start, "end_off": self.tokens[end].end, "line": self.src.line(self.tokens[i].start), "first": j, "last": end})
+        end, traits, rules, name = self.src.close(j), [], [], self.tokens[i + 1].text
+        self.classes.append({"name": name, "fqn": f"{self.namespace}\\{name}" if self.namespace else name, "kind": kind, "parent": parent, "interfaces": interfaces, "traits": traits, "rules": rules, "off": self.tokens[i].start, "end_off": self.tokens[end].end, "line": self.src.line(self.tokens[i].start), "first": j, "last": end})
+        self._open.append(self.classes[-1])
         k = j + 1
         while k < end:
             x = self.tokens[k]
@@ -114,7 +170,10 @@ class File:
                     if self.tokens[m].kind == "name":
                         traits.append(self._fqn(self.tokens[m].text))
                     m += 1
-                k = self.src.close(m) if self._is(m, "{") else m
+                if self._is(m, "{"):
+                    rules += self._trait_rules(m)
+                    m = self.src.close(m)
+                k = m
             elif x.text.lower() == "const":
                 m = next((m for m in range(k + 1, end) if self.tokens[m].text == "="), end)
                 stop = self._statement_end(m)
@@ -127,6 +186,21 @@ class File:
                 k = stop
             k += 1
 
+    def _trait_rules(self, brace: int) -> list[dict]:
+        """Rules of a trait block: ``A::m insteadof B, C;`` and ``[A::]m as [visibility] [alias];``."""
+        out = []
+        for a, b in self.src.split(brace + 1, self.src.close(brace), ";"):
+            words = [t.text for t in self.tokens[a:b]]
+            at = next((n for n, w in enumerate(words) if w.lower() in ("as", "insteadof")), 0)
+            if not at:
+                continue
+            trait = self._fqn(words[0]) if words[1:2] == ["::"] else ""
+            others = [self._fqn(w) for w in words[at + 1 :] if w != ","] if words[at].lower() == "insteadof" else []
+            names = [w for w in words[at + 1 :] if w.lower() not in ("public", "protected", "private", "final")]
+            if others or names:  # a change of visibility alone names nothing
+                out.append({"trait": trait, "method": words[at - 1], "alias": "" if others else names[0], "instead": others})
+        return out
+
     def _statement_end(self, i: int) -> int:
         while i < len(self.tokens) and self.tokens[i].text != ";":
             if self.tokens[i].text in "([{" and i in self.src.match:
@@ -137,21 +211,34 @@ class File:
     def _symbol(self, kind: str, name: str, first: int, last: int, off: int, cls: str = "") -> None:
         value = self.resolve(first, last, off)
         if kind == "const":
-            self.scope.consts[name] = value
+            self.scope.constant(name, value)
             cls, _, name = name.rpartition("::")
         elif kind == "define":
-            self.scope.consts[name] = value
+            self.scope.constant(name, value)
         else:
             self.scope.props[name] = value
         self.symbols.append({"class": cls, "kind": kind, "name": name, "value": value, "raw": self.src.span(first, last), "off": off})
+        if kind in ("prop", "static"):
+            self._values.setdefault(name, []).append(self.symbols[-1])
+
+    def _around(self, off: int, which: int) -> tuple[dict, ...]:
+        if self._inside is not None:
+            return self._inside[which].at(off)
+        while self._open and self._open[-1]["end_off"] <= off:  # declarations are met in order
+            self._open.pop()
+        return tuple(x for x in self._open if ("params" in x) == bool(which) and x["off"] <= off)
 
     def _class_at(self, off: int) -> dict | None:
-        held = [c for c in self.classes if c["off"] <= off < c["end_off"]]
-        return min(held, key=lambda c: c["end_off"] - c["off"], default=None)
+        held = self._around(off, 0)
+        return held[-1] if held else None
 
     def _function_at(self, off: int) -> dict | None:
-        held = [f for f in self.functions if f["off"] <= off < f["end_off"]]
-        return min(held, key=lambda f: f["end_off"] - f["off"], default=None)
+        held = self._around(off, 1)
+        return held[-1] if held else None
+
+    def _node(self, function: dict) -> str:
+        """A function's name in the call graph; closures are told apart by their place."""
+        return f"{function['class_fqn']}::{function['name']}" if function["class_fqn"] else function["name"]
 
     def _function(self, i: int, word: str) -> None:
         j = i + 1
@@ -162,11 +249,14 @@ class File:
         if not self._is(j, "("):
             return
         close = self.src.close(j)
-        params = []
+        params, types = [], {}
         for a, b in self.src.split(j + 1, close):
             own = [x.text for x in self.tokens[a:b] if x.kind == "var"]
             if own:
                 params.append(own[0][1:])
+                hint = self.tokens[a].text if self.tokens[a].kind == "name" else ""
+                if hint and hint.lower() not in _BUILTIN_TYPES:
+                    types[own[0][1:]] = self._fqn(hint)
         k = close + 1
         while k < len(self.tokens) and self.tokens[k].text not in ("{", ";", "=>"):
             k = self.src.close(k) + 1 if self.tokens[k].text == "(" else k + 1
@@ -186,12 +276,13 @@ class File:
         returns, asked = auth.returns_level(body)
         self.functions.append(
             {
-                "name": name or f"closure@{self.tokens[i].start}", "class": cls["name"] if cls and name else "", "is_closure": not name, "is_static": "static" in mods,
+                "name": name or f"closure@{self.tokens[i].start}", "class": cls["name"] if cls and name else "", "class_fqn": cls["fqn"] if cls and name else "", "is_closure": not name, "types": types, "is_static": "static" in mods,
                 "visibility": next((v for v in ("private", "protected") if v in mods), "public"), "params": params, "off": self.tokens[i].start, "end_off": self.tokens[last].end,
                 "line": self.src.line(self.tokens[i].start), "body": body, "first": k, "last": last, "level": auth.infer_level(body, self.config), "guard": auth.guard_in(body), "returns": returns, "returns_of": asked,
                 "reads_input": auth.reads_input(body), "fields": auth.input_fields(body), "keys": re.findall(r"\$\w+\s*\[\s*['\"]([\w.]+)['\"]\s*\]\s*=[^=]", body), "has_nonce": auth.has_nonce(body), "capability": auth.capability_in(body), "literals": [x for m in re.finditer(r"\breturn\b([^;]*);", body) for x in literals(m[1])], "calls": [], "first_field": auth.first_field(body), "query_var": auth.query_var(body),
             }
         )
+        self._open.append(self.functions[-1])
 
     def _assignments(self) -> None:
         for i, t in enumerate(self.tokens):
@@ -199,10 +290,12 @@ class File:
                 if self._class_at(t.start) and not self._function_at(t.start):
                     continue  # a property
                 end = self._statement_end(i)
-                self.scope.assigns.append((t.start, t.text[1:], i + 2, end))
+                self.scope.assign(t.text[1:], t.start, i + 2, end)
                 self.symbols.append({"class": "", "kind": "var", "name": t.text[1:], "value": self.src.span(i + 2, end), "off": t.start})
             elif t.text == "$this" and self._is(i + 1, "->") and self._kind(i + 2, "name") and self._is(i + 3, "="):
                 end = self._statement_end(i)
+                if made := self._new_at(i + 4):
+                    self.made[(c["fqn"] if (c := self._class_at(t.start)) else "", self.tokens[i + 2].text)] = made
                 if self.tokens[i + 2].text not in self.scope.props:
                     cls = self._class_at(t.start)
                     self._symbol("prop", self.tokens[i + 2].text, i + 4, end, t.start, cls["name"] if cls else "")
@@ -231,21 +324,39 @@ class File:
             kind, found = "variable", literals(self._last_assign(m[1], self.tokens[i].start) or "")
         elif m := re.fullmatch(r"\s*(?:\$this->|self::\$?|static::\$?)(\w+)\s*", source):
             kind = "property"
-            found = [x for s in self.symbols if s["name"] == m[1] and s["kind"] in ("prop", "static") for x in literals(s.get("raw", s["value"]))]
+            found = [x for s in self._values.get(m[1], ()) for x in literals(s["raw"])]
         elif m := re.fullmatch(r"\s*(?:\$\w+->|self::|static::|\w+::)?(\w+)\s*\(\s*\)\s*", source):
             kind, source = "method", m[1]
         self.foreachs.append({"off": self.tokens[i].start, "end_off": self.tokens[min(last, len(self.tokens) - 1)].end, "kind": kind, "source": source.strip(), "literals": found, "loop_var": names[-1] if names else "", "loop_key": names[0] if len(names) > 1 else ""})
 
     def _include(self, i: int, end: int) -> None:
-        raw = self.src.span(i + 1, end)
+        raw, off = self.src.span(i + 1, end), self.tokens[i].start
         parts = literals(raw)
         target = "".join(parts).lstrip("/") if parts else ""
         dynamic = bool(re.search(r"\$(?!this\b)\w+", raw))
-        self.includes.append({"off": self.tokens[i].start, "kind": "dynamic" if dynamic else "literal" if target.endswith(".php") else "fragment", "target": target, "raw": collapse(raw, 200)})
+        around = self._around(off, 1)
+        named = next((f for f in reversed(around) if not f["is_closure"]), None)
+        given = self._flows(i + 1, end, named) if dynamic and named else set()
+        texts = [(x[1] if x[1] is not None else x[2]).replace("\\", "/") for x in _LITERAL.finditer(named["body"])] if given else []
+        hints = [x.strip("/") for x in texts if "/" in x and x.strip("/") and not x.startswith(("http", "//"))]
+        self.includes.append({"off": off, "kind": "dynamic" if dynamic else "literal" if target.endswith(".php") else "fragment", "target": target, "raw": collapse(raw, 200), "node": self._node(named) if named else "", "given": sorted(named["params"].index(p) for p in given), "hints": list(dict.fromkeys(hints))})
+
+    def _flows(self, first: int, last: int, function: dict, depth: int = 0) -> set[str]:
+        """Parameters of a function that an expression is made of, through its variables' last assignments."""
+        found: set[str] = set()
+        for t in self.tokens[first:last]:
+            names = [t.text[1:]] if t.kind == "var" else [m[2] or m[3] or m[5] for m in _INTERPOLATED.finditer(t.text)] if t.kind == "string" and t.text[0] == '"' else []
+            for name in filter(None, names):
+                own = self.scope.last(name, self.tokens[first].start, function["off"])
+                if own and depth < 5:
+                    found |= self._flows(own[1], own[2], function, depth + 1)
+                if name in function["params"] and (own is None or any(x.text == "$" + name for x in self.tokens[own[1] : own[2]])):
+                    found.add(name)
+        return found
 
     def _last_assign(self, name: str, before: int) -> str | None:
-        found = [a for a in self.scope.assigns if a[1] == name and a[0] < before]
-        return self.src.span(found[-1][2], found[-1][3]) if found else None
+        found = self.scope.last(name, before)
+        return self.src.span(*found[1:]) if found else None
 
     def resolve(self, first: int, last: int, off: int, depth: int = 0) -> str:
         """Value of an expression; what stays unknown becomes ``{name}``."""
@@ -290,12 +401,11 @@ class File:
         return f"{{{names[-1]}}}" if names else "{dynamic}"
 
     def _variable(self, name: str, off: int, depth: int) -> str:
-        found = [x for x in self.scope.assigns if x[1] == name and x[0] < off]
         here = self._function_at(off)
-        own = [x for x in found if here and here["off"] <= x[0] < here["end_off"]] or [x for x in found if here is None]
+        own = self.scope.last(name, off, here["off"] if here else 0)
         if own:
-            value = self.resolve(own[-1][2], own[-1][3], own[-1][0], depth + 1)
-            if value and value != "{dynamic}" and self.tokens[own[-1][2]].text not in ("[", "array"):
+            value = self.resolve(own[1], own[2], own[0], depth + 1)
+            if value and value != "{dynamic}" and self.tokens[own[1]].text not in ("[", "array"):
                 return value
         return f"{{{name}}}"
 
@@ -305,8 +415,7 @@ class File:
             cls = c["name"] if c else cls
         found = self.scope.consts.get(f"{cls}::{name}") or self.scope.props.get(name)
         if found is None:
-            lower = f"{cls}::{name}".lower()
-            found = next((v for k, v in self.scope.consts.items() if k.lower() == lower), None)
+            found = self.scope.lower.get(f"{cls}::{name}".lower())
         return found if found is not None else f"{{{name}}}"
 
     def _interpolate(self, text: str, off: int, depth: int) -> str:
@@ -379,28 +488,49 @@ class File:
     def _call(self, i: int, close: int, callee: str, kind: str, receiver: str) -> None:
         off = self.tokens[i].start
         args = self.src.split(i + 2, close)
-        cls, fn = self._class_at(off), self._function_at(off)
-        if fn is not None:
-            fn["calls"].append((callee.rpartition("\\")[2], kind, receiver))
-            for holder in self.functions:  # a closure's calls belong to the function around it, too
-                if holder is not fn and holder["off"] <= off < holder["end_off"]:
-                    holder["calls"].append((callee.rpartition("\\")[2], kind, receiver))
+        cls, around = self._class_at(off), self._around(off, 1)
+        fn = around[-1] if around else None
+        for holder in around:  # a closure's calls belong to the function around it, too
+            holder["calls"].append((callee.rpartition("\\")[2], kind, receiver))
         items = []
         for n, (a, b) in enumerate(args):
             start = a
-            if self.tokens[a].kind == "var" and b - a == 1 and (x := [s for s in self.scope.assigns if s[1] == self.tokens[a].text[1:] and s[0] < off]):
-                start = x[-1][2]  # the last assignment before the call
+            if self.tokens[a].kind == "var" and b - a == 1 and (x := self.scope.last(self.tokens[a].text[1:], off)):
+                start = x[1]  # the last assignment before the call
             items += self._items(n, start, -1, off)
         self.calls.append(
             {
                 "off": off, "line": self.src.line(off), "callee": callee.rpartition("\\")[2], "receiver_kind": kind, "receiver": receiver,
                 "args": [self.src.span(a, b) for a, b in args], "vals": [self.resolve(a, b, off) for a, b in args], "callbacks": [self.callback(a, b) for a, b in args],
-                "items": items, "raw": self.text[off : self.tokens[close].end], "enclosing_class": cls["name"] if cls else "", "enclosing_fn": fn["name"] if fn else "",
+                "items": items, "raw": self.text[off : self.tokens[close].end], "enclosing_class": cls["name"] if cls else "", "enclosing_fn": fn["name"] if fn else "", "class_fqn": cls["fqn"] if cls else "", "type": self._type(kind, receiver, callee, off), "holders": [self._node(f) for f in around],
                 "context_level": auth.infer_level(self.text[max(0, off - 500) : self.tokens[close].end + 500], self.config), "raw_level": auth.infer_level(self.text[off : self.tokens[close].end], self.config),
                 "before": self.text[max(0, off - 200) : off],
             }
         )
 
+    def _type(self, kind: str, receiver: str, callee: str, off: int) -> str:
+        """Class that a call's receiver is of: a name, ``this`` or ``parent``; empty where nothing says so."""
+        if kind in ("this", "static") and receiver.lower() in ("$this", "self", "static"):
+            return "this"
+        if kind == "static":
+            return "parent" if receiver.lower() == "parent" else self._type_of(receiver, off) if receiver.startswith("$") else self._fqn(receiver)
+        if kind == "new":
+            return "" if callee.startswith(("$", "{")) else "this" if receiver.lower() in ("self", "static") else self._fqn(receiver)
+        return self._type_of(receiver, off) if kind == "var" else ""
+
+    def _type_of(self, name: str, off: int) -> str:
+        """Class of a variable or of a property of ``$this``: its last ``new``, or the parameter's type."""
+        if name.startswith("$this->"):
+            return self.made.get((c["fqn"] if (c := self._class_at(off)) else "", name[7:]), "")
+        here = self._function_at(off)
+        last = self.scope.last(name[1:], off, here["off"] if here else 0)
+        if last:
+            return self._new_at(last[1])
+        return here["types"].get(name[1:], "") if here else ""
+
+    def _new_at(self, i: int) -> str:
+        return self._fqn(self.tokens[i + 1].text) if self._is(i, "new") and self._kind(i + 1, "name") and self.tokens[i + 1].text.lower() not in ("self", "static", "class") else ""
+
     def _direct_actions(self) -> None:
         """Comparisons of a request's ``action`` with a literal, as calls of ``__direct_action``."""
         for m in _DIRECT.finditer(self.text):
@@ -408,7 +538,7 @@ class File:
             if name not in ("-1", "false", "0"):
                 lo, hi = max(0, m.start() - 500), m.end() + 500
                 fn, cls = self._function_at(m.start()), self._class_at(m.start())
-                self.calls.append({"off": m.start(), "line": self.src.line(m.start()), "callee": "__direct_action", "receiver_kind": "none", "receiver": "", "args": [m[0]], "vals": [name], "callbacks": ["inline"], "items": [], "raw": m[0], "enclosing_class": cls["name"] if cls else "", "enclosing_fn": fn["name"] if fn else "", "context_level": auth.infer_level(self.text[lo:hi], self.config), "raw_level": 0, "before": ""})
+                self.calls.append({"off": m.start(), "line": self.src.line(m.start()), "callee": "__direct_action", "receiver_kind": "none", "receiver": "", "args": [m[0]], "vals": [name], "callbacks": ["inline"], "items": [], "raw": m[0], "enclosing_class": cls["name"] if cls else "", "enclosing_fn": fn["name"] if fn else "", "class_fqn": cls["fqn"] if cls else "", "type": "", "holders": [self._node(f) for f in self._around(m.start(), 1)], "context_level": auth.infer_level(self.text[lo:hi], self.config), "raw_level": 0, "before": ""})
 
     def direct(self) -> bool:
         """Whether the first 100 lines, without namespace or bootstrap guard, read the request at once."""
@@ -426,17 +556,23 @@ class File:
             return []
         out: list[dict] = []
         for n, (x, y) in enumerate(self.src.split(open_at + 1, self.src.close(open_at))):
-            arrow = next((j for j in range(x, y) if self.tokens[j].text == "=>" and not self._nested(j, x)), None)
+            arrow = self._arrow(x, y)
             if arrow is None:
-                out.append({"arg": arg, "grp": group, "key": f"#{n}", "value": self.src.span(x, y)[:400], "val": self.resolve(x, y, off)[:400], "cb": self.callback(x, y)})
+                out.append({"arg": arg, "grp": group, "key": f"#{n}", "value": self.src.span(x, y), "val": self.resolve(x, y, off), "cb": self.callback(x, y)})
                 if depth < 1:
                     out += self._items(arg, x, n, off, depth + 1)
                 continue
             out.append({"arg": arg, "grp": group, "key": self.resolve(x, arrow, off), "value": self.src.span(arrow + 1, y), "val": self._value(arrow + 1, y, off), "cb": self.callback(arrow + 1, y)})
         return out
 
-    def _nested(self, j: int, x: int) -> bool:
-        return any(self.tokens[k].text in "([{" and k in self.src.match and self.src.match[k] > j for k in range(x, j)) or any(self.tokens[k].text.lower() == "fn" for k in range(x, j))
+    def _arrow(self, x: int, y: int) -> int | None:
+        """The ``=>`` of a pair in x..y-1, outside brackets and before any arrow function."""
+        j = x
+        while j < y and self.tokens[j].text.lower() != "fn":
+            if self.tokens[j].text == "=>":
+                return j
+            j = self.src.match[j] + 1 if self.tokens[j].text in "([{" and j in self.src.match else j + 1
+        return None
 
     def _value(self, a: int, b: int, off: int) -> str:
         toks = [t.text for t in self.tokens[a:b]]
@@ -450,25 +586,27 @@ class File:
 
 def literals(code: str) -> list[str]:
     """String literals in order; keys of pairs are left out."""
-    return [m[1] if m[1] is not None else m[2] for m in _LITERAL.finditer(code) if not re.match(r"\s*=>", code[m.end() :])]
+    return [m[1] if m[1] is not None else m[2] for m in _LITERAL.finditer(code) if not _KEY_FOLLOWS.match(code, m.end())]
 
 
 def header(text: str) -> dict[str, str]:
     """Plugin name and version of starred or slashed comment lines."""
     out = {}
-    for line in text[:8192].splitlines():
+    for line in text.splitlines():
         m = re.match(r"\s*(?:\*|//)\s*(Plugin Name|Version)\s*:\s*(.*?)\s*(?:\*/)?$", line)
         if m:
             out.setdefault(m[1], m[2])
     return out
 
 
-def facts(text: str, config: Config | None = None) -> str:
-    """All facts of a file as JSON, without bodies and token numbers."""
+def facts(text: str, config: Config | None = None) -> dict:
+    """All facts of a file, without bodies and token numbers."""
     f = File(text, config)
-    drop = {"first", "last", "body"}
+    drop = {"first", "last", "body", "types"}
     kept = [{k: v for k, v in x.items() if k not in drop} for x in f.functions]
     for x in kept:
         x["asks"] = [c for kind in (("this", "var"), ("static",)) for c in [c for c, k, _ in x["calls"] if k in kind][:DELEGATES]]
+        # the order in which a capability is looked for: static, instance, plain calls, each as written
+        x["ordered"] = list(dict.fromkeys(c for kinds in (("static",), ("this", "var"), ("none",)) for c, k, _ in x["calls"] if k in kinds))
         x["calls"] = sorted({c for c, _, _ in x["calls"]})
-    return json.dumps({"functions": kept, "classes": [{k: v for k, v in c.items() if k not in drop} for c in f.classes], "calls": f.calls, "symbols": f.symbols, "foreachs": f.foreachs, "includes": f.includes, "namespace": f.namespace, "uses": f.uses, "direct": f.direct(), "header": header(text)})
+    return {"functions": kept, "classes": [{k: v for k, v in c.items() if k not in drop} for c in f.classes], "calls": f.calls, "symbols": f.symbols, "foreachs": f.foreachs, "includes": f.includes, "namespace": f.namespace, "uses": sorted(f.uses.items()), "direct": f.direct()}

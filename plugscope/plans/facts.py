@@ -6,17 +6,21 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..config import Config
 
-_FN = "array<struct<name:string,class:string,is_closure:boolean,is_static:boolean,visibility:string,params:array<string>,off:int,end_off:int,line:int,level:int,guard:int,returns:int,returns_of:array<string>,reads_input:boolean,has_nonce:boolean,fields:array<string>,keys:array<string>,capability:string,literals:array<string>,calls:array<string>,asks:array<string>,first_field:string,query_var:string>>"
-_CLASS = "array<struct<name:string,fqn:string,kind:string,parent:string,interfaces:array<string>,traits:array<string>,off:int,end_off:int,line:int>>"
+_FN = "array<struct<name:string,class:string,class_fqn:string,is_closure:boolean,is_static:boolean,visibility:string,params:array<string>,off:int,end_off:int,line:int,level:int,guard:int,returns:int,returns_of:array<string>,reads_input:boolean,has_nonce:boolean,fields:array<string>,keys:array<string>,capability:string,literals:array<string>,calls:array<string>,ordered:array<string>,asks:array<string>,first_field:string,query_var:string>>"
+_CLASS = "array<struct<name:string,fqn:string,kind:string,parent:string,interfaces:array<string>,traits:array<string>,rules:array<struct<trait:string,method:string,alias:string,instead:array<string>>>,off:int,end_off:int,line:int>>"
 _ITEM = "array<struct<arg:int,grp:int,key:string,value:string,val:string,cb:string>>"
-_CALL = f"array<struct<off:int,line:int,callee:string,receiver_kind:string,receiver:string,args:array<string>,vals:array<string>,callbacks:array<string>,items:{_ITEM},raw:string,enclosing_class:string,enclosing_fn:string,context_level:int,raw_level:int,before:string>>"
-FACTS = f"struct<functions:{_FN},classes:{_CLASS},calls:{_CALL},symbols:array<struct<class:string,kind:string,name:string,value:string,off:int>>,foreachs:array<struct<off:int,end_off:int,kind:string,source:string,literals:array<string>,loop_var:string,loop_key:string>>,includes:array<struct<off:int,kind:string,target:string,raw:string>>,namespace:string,uses:map<string,string>,direct:boolean>"
+_CALL = f"array<struct<off:int,line:int,callee:string,receiver_kind:string,receiver:string,args:array<string>,vals:array<string>,callbacks:array<string>,items:{_ITEM},raw:string,enclosing_class:string,enclosing_fn:string,class_fqn:string,type:string,holders:array<string>,context_level:int,raw_level:int,before:string>>"
+FACTS = f"struct<functions:{_FN},classes:{_CLASS},calls:{_CALL},symbols:array<struct<class:string,kind:string,name:string,value:string,off:int>>,foreachs:array<struct<off:int,end_off:int,kind:string,source:string,literals:array<string>,loop_var:string,loop_key:string>>,includes:array<struct<off:int,kind:string,target:string,raw:string,node:string,given:array<int>,hints:array<string>>>,namespace:string,uses:map<string,string>,direct:boolean>"
+
+FILES = 64  # files whose facts are sent together
 
 
 @dataclass
@@ -58,32 +62,38 @@ class Facts:
 
 
 def parse(files: DataFrame, config: Config | None = None) -> DataFrame:
-    """(plugin_slug, file, json, error) of PHP files; a file that cannot be parsed is a row with an error."""
+    """(plugin_slug, file, f, error) of PHP files; a file that cannot be parsed is a row with an error."""
     config = config or Config()
+    schema = StructType.fromDDL(f"plugin_slug string, file string, f {FACTS}, error string")
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..php.facts import facts
 
-        for pdf in batches:
-            out = []
-            for slug, file, content in zip(pdf["plugin_slug"], pdf["file"], pdf["content"]):
-                data = content if content is not None else b""
-                if b"\0" in bytes(data[:512]):
-                    out.append((slug, file, None, "binary"))
-                    continue
+        def row(slug: str, file: str, data: bytes) -> dict:
+            found, error = None, None
+            if b"\0" in data[:512]:
+                error = "binary"
+            else:
                 try:
-                    out.append((slug, file, facts(bytes(data).decode("utf-8", "replace"), config), None))
+                    found = facts(data.decode("utf-8", "replace"), config)
                 except (ValueError, IndexError, KeyError, RecursionError) as e:
-                    out.append((slug, file, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["plugin_slug", "file", "json", "error"])
+                    error = f"{type(e).__name__}: {e}"
+            return {"plugin_slug": slug, "file": file, "f": found, "error": error}
+
+        for batch in batches:
+            slugs, names, contents = batch.columns
+            for k in range(0, len(slugs), FILES):
+                rows = [row(slugs[j].as_py(), names[j].as_py(), contents[j].as_py() or b"") for j in range(k, min(k + FILES, len(slugs)))]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.select("plugin_slug", "file", F.col("content").cast("binary").alias("content")).mapInPandas(run, "plugin_slug string, file string, json string, error string")
+    return files.select("plugin_slug", "file", F.col("content").cast("binary").alias("content")).mapInArrow(run, schema)
 
 
 def build(files: DataFrame, config: Config | None = None, path: str | None = None) -> Facts:
     """Parse files and keep the facts as Parquet, by default in the folder the cluster shares."""
     spark = files.sparkSession
-    base = parse(files, config).select("plugin_slug", "file", F.from_json("json", FACTS).alias("f"), "error")
+    base = parse(files, config)
     path = path or f"{shared_dir(spark)}/plugscope/facts-{uuid.uuid4().hex}"
     base.write.parquet(path)
     return Facts(spark.read.schema(base.schema).parquet(path))
