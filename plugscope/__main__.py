@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         kept = report.filter_levels(done.endpoints, args.levels, args.auth)
         if args.chain_json or args.chain_human:
-            trees = report.call_trees(kept, done.facts.functions)
+            trees = report.call_trees(kept, done.facts.functions, done.reach)
             out = sinks.chain_json(trees) if args.chain_json else sinks.chain_report(trees)
         else:
             out = [*sinks.text_report(kept), sinks.summary_text(done.summary().first().asDict())]

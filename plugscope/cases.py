@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import detect, graph, report
+from .operators import detect, dispatch, graph, report
 from .plans.facts import Facts, build
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,7 +67,13 @@ def by_case(columns: str, *cases: tuple[str, list[tuple]], sql: str = ""):
     (f"class A {{ protected $namespace = 'w@/v1'; function go() {{ $this->register_route('/a@', ['methods' => 'POST', 'callback' => 'f', {OPEN}]); }} }}", [(REST + "w@/v1/a@", "POST", 0)]),
     (f"class A {{ const NAMESPACE = 'x@/v1'; static function go() {{ self::register_route('/b@', ['callback' => 'f', {OPEN}]); }} }}", [(REST + "x@/v1/b@", "GET", 0)]),
     (f"class A {{ const REST_ROOT = 'y@/v1'; function go() {{ new REST_Route('c@', ['methods' => 'DELETE', 'callback' => 'f', {OPEN}]); }} }}", [(REST + "y@/v1/c@", "DELETE", 0)]),
-    (f"class A {{ protected $rest_namespace = 'z@/v2'; function go() {{ $this->_register_route('/d@', ['callback' => 'f', {OPEN}]); }} }}", [(REST + "z@/v2/d@", "GET", 0)]),
+    (f"class A {{ protected $rest_namespace = 'z@/v2'; function go() {{ $this->_register_route('/d@', ['callback' => 'f', {OPEN}]); }} }}", [(REST + "z@/v2/d@", "GET", 5)]),
+    (
+        f"class A {{ protected $namespace = 'aa@/v1'; function go() {{ $this->register_route('/e@', ['callback' => 'f', {OPEN}]); }} }} class B {{ function get_namespace() {{ return 'bb@/v1'; }} protected $namespace = 'no@/v1'; function go() {{ $this->register_route('/e@', ['callback' => 'f', {OPEN}]); }} }} class C {{ const NS = 'cc@/v1'; static function go() {{ self::register_route('/e@', ['callback' => 'f', {OPEN}]); }} }} class D {{ function go() {{ $this->register_route('/e@', ['callback' => 'f', {OPEN}]); }} }}",
+        [(REST + "aa@/v1/e@", "GET", 0), (REST + "bb@/v1/e@", "GET", 0), (REST + "cc@/v1/e@", "GET", 0), (REST + "bb@/v1/e@", "GET", 0)],
+    ),
+    ("class E { const REST_API_NAMESPACE = 'ee@/v1'; static function go() { self::register_route('/z@', 'cb', WP_REST_Server::EDITABLE); self::register_route('/y@', 'cb', WP_REST_Server::DELETABLE); self::register_route('/x@', 'cb'); } }", [(REST + "ee@/v1/z@", "POST", 5), (REST + "ee@/v1/z@", "PUT", 5), (REST + "ee@/v1/z@", "PATCH", 5), (REST + "ee@/v1/y@", "DELETE", 5), (REST + "ee@/v1/x@", "GET", 5)]),
+    (f"class F {{ function get_slug() {{ return 'sl@'; }} function get_namespace() {{ return \"p/{{$this->get_slug()}}/v2\"; }} function go() {{ $this->register_route('/g@', ['callback' => 'f', {OPEN}]); }} }}", [(REST + "p/sl@/v2/g@", "GET", 0)]),
 )
 def rest_short_calls(facts):
     """Registrations whose namespace is the class's own."""
@@ -181,13 +187,24 @@ def ajax_closures(facts):
 @by_case(
     "route auth_level",
     ("add_action('woocommerce_api_pay@', 'f');", [("?wc-api=pay@", 0)]),
-    ("add_action('heartbeat_hb@', 'f');", [(AJAX + "hb@", 1)]),
-    ("add_action('heartbeat_nopriv_hn@', 'f');", [(AJAX + "hn@", 0)]),
     ("add_action('wc_ajax_nopriv_wn@', 'f');", [("?wc-ajax=wn@", 0)]),
     ("add_action('admin_action_nopriv_an@', 'f');", [(AJAX + "an@", 0)]),
 )
 def ajax_other_prefixes(facts):
-    """WooCommerce, heartbeat and admin-action hooks."""
+    """WooCommerce and admin-action hooks."""
+    return detect.ajax(facts)
+
+
+@by_case(
+    "route callback auth_level",
+    ("add_filter('heartbeat_received', 'f@'); add_filter('heartbeat_settings', 'g@');", [(AJAX + "received", "f@", 1)]),
+    ("add_filter('heartbeat_nopriv_send', 'f@'); add_filter('heartbeat_tick', 'g@');", [(AJAX + "send", "f@", 0)]),
+    ("add_filter('heartbeat_send', [$this, 'm@']);", [(AJAX + "send", "this::m@", 1)]),
+    ("add_filter('heartbeat_received', 'f@'); add_filter('heartbeat_nopriv_received', 'h@');", [(AJAX + "received", "f@", 0), (AJAX + "received", "h@", 0)]),
+    ("add_action('heartbeat_received', 'f@'); add_filter('wp_ajax_flt@', 'g@'); add_action('wp_ajax_act@', 'h@');", [(AJAX + "act@", "h@", 1)]),
+)
+def ajax_heartbeat(facts):
+    """Of the heartbeat's filters, received and send with their public forms are endpoints; filters of other names are none."""
     return detect.ajax(facts)
 
 
@@ -424,6 +441,59 @@ def node_budget(facts):
     return graph.call_paths(facts.functions, roots, budget=3).withColumn("path", F.array_join("path", ">"))
 
 
+@by_case(
+    "name chain_level",
+    ("function p@() { return zeta@() || alpha@(); } function zeta@() { return current_user_can('manage_options'); } function alpha@() { return current_user_can('edit_posts'); }", [("p@", 5)]),
+    ("class K@ { function q@() { return helper@() || $this->inst@() || self::stat@(); } function inst@() { return current_user_can('edit_posts'); } static function stat@() { return current_user_can('manage_options'); } } function helper@() { return current_user_can('read'); }", [("q@", 5)]),
+    ("function r@() { return check_permission_of@(); }", [("r@", 1)]),
+    ("function t@() { return plain@() || can_do@(); } function plain@() { return deep@(); } function deep@() { return current_user_can('edit_posts'); } function can_do@() { return 1; }", [("t@", 2), ("plain@", 2)]),
+    ("function u@() { return can_go@() || late@(); } function can_go@() { return empty_@(); } function empty_@() {} function late@() { return current_user_can('manage_options'); }", [("u@", 1)]),
+)
+def capability_order(facts):
+    """Capabilities are looked for in static, instance and plain calls, each in the order of the text; names that ask for a permission count, too."""
+    return graph.capability_chain(facts.functions)
+
+
+def _edges(facts):
+    return dispatch.call_edges(dispatch.resolved(facts, hooks=detect.hook_calls(facts)))
+
+
+@by_case(
+    "src dst",
+    ("class A@ { function go() { $this->init(); } function init() { one@(); } } class B@ { function init() { two@(); } } function one@() {} function two@() {}", [("A@::go", "A@::init"), ("A@::init", "one@"), ("B@::init", "two@")]),
+    ("class P@ { function go() { $this->act(); } function act() {} } class Q@ extends P@ { function act() { parent::act(); } }", [("P@::go", "P@::act"), ("P@::go", "Q@::act"), ("Q@::act", "P@::act")]),
+    ("class R@ { function run() {} } class S@ { private $r; function __construct() { $this->r = new R@(); } function a(R@ $x) { $x->run(); } function b() { $y = new R@(); $y->run(); } function c() { $this->r->run(); } function d() { R@::run(); self::a(1); } }", [("S@::a", "R@::run"), ("S@::b", "R@::run"), ("S@::c", "R@::run"), ("S@::d", "R@::run"), ("S@::d", "S@::a")]),
+    ("class T@ { function far@() {} } class U@ { function go($any) { $any->far@(); } }", [("U@::go", "T@::far@")]),
+    ("function v@() { call_user_func('w@'); call_user_func_array(['X@', 'm'], []); do_action('own_@'); } function w@() {} class X@ { static function m() {} function on() {} function reg() { add_action('own_@', [$this, 'on']); } }", [("v@", "w@"), ("v@", "X@::m"), ("v@", "X@::on")]),
+)
+def call_dispatch(facts):
+    """Calls reach methods by their receiver's class: that class's own, those below, a parent's; callbacks and fired hooks are calls."""
+    return _edges(facts)
+
+
+@by_case(
+    "src dst",
+    ("trait T@ { function m() { $this->own(); } } class A@ { use T@; function go() { $this->m(); } function own() {} }", [("A@::go", "T@::m"), ("T@::m", "A@::own")]),
+    ("trait T@ { function m() {} } class A@ { use T@ { m as protected alias; } function go() { $this->alias(); } }", [("A@::go", "T@::m")]),
+    ("trait T@ { function m() { one@(); } } trait U@ { function m() { two@(); } } class A@ { use T@, U@ { U@::m insteadof T@; T@::m as old; } function go() { $this->m(); } function back() { self::old(); } } function one@() {} function two@() {}", [("A@::go", "U@::m"), ("A@::back", "T@::m"), ("T@::m", "one@"), ("U@::m", "two@")]),
+    ("trait T@ { function m() {} } trait V@ { use T@; } class A@ { use V@; } class B@ extends A@ { function go() { $this->m(); } }", [("B@::go", "T@::m")]),
+    ("trait T@ { function m() {} } class A@ { use T@; function m() {} function go() { $this->m(); } }", [("A@::go", "A@::m")]),
+)
+def trait_methods(facts):
+    """Methods from traits: own ones first, insteadof, aliases, traits of traits, inheritance."""
+    return _edges(facts)
+
+
+@by_case(
+    "route function_calls",
+    ("class A@ { function reg() { add_action('wp_ajax_x@', [$this, 'go']); } function go() { $this->init(); } function init() { one@(); } } class B@ { function init() { two@(); } } function one@() {} function two@() {}", [(AJAX + "x@", "A@::init,one@")]),
+    ("trait T@ { function m() { one@(); } } class A@ { use T@ { m as save; } function reg() { add_action('wp_ajax_t@', [$this, 'save']); } } function one@() {}", [(AJAX + "t@", "one@")]),
+)
+def endpoint_dispatch(facts):
+    """Endpoints with all that their callbacks reach, calls resolved by receiver."""
+    return report.attach_chains(detect.ajax(facts), facts.functions, graph.Reach(facts)).withColumn("function_calls", F.array_join("function_calls", ","))
+
+
 @by_case("name called_by", ("function a@() { c@(); } function b@() { c@(); } function c@() {}", [("c@", "a@,b@")]))
 def callers(facts):
     return graph.callers(facts.functions).withColumn("called_by", F.array_join("called_by", ","))

@@ -19,6 +19,16 @@ def starts_with_any(c: Column, words) -> Column:
     return c.rlike("^(?:" + "|".join(re.escape(w) for w in words) + ")") if words else F.lit(False)
 
 
+def ends_with_any(c: Column, words) -> Column:
+    return c.rlike("(?:" + "|".join(re.escape(w) for w in words) + ")$") if words else F.lit(False)
+
+
+def is_permission_name(name: Column) -> Column:
+    """Whether a function's name says that it checks a permission."""
+    name = F.replace(F.lower(name), F.lit("-"), F.lit("_"))
+    return contains_any(name, W.PERMISSION_NAMES) | ends_with_any(name, W.PERMISSION_ENDS)
+
+
 def level_name(level: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, W.LEVELS)), level.cast("int") + 1)
 
@@ -39,8 +49,8 @@ def install_bucket(n: Column) -> Column:
 
 def capability_level_by_name(cap: Column) -> Column:
     cap = F.lower(cap)
-    admin = cap.rlike(r"^(manage_|install_|activate_|update_|delete_|unfiltered_|customize_|setup_|upgrade_)|(_plugins|_themes|_users|_shop)$|shop_|woocommerce|backwpup|backup|restore|updraft|migrate|duplicator|^edit_theme_options$")
-    return F.when(admin, W.ADMIN).when(cap.rlike("_others_|_private_|^moderate_"), W.EDITOR).otherwise(0)
+    admin = starts_with_any(cap, W.CAP_ADMIN_STARTS) | ends_with_any(cap, W.CAP_ADMIN_ENDS) | contains_any(cap, W.CAP_ADMIN_PARTS) | cap.isin(*W.CAP_ADMIN_NAMES)
+    return F.when(admin, W.ADMIN).when(contains_any(cap, W.CAP_EDITOR_PARTS) | starts_with_any(cap, W.CAP_EDITOR_STARTS), W.EDITOR).otherwise(0)
 
 
 def capability_level(cap: Column, config: Config | None = None) -> Column:
@@ -132,8 +142,12 @@ def query_callback(query: Column) -> Column:
 
 
 def collapse(code: Column, most: int = 500) -> Column:
-    flat = F.trim(F.regexp_replace(code, r"\s+", " "))
-    return F.when(F.octet_length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("..."))).otherwise(flat)
+    """White space, Unicode's too, as single spaces; cut to ``most`` bytes, a character that does not fit left out."""
+    flat = F.trim(F.regexp_replace(code, r"(?U)\s+", " "))
+    data = flat.cast("binary")
+    # bytes past the cut that continue a character belong to one that does not fit
+    back = F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(-1), lambda acc, k: F.when((acc < 0) & (F.hex(F.substring(data, most + 1 - k, F.lit(1))).rlike("^[89AB]") == F.lit(False)), k).otherwise(acc))
+    return F.when(F.octet_length(flat) > most, F.concat(F.substring(data, F.lit(1), most - F.greatest(back, F.lit(0))).cast("string"), F.lit("..."))).otherwise(flat)
 
 
 def is_placeholder(route: Column) -> Column:

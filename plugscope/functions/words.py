@@ -48,6 +48,13 @@ ROUTE_LIKELY_ADMIN = [
 ROUTE_USER_FACING = [
     "/form", "/submit", "/post", "/comment", "/reply", "/message", "/contact", "/subscription", "/newsletter", "/register", "/login", "/auth", "/password", "/bookmark", "/favorite", "/wishlist", "/rating", "/vote", "/like", "/share", "/search", "/filter", "/cart", "/checkout", "/order", "/payment", "/shipping", "/address",
 ]
+# What the names of unknown capabilities say: beginnings, endings and parts of admins' ones, then of editors'.
+CAP_ADMIN_STARTS = ["manage_", "install_", "activate_", "update_", "delete_", "unfiltered_", "customize_", "setup_", "upgrade_"]
+CAP_ADMIN_ENDS = ["_plugins", "_themes", "_users", "_shop"]
+CAP_ADMIN_PARTS = ["shop_", "woocommerce", "backwpup", "backup", "restore", "updraft", "migrate", "duplicator"]
+CAP_ADMIN_NAMES = ["edit_theme_options"]
+CAP_EDITOR_STARTS = ["moderate_"]
+CAP_EDITOR_PARTS = ["_others_", "_private_"]
 PERMISSION_NAMES = ["can_", "_can_", "has_permission", "check_permission", "verify_permission", "permission_check", "permissions_check", "has_cap", "check_cap", "verify_cap", "is_allowed", "can_access", "check_access", "user_can", "require_cap"]
 PERMISSION_ENDS = ["_permission", "_permissions", "_capability", "_capabilities"]
 
@@ -73,9 +80,9 @@ AJAX_HOOKS = [
     ("wc_ajax_nopriv_", "?wc-ajax=", 0, False, ""),
     ("wc_ajax_", "?wc-ajax=", 1, True, "raise"),
     ("woocommerce_api_", "?wc-api=", 0, False, ""),
-    ("heartbeat_nopriv_", "wp-admin/admin-ajax.php?action=", 0, False, ""),
-    ("heartbeat_", "wp-admin/admin-ajax.php?action=", 1, False, ""),
 ]
+# Filters of the heartbeat, each an endpoint: (hook, level).
+HEARTBEAT = [("heartbeat_received", 1), ("heartbeat_nopriv_received", 0), ("heartbeat_send", 1), ("heartbeat_nopriv_send", 0)]
 # Callbacks that say nothing, for the dedup fold.
 GENERIC_CALLBACKS = ["inline", "unknown", "closure", "anonymous", "anonymous_function"]
 # Labels of install counts: at least n.

@@ -87,7 +87,9 @@ def ajax(facts: Facts, config: Config | None = None, bodies: DataFrame | None =
     """AJAX endpoints. With ``compat``, public admin-post hooks count as admin's and public admin actions are lost."""
     config = config or Config()
     bodies = callback_facts(facts) if bodies is None else bodies
-    hooks = expand_foreach(hook_calls(facts).where(R.starts_with_any(F.col("hook"), [h[0] for h in W.AJAX_HOOKS])), facts)
+    every = hook_calls(facts)
+    actions = every.where(F.col("callee").isin("add_action", "addAction"))
+    hooks = expand_foreach(actions.where(R.starts_with_any(F.col("hook"), [h[0] for h in W.AJAX_HOOKS])), facts)
     if compat:
         hooks = hooks.where(~F.col("hook").startswith("admin_action_nopriv_")).withColumn("hook", F.regexp_replace("hook", "^admin_post_nopriv_", "admin_post_"))
     hooks = with_body(hooks, bodies).withColumn("cb_name", F.element_at(F.split("callback", "::"), -1))
@@ -101,6 +103,9 @@ def ajax(facts: Facts, config: Config | None = None, bodies: DataFrame | None =
     hooks = hooks.withColumn("level", level)
     level = F.when(F.col("named") & (F.col("level") < W.ADMIN) & R.is_admin_action(name, config), W.ADMIN).otherwise(F.col("level"))
     found = [_rows(hooks, "ajax", route=F.col("action"), method=F.lit("POST"), auth_level=level, callback=_clean(F.col("callback")))]
+    level = reduce(lambda acc, h: acc.when(F.col("hook") == h[0], h[1]), W.HEARTBEAT, F.when(F.lit(False), 0))
+    beats = every.where(F.col("callee").isin("add_filter", "addFilter")).withColumn("level", level).where("level is not null")
+    found.append(_rows(beats, "ajax", route=F.concat(F.lit("wp-admin/admin-ajax.php?action="), F.regexp_replace("hook", "^heartbeat_(?:nopriv_)?", "")), method=F.lit("POST"), auth_level=F.col("level"), callback=_clean(F.col("callback"))))
     calls = facts.calls
     bus = calls.where("callee = 'register_ajax_action'")
     found.append(_rows(bus, "ajax", route=R.ajax_route(F.concat(F.lit("elementor_ajax:"), _arg(0))), method=F.lit("POST"), auth_level=F.when(R.is_admin_action(_arg(0), config), W.ADMIN).otherwise(1), callback=_clean(_arg(1, "callbacks"))))
@@ -144,17 +149,37 @@ def rest_calls(facts: Facts) -> DataFrame:
     full = calls["callee"] == "register_rest_route"
     verb = F.regexp_extract("callee", "^register(Get|Post|Put|Patch|Delete)Route$", 1)
     rows = calls.where(full | short | (verb != "")).withColumn("short", ~full).withColumn("verb", F.upper(verb))
-    ns = facts.symbols.where(F.col("kind").isin("const", "prop", "static") & F.lower("name").isin("namespace", "rest_namespace", "api_namespace", "ns", "rest_root", "rest_base_namespace")).groupBy(*KEY).agg(F.max_by("value", "off").alias("own_ns"))
-    rows = rows.join(ns, KEY, "left")
+    own = own_namespaces(facts)
+    whole = own.groupBy(*KEY).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"file_{c}") for c in NAMESPACES])
+    rows = rows.join(own.drop("at").withColumnRenamed("class", "enclosing_class"), [*KEY, "enclosing_class"], "left").join(whole, KEY, "left")
+    order = F.when(F.col("callee") == "REST_Route", 0).when(F.col("receiver_kind") == "static", 1).otherwise(2)
+    first = lambda *names: F.coalesce(*names, *[f"file_{n}" for n in names], F.concat("plugin_slug", F.lit("/v1")))
+    space = F.when(order == 0, first("root", "const", "prop", "made")).when(order == 1, first("const", "prop", "made", "root")).otherwise(first("made", "prop", "const", "root"))
     return rows.withColumns(
         {
-            "ns": F.when(F.col("short"), F.coalesce("own_ns", F.lit("{namespace}"))).otherwise(R.clean_interpolation(_arg(0))),
+            "ns": F.when(F.col("short"), R.clean_interpolation(space)).otherwise(R.clean_interpolation(_arg(0))),
             "path": R.clean_interpolation(F.when(F.col("short"), _arg(0)).otherwise(_arg(1))),
             "arg": F.when(F.col("short"), 1).otherwise(2),
         }
     )
 
 
+#: Where a class says its namespace: a get_namespace method, a property, a constant, a root constant.
+NAMESPACES = ["made", "prop", "const", "root"]
+
+
+def own_namespaces(facts: Facts) -> DataFrame:
+    """(plugin_slug, file, class, at, made, prop, const, root): what each class says of its routes' namespace, and where it first does."""
+    named = facts.symbols.where(F.col("kind").isin("const", "prop", "static", "define")).withColumn("n", F.lower("name"))
+    kind = F.when(F.col("n") == "rest_root", "root").when(F.col("n").isin("namespace", "rest_namespace", "api_namespace", "rest_api_namespace", "route_namespace", "ns", "rest_base_namespace"), F.when(F.col("kind").isin("const", "define"), "const").otherwise("prop"))
+    said = named.select(*KEY, "class", "off", kind.alias("what"), "value").where("what is not null and value <> ''")
+    slugs = facts.functions.where("name = 'get_slug' and size(literals) > 0").groupBy(*KEY, "class").agg(F.min_by(F.col("literals")[0], "off").alias("slug"))
+    made = facts.functions.where("name = 'get_namespace' and size(literals) > 0").select(*KEY, "class", "off", F.col("literals")[0].alias("value")).join(slugs, [*KEY, "class"], "left")
+    value = F.regexp_replace("value", r"\{?\$this->get_slug\(\)\}?", F.regexp_replace(F.coalesce("slug", "plugin_slug"), r"([\\$])", r"\\$1"))
+    said = said.unionByName(made.select(*KEY, "class", "off", F.lit("made").alias("what"), value.alias("value")))
+    return said.groupBy(*KEY, "class").agg(F.min("off").alias("at"), *[F.min_by(F.when(F.col("what") == n, F.col("value")), F.when(F.col("what") == n, F.col("off"))).alias(n) for n in NAMESPACES])
+
+
 def _item(items: Column, group: Column, key: str, field: str) -> Column:
     return F.get(F.transform(F.filter(items, lambda i: (i["grp"] == group) & (i["key"] == key)), lambda i: i[field]), F.lit(0))
 
@@ -180,7 +205,7 @@ def rest(facts: Facts, config: Config | None = None, bodies: DataFrame | None =
     rows = own.withColumn("grp", F.explode(F.when(F.size(groups) > 0, groups).otherwise(F.array(F.lit(-1)))))
     defs = rows.withColumns(
         {
-            "methods": F.coalesce(_item(F.col("own"), F.col("grp"), "methods", "val"), F.when(F.col("verb") != "", F.col("verb")), F.lit("GET")),
+            "methods": F.coalesce(_item(F.col("own"), F.col("grp"), "methods", "val"), F.when(F.col("verb") != "", F.col("verb")), F.when(F.col("short") & (F.col("receiver_kind") == "static") & (F.size("own") == 0) & (F.size("args") >= 3), F.regexp_replace(_arg(2, "args"), "['\"]", "")), F.lit("GET")),
             "callback": F.coalesce(_item(F.col("own"), F.col("grp"), "callback", "cb"), F.when(F.col("short"), _arg(1, "callbacks")), F.when(F.col("held"), F.get("callbacks", F.col("arg"))), F.lit("unknown")),
             "perm": _item(F.col("own"), F.col("grp"), "permission_callback", "cb"),
             "perm_code": F.lower(F.trim(_item(F.col("own"), F.col("grp"), "permission_callback", "value"))),
@@ -202,6 +227,7 @@ def rest(facts: Facts, config: Config | None = None, bodies: DataFrame | None =
     asked = asked.where(~F.coalesce(closed, F.lit(False))).withColumn("declared", declared)
     public = (F.col("perm") == "__return_true") | (F.col("perm_code") == "true")
     level = R.route_level(F.col("path"), F.col("ns"), F.col("declared"), F.coalesce(public, F.lit(False)), config)
+    level = F.when(F.col("callee") == "_register_route", W.ADMIN).otherwise(level)  # such wrappers take what they allow apart from the arguments
     out = asked.withColumn("level", level)
     if compat:
         out = with_body(out, bodies).withColumn("level", F.least("level", F.when(F.col("callback").rlike(r"[()\[\]$]"), F.col("level")).otherwise(F.coalesce("body.returns", F.lit(1)))))
@@ -370,7 +396,7 @@ def wrapper_calls(facts: Facts, config: Config | None = None) -> DataFrame:
     by_class = (F.col("receiver_kind") != "static") | F.lower(F.regexp_extract("receiver", r"([^\\]*)$", 1)).isin("self", "static", "parent") | (F.regexp_extract("receiver", r"([^\\]*)$", 1) == F.col("class_name"))
     calls = calls.where(same & by_class).withColumn("v", F.concat("prefix", F.coalesce(F.get("vals", F.col("param_index")), F.lit("")))).where("size(args) > param_index")
     cb = F.coalesce(F.get("callbacks", F.col("param_index") + 1), F.lit("callback"))
-    hooks = calls.where("kind = 'hook'").where(R.starts_with_any(F.col("v"), [h[0] for h in W.AJAX_HOOKS if not h[0].startswith(("heartbeat", "woocommerce"))]))
+    hooks = calls.where("kind = 'hook'").where(R.starts_with_any(F.col("v"), [h[0] for h in W.AJAX_HOOKS if not h[0].startswith("woocommerce")]))
     found = _rows(hooks, "ajax", route=R.ajax_route(F.col("v")), method=F.lit("POST"), auth_level=F.when(F.contains("v", F.lit("nopriv_")), 0).otherwise(1), callback=_clean(cb))
     at = lambda word: F.array_position(F.transform("params", F.lower), word) - 1
     routes = calls.where("kind = 'rest'")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import words as W
+from . import graph
 
 KEY = ["plugin_slug", "file"]
 
@@ -87,14 +88,20 @@ def by_level(endpoints: DataFrame) -> DataFrame:
     return endpoints.groupBy("auth_level").agg(F.count("*").alias("n")).withColumn("name", R.level_name(F.col("auth_level")))
 
 
-def attach_chains(endpoints: DataFrame, functions: DataFrame) -> DataFrame:
-    """Sorted flat closure of each endpoint's callback, made once for each (plugin, callback)."""
-    from . import graph
-
+def _call_graph(endpoints: DataFrame, functions: DataFrame, reach: graph.Reach | None) -> tuple[DataFrame, DataFrame]:
+    """Call edges, and the nodes (plugin_slug, file, callback, root) that callbacks start from: by receiver, or by bare names."""
+    if reach is not None:
+        return reach.calls, reach.roots(endpoints).withColumnRenamed("node", "root")
     name = F.element_at(F.split("callback", "::"), -1)
-    roots = endpoints.select("plugin_slug", name.alias("root")).where("root <> ''").distinct()
-    flat = graph.closure(graph.call_edges(functions), roots).where("depth > 0").groupBy("plugin_slug", "root").agg(F.array_sort(F.collect_set("node")).alias("function_calls"))
-    return endpoints.withColumn("root", name).join(flat, ["plugin_slug", "root"], "left").drop("root").withColumn("function_calls", F.coalesce("function_calls", F.array().cast("array<string>")))
+    return graph.call_edges(functions), endpoints.select("plugin_slug", "file", "callback", name.alias("root")).where("root <> ''").distinct()
+
+
+def attach_chains(endpoints: DataFrame, functions: DataFrame, reach: graph.Reach | None = None) -> DataFrame:
+    """Sorted flat closure of each endpoint's callback, made once for each node; with ``reach`` calls are resolved by receiver."""
+    edges, named = _call_graph(endpoints, functions, reach)
+    flat = graph.closure(edges, named.select("plugin_slug", "root").distinct()).where("depth > 0")
+    calls = named.join(flat, ["plugin_slug", "root"]).groupBy("plugin_slug", "file", "callback").agg(F.array_sort(F.collect_set("node")).alias("function_calls"))
+    return endpoints.join(calls, ["plugin_slug", "file", "callback"], "left").withColumn("function_calls", F.coalesce("function_calls", F.array().cast("array<string>")))
 
 
 def as_json(endpoints: DataFrame) -> DataFrame:
@@ -110,14 +117,14 @@ def write_report(endpoints: DataFrame, path: str) -> None:
     as_json(endpoints).withColumn("auth_level", F.get_json_object("json", "$.auth_level")).write.partitionBy("auth_level").text(path)
 
 
-def call_trees(endpoints: DataFrame, functions: DataFrame) -> DataFrame:
-    """Endpoints with ``paths``: the call paths below each callback, in pre-order, made once for each (plugin, callback)."""
-    from . import graph
-
-    name = F.element_at(F.split("callback", "::"), -1)
-    roots = endpoints.select("plugin_slug", name.alias("root")).where("root <> ''").distinct()
-    trees = graph.call_paths(functions, roots).where("depth > 0").groupBy("plugin_slug", "root").agg(F.array_sort(F.collect_list(F.slice("path", 2, 1 << 30))).alias("paths"))  # at most NODE_BUDGET rows
-    return endpoints.withColumn("root", name).join(trees, ["plugin_slug", "root"], "left").drop("root")
+def call_trees(endpoints: DataFrame, functions: DataFrame, reach: graph.Reach | None = None) -> DataFrame:
+    """Endpoints with ``paths``: the call paths below each callback, in pre-order, made once for each node."""
+    edges, named = _call_graph(endpoints, functions, reach)
+    trees = graph.call_paths(functions, named.select("plugin_slug", "root"), edges=edges).where("depth > 0")
+    # at most NODE_BUDGET rows a root; a callback that several nodes have has the first's tree
+    first = named.groupBy("plugin_slug", "file", "callback").agg(F.min("root").alias("root"))
+    paths = trees.groupBy("plugin_slug", "root").agg(F.array_sort(F.collect_list(F.slice("path", 2, 1 << 30))).alias("paths"))
+    return endpoints.join(first.join(paths, ["plugin_slug", "root"]).drop("root"), ["plugin_slug", "file", "callback"], "left")
 
 
 def path_match(a: Column, b: Column) -> Column:

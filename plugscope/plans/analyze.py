@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,14 +49,24 @@ class Analysis:
     def coverage_gaps(self) -> DataFrame:
         return report.coverage_gaps(self.endpoints, self.facts.calls)
 
-    def with_chains(self) -> DataFrame:
-        return report.attach_chains(self.endpoints, self.facts.functions)
+    @cached_property
+    def reach(self) -> graph.Reach:
+        """Calls resolved by receiver and include edges, written once for all that follows them."""
+        return graph.Reach(self.facts)
 
-    def trees(self) -> DataFrame:
-        return report.call_trees(self.endpoints, self.facts.functions)
+    def with_chains(self, compat: bool = False) -> DataFrame:
+        """Endpoints with all that their callbacks call: by receiver, or with ``compat`` by bare names."""
+        return report.attach_chains(self.endpoints, self.facts.functions, None if compat else self.reach)
+
+    def trees(self, compat: bool = False) -> DataFrame:
+        return report.call_trees(self.endpoints, self.facts.functions, None if compat else self.reach)
 
     def reachable_files(self) -> DataFrame:
-        return graph.reachable_files(self.facts, self.endpoints)
+        return graph.reachable_files(self.facts, self.endpoints, self.reach)
+
+    def callback_files(self) -> DataFrame:
+        """The files that each endpoint's callback can reach."""
+        return graph.callback_files(self.facts, self.endpoints, self.reach)
 
 
 def analyze(files: DataFrame, config: Config | None = None, compat: bool = False) -> Analysis:

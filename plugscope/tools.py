@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .config import Config, Profile, load_config
 from .functions import auth
 from .functions import rules as R
-from .operators import detect, graph, report
+from .operators import detect, dispatch, graph, report
 from .plans import analyze as plans
 from .plans.facts import build, shared_dir
 from .sources import corpus, http, sinks
@@ -210,9 +210,12 @@ def contains_without_case(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", R.contains_any(F.lower("p_type"), ["promo", "brass"]).alias("hit"))
 
 
-@_query("SELECT doc_id, CASE WHEN octet_length(encode(t)) > 100 THEN substr(t, 1, 100) || '...' ELSE t END AS code FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents)")
+@_query(
+    r"""SELECT doc_id, CASE WHEN strlen(t) > 100 THEN left(t, list_max(list_filter(range(0, 101), lambda k: strlen(left(t, CAST(k AS INTEGER))) <= 100))) || '...' ELSE t END AS code
+FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t FROM documents)"""
+)
 def truncate_code(spark, sf_dir):
-    """Code with single spaces, cut at a length."""
+    """Code with single spaces, cut to whole characters within a number of bytes."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", R.collapse(F.col("text"), 100).alias("code"))
 
 
@@ -362,6 +365,51 @@ def dynamic_includes(spark, sf_dir):
     return graph.reachable_files(facts, detect.ajax(facts))
 
 
+_LOADER = """class L@ { private $dir; function tpl($n) { $path = $this->dir . '/views/' . $n . '.php'; include $path; } function show($page) { $this->tpl($page); } }
+function part@($a, $name) { include "parts/$name"; } function plain@($x) { return $x; }"""
+_ASKING = "function go@() { $l = new L@(); $l->show('alpha@'); part@('beta@', 'gamma@'); plain@('delta@'); L@::tpl($unknown); } add_action('wp_ajax_nopriv_q@', 'go@');"
+_VIEWS = [("views/alpha@.php", "echo 1;"), ("other/alpha@.php", "echo 2;"), ("parts/gamma@.html.php", "echo 3;"), ("beta@.php", "echo 4;"), ("x/delta@.php", "echo 5;")]
+
+
+@_query("SELECT 'n' || s_nationkey AS plugin_slug, 'inc/main' || s_suppkey || '.php' AS src, a || s_suppkey AS arg, d || s_suppkey || e AS dst FROM supplier, (VALUES ('alpha', 'views/alpha', '.php'), ('gamma', 'parts/gamma', '.html.php')) v(a, d, e)")
+def argument_includes(spark, sf_dir):
+    """Literal arguments that end up in an include's path, also handed on by another function, name their files: ranked by directory, with endings added."""
+    facts = build(_files(spark, sf_dir, ("inc/loader@.php", _LOADER), ("inc/main@.php", _ASKING), *_VIEWS))
+    return dispatch.argument_includes(facts, dispatch.resolved(facts)).select("plugin_slug", "src", "arg", "dst")
+
+
+@_query("SELECT 'n' || s_nationkey AS plugin_slug, 'go' || s_suppkey AS callback, f || s_suppkey || e AS reached FROM supplier, (VALUES ('inc/main', '.php'), ('inc/loader', '.php'), ('views/alpha', '.php'), ('parts/gamma', '.html.php'), ('views/deep', '.php')) v(f, e)")
+def callback_files(spark, sf_dir):
+    """The files that a callback reaches: its own, those of what it calls, those that arguments name, and what these include."""
+    views = [("views/alpha@.php", "include 'views/deep@.php';"), ("views/deep@.php", "echo 0;"), *_VIEWS[1:]]
+    facts = build(_files(spark, sf_dir, ("inc/loader@.php", _LOADER), ("inc/main@.php", _ASKING), *views))
+    return graph.callback_files(facts, detect.ajax(facts)).select("plugin_slug", "callback", "reached")
+
+
+_AUTOLOAD = "spl_autoload_register('load@'); $base = __DIR__ . '/src@/'; class Own@ {}"
+_REFERRED = "new Vendor\\Pack@\\Widget(); new Acme_Tool_Row@(); new Some_Kebab@(); new Lone@(); Own@::x(); new Gone@();"
+
+
+@_query(
+    r"""SELECT 'n' || s_nationkey AS plugin_slug, replace(r, '@', CAST(s_suppkey AS VARCHAR)) AS ref, replace(f, '@', CAST(s_suppkey AS VARCHAR)) AS file FROM supplier,
+(VALUES ('Vendor\Pack@\Widget', 'lib@/src@/Pack@/Widget.php'), ('Acme_Tool_Row@', 'x@/Tool/Row@.php'), ('Some_Kebab@', 'k/some-kebab@.php'), ('Lone@', 'deep/down/Lone@.php'), ('Own@', 'lib@/auto.php')) v(r, f)"""
+)
+def class_file_ranks(spark, sf_dir):
+    """Files of classes: declared, below an autoload directory with leading segments left out, the only base name, the longest ending, kebab names."""
+    made = [("lib@/auto.php", _AUTOLOAD), ("main@.php", _REFERRED), ("lib@/src@/Pack@/Widget.php", ""), ("z@/Pack@/Widget.php", ""), ("x@/Tool/Row@.php", ""), ("y@/Row@.php", ""), ("k/some-kebab@.php", ""), ("deep/down/Lone@.php", "")]
+    facts = build(_files(spark, sf_dir, *made))
+    refs = facts.calls.where("receiver_kind in ('new', 'static')").select("plugin_slug", F.col("type").alias("ref"))
+    return graph.class_files(facts.files.select("plugin_slug", "file"), facts.classes, refs, graph.autoload_dirs(facts))
+
+
+@_query("SELECT 'n' || s_nationkey AS plugin_slug, 'lib' || s_suppkey || '/' || f || '.php' AS file FROM supplier, (VALUES ('auto'), ('src/any'), ('hooked')) v(f)")
+def reachable_by_loader(spark, sf_dir):
+    """Files below autoload directories are reachable, and those of callbacks whose hook begins like one that every request fires."""
+    made = [("lib@/auto.php", "spl_autoload_register('f@'); $d = __DIR__ . '/src';"), ("lib@/src/any.php", "echo 1;"), ("lib@/hooked.php", "add_action('wp_ajax_' . $x, 'g@'); function g@() {}"), ("out@/none.php", "add_action('own_' . $x, 'h@'); function h@() {}")]
+    facts = build(_files(spark, sf_dir, *made))
+    return graph.reachable_files(facts, detect.direct_files(facts))
+
+
 # Streaming and SQL functions
 
 
