@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import rules as R
 from ..functions import words as W
-from ..plans.facts import Facts
+from ..plans.facts import Facts, together
 from . import graph
 
 ENDPOINT = ["plugin_slug", "type", "route", "method", "auth_level", "callback", "file", "line", "raw_code", "namespace", "off"]
@@ -388,7 +388,7 @@ def wrappers(facts: Facts) -> DataFrame:
     return made.where((name != "") & (at > 0)).select("plugin_slug", F.col("enclosing_class").alias("class_name"), F.col("enclosing_fn").alias("method_name"), "is_static", (at - 1).cast("int").alias("param_index"), prefix.alias("prefix"), F.col("file").alias("source_file"), "kind", "ns", "params", "perm").distinct()
 
 
-def wrapper_calls(facts: Facts, config: Config | None = None) -> DataFrame:
+def wrapper_calls(facts: Facts, config: Config | None = None, bodies: DataFrame | None = None) -> DataFrame:
     """Calls of wrappers, as the hooks and routes that they register."""
     own = wrappers(facts).withColumnRenamed("method_name", "callee")
     calls = facts.calls.join(own, ["plugin_slug", "callee"])
@@ -402,7 +402,7 @@ def wrapper_calls(facts: Facts, config: Config | None = None) -> DataFrame:
     routes = calls.where("kind = 'rest'")
     method = F.coalesce(F.get("vals", F.coalesce(F.when(at("methods") >= 0, at("methods")), F.when(at("method") >= 0, at("method"))).cast("int")), F.lit("GET"))
     handler = F.coalesce(F.get("callbacks", F.when(at("callback") >= 0, at("callback")).cast("int")), F.lit("wrapper_callback"))
-    bodies = callback_facts(facts).select("plugin_slug", F.col("file").alias("source_file"), "cb_name", F.col("body.level").alias("perm_level"), F.col("body.returns").alias("perm_returns"))
+    bodies = (callback_facts(facts) if bodies is None else bodies).select("plugin_slug", F.col("file").alias("source_file"), "cb_name", F.col("body.level").alias("perm_level"), F.col("body.returns").alias("perm_returns"))
     routes = routes.withColumn("cb_name", F.element_at(F.split("perm", "::"), -1)).join(bodies, ["plugin_slug", "source_file", "cb_name"], "left")
     level = F.when((F.col("perm") == "__return_true") | (F.col("perm_returns") == 0), 0).otherwise(F.coalesce("perm_level", F.lit(W.SUBSCRIBER)))
     routes = routes.withColumn("verb1", F.explode(verbs(method))).withColumn("level", level)
@@ -412,6 +412,20 @@ def wrapper_calls(facts: Facts, config: Config | None = None) -> DataFrame:
 def detect_all(facts: Facts, config: Config | None = None, compat: bool = False) -> DataFrame:
     """Union of all detectors; ``compat`` reproduces historical quirks where the intent is the default."""
     config = config or Config()
-    bodies = callback_facts(facts)
-    found = [rest(facts, config, bodies, compat), ajax(facts, config, bodies, compat), admin_pages(facts, config, bodies, compat), shortcodes(facts, bodies), widgets(facts), blocks(facts, bodies), hook_input(facts, bodies), direct_files(facts), framework(facts, config, bodies), wrapper_calls(facts, config), controllers(facts)]
+    bodies = graph._write(callback_facts(facts), "bodies")
+    each = {
+        "rest": lambda: rest(facts, config, bodies, compat),
+        "ajax": lambda: ajax(facts, config, bodies, compat),
+        "admin": lambda: admin_pages(facts, config, bodies, compat),
+        "shortcodes": lambda: shortcodes(facts, bodies),
+        "widgets": lambda: widgets(facts),
+        "blocks": lambda: blocks(facts, bodies),
+        "hooks": lambda: hook_input(facts, bodies),
+        "direct": lambda: direct_files(facts),
+        "framework": lambda: framework(facts, config, bodies),
+        "wrappers": lambda: wrapper_calls(facts, config, bodies),
+        "controllers": lambda: controllers(facts),
+    }
+    # the detectors are independent: planned and run at the same time, each written, so that what follows plans over tables
+    found = together(facts.base.sparkSession, *[lambda name=name, rows=rows: graph._write(rows(), f"detected-{name}") for name, rows in each.items()])
     return reduce(DataFrame.unionByName, found)

@@ -33,27 +33,25 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> Dat
     edges = edges.select("plugin_slug", "src", "dst").distinct()
     front = _write(seeds.select("plugin_slug", "root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
     seen, k = front, 0
-    while depth is None or k < depth:
+    while (depth is None or k < depth) and not front.isEmpty():
         k += 1
         step = front.join(edges, (front["plugin_slug"] == edges["plugin_slug"]) & (front["node"] == edges["src"])).select(front["plugin_slug"], "root", F.col("dst").alias("node"), F.lit(k).alias("depth")).distinct()
         front = _write(step.join(seen, ["plugin_slug", "root", "node"], "left_anti").select("plugin_slug", "root", "node", "depth"), "closure")
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
     return seen
 
 
-def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(plugin_slug, node): nodes reachable from any of ``seeds`` (plugin_slug, node); one row a node, whatever the number of seeds."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(plugin_slug, node): nodes reachable from any of ``seeds`` (plugin_slug, node) in ``depth`` steps; one row a node, whatever the number of seeds."""
     edges = edges.select("plugin_slug", "src", "dst").distinct()
     front = _write(seeds.select("plugin_slug", "node").distinct(), "reach")
-    seen = front
-    while True:
+    seen, k = front, 0
+    while (depth is None or k < depth) and not front.isEmpty():
+        k += 1
         step = front.join(edges, (front["plugin_slug"] == edges["plugin_slug"]) & (front["node"] == edges["src"])).select(front["plugin_slug"], F.col("dst").alias("node")).distinct()
         front = _write(step.join(seen, ["plugin_slug", "node"], "left_anti"), "reach")
-        if front.isEmpty():
-            return seen
         seen = seen.unionByName(front)
+    return seen
 
 
 def call_edges(functions: DataFrame) -> DataFrame:
@@ -107,14 +105,17 @@ def capability_chain(functions: DataFrame, depth: int = CHAIN_DEPTH) -> DataFram
     calls = own.where("level = 0").select("plugin_slug", "file", F.col("name").alias("src"), F.posexplode("ordered").alias("pos", "dst"))
     target = own.select("plugin_slug", "file", F.col("name").alias("dst"), F.col("level").alias("dst_level"))
     edges = calls.join(target, ["plugin_slug", "file", "dst"], "left").withColumn("named", R.is_permission_name(F.col("dst")))
-    edges = edges.where(F.col("dst_level").isNotNull() | F.col("named"))
+    edges = _write(edges.where(F.col("dst_level").isNotNull() | F.col("named")), "chain")
     found = edges.select("plugin_slug", "file", F.col("src").alias("name"), "dst", F.array("pos").alias("ord"), F.col("dst_level").alias("level"), "named")
     out = found
     for _ in range(1, depth):
         nxt = edges.select("plugin_slug", "file", F.col("src").alias("via"), F.col("dst").alias("to"), "pos", "dst_level", F.col("named").alias("asks"))
         found = found.where("level = 0 and dst <> name").join(nxt, (found["plugin_slug"] == nxt["plugin_slug"]) & (found["file"] == nxt["file"]) & (found["dst"] == nxt["via"])).select(found["plugin_slug"], found["file"], "name", F.col("to").alias("dst"), F.array_append("ord", F.col("pos")).alias("ord"), F.col("dst_level").alias("level"), F.col("asks").alias("named"))
         found = found.groupBy("plugin_slug", "file", "name", "dst").agg(F.min("ord").alias("ord"), F.first("level").alias("level"), F.first("named").alias("named"))
-        out = out.unionByName(found.select(out.columns))
+        found = _write(found.select(out.columns), "chain")
+        if found.isEmpty():
+            break
+        out = out.unionByName(found)
     hits = out.where("level > 0").select("plugin_slug", "file", "name", "level", "ord")
     hits = hits.unionByName(out.where("named and coalesce(level, 0) = 0").select("plugin_slug", "file", "name", F.lit(W.SUBSCRIBER).alias("level"), F.array_append("ord", F.lit(1 << 30)).alias("ord")))
     return hits.groupBy("plugin_slug", "file", "name").agg(F.min_by("level", "ord").alias("chain_level"))
@@ -123,8 +124,8 @@ def capability_chain(functions: DataFrame, depth: int = CHAIN_DEPTH) -> DataFram
 def tainted(functions: DataFrame, depth: int = TAINT_DEPTH) -> DataFrame:
     """(plugin_slug, name, guard): functions that read the request themselves or through calls."""
     edges = call_edges(functions).select("plugin_slug", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    seeds = functions.where("reads_input").select("plugin_slug", F.col("name").alias("root"))
-    names = closure(edges, seeds, depth).select("plugin_slug", F.col("node").alias("name")).distinct()
+    seeds = functions.where("reads_input").select("plugin_slug", F.col("name").alias("node"))
+    names = reach(edges, seeds, depth).select("plugin_slug", F.col("node").alias("name"))
     guards = functions.groupBy("plugin_slug", "name").agg(F.max("guard").alias("guard"))
     return names.join(guards, ["plugin_slug", "name"])
 

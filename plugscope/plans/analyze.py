@@ -73,7 +73,7 @@ def analyze(files: DataFrame, config: Config | None = None, compat: bool = False
     """Analyse corpus files (plugin_slug, file, content): parse, detect, resolve, dedup."""
     config = config or Config()
     kept = corpus.php_files(files, config)
-    facts = build(kept, config)
+    facts = build(kept, config).prepare()
     found = report.dedup(report.resolve_routes(detect.detect_all(facts, config, compat), facts)).drop("off")
     path = f"{shared_dir(files.sparkSession)}/plugscope/endpoints-{uuid.uuid4().hex}"
     found.write.parquet(path)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
+from typing import Any
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,14 +26,32 @@ FACTS = f"struct<functions:{_FN},classes:{_CLASS},calls:{_CALL},symbols:array<st
 FILES = 64  # files whose facts are sent together
 
 
-@dataclass
+TABLES = ["calls", "functions", "classes", "symbols", "foreachs", "includes"]
+ORDER = {"calls": "callee", "functions": "name", "symbols": "name"}  # what most filters ask for, so that row groups are left out
+
+
 class Facts:
-    """Tables of the fact base, all keyed by (plugin_slug, file)."""
+    """Tables of the fact base, all keyed by (plugin_slug, file); each is flattened and written when first asked for."""
 
-    base: DataFrame
+    def __init__(self, base: DataFrame):
+        self.base = base
+        self._flat: dict[str, DataFrame] = {}
+        self._locks = {name: Lock() for name in TABLES}
 
     def _rows(self, name: str) -> DataFrame:
-        return self.base.select("plugin_slug", "file", F.explode(f"f.{name}").alias("r")).select("plugin_slug", "file", "r.*")
+        with self._locks[name]:
+            if name not in self._flat:
+                rows = self.base.select("plugin_slug", "file", F.explode(f"f.{name}").alias("r")).select("plugin_slug", "file", "r.*")
+                rows = rows.sortWithinPartitions(ORDER[name]) if name in ORDER else rows
+                path = f"{shared_dir(rows.sparkSession)}/plugscope/{name}-{uuid.uuid4().hex}"
+                rows.write.parquet(path)
+                self._flat[name] = rows.sparkSession.read.schema(rows.schema).parquet(path)
+            return self._flat[name]
+
+    def prepare(self) -> Facts:
+        """Flatten all tables at once."""
+        together(self.base.sparkSession, *[lambda name=name: self._rows(name) for name in TABLES])
+        return self
 
     @property
     def files(self) -> DataFrame:
@@ -61,6 +82,12 @@ class Facts:
         return self._rows("includes")
 
 
+def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
+    """Results of independent jobs, planned and submitted from threads of their own."""
+    with ThreadPoolExecutor(len(jobs) or 1) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 def parse(files: DataFrame, config: Config | None = None) -> DataFrame:
     """(plugin_slug, file, f, error) of PHP files; a file that cannot be parsed is a row with an error."""
     config = config or Config()
