@@ -5,10 +5,10 @@ LENGTH - 1 lengths. The histogram of remainders, whose size does not grow with t
 the driver. A linear program over patterns (multisets of lengths that fit a sequence) covers it: a
 revised simplex whose new columns come from a knapsack dynamic program over the dual prices. The
 solution is rounded down; patterns that leave more than ``WASTE`` ids are dropped. What that leaves
-gets patterns of its own, one at a time: the longest order and the lengths that fill its sequence
-best, by a knapsack over what is left. Remainders are ranked within their length, and a rank tells
-pattern copy, place and offset in closed form. Ranks beyond all patterns, of lengths that nothing
-left fills up, are laid end to end and cut at sequence borders.
+gets integer columns at the solution's dual prices, one at a time: a knapsack over what is left finds the
+column of most value that fills a sequence but for ``WASTE`` ids, and at the end for ``LAST_WASTE``.
+Remainders are ranked within their length, and a rank tells pattern copy, place and offset in closed form.
+Ranks beyond all patterns, of lengths that nothing left fills up, are laid end to end and cut at sequence borders.
 
 Edge cases: a null or empty text is the end id alone; a very long text fills whole sequences; equal
 lengths (ties) take their places in the order of task and row; repeated rows are packed each; null ids
@@ -32,6 +32,8 @@ from .tokens import TOKENIZER, encoder
 LENGTH = 1024
 END_ID = 0
 WASTE = 4
+LAST_WASTE = 64  # of the last patterns, made of the few orders that all others leave
+ENOUGH = 0.999  # of a sequence's price; an optimal column is worth 1
 GAP = 2e-3
 PIVOTS = 400
 MOST_BYTES = 32_000_000  # of the tasks' first ranks, to be sent to every executor
@@ -57,12 +59,12 @@ def knapsack(prices: np.ndarray, length: int) -> tuple[float, np.ndarray]:
     return float(best[length]), pattern
 
 
-def column_generation(demand: np.ndarray, length: int = LENGTH, gap: float = GAP, pivots: int = PIVOTS) -> list[tuple[float, np.ndarray]]:
-    """(copies, pattern) of a solution of the linear program; ``demand[l]``: orders of length l."""
+def column_generation(demand: np.ndarray, length: int = LENGTH, gap: float = GAP, pivots: int = PIVOTS) -> tuple[list[tuple[float, np.ndarray]], np.ndarray]:
+    """(copies, pattern) of a solution of the linear program, and its dual prices; ``demand[l]``: orders of length l."""
     sizes = np.flatnonzero(demand)
     sizes = sizes[sizes > 0]
     if not len(sizes):
-        return []
+        return [], np.zeros(len(demand))
     patterns = []
     for size in sizes:  # a start that fills sequences: a length with its complement, then what is left alone
         p = np.zeros(len(demand), np.int64)
@@ -101,45 +103,45 @@ def column_generation(demand: np.ndarray, length: int = LENGTH, gap: float = GAP
         inverse -= change
         inverse[out] = row
         patterns[out] = pattern
-    return [(float(x), p) for x, p in zip(amount, patterns) if x > 1e-9]
-
-
-def fill(left: np.ndarray, room: int) -> np.ndarray:
-    """Counts of lengths, of those ``left``, that fill most of ``room``: a knapsack whose prices are the lengths."""
-    reach, steps = 1, []  # bit r: some of the lengths so far add up to r
-    full = (1 << (room + 1)) - 1
-    for size in np.flatnonzero(left[: room + 1])[::-1].tolist():
-        for _ in range(min(int(left[size]), room // size)):
-            more = (reach | reach << size) & full
-            if more == reach:
+    prices = np.zeros(len(demand))
+    prices[sizes] = np.maximum(total, 0)
+    return [(float(x), p) for x, p in zip(amount, patterns) if x > 1e-9], prices
+
+
+def bounded_knapsack(prices: np.ndarray, left: np.ndarray, length: int, waste: int, enough: float) -> np.ndarray | None:
+    """The most valuable multiset of lengths, at most ``left`` of each, that fills ``length`` but for ``waste``; the first found that fills it and is worth ``enough``."""
+    best, steps = np.full(length + 1, -np.inf), []  # of multisets that add up to exactly so much
+    best[0] = 0
+    for size in np.flatnonzero(left[: length + 1])[::-1].tolist():
+        copies, times = min(int(left[size]), length // size), 1
+        while copies > 0:  # 1, 2, 4, ... copies at once
+            k = min(times, copies)
+            copies, times = copies - k, times * 2
+            if k * size > length:
                 break
-            steps.append((size, reach))
-            reach = more
-        if reach >> room & 1:
+            gain = best[: length + 1 - k * size] + k * prices[size]
+            more = gain > best[k * size :] + 1e-12
+            if more.any():
+                steps.append((size, k, more))
+                best[k * size :][more] = gain[more]
+        if best[length] >= enough:
             break
-    pattern, at = np.zeros(len(left), np.int64), reach.bit_length() - 1
-    for size, before in reversed(steps):
-        if not before >> at & 1:
-            pattern[size] += 1
-            at -= size
+    room = length - waste + int(best[length - waste :].argmax())
+    if best[room] == -np.inf:
+        return None
+    pattern = np.zeros(len(left), np.int64)
+    for size, k, more in reversed(steps):
+        if room >= k * size and more[room - k * size]:
+            pattern[size] += k
+            room -= k * size
     return pattern
 
 
-def residual(left: np.ndarray, length: int, waste: int) -> list[tuple[int, np.ndarray]]:
-    """(copies, pattern) of what the rounded solution leaves: the longest order with what fills its sequence best.
-
-    A pattern is repeated as long as its orders last; a longest order that nothing fills up is left out.
-    """
-    out, left = [], left.copy()
-    while left.any():
-        size = int(np.flatnonzero(left)[-1])
-        left[size] -= 1
-        pattern = fill(left, length - size)
-        left[size] += 1
-        pattern[size] += 1
-        if length - int(pattern @ np.arange(len(left))) > waste:
-            left[size] = 0  # fewer of them would leave others no better filled
-            continue
+def priced(left: np.ndarray, prices: np.ndarray, length: int, waste: int) -> list[tuple[int, np.ndarray]]:
+    """(copies, pattern) of columns that the prices find among the orders ``left``, which are taken off, as long as any fills a sequence."""
+    out = []
+    prices = prices + 1e-3 * np.arange(len(left)) / length  # among equals, what fills more
+    while (pattern := bounded_knapsack(prices, left, length, waste, ENOUGH)) is not None:
         held = np.flatnonzero(pattern)
         copies = int((left[held] // pattern[held]).min())
         left -= copies * pattern
@@ -183,14 +185,18 @@ def plan(demand: np.ndarray, length: int = LENGTH, waste: int = WASTE) -> Plan:
     cuts: list[list[int]] = [[] for _ in demand]
     runs: list[list[tuple[int, int, int]]] = [[] for _ in demand]
     left, chosen = demand.copy(), []
-    for amount, pattern in column_generation(demand, length):
+    found, prices = column_generation(demand, length)
+    for amount, pattern in found:
         held = np.flatnonzero(pattern)
         copies = min(int(amount + 1e-6), int((left[held] // pattern[held]).min()))
         if copies >= 1 and length - int(pattern @ sizes) <= waste:
             chosen.append((copies, pattern))
             left -= copies * pattern
+    # what rounding leaves gets integer columns at the same prices, the last ones with more waste
+    for most in (waste, LAST_WASTE):
+        chosen += priced(left, prices, length, most)
     covered, sequence = [0] * len(demand), 0
-    for copies, pattern in chosen + residual(left, length, waste):
+    for copies, pattern in chosen:
         offset = 0
         for s in np.flatnonzero(pattern).tolist():
             cuts[s].append(covered[s])
