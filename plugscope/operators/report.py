@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import words as W
-from . import graph
+from . import fold, graph
 
 KEY = ["plugin_slug", "file"]
 
@@ -33,28 +35,13 @@ def generic(callback: Column) -> Column:
     return callback.isin(*W.GENERIC_CALLBACKS)
 
 
-def dedup(endpoints: DataFrame, salts: int = 1) -> DataFrame:
+def dedup(endpoints: DataFrame) -> DataFrame:
     """One row per (plugin, route, method, type): an ordered fold over rows sorted by file and callback.
 
     A later row replaces the survivor if its level is higher and the survivor's is not 0, or if only
-    the survivor's callback says nothing. Both rules look at a row's level and kind of callback alone,
-    so a row that follows one with the same two never replaces the survivor: only such rows are left out.
+    the survivor's callback says nothing.
     """
-    key = ["plugin_slug", "route", "method", "type"]
-    rest = [c for c in endpoints.columns if c not in key]
-    order = ["file", "callback", *[c for c in ("line", "auth_level", "raw_code") if c in rest]]
-    order += [c for c in rest if c not in order]
-    kind = F.struct("auth_level", generic(F.col("callback")).alias("generic"))
-    rows = endpoints.select(*key, F.struct(*order).alias("__r"), kind.alias("__k"))
-    rows = rows.withColumn("__before", F.lag("__k").over(Window.partitionBy(*key).orderBy("__r")))
-    rows = rows.where(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(F.col("__k")))
-
-    def fold(acc: Column, x: Column) -> Column:
-        take = ((x["auth_level"] > acc["auth_level"]) & (acc["auth_level"] != 0)) | (generic(acc["callback"]) & ~generic(x["callback"]))
-        return F.when(take, x).otherwise(acc)
-
-    grouped = rows.groupBy(*key).agg(F.array_sort(F.collect_list("__r")).alias("__all"))
-    return grouped.select(*key, F.aggregate(F.slice("__all", 2, 1 << 30), F.col("__all")[0], fold).alias("__r")).select(*key, *[F.col(f"__r.{c}").alias(c) for c in rest]).select(endpoints.columns)
+    return fold.dedup(endpoints)
 
 
 def coverage_gaps(endpoints: DataFrame, calls: DataFrame, within: int = 3) -> DataFrame:
@@ -149,17 +136,61 @@ def verify_targets(targets: DataFrame, endpoints: DataFrame, reachable: DataFram
     return out.select(*targets.columns, direct.alias("direct_match"), graph_hit.alias("in_call_graph"), (direct | graph_hit).alias("reachable"), F.coalesce("endpoints_in_plugin", F.lit(0)).alias("endpoints_in_plugin"), F.coalesce("matched_endpoints", F.array().cast("array<string>")).alias("matched_endpoints"))
 
 
+def _inside(holders: DataFrame, held: DataFrame, name: str) -> DataFrame:
+    """Pairs of words (plugin_slug, type, word, inner) where ``inner`` of ``held`` is part of ``word`` of ``holders``.
+
+    Words give their parts of the lengths that ``held`` has in the plugin and type: an equi-join, in which a common beginning meets nothing but itself.
+    """
+    group = ["plugin_slug", "type"]
+    sizes = held.groupBy(*group).agg(F.array_sort(F.collect_set(F.length(name))).alias("sizes"))  # as many as lengths, few
+    words = holders.select(*group, F.col(name).alias("word")).distinct().join(sizes, group)
+    parts = F.array_distinct(F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length("word")), lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring("word", i, n)))))
+    return words.select(*group, "word", F.explode(parts).alias("inner")).join(held.select(*group, F.col(name).alias("inner")).distinct(), [*group, "inner"])
+
+
 def match_manual(manual: DataFrame, detected: DataFrame, least: float = 0.5) -> DataFrame:
     """Manual rows (plugin_slug, type, route) with their best detected route: exact, else the best score of ``least`` or more.
 
-    Keys of a score above 0 share a part or contain one another; both meet within plugin and type.
+    A pair's score follows from what its keys share: all of it, one within the other, the last part, or other parts. For each
+    of these an inverted index holds the greatest detected route, so rows meet index entries and never all of a plugin's routes.
     """
-    m = manual.select("plugin_slug", "type", "route").distinct().withColumn("key", R.route_key(F.col("route"))).withColumn("norm", R.normal_route(F.col("route")))
-    d = detected.select("plugin_slug", "type", F.col("route").alias("found")).distinct().withColumn("fkey", R.route_key(F.col("found"))).withColumn("fnorm", R.normal_route(F.col("found")))
-    score = F.when(F.col("norm") == F.col("fnorm"), 2.0).otherwise(R.fuzzy_score(F.col("key"), F.col("fkey")))
-    pairs = m.join(d, ["plugin_slug", "type"]).withColumn("score", score).where(F.col("score") >= least)
-    best = pairs.groupBy("plugin_slug", "type", "route").agg(F.max(F.struct("score", F.col("found"))).alias("b"))
-    return m.join(best, ["plugin_slug", "type", "route"], "left").select("plugin_slug", "type", "route", F.col("b.found").alias("matched"), F.when(F.col("b.score") > 1, 1.0).otherwise(F.col("b.score")).alias("score"))
+    group = ["plugin_slug", "type"]
+    m = manual.select(*group, "route").distinct().withColumn("key", R.route_key(F.col("route"))).withColumn("norm", R.normal_route(F.col("route")))
+    d = detected.select(*group, F.col("route").alias("found")).distinct().join(m.select(*group).distinct(), group, "left_semi")
+    d = d.withColumn("key", R.route_key(F.col("found"))).withColumn("norm", R.normal_route(F.col("found")))
+    cut = {"parts": F.split("key", "/"), "last": F.element_at(F.split("key", "/"), -1)}
+    m, d = graph._write(m.withColumns(cut), "manual"), graph._write(d.withColumns(cut), "manual-detected")
+    met = []
+
+    def on(name: str, score: float, rows: DataFrame, index: DataFrame) -> None:
+        """Rows and index entries of one value of ``name``, at a score."""
+        top = index.groupBy(*group, name).agg(F.max("found").alias("found"))
+        met.append(rows.join(top, [*group, name]).select(*group, "route", F.lit(score).alias("score"), "found"))
+
+    on("norm", 2.0, m, d)
+    on("key", 1.0, m.where("key <> ''"), d.where("key <> ''"))
+    long = F.length("key") > 3
+    for holders, held, turned in ((m, d, False), (d, m, True)):
+        whole = _inside(holders.where(long), held.where(long), "key")
+        last = _inside(holders.where("length(last) > 5"), held, "last")
+        for pairs, name, score in ((whole, "key", 0.8), (last, "last", 0.6)):
+            mine, theirs = ("inner", "word") if turned else ("word", "inner")
+            top = d.groupBy(*group, F.col(name).alias(theirs)).agg(F.max("found").alias("found"))
+            near = pairs.join(top, [*group, theirs]).groupBy(*group, F.col(mine).alias(name)).agg(F.max("found").alias("found"))
+            met.append(m.join(near, [*group, name]).select(*group, "route", F.lit(score).alias("score"), "found"))
+    on("last", 0.7, m.where("length(last) > 3"), d)
+    part = lambda df, *more: df.select(*group, *more, F.size("parts").alias("n"), F.explode("parts").alias("part")).where("length(part) > 2")
+    mp, dp = part(m, "route"), part(d, "found")
+    often = lambda df, *more: df.groupBy(*group, *more, "part").agg(F.count("*").alias("times")).where("times > 1")
+    on("part", 0.6, often(mp, "route"), dp)
+    on("part", 0.6, mp, often(dp, "found"))
+    words = lambda df: F.array_sort(F.array_distinct(F.filter("parts", lambda p: F.length(p) > 2)))
+    twos = lambda df, *more: df.withColumn("w", words(df)).select(*group, *more, F.explode(F.flatten(F.transform("w", lambda a, i: F.transform(F.slice("w", i + 2, 1 << 20), lambda b: F.concat(a, F.lit("/"), b))))).alias("two"))
+    on("two", 0.6, twos(m, "route"), twos(d, "found"))
+    on("part", 0.5, mp.where("n <= 2"), dp)
+    on("part", 0.5, mp, dp.where("n <= 2"))
+    best = reduce(DataFrame.unionByName, met).where(F.col("score") >= least).groupBy(*group, "route").agg(F.max(F.struct("score", "found")).alias("b"))
+    return m.join(best, [*group, "route"], "left").select(*group, "route", F.col("b.found").alias("matched"), F.when(F.col("b.score") > 1, 1.0).otherwise(F.col("b.score")).alias("score"))
 
 
 def validation_metrics(matched: DataFrame) -> DataFrame:

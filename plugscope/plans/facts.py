@@ -85,7 +85,7 @@ class Facts:
 def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
     """Results of independent jobs, planned and submitted from threads of their own."""
     with ThreadPoolExecutor(len(jobs) or 1) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
 def parse(files: DataFrame, config: Config | None = None) -> DataFrame:

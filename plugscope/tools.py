@@ -413,17 +413,34 @@ def reachable_by_loader(spark, sf_dir):
 # Streaming and SQL functions
 
 
-@_query("SELECT 'n' || s_nationkey AS plugin_slug, 'wp-admin/admin-ajax.php?action=a' || s_suppkey AS route, CAST(0 AS INTEGER) AS auth_level FROM supplier WHERE s_nationkey % 2 = 0")
+@_query("SELECT 'n' || s_nationkey AS plugin_slug, 'wp-admin/admin-ajax.php?action=a' || s_suppkey AS route, CAST(0 AS INTEGER) AS auth_level FROM supplier WHERE s_nationkey % 4 = 0")
 def streaming_upsert(spark, sf_dir):
-    """A stream of changed plugins: each is analysed again and replaced; a repeated batch changes nothing."""
+    """A stream of changed plugins: each is analysed again and replaced; a repeated batch changes nothing, and an emptied plugin keeps nothing."""
     base = f"{shared_dir(spark)}/plugscope/stream-{uuid.uuid4().hex}"
-    files = _files(spark, sf_dir, ("s@.php", HOOKED))
-    changed = files.select("plugin_slug").distinct().where("cast(substring(plugin_slug, 2) as int) % 2 = 0")
+    whole = _files(spark, sf_dir, ("s@.php", HOOKED))
+    nation = F.substring("plugin_slug", 2, 9).cast("int")
+    changed = whole.select("plugin_slug").distinct().where(nation % 2 == 0)
     changed.write.parquet(f"{base}/changed")
-    for turn in ("first", "again"):
+    later = whole.withColumn("content", F.when(nation % 4 == 0, F.col("content")).otherwise(F.lit(b"<?php echo 1;")))
+    for turn, now in (("first", whole), ("again", whole), ("emptied", later)):
         stream = spark.readStream.schema(changed.schema).parquet(f"{base}/changed")
-        incremental.run(stream, lambda: files, f"{base}/endpoints", f"{base}/{turn}").awaitTermination()
-    return spark.read.parquet(f"{base}/endpoints").select("plugin_slug", "route", "auth_level")
+        incremental.run(stream, lambda now=now: now, f"{base}/endpoints", f"{base}/{turn}").awaitTermination()
+    return incremental.endpoints(spark, f"{base}/endpoints").select("plugin_slug", "route", "auth_level")
+
+
+@_query("SELECT 'n' || s_nationkey AS plugin_slug, 'wp-admin/admin-ajax.php?action=a' || s_suppkey AS route, CAST(0 AS INTEGER) AS auth_level FROM supplier WHERE s_nationkey % 4 IN (0, 3) UNION ALL SELECT 'n' || s_nationkey, 'wp-admin/admin-ajax.php?action=b' || s_suppkey, 0 FROM supplier WHERE s_nationkey % 4 = 3")
+def streaming_corpus(spark, sf_dir):
+    """Drops of changed files: plugins that lose their endpoints, their files or all of themselves, gain files, or repeat what they have end as a full run leaves them."""
+    base = f"{shared_dir(spark)}/plugscope/stream-{uuid.uuid4().hex}"
+    s, kind = _supplier(spark, sf_dir), F.col("s_nationkey") % 4
+    row = lambda drop, name, code, deleted: F.struct(F.lit(drop).cast("long").alias("drop"), F.col("slug").alias("plugin_slug"), F.replace(F.lit(name), F.lit("@"), F.col("k")).alias("file"), (F.lit(None).cast("binary") if code is None else _code(code)).alias("content"), F.lit(deleted).alias("deleted"))
+    first, more = row(1, "s@.php", HOOKED, False), row(2, "t@.php", "add_action('wp_ajax_nopriv_b@', 'g');", False)
+    second = F.when(kind == 1, F.array(row(2, "s@.php", "echo 1;", False))).when(kind == 2, F.array(row(2, "", None, True))).when(kind == 3, F.array(more, row(2, "s@.php", HOOKED, False))).otherwise(F.array(row(2, "s@.php", HOOKED, False)))
+    for drop, made in ((1, F.array(first)), (2, second)):
+        s.withColumn("r", F.explode(made)).select("r.*").write.parquet(f"{base}/drops/{drop}")
+        stream = spark.readStream.schema(incremental.CHANGES).option("recursiveFileLookup", True).parquet(f"{base}/drops")
+        incremental.maintain(stream, f"{base}/now", f"{base}/state").awaitTermination()
+    return incremental.endpoints(spark, f"{base}/now/endpoints").select("plugin_slug", "route", "auth_level")
 
 
 @_query("SELECT s_suppkey, CAST(CASE s_suppkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS level, CAST(1 AS BIGINT) AS n_calls FROM supplier")
