@@ -46,7 +46,8 @@ def main(argv: list[str] | None = None) -> int:
             config = load_config(f.read())
     if args.targets:
         rows = corpus.targets_tsv(spark, args.targets).select(F.coalesce("plugin_dir", "plugin").alias("plugin_slug"), "relative_path", "cve")
-        print(sinks.reachability_json(A.verify_reachability(corpus.read_corpus(spark, args.analyze), rows)))
+        for r in sinks.reachability_lines(A.verify_reachability(corpus.read_corpus(spark, args.analyze), rows)).toLocalIterator():
+            print(r["text"])
         return 0
     done = A.analyze_directory(spark, args.analyze, config, args.compat)
     if args.list_only:
@@ -64,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
         print(line)
     if args.save:
         with open(args.save, "w") as f:
-            f.write(sinks.full_report(done))
+            f.writelines(f"{line}\n" for line in sinks.full_report(done))
     return 0
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -44,6 +44,11 @@ def dedup(endpoints: DataFrame) -> DataFrame:
     return fold.dedup(endpoints)
 
 
+def in_order(endpoints: DataFrame) -> DataFrame:
+    """Endpoints with ``pos``, their place in their plugin's order."""
+    return endpoints.withColumn("pos", F.row_number().over(Window.partitionBy("plugin_slug").orderBy("route", "method", "type", "file", "callback")).cast("int"))
+
+
 def coverage_gaps(endpoints: DataFrame, calls: DataFrame, within: int = 3) -> DataFrame:
     """REST registrations without an endpoint within some lines: a banded anti join, keyed by line."""
     near = endpoints.where("type = 'rest'").select(*KEY, F.explode(F.sequence(F.col("line") - within, F.col("line") + within)).alias("line")).distinct()

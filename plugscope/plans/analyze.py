@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..config import Config
 from ..functions import rules as R
 from ..functions import words as W
-from ..operators import detect, graph, report
-from ..sources import corpus, http
+from ..operators import detect, fold, graph, report
+from ..sources import corpus, remote
 from .facts import Facts, build, shared_dir
 
 
@@ -123,26 +123,84 @@ def register(spark: SparkSession, done: Analysis) -> None:
     spark.udf.register("php_strip_comments", php_strip_comments)
     spark.udf.register("php_auth_level", php_auth_level)
 
-    class PhpCalls:
-        def eval(self, content: str):
-            from ..php.facts import File
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION php_line_of(code STRING, off INT) RETURNS INT RETURN length(left(code, off)) - length(replace(left(code, off), chr(10), '')) + 1")
+    for name, handler in (("php_calls", PhpCalls), ("php_functions", PhpFunctions)):
+        spark.udtf.register(name, F.udtf(handler, returnType=handler.RETURNS))
+    spark.udtf.register("auth_fold", F.udtf(AuthFold))
 
-            for c in File(content or "").calls:
-                yield c["callee"], c["line"], c["vals"]
 
-    spark.udtf.register("php_calls", F.udtf(PhpCalls, returnType="callee string, line int, vals array<string>"))
+class PhpCalls:
+    """Calls of a text: ``LATERAL php_calls(content)``."""
+
+    RETURNS = "callee string, line int, vals array<string>"
+
+    def eval(self, content: str):
+        from ..php.facts import File
+
+        for c in File(content or "").calls:
+            yield c["callee"], c["line"], c["vals"]
+
+
+class PhpFunctions:
+    """Functions of a text with the level that their bodies ask for and what they call: ``LATERAL php_functions(content)``."""
+
+    RETURNS = "class string, name string, line int, params array<string>, level int, calls array<string>"
+
+    def eval(self, content: str):
+        from ..php.facts import facts
+
+        for f in facts(content or "")["functions"]:
+            yield f["class_fqn"], f["name"], f["line"], f["params"], f["level"], f["calls"]
+
+
+class AuthFold:
+    """The dedup fold over any table with the columns auth_level and callback, in the order of the call; its columns are the table's.
+
+    ``SELECT * FROM auth_fold(TABLE(endpoints) PARTITION BY (plugin_slug, route, method, type) ORDER BY (file, callback))``
+    """
+
+    def __init__(self):
+        self.best = None
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable or not {"auth_level", "callback"} <= set(rows.dataType.names):
+            raise ValueError("auth_fold takes a table with the columns auth_level and callback")
+        return AnalyzeResult(schema=rows.dataType)
+
+    def eval(self, row: Row):
+        state = lambda r: (r["auth_level"], r["callback"] in W.GENERIC_CALLBACKS)
+        if self.best is None or fold.replaces(state(self.best), state(row)):
+            self.best = row
+
+    def terminate(self):
+        if self.best is not None:
+            yield tuple(self.best)
 
 
 def level_names(endpoints: DataFrame) -> DataFrame:
     return endpoints.withColumn("level_name", R.level_name(F.col("auth_level")))
 
 
-def run(spark: SparkSession, page: Callable[[int], str], info: Callable[[str], dict], zip_of: Callable[[str], bytes], max_pages: int = 0, max_plugins: int = 0, config: Config | None = None) -> tuple[Analysis, DataFrame]:
+def run(spark: SparkSession, pages_url: str, info_url: str, max_pages: int = 0, max_plugins: int = 0, client: remote.Client | None = None, config: Config | None = None) -> tuple[Analysis, DataFrame]:
     """Fetch a listing, details and archives, then analyse: the analysis, and the downloads with their errors.
 
-    ``page``, ``info`` and ``zip_of`` read a listing page, a plugin's details and an archive; wrap them in ``http.Retry``.
+    ``pages_url`` holds ``{page}``, ``info_url`` ``{slug}``. Pages, details and archives are read in tasks; archives are
+    written once to the shared folder, since both the files and the errors come from them.
     """
-    listed = http.details(info, http.popular(page, max_pages, 0), max_plugins)
-    rows = list(http.download(zip_of, [(p["slug"], p["download_link"]) for p in listed]))
-    zips = spark.createDataFrame(rows, "plugin_slug string, content binary, error string")
+    client = client or remote.Client()
+    spark.dataSource.register(remote.PagesSource)
+    pages = spark.read.format("http_pages").option("url", pages_url).option("max_pages", max_pages).option("attempts", client.attempts).option("base", client.base).option("timeout", client.timeout).load()
+    pages = _kept(pages.select("page", F.col("body").cast("string").alias("html")), "pages")
+    listed = _kept(corpus.popular(pages, max_pages), "listed")
+    found = remote.details(listed, info_url, max_plugins, client)
+    wanted = corpus.plugin_info(found.select("json")).select("slug", "download_link").where("download_link <> ''").repartition("slug")
+    zips = _kept(remote.archives(wanted, client), "archives")
     return analyze(corpus.unzip(zips.where("error is null")), config), zips.select("plugin_slug", "error")
+
+
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """Written once, so that no request is sent twice."""
+    path = f"{shared_dir(df.sparkSession)}/plugscope/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,6 +111,25 @@ def plugin_slugs(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return found.groupBy(id_col, "slug").agg(F.min("pos").alias("pos"))
 
 
+def popular(pages: DataFrame, max_pages: int = 0, max_plugins: int = 0) -> DataFrame:
+    """(slug, pos) of a listing's pages (page, html) in order of first occurrence, up to a number of pages and of plugins (0: all).
+
+    The first page's pagination says how many pages there are.
+    """
+    if max_pages < 0 or max_plugins < 0:
+        raise ValueError("bounds must not be negative")
+    last = page_count(pages.where("page = 1"), "page", "html").select(F.col("pages").alias("last"))
+    kept = pages.join(F.broadcast(last)).where("page <= last")  # one row
+    kept = kept.where(F.col("page") <= max_pages) if max_pages else kept
+    first = plugin_slugs(kept, "page", "html").groupBy("slug").agg(F.min(F.struct("page", "pos")).alias("at"))
+    ranked = first.orderBy("at").limit(max_plugins) if max_plugins else first
+    # slugs of earlier pages, then earlier ones of the page: two sums instead of one window over all
+    by_page = ranked.groupBy("at.page").agg(F.count("*").alias("n"))
+    before = by_page.select("page", F.coalesce(F.sum("n").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a page
+    own = ranked.select("slug", "at.page", F.row_number().over(Window.partitionBy("at.page").orderBy("at")).alias("nth"))
+    return own.join(before, "page").select("slug", (F.col("before") + F.col("nth") - 1).cast("int").alias("pos"))
+
+
 def page_count(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """Largest page number among pagination links, 1 at least."""
     numbers = F.transform(F.regexp_extract_all(html_col, F.lit(r"/page/([0-9]+)"), 1), lambda x: x.cast("int"))

@@ -1,19 +1,15 @@
-"""HTTP with retries, the bounded listing crawl and safe downloads; plain Python on the driver."""
+"""One HTTP request, and retries with growing delays; ``remote`` sends them from tasks."""
 
 from __future__ import annotations
 
 import random
-import re
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 from dataclasses import dataclass
 from email.message import Message
 
-from ..functions import words as W
-
 RETRY_STATUS = (429, 500, 502, 503, 504)
 
 
@@ -67,58 +63,3 @@ def get(url: str, timeout: float = 30, opener: Callable | None = None) -> Respon
             return Response(r.status, r.read(), r.headers)
     except urllib.error.HTTPError as e:
         return Response(e.code, e.read(), e.headers)
-
-
-def slugs_of(html: str) -> list[str]:
-    found = (m[1] for h in re.findall(r"""href=["']([^"']*)["']""", html) if (m := re.search(r"/plugins/([^/]+)/?$", h)))
-    return list(dict.fromkeys(s for s in found if s not in W.RESERVED_SLUGS))
-
-
-def popular(fetch: Callable[[int], str], max_pages: int, max_plugins: int) -> list[str]:
-    """Slugs of pages 1, 2, ... until a bound (0: none) or the listing's own last page is met."""
-    if max_pages < 0 or max_plugins < 0:
-        raise ValueError("bounds must not be negative")
-    first = fetch(1)
-    last = max([1, *map(int, re.findall(r"/page/(\d+)", first))])
-    out, page, html = [], 1, first
-    while True:
-        out += [s for s in slugs_of(html) if s not in out]
-        if max_plugins and len(out) >= max_plugins:
-            return out[:max_plugins]
-        page += 1
-        if page > last or max_pages and page > max_pages:
-            return out
-        html = fetch(page)
-
-
-def details(fetch: Callable[[str], dict], slugs: list[str], most: int = 0, workers: int = 10) -> list[dict]:
-    """Plugin details in the order of slugs; failures are skipped and replaced by later slugs, up to ``most`` (0: all)."""
-    if most < 0:
-        raise ValueError("the bound must not be negative")
-    out: list[dict] = []
-    with ThreadPoolExecutor(workers) as pool:
-        for i in range(0, len(slugs), workers):
-            for future in [pool.submit(fetch, s) for s in slugs[i : i + workers]]:
-                try:
-                    out.append(future.result())
-                except (OSError, ValueError):
-                    continue
-                if most and len(out) == most:
-                    return out
-    return out
-
-
-def download(fetch: Callable[[str], bytes], plugins: list[tuple[str, str]], workers: int = 10, progress: Callable[[str, bool], None] | None = None) -> Iterator[tuple[str, bytes | None, str | None]]:
-    """(slug, ZIP bytes, error) of plugins (slug, url); a failed download is a row with its error."""
-
-    def one(slug: str, url: str) -> tuple[str, bytes | None, str | None]:
-        try:
-            row = (slug, fetch(url), None)
-        except OSError as e:
-            row = (slug, None, str(e))
-        if progress:
-            progress(slug, row[2] is None)
-        return row
-
-    with ThreadPoolExecutor(workers) as pool:
-        yield from pool.map(lambda p: one(*p), plugins)

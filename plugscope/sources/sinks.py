@@ -160,28 +160,65 @@ def summary_text(s: dict) -> str:
     return "\n".join(lines)
 
 
-def full_report(done) -> str:
-    """Plugins, endpoints by level and summary as one indented JSON document; for corpora that fit a file."""
-    by: dict[str, list] = {n: [] for n in W.LEVELS}
-    for _, r in _sections(done.endpoints):
-        by[W.LEVELS[r["auth_level"]]].append({k: W.LEVELS[v] if k == "auth_level" else v for k, v in r.items() if v != ""})
-    plugins = [r.asDict() for r in done.plugins.orderBy("plugin_slug").toLocalIterator()]
-    summary = {k: v for k, v in done.summary().first().asDict().items() if k != "authenticated_count"}
-    return json.dumps({"plugins": plugins, "endpoints": by, "summary": summary}, indent=2)
+def _document(sections: list[tuple[str, str, DataFrame | None]]) -> DataFrame:
+    """(section, nth, text) of a JSON document in order: each section's opening text, its elements with commas between, its closing text.
+
+    An element frame has ``key`` (its order, unlike any other's) and ``text``; only its least key is looked up to know the first.
+    """
+    out = None
+    for n, (opening, closing, rows) in enumerate(sections):
+        spark = next(r for _, _, r in sections if r is not None).sparkSession
+        parts = spark.createDataFrame([(n, 0, "", opening), (n, 2, "", closing)], "section int, kind int, key string, text string")
+        if rows is not None:
+            least = rows.agg(F.min("key").alias("least"))
+            own = rows.join(F.broadcast(least)).select(F.lit(n).alias("section"), F.lit(1).alias("kind"), "key", F.concat(F.when(F.col("key") == F.col("least"), "").otherwise(","), "text").alias("text"))  # one row
+            parts = parts.unionByName(own)
+        out = parts if out is None else out.unionByName(parts)
+    return out.where("text <> ''").orderBy("section", "kind", "key").select("section", "kind", "text")
+
+
+def _key(*cols: str) -> Column:
+    return F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
+
+
+def full_report_lines(endpoints: DataFrame, plugins: DataFrame, summary: DataFrame) -> DataFrame:
+    """The full report as ordered lines (section, kind, text): plugins (section 0), endpoints by level (1 to 7), the summary (8)."""
+    level = F.element_at(F.array(*map(F.lit, W.LEVELS)), F.col("auth_level") + 1)
+    body = [F.when(F.col(c) != "", F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in endpoints.dtypes if c != "auth_level"]
+    rows = endpoints.select("auth_level", _key(*ORDER[1:], *[c for c in endpoints.columns if c not in ORDER]).alias("key"), F.to_json(F.struct(*body, level.alias("auth_level"))).alias("text"))
+    sections = [('{"plugins": [', '], "endpoints": {', plugins.select(_key("plugin_slug").alias("key"), F.to_json(F.struct(*plugins.columns)).alias("text")))]
+    for k, name in enumerate(W.LEVELS):
+        sections.append((f'{"," if k else ""}"{name}": [', "]", rows.where(F.col("auth_level") == k).select("key", "text")))
+    return _document([*sections, ('}, "summary": ', "}", summary.drop("authenticated_count").select(F.lit("").alias("key"), F.to_json(F.struct("*")).alias("text")))])
 
 
-def reachability_json(verified: DataFrame) -> str:
-    """Summary and rows of verified targets."""
-    rows = [r.asDict() for r in verified.orderBy("plugin_slug", "relative_path").toLocalIterator()]
-    hit = sum(r["reachable"] for r in rows)
-    return json.dumps({"summary": {"total": len(rows), "reachable": hit, "not_reachable": len(rows) - hit, "endpoints_found": sum(r["direct_match"] for r in rows)}, "results": rows}, indent=2)
+def write_lines(lines: DataFrame, path: str) -> None:
+    """A document's lines as text files, in order over files."""
+    lines.select("text").write.text(path)
 
 
-def plugin_list(plugins: DataFrame) -> Iterator[str]:
-    """Slug, name (cut at 38 characters) and version of plugins."""
+def full_report(done) -> Iterator[str]:
+    """The full report's lines, one after another."""
+    return (r["text"] for r in full_report_lines(done.endpoints, done.plugins, done.summary()).toLocalIterator())
+
+
+def reachability_lines(verified: DataFrame) -> DataFrame:
+    """Verified targets as ordered lines of a JSON document: the summary (section 0), then the results (1)."""
+    counts = verified.agg(F.count("*").alias("total"), F.count_if("reachable").alias("reachable"), F.count_if(~F.col("reachable")).alias("not_reachable"), F.count_if("direct_match").alias("endpoints_found"))
+    rows = verified.withColumn("n", F.monotonically_increasing_id())
+    rows = rows.select(F.concat(_key("plugin_slug", "relative_path"), F.lpad(F.col("n").cast("string"), 20, "0")).alias("key"), F.to_json(F.struct(*verified.columns)).alias("text"))
+    return _document([('{"summary": ', "", counts.select(F.lit("").alias("key"), F.to_json(F.struct("*")).alias("text"))), (', "results": [', "]}", rows)])
+
+
+def plugin_lines(plugins: DataFrame) -> DataFrame:
+    """(plugin_slug, line): slug, name (cut at 38 characters) and version of plugins."""
     name = F.when(F.length("name") > 38, F.concat(F.substring("name", 1, 35), F.lit("..."))).otherwise(F.col("name"))
-    for r in plugins.select("plugin_slug", name.alias("name"), "version").orderBy("plugin_slug").toLocalIterator():
-        yield f"{r['plugin_slug']:<40} {r['name']:<38} {r['version']}"
+    wide = lambda c, n: F.when(F.length(c) < n, F.rpad(c, n, " ")).otherwise(c)
+    return plugins.select("plugin_slug", F.concat_ws(" ", wide(F.col("plugin_slug"), 40), wide(name, 38), "version").alias("line"))
+
+
+def plugin_list(plugins: DataFrame) -> Iterator[str]:
+    return (r["line"] for r in plugin_lines(plugins).orderBy("plugin_slug").toLocalIterator())
 
 
 def validation_text(metrics: DataFrame, missed: DataFrame, worst: DataFrame, accuracy: DataFrame) -> Iterator[str]:

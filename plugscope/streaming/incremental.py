@@ -1,8 +1,9 @@
 """Incremental analysis: a stream of changed files keeps a corpus and its endpoints up to date.
 
 Changes arrive as rows (drop, plugin_slug, file, content, deleted), for instance from a landing directory
-(``landing``) whose drops are never rewritten: ``<root>/<drop>/<plugin>/<path>``, where ``<path>.deleted`` removes a file and
-``.deleted`` alone a plugin. State keyed by plugin holds the digests of its files, so what a drop repeats
+(``landing``) whose drops are never rewritten: ``<root>/<drop>/<plugin>/<path>``, where ``<plugin>/<path>.deleted`` removes a file and
+``<plugin>.deleted`` a plugin. Spark's file source passes over empty files, so a marker holds a byte, and a file that became
+empty is dropped as removed. State keyed by plugin holds the digests of its files, so what a drop repeats
 changes nothing. Each micro-batch rewrites the current files of the plugins that changed and analyses them again: the
 plugin is the unit of work, since dedup, wrappers and graphs need all of its files.
 
@@ -64,14 +65,14 @@ def run(stream: DataFrame, current: Callable[[], DataFrame], path: str, checkpoi
 
 def landing(spark: SparkSession, root: str) -> DataFrame:
     """A stream of changes from a landing directory; drops are numbers, and later ones come after earlier ones."""
-    rows = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     base = re.escape(root.rstrip("/").rpartition("://")[2].lstrip("/"))
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", ""), f"^/*{base}/", "")
-    parts = F.split("rel", "/")
-    path = F.array_join(F.slice(parts, 3, 1 << 20), "/")
-    gone = path.endswith(GONE)
-    named = F.when(gone, F.regexp_replace(path, r"\.deleted$", "")).otherwise(path)
-    return rows.withColumn("rel", rel).where(F.size(parts) >= 3).select(parts[0].cast("long").alias("drop"), parts[1].alias("plugin_slug"), named.alias("file"), F.when(~gone, F.col("content")).alias("content"), gone.alias("deleted"))
+    gone = F.col("rel").endswith(GONE)
+    rows = rows.withColumn("rel", rel).withColumn("gone", gone).withColumn("rel", F.when(F.col("gone"), F.regexp_replace("rel", r"\.deleted$", "")).otherwise(F.col("rel")))
+    parts, gone = F.split("rel", "/"), F.col("gone")
+    named = F.array_join(F.slice(parts, 3, 1 << 20), "/")
+    return rows.where((F.size(parts) >= 3) | gone & (F.size(parts) == 2)).select(parts[0].cast("long").alias("drop"), parts[1].alias("plugin_slug"), named.alias("file"), F.when(~gone, F.col("content")).alias("content"), gone.alias("deleted"))
 
 
 def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

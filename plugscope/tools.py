@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 import json
+import urllib.error
+import urllib.response
 import uuid
 import zipfile
 from collections.abc import Callable
+from email.message import Message
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +21,7 @@ from .functions import rules as R
 from .operators import detect, dispatch, graph, report
 from .plans import analyze as plans
 from .plans.facts import build, shared_dir
-from .sources import corpus, http, sinks
+from .sources import corpus, remote, sinks
 from .streaming import incremental
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,38 +117,40 @@ def zip_extract(spark, sf_dir):
     return corpus.unzip(zips).select("plugin_slug", "file", F.octet_length("content").alias("n_bytes"))
 
 
-@_query("SELECT s_suppkey, CAST([1, 2, 3, 1, 3][CAST(s_suppkey % 5 + 1 AS INTEGER)] AS INTEGER) AS attempts, ['200', '200', '200', '404', 'failed'][CAST(s_suppkey % 5 + 1 AS INTEGER)] AS outcome FROM supplier")
-def retry_policy(spark, sf_dir):
-    """Attempts until another status than a passing failure, or until none is left."""
+class _Scripted:
+    """A client of one attempt whose answers are in the URL: ``script:<key>:<code>,<code>,...``; its attempts are counted by URL in the task."""
 
-    @F.pandas_udf("attempts int, outcome string")
-    def sent(keys: pd.Series) -> pd.DataFrame:
-        out = []
-        for k in keys:
-            codes = {3: [404], 4: [503] * 9}.get(k % 5, [503] * (k % 5) + [200])
-            tried: list[int] = []
+    asked: dict[str, int] = {}
 
-            def send(codes=codes, tried=tried):
-                tried.append(codes[len(tried)])
-                return http.Response(tried[-1], b"", {})
+    def __call__(self, url: str, timeout: float):
+        codes = url.rpartition(":")[2].split(",")
+        n = self.asked[url] = self.asked.get(url, 0) + 1
+        code = int(codes[min(n, len(codes)) - 1])
+        if code != 200:
+            raise urllib.error.HTTPError(url, code, "", Message(), io.BytesIO())
+        return urllib.response.addinfourl(io.BytesIO(url.encode()), Message(), url, 200)
 
-            try:
-                end = str(http.Retry(attempts=3, sleep=lambda _: None).run(send).status)
-            except OSError:
-                end = "failed"
-            out.append((len(tried), end))
-        return pd.DataFrame(out, columns=["attempts", "outcome"])
 
-    return _supplier(spark, sf_dir).select("s_suppkey", sent("s_suppkey").alias("r")).select("s_suppkey", "r.*")
+@_query(
+    """SELECT s_suppkey, CAST([1, 2, 3, 1, 3][CAST(s_suppkey % 5 + 1 AS INTEGER)] AS INTEGER) AS attempts, CASE WHEN s_suppkey % 5 < 3 THEN 200 WHEN s_suppkey % 5 = 3 THEN 404 END AS status,
+CASE s_suppkey % 5 WHEN 3 THEN 'status 404' WHEN 4 THEN 'status 503' END AS error FROM supplier"""
+)
+def retry_policy(spark, sf_dir):
+    """URLs of a table read in tasks: attempts until another status than a passing failure, or until none is left."""
+    codes = F.element_at(F.array(*map(F.lit, ["200", "503,200", "429,502,200", "404", "503"])), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    urls = _supplier(spark, sf_dir).select("s_suppkey", F.concat_ws(":", F.lit("script"), F.expr("uuid()"), codes).alias("url"))
+    client = remote.Client(attempts=3, base=0, opener=_Scripted)
+    return remote.fetch(urls, client).select("s_suppkey", "attempts", "status", "error")
 
 
 @_query("SELECT 'r' || r_regionkey || 'p' || p AS slug, CAST(row_number() OVER (ORDER BY r_regionkey, p) - 1 AS INTEGER) AS pos FROM region, (VALUES (0), (1), (2)) v(p) WHERE r_regionkey < 3 ORDER BY pos LIMIT 8")
 def popular_crawl(spark, sf_dir):
-    """A listing's slugs in order, up to a number of pages and of plugins."""
-    keys = [r[0] for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").select("r_regionkey").collect()]  # 5 rows: the pages
-    page = lambda n: "".join(f'<a href="/plugins/r{keys[n - 1]}p{p}/">' for p in (0, 1, 2, 0)) + f'<a href="/plugins/browse/"><a href="/page/{len(keys)}/">'
-    found = http.popular(page, 3, 8)
-    return spark.createDataFrame(list(zip(found, range(len(found)))), "slug string, pos int")
+    """A listing's slugs in order of first occurrence, up to a number of pages and of plugins."""
+    r = spark.read.parquet(f"{sf_dir}/region.parquet")
+    key = F.col("r_regionkey").cast("string")
+    anchors = [F.concat(F.lit('<a href="/plugins/r'), key, F.lit(f'p{p}/">')) for p in (0, 1, 2, 0)]
+    html = F.concat(*anchors, F.lit('<a href="/plugins/browse/"><a href="/page/5/">'), F.lit('<a href="/plugins/r0p1/">'))
+    return corpus.popular(r.select((F.col("r_regionkey") + 1).alias("page"), html.alias("html")), 3, 8)
 
 
 @_query("SELECT '/srv/plugins/n' || s_nationkey || '/inc/f' || s_suppkey || '.php' AS full_path, 'n' || s_nationkey AS plugin_dir, 'inc/f' || s_suppkey || '.php' AS relative_path, 'CVE-' || s_suppkey AS cve FROM supplier WHERE s_suppkey % 3 <> 0")
@@ -260,18 +265,47 @@ def chain_json(spark, sf_dir):
 
 @_query(f"SELECT {_LEVEL} AS level, CAST(count(*) AS INTEGER) AS n, CAST(max((SELECT count(*) FROM supplier)) AS INTEGER) AS total FROM {_ENDPOINT_SQL} GROUP BY auth_level")
 def full_report(spark, sf_dir):
-    """The whole report as one JSON document, parsed: endpoints by level and the summary."""
+    """The whole report as lines of one JSON document, written and read back: endpoints by level and the summary."""
     e = _endpoints(spark, sf_dir)
-    done = json.loads(sinks.full_report(plans.Analysis(e, e.select("plugin_slug").distinct(), None)))
-    rows = [(level, len(found), done["summary"]["total_endpoints"]) for level, found in done["endpoints"].items() if found]
-    return spark.createDataFrame(rows, "level string, n int, total int")
+    lines = sinks.full_report_lines(e, e.select("plugin_slug").distinct(), report.summary(e))
+    path = f"{shared_dir(spark)}/plugscope/report-{uuid.uuid4().hex}"
+    sinks.write_lines(lines, path)
+    read = spark.read.text(path).withColumn("json", F.regexp_replace("value", "^,", ""))
+    found = read.where(F.get_json_object("json", "$.route").isNotNull()).groupBy(F.get_json_object("json", "$.auth_level").alias("level")).agg(F.count("*").cast("int").alias("n"))
+    total = read.select(F.get_json_object("json", "$.total_endpoints").cast("int").alias("total")).where("total is not null")
+    return found.join(F.broadcast(total))  # one row
 
 
 @_query("SELECT rpad('n' || s_nationkey, 40, ' ') || ' ' || rpad('Plugin with a rather long name that...', 38, ' ') || ' 1.' || s_nationkey AS line FROM (SELECT DISTINCT s_nationkey FROM supplier)")
 def plugin_list(spark, sf_dir):
     """Slugs, names cut at a width, and versions."""
     p = _supplier(spark, sf_dir).select(F.col("slug").alias("plugin_slug"), F.lit("Plugin with a rather long name that does not fit").alias("name"), F.concat(F.lit("1."), "s_nationkey").alias("version")).distinct()
-    return spark.createDataFrame([(x,) for x in sinks.plugin_list(p)], "line string")
+    return sinks.plugin_lines(p).select("line")
+
+
+@_query(
+    """SELECT 'n' || s_nationkey AS plugin_slug, 'f' || s_suppkey || '.php' AS relative_path, s_suppkey % 2 = 0 AS reachable, t.total, t.reached FROM supplier, (SELECT CAST(count(*) AS INTEGER) AS total, CAST(count(*) FILTER (s_suppkey % 2 = 0) AS INTEGER) AS reached FROM supplier) t"""
+)
+def reachability_report(spark, sf_dir):
+    """Verified targets as lines of one JSON document, written and read back: the summary and every result."""
+    s = _supplier(spark, sf_dir)
+    even = F.col("s_suppkey") % 2 == 0
+    targets = s.select(F.col("slug").alias("plugin_slug"), F.concat(F.lit("f"), "k", F.lit(".php")).alias("relative_path"))
+    ends = s.where(even).select(F.col("slug").alias("plugin_slug"), F.lit("rest").alias("type"), F.lit("/r").alias("route"), F.concat(F.lit("inc/f"), "k", F.lit(".php")).alias("file"))
+    verified = report.verify_targets(targets, ends, ends.select("plugin_slug", "file"))
+    path = f"{shared_dir(spark)}/plugscope/verified-{uuid.uuid4().hex}"
+    sinks.write_lines(sinks.reachability_lines(verified), path)
+    read = spark.read.text(path).withColumn("json", F.regexp_replace("value", "^,", ""))
+    one = lambda c, t="string": F.get_json_object("json", f"$.{c}").cast(t).alias(c)
+    rows = read.where(F.get_json_object("json", "$.relative_path").isNotNull()).select(one("plugin_slug"), one("relative_path"), one("reachable", "boolean"))
+    summary = read.where(F.get_json_object("json", "$.not_reachable").isNotNull()).select(one("total", "int"), F.get_json_object("json", "$.reachable").cast("int").alias("reached"))
+    return rows.join(F.broadcast(summary))  # one row
+
+
+@_query(f"SELECT plugin_slug, route, CAST(row_number() OVER (PARTITION BY plugin_slug ORDER BY route, method, type, file, callback) AS INTEGER) AS pos FROM {_ENDPOINT_SQL}")
+def endpoint_order(spark, sf_dir):
+    """Endpoints of a plugin in their order: route, method, type, file, callback."""
+    return report.in_order(_endpoints(spark, sf_dir)).select("plugin_slug", "route", "pos")
 
 
 # Summaries, coverage, validation
@@ -453,6 +487,30 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT s_suppkey, php_auth_level(php_strip_comments(code)) AS level, count(*) AS n_calls FROM snippets, LATERAL php_calls(code) GROUP BY ALL")
 
 
+@_query(
+    """SELECT plugin_slug, route, method, type, max_by(CASE WHEN s_suppkey % 3 = 1 THEN 'unknown' ELSE 'cb' || s_suppkey END, r) AS callback, CAST(max_by(level, r) AS INTEGER) AS auth_level FROM (
+SELECT *, CASE WHEN pub THEN 1000000 - s_suppkey ELSE level * 1000000 - s_suppkey END AS r FROM (SELECT 'n' || s_nationkey AS plugin_slug, '/r' || (s_suppkey % 2) AS route, 'GET' AS method, 'rest' AS type, s_suppkey, 0 AS level, s_suppkey % 3 <> 1 AS pub FROM supplier))
+GROUP BY ALL"""
+)
+def sql_auth_fold(spark, sf_dir):
+    """The fold as a table function over partitions: of public rows in order of file, the first whose callback says something, else the first."""
+    s = _supplier(spark, sf_dir)
+    plans.register(spark, plans.Analysis(_endpoints(spark, sf_dir), s, build(_files(spark, sf_dir, ("s@.php", "x();")))))
+    said = F.when(F.col("s_suppkey") % 3 == 1, "unknown").otherwise(F.concat(F.lit("cb"), "k"))
+    s.select(F.col("slug").alias("plugin_slug"), F.concat(F.lit("/r"), F.col("s_suppkey") % 2).alias("route"), F.lit("GET").alias("method"), F.lit("rest").alias("type"), F.col("s_suppkey").alias("file"), said.alias("callback"), F.lit(0).alias("auth_level")).createOrReplaceTempView("raw_endpoints")
+    return spark.sql("SELECT plugin_slug, route, method, type, callback, auth_level FROM auth_fold(TABLE(raw_endpoints) PARTITION BY (plugin_slug, route, method, type) ORDER BY (file, callback))")
+
+
+@_query("SELECT s_suppkey, unnest([{'name': 'go', 'line': 2, 'level': 5}, {'name': 'cb' || s_suppkey, 'line': 3, 'level': 0}], recursive := true), CAST(2 AS INTEGER) AS line_of FROM supplier")
+def sql_php_functions(spark, sf_dir):
+    """Functions of texts with lines and levels, and lines of places, in SQL."""
+    s = _supplier(spark, sf_dir)
+    plans.register(spark, plans.Analysis(_endpoints(spark, sf_dir), s, build(_files(spark, sf_dir, ("s@.php", "x();")))))
+    code = F.concat(F.lit("<?php class A {\nfunction go() { current_user_can('manage_options'); }\nfunction cb"), "k", F.lit("() {} }"))
+    s.select("s_suppkey", code.alias("code")).createOrReplaceTempView("methods")
+    return spark.sql("SELECT s_suppkey, f.name, f.line, f.level, php_line_of(code, 20) AS line_of FROM methods, LATERAL php_functions(code) f")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -134,7 +134,7 @@ def test_report(done):
     assert "Unauthenticated: " in sinks.summary_text(s.asDict())
     chains = "\n".join(sinks.chain_report(done.trees()))
     assert "  Callback: this::early" in chains and "    └── helper\n        └── inner" in chains
-    full = json.loads(sinks.full_report(done))
+    full = json.loads("".join(sinks.full_report(done)))
     assert full["summary"]["total_plugins"] == 1 and len(full["endpoints"]["admin"]) == s["admin_count"]
     one = json.loads(report.as_json(done.with_chains().where("route = 'init:this::early'")).first()["json"])
     assert one["auth_level"] == "unauthenticated" and one["function_calls"] == ["helper", "inner"]
@@ -219,10 +219,6 @@ def test_http():
     assert len(waits) == 2 + 14
     assert http.Retry().delay(1, "1") == 1.0
     assert http.Retry(sleep=waits.append).run(lambda: http.Response(404, b"", {})).status == 404
-    page = lambda k: f'<a href="/plugins/p{k}/">x</a><a href="/plugins/browse/">b</a><a href="/x/page/3/">3</a>'
-    assert http.popular(page, 0, 0) == ["p1", "p2", "p3"] and http.popular(page, 2, 0) == ["p1", "p2"] and http.popular(page, 0, 1) == ["p1"]
-    with pytest.raises(ValueError):
-        http.popular(page, -1, 0)
 
 
 def test_sources(spark, tmp_path):
@@ -334,24 +330,3 @@ def test_rest_arguments_and_controllers(spark):
     assert got == {"/wp-json/a/v1/held": (2, "property:$this->args"), "/wp-json/a/v1/empty": (0, "unknown")}
     own = {(r["route"], r["method"], r["auth_level"]) for r in detect.controllers(facts).collect()}
     assert own == {("/wp-json/r/v1/own", "POST", 2)}
-
-
-def test_full_run(spark):
-    import io
-    import zipfile
-
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        z.writestr("p2/p2.php", "<?php\n/*\n * Plugin Name: Two\n */\nadd_action('wp_ajax_nopriv_x', 'f');")
-    def info(slug):
-        if slug == "p1":
-            raise OSError("gone")
-        return {"slug": slug, "download_link": f"z/{slug}"}
-    def archive(url):
-        if url == "z/p3":
-            raise OSError("no file")
-        return buf.getvalue()
-    done, got = A.run(spark, lambda k: f'<a href="/plugins/p{k}/">x</a><a href="/page/3/">3</a>', info, archive)
-    assert [r["plugin_slug"] for r in done.plugins.collect()] == ["p2"] and done.endpoints.count() == 1
-    assert {r["plugin_slug"]: r["error"] for r in got.collect()} == {"p2": None, "p3": "no file"}
-    assert http.details(info, ["p1", "p2", "p4"], 1) == [{"slug": "p2", "download_link": "z/p2"}]
