@@ -55,6 +55,18 @@ CAP_ADMIN_PARTS = ["shop_", "woocommerce", "backwpup", "backup", "restore", "upd
 CAP_ADMIN_NAMES = ["edit_theme_options"]
 CAP_EDITOR_STARTS = ["moderate_"]
 CAP_EDITOR_PARTS = ["_others_", "_private_"]
+# Calls, variables and array keys by which code says whom it lets in, and what it reads.
+CAP_KEYS = ["capability", "cap"]
+CAP_HOLDERS = ["$user", "$current_user", "$role", "$roleObject", "$this->user"]
+ADMIN_CALLS = ["is_super_admin", "can_manage", "canManage", "is_admin_user", "isAdminUser"]
+ADMIN_STATIC_CALLS = ["is_admin", "isAdmin", "is_Admin", "isadmin", "has_admin_capability", "check_admin", "checkAdmin", "isAdministrator"]
+ADMIN_CALL_ENDS = ["check_permission", "check_permissions", "check_admin_permission", "check_admin_permissions", "checkpermission", "checkpermissions"]
+ADMIN_NAME_PARTS = ["verify_capability", "verify_admin_capability", "verifyAdminCapability"]
+LOGIN_CALLS = ["is_user_logged_in", "auth_redirect"]
+USER_CALLS = ["get_current_user_id", "wp_get_current_user"]
+NONCE_CALLS = ["wp_verify_nonce", "check_ajax_referer", "check_admin_referer"]
+REQUEST_VARS = ["$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "$_FILES"]
+REQUEST_CALLS = ["filter_input", "get_query_var"]
 PERMISSION_NAMES = ["can_", "_can_", "has_permission", "check_permission", "verify_permission", "permission_check", "permissions_check", "has_cap", "check_cap", "verify_cap", "is_allowed", "can_access", "check_access", "user_can", "require_cap"]
 PERMISSION_ENDS = ["_permission", "_permissions", "_capability", "_capabilities"]
 

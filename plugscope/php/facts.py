@@ -86,6 +86,7 @@ class File:
         self.text = strip_comments(text[1:] if text.startswith("﻿") else text)
         self.src = Source(self.text)
         self.tokens = self.src.tokens
+        self.checks = auth.Checks(self.src)
         self.scope = Scope()
         self.classes: list[dict] = []
         self.functions: list[dict] = []
@@ -271,15 +272,16 @@ class File:
         else:
             last = self.src.close(k)
             body = self.text[self.tokens[k].start : self.tokens[last].end]
-        cls = self._class_at(self.tokens[i].start)
+        cls, arrow = self._class_at(self.tokens[i].start), self.tokens[k].text == "=>"
+        lo, hi, c = self.tokens[k].start, self.tokens[last].end, self.checks
         mods = {self.tokens[m].text.lower() for m in range(max(0, i - 4), i) if self.tokens[m].kind == "name" and self.tokens[m].text.lower() in ("static", "public", "private", "protected", "abstract", "final")} if name else set()
-        returns, asked = auth.returns_level(body)
+        returns, asked = c.returns(lo, hi, (k + 1, last + 1) if arrow else None)
         self.functions.append(
             {
                 "name": name or f"closure@{self.tokens[i].start}", "class": cls["name"] if cls and name else "", "class_fqn": cls["fqn"] if cls and name else "", "is_closure": not name, "types": types, "is_static": "static" in mods,
                 "visibility": next((v for v in ("private", "protected") if v in mods), "public"), "params": params, "off": self.tokens[i].start, "end_off": self.tokens[last].end,
-                "line": self.src.line(self.tokens[i].start), "body": body, "first": k, "last": last, "level": auth.infer_level(body, self.config), "guard": auth.guard_in(body), "returns": returns, "returns_of": asked,
-                "reads_input": auth.reads_input(body), "fields": auth.input_fields(body), "keys": re.findall(r"\$\w+\s*\[\s*['\"]([\w.]+)['\"]\s*\]\s*=[^=]", body), "has_nonce": auth.has_nonce(body), "capability": auth.capability_in(body), "literals": [x for m in re.finditer(r"\breturn\b([^;]*);", body) for x in literals(m[1])], "calls": [], "first_field": auth.first_field(body), "query_var": auth.query_var(body),
+                "line": self.src.line(self.tokens[i].start), "body": body, "first": k, "last": last, "level": c.level(lo, hi, self.config), "guard": c.guard(lo, hi), "returns": returns, "returns_of": asked,
+                "reads_input": c.reads_input(lo, hi), "fields": c.fields(lo, hi), "keys": re.findall(r"\$\w+\s*\[\s*['\"]([\w.]+)['\"]\s*\]\s*=[^=]", body), "has_nonce": c.has_nonce(lo, hi), "capability": c.capability(lo, hi), "literals": [x for m in re.finditer(r"\breturn\b([^;]*);", body) for x in literals(m[1])], "calls": [], "first_field": c.first_field(lo, hi), "query_var": c.query_var(lo, hi),
             }
         )
         self._open.append(self.functions[-1])
@@ -503,7 +505,7 @@ class File:
                 "off": off, "line": self.src.line(off), "callee": callee.rpartition("\\")[2], "receiver_kind": kind, "receiver": receiver,
                 "args": [self.src.span(a, b) for a, b in args], "vals": [self.resolve(a, b, off) for a, b in args], "callbacks": [self.callback(a, b) for a, b in args],
                 "items": items, "raw": self.text[off : self.tokens[close].end], "enclosing_class": cls["name"] if cls else "", "enclosing_fn": fn["name"] if fn else "", "class_fqn": cls["fqn"] if cls else "", "type": self._type(kind, receiver, callee, off), "holders": [self._node(f) for f in around],
-                "context_level": auth.infer_level(self.text[max(0, off - 500) : self.tokens[close].end + 500], self.config), "raw_level": auth.infer_level(self.text[off : self.tokens[close].end], self.config),
+                "context_level": self.checks.level(max(0, off - 500), self.tokens[close].end + 500, self.config), "raw_level": self.checks.level(off, self.tokens[close].end, self.config),
                 "before": self.text[max(0, off - 200) : off],
             }
         )
@@ -538,13 +540,13 @@ class File:
             if name not in ("-1", "false", "0"):
                 lo, hi = max(0, m.start() - 500), m.end() + 500
                 fn, cls = self._function_at(m.start()), self._class_at(m.start())
-                self.calls.append({"off": m.start(), "line": self.src.line(m.start()), "callee": "__direct_action", "receiver_kind": "none", "receiver": "", "args": [m[0]], "vals": [name], "callbacks": ["inline"], "items": [], "raw": m[0], "enclosing_class": cls["name"] if cls else "", "enclosing_fn": fn["name"] if fn else "", "class_fqn": cls["fqn"] if cls else "", "type": "", "holders": [self._node(f) for f in self._around(m.start(), 1)], "context_level": auth.infer_level(self.text[lo:hi], self.config), "raw_level": 0, "before": ""})
+                self.calls.append({"off": m.start(), "line": self.src.line(m.start()), "callee": "__direct_action", "receiver_kind": "none", "receiver": "", "args": [m[0]], "vals": [name], "callbacks": ["inline"], "items": [], "raw": m[0], "enclosing_class": cls["name"] if cls else "", "enclosing_fn": fn["name"] if fn else "", "class_fqn": cls["fqn"] if cls else "", "type": "", "holders": [self._node(f) for f in self._around(m.start(), 1)], "context_level": self.checks.level(lo, hi, self.config), "raw_level": 0, "before": ""})
 
     def direct(self) -> bool:
         """Whether the first 100 lines, without namespace or bootstrap guard, read the request at once."""
         head = "\n".join(self.text.split("\n")[:100])
         code = [x for x in re.sub(r"<\?(?:php)?", "", head).split("\n") if x.strip()]
-        return auth.reads_request(head) and not _BOOTSTRAP.search(head) and not (code and code[0].strip().startswith("namespace"))
+        return self.checks.reads_request(0, len(head)) and not _BOOTSTRAP.search(head) and not (code and code[0].strip().startswith("namespace"))
 
     def _items(self, arg: int, a: int, group: int, off: int, depth: int = 0) -> list[dict]:
         """``key => value`` pairs of an array literal; pairs of inner arrays carry the number of theirs."""
