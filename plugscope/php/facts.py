@@ -159,7 +159,7 @@ class File:
             return
         end, traits, rules, name = self.src.close(j), [], [], self.tokens[i + 1].text
         self.classes.append({"name": name, "fqn": f"{self.namespace}\\{name}" if self.namespace else name, "kind": kind, "parent": parent, "interfaces": interfaces, "traits": traits, "rules": rules, "off": self.tokens[i].start, "end_off": self.tokens[end].end, "line": self.src.line(self.tokens[i].start), "first": j, "last": end})
-        self._open.append(self.classes[-1])
+        self._enter(self.classes[-1])
         k = j + 1
         while k < end:
             x = self.tokens[k]
@@ -222,11 +222,18 @@ class File:
         if kind in ("prop", "static"):
             self._values.setdefault(name, []).append(self.symbols[-1])
 
+    def _leave(self, off: int) -> None:
+        while self._open and self._open[-1]["end_off"] <= off:  # declarations are met in order
+            self._open.pop()
+
+    def _enter(self, span: dict) -> None:
+        self._leave(span["off"])
+        self._open.append(span)
+
     def _around(self, off: int, which: int) -> tuple[dict, ...]:
         if self._inside is not None:
             return self._inside[which].at(off)
-        while self._open and self._open[-1]["end_off"] <= off:  # declarations are met in order
-            self._open.pop()
+        self._leave(off)
         return tuple(x for x in self._open if ("params" in x) == bool(which) and x["off"] <= off)
 
     def _class_at(self, off: int) -> dict | None:
@@ -284,7 +291,7 @@ class File:
                 "reads_input": c.reads_input(lo, hi), "fields": c.fields(lo, hi), "keys": re.findall(r"\$\w+\s*\[\s*['\"]([\w.]+)['\"]\s*\]\s*=[^=]", body), "has_nonce": c.has_nonce(lo, hi), "capability": c.capability(lo, hi), "literals": [x for m in re.finditer(r"\breturn\b([^;]*);", body) for x in literals(m[1])], "calls": [], "first_field": c.first_field(lo, hi), "query_var": c.query_var(lo, hi),
             }
         )
-        self._open.append(self.functions[-1])
+        self._enter(self.functions[-1])
 
     def _assignments(self) -> None:
         for i, t in enumerate(self.tokens):
