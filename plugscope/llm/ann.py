@@ -4,10 +4,10 @@ The forest is fitted on a bounded sample (``SAMPLE`` rows by a hash of their vec
 row is indexed, in every tree. Inner products become angles-free distances by one more component,
 sqrt(M^2 - |x|^2) with M the largest norm, which a query has as 0. A query walks all trees at once
 through one priority queue of branches, ordered by the sum of the margins that their path crosses, until
-the leaves met hold ``HELD`` of the sample's entries; leaves not met count as the last one met. A row's
-cost is the sum over the trees of its leaves' costs, and the rows of least cost, ``SHARE`` of all and
-``LEAST_CANDIDATES`` at least (a search budget of so many per query, for tables of any size), are scored
-exactly in double precision, each once.
+the leaves met hold a budget of the sample's entries. Only rows of met leaves are candidates; each is scored once,
+exactly, in double precision. The budget is what walks of ``TRIALS`` sampled rows need to meet ``TARGET`` of their
+nearest rows in the sample; nearest rows of a larger table lie closer, so recall there is higher. With a target
+of 1 walks go on to the end.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest distinct ids, each at most k times: ties
 go to smaller ids, so no other row of them can be among the k nearest of any query. Queries with equal
@@ -38,13 +38,11 @@ from .common import materialize
 
 SAMPLE = 20_000
 TREES = 32
-LEAF = 80  # sampled rows in a leaf, at most
-HELD = 0.7  # of the sample's entries, in the leaves that a query's walk meets
-SHARE = 0.1
-LEAST_CANDIDATES = 400
+LEAF = 20  # sampled rows in a leaf, at most
+TRIALS = 96
+TARGET = 0.95
 BLOCK = 25_000  # rows in a task
-CHUNK = 1_000  # queries in a task
-TOGETHER = 32  # queries whose costs are added up at once
+CHUNK = 8_000  # queries in a task
 K = 20
 
 
@@ -76,8 +74,8 @@ class Forest:
             out[:, t] = -1 - node
         return out
 
-    def costs(self, query: np.ndarray, wanted: float) -> np.ndarray:
-        """Cost of each leaf, 0 to 255: the margins that its path crosses, of those of the last leaf that the queue gave."""
+    def walk(self, query: np.ndarray) -> Iterator[int]:
+        """Leaves in the order of the summed margins that the paths to them cross."""
         margins = self.normal[:, : len(query)] @ query - self.cut
         right = (margins > 0).astype(np.int64)
         rows = np.arange(len(margins))
@@ -85,16 +83,47 @@ class Forest:
         margins = np.abs(margins).tolist()
         queue = [(0.0, n) for n in self.roots]
         heapq.heapify(queue)
-        out, held, cost = np.full(self.leaves, -1.0, np.float32), 0, 0.0
-        while queue and held < wanted:
+        while queue:
             cost, node = heapq.heappop(queue)
             while node >= 0:
                 heapq.heappush(queue, (cost + margins[node], far[node]))
                 node = near[node]
-            out[-1 - node] = cost
-            held += self.sizes[-1 - node]
-        out[out < 0] = cost
-        return (out * (255 / cost if cost else 0)).astype(np.uint8)
+            yield -1 - node
+
+    def met(self, query: np.ndarray, budget: float) -> np.ndarray:
+        """A bit for each leaf: those met first, with ``budget`` sampled entries."""
+        out, held = np.zeros(self.leaves, bool), 0
+        for leaf in self.walk(query):
+            out[leaf] = True
+            held += self.sizes[leaf]
+            if held >= budget:
+                break
+        return np.packbits(out)
+
+
+def calibrate(forest: Forest, sample: np.ndarray, k: int, trials: int = TRIALS, target: float = TARGET, seed: int = 5) -> float:
+    """Sampled entries that walks have to meet so that ``target`` of the k nearest sampled rows are among them."""
+    if len(sample) < 2:
+        return np.inf
+    leaf, needed = forest.assign(sample), []
+    for i in np.random.default_rng(seed).permutation(len(sample))[:trials]:
+        score = sample @ sample[i]
+        score[i] = -np.inf
+        wanted = set(np.argsort(-score, kind="stable")[: min(k, len(sample) - 1)].tolist())
+        homes: dict[int, list[int]] = {}
+        for r in wanted:
+            for x in leaf[r].tolist():
+                homes.setdefault(x, []).append(r)
+        held = 0
+        for x in forest.walk(sample[i]):
+            held += forest.sizes[x]
+            for r in homes.get(x, ()):
+                if r in wanted:
+                    wanted.remove(r)
+                    needed.append(held)
+            if not wanted:
+                break
+    return float(np.quantile(needed, target, method="higher"))
 
 
 def fit_forest(sample: np.ndarray, bound: float, trees: int = TREES, leaf: int = LEAF, seed: int = 11) -> Forest:
@@ -142,7 +171,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64) if len(column) else np.zeros((0, 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each row for which ``is_query`` (on ``id``)."""
     spark = vectors.sparkSession
     out_schema = "query_id long, rank int, vec_id long, score double"
@@ -164,12 +193,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHAR
     picked = distinct.where(F.xxhash64(F.lit("ann"), "v").bitwiseAND(F.lit(0xFFFFFF)) < part * 0x1000000).select("v").limit(sample)
     points = _matrix(picked.toPandas()["v"]) if total else np.zeros((0, dims))
     points = points[np.lexsort(points.T)] if len(points) else points
-    forest = fit_forest(points.reshape(-1, dims), float(bound))
+    points = points.reshape(-1, dims)
+    forest = fit_forest(points, float(bound))
+    # enough entries for k + 1 rows of their own whatever the trees share; small tables and a target of 1 are walked to the end
+    budget = np.inf if target >= 1 or total <= 2 * (k + 1) else max(calibrate(forest, points, k, target=target), 2 * (k + 1) * len(forest.roots))
+    shared = spark.sparkContext.broadcast(forest)  # about 3 nodes for each sampled row and ten trees
 
     def leaves_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                leaf = forest.assign(_matrix(pdf["v"]))
+                leaf = shared.value.assign(_matrix(pdf["v"]))
                 yield pd.DataFrame({"vid": pdf["vid"], "ids": pdf["ids"], "v": pdf["v"], "asks": pdf["asks"], "leaf": [x.tobytes() for x in leaf]})
 
     index = "vid long, ids array<long>, v array<double>, asks boolean, leaf binary"
@@ -177,19 +210,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHAR
     blocks, chunks = -(-total // BLOCK), max(1, -(-asking // CHUNK))
     mixed = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "v"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    taken = min(1.0, max(share, LEAST_CANDIDATES / total))
-    wanted = HELD * sum(forest.sizes)
 
     def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), CHUNK):
                 own = pdf.iloc[i : i + CHUNK]
-                yield own.assign(costs=[forest.costs(np.asarray(q), wanted).tobytes() for q in own["q"]])
+                yield own.assign(met=[shared.value.met(np.asarray(q), budget).tobytes() for q in own["q"]])
 
     tasks = max(blocks * chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a number that is given is not merged: few rows, much work
     members = indexed.select("vid", "ids", "v", "leaf", mixed("block", blocks).alias("block"), each(chunks).alias("chunk"))
     asked = indexed.where("asks").select(F.col("vid").alias("qid"), F.col("v").alias("q"), mixed("chunk", chunks).alias("chunk")).repartition(tasks, "qid")
-    asked = asked.mapInPandas(walked, "qid long, q array<double>, chunk int, costs binary").withColumn("block", each(blocks))
+    asked = asked.mapInPandas(walked, "qid long, q array<double>, chunk int, met binary").withColumn("block", each(blocks))
 
     def nearest(x: np.ndarray, q: np.ndarray, near: np.ndarray, first: np.ndarray, ids: list) -> list[tuple]:
         """(score, row) of the best rows in ``near``: k + 1 distinct first ids, at most k rows of an id."""
@@ -215,17 +246,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHAR
         if len(asking) and len(own):
             x, vids, ids = _matrix(own["v"]), own["vid"].to_numpy(), own["ids"].tolist()
             first = np.array([min((i for i in o if i is not None), default=np.iinfo(np.int64).max) for o in ids])
-            leaf = np.frombuffer(b"".join(own["leaf"]), np.int32).reshape(len(own), -1).T.astype(np.intp)
-            last = min(len(x), int(np.ceil(taken * len(x)))) - 1
-            for i in range(0, len(asking), TOGETHER):
-                part = asking.iloc[i : i + TOGETHER]
-                of_leaf = np.stack([np.frombuffer(c, np.uint8) for c in part["costs"]], axis=1).copy()  # a row of bytes for each leaf
-                cost = np.zeros((len(x), len(part)), np.uint16)
-                for tree in leaf:
-                    cost += of_leaf.take(tree, axis=0)
-                for qid, q, own_cost in zip(part["qid"], part["q"], np.ascontiguousarray(cost.T)):
-                    limit = np.searchsorted(np.cumsum(np.bincount(own_cost)), last + 1)  # the least cost that enough rows have
-                    near = np.flatnonzero(own_cost <= limit)
+            leaf = np.frombuffer(b"".join(own["leaf"]), np.int32)
+            by_leaf = np.argsort(leaf, kind="stable")  # the block's rows by leaf, of all trees
+            start = np.searchsorted(leaf[by_leaf], np.arange(shared.value.leaves + 1))
+            row_of, size = by_leaf // (len(leaf) // len(own)), np.diff(start)
+            seen = np.zeros(len(x), bool)
+            for qid, q, bits in zip(asking["qid"], asking["q"], asking["met"]):
+                held = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(size)))
+                n = size[held]
+                seen[:] = False
+                seen[row_of[np.repeat(start[held] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+                near = np.flatnonzero(seen)
+                if len(near):
                     out += [(qid, vids[r], s, ids[r]) for s, r in nearest(x, np.asarray(q), near, first, ids)]
         return pd.DataFrame(out, columns=["qid", "vid", "score", "ids"])
 

@@ -585,12 +585,16 @@ def test_nearest(spark):
     assert met / total >= 0.9
 
 
-def test_nearest_scores_a_tenth(spark, monkeypatch):
-    """20,000 vectors: recall of 0.9 where each query scores a tenth of them, without the least number."""
-    monkeypatch.setattr(ann, "LEAST_CANDIDATES", 0)
+def test_nearest_meets_few_rows(spark, monkeypatch):
+    """20,000 vectors in no clusters: recall of 0.9 from rows of met leaves, which are a fraction of all."""
     rng = np.random.default_rng(9)
     x = rng.standard_normal((20_000, 32))
     x /= np.linalg.norm(x, axis=1)[:, None]
+    forest = ann.fit_forest(x[:10_000], 1.0)
+    budget, leaf = ann.calibrate(forest, x[:10_000], 20), forest.assign(x)
+    met = [np.unpackbits(forest.met(q, budget), count=forest.leaves)[leaf].any(axis=1).mean() for q in x[::400]]
+    print(f"share of rows met: {np.mean(met):.3f}")
+    assert np.mean(met) < 0.35
     df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()})).repartition(8)
     got = ann.search(df, F.col("id") % 200 == 0).toPandas().groupby("query_id")["vec_id"].agg(set)
     want = brute(np.arange(len(x)), x, np.arange(0, len(x), 200))
@@ -603,7 +607,7 @@ def test_nearest_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "CHUNK", 9)
     e = table(spark, SF, "embeddings").toPandas()
     ids, x = e["vec_id"].to_numpy(), np.array(e["embedding"].tolist(), np.float64)
-    got = ann.search(table(spark, SF, "embeddings"), F.col("id") % 20 == 0, share=1.0).toPandas()
+    got = ann.search(table(spark, SF, "embeddings"), F.col("id") % 20 == 0, target=1.0).toPandas()
     for q, near in brute(ids, x, np.flatnonzero(ids % 20 == 0)).items():
         assert list(got[got["query_id"] == q].sort_values("rank")["vec_id"]) == [i for i, _ in near]
 
@@ -633,11 +637,11 @@ def test_nearest_repeated_ids(spark):
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
     s = (x * np.array(base)).sum(axis=1)
     want = [int(ids[i]) for i in np.lexsort((ids, -s)) if ids[i] != 20][:20]
-    got = ann.search(df, F.col("id") == 20).toPandas()
+    got = ann.search(df, F.col("id") == 20, target=1.0).toPandas()
     assert len(got) == 30 * 20
     for rank, own in got.groupby("rank"):
         assert set(own["vec_id"]) == {want[rank - 1]}
-    got = ann.search(df, F.col("id") == 40).toPandas()
+    got = ann.search(df, F.col("id") == 40, target=1.0).toPandas()
     assert len(got) == 30 * 20 and (got["vec_id"] != 40).all()
 
 
