@@ -16,6 +16,7 @@ from ..functions import rules as R
 from ..functions import words as W
 from ..plans.facts import Facts, together
 from . import graph
+from .dispatch import node_of
 
 ENDPOINT = ["plugin_slug", "type", "route", "method", "auth_level", "callback", "file", "line", "raw_code", "namespace", "off"]
 KEY = ["plugin_slug", "file"]
@@ -74,11 +75,10 @@ def hook_calls(facts: Facts) -> DataFrame:
 
 def expand_foreach(hooks: DataFrame, facts: Facts) -> DataFrame:
     """Hooks inside a foreach whose loop variable is in the name: one row per literal of its source."""
-    loops = facts.foreachs.where("kind <> 'method'").select(*KEY, F.col("off").alias("lo"), F.col("end_off").alias("hi"), "loop_var", "loop_key", "literals").where(F.size("literals") > 0)
+    loops = facts.foreachs.where("kind <> 'method'").select(*KEY, F.col("off").alias("loop"), "loop_var", "loop_key", "literals").where(F.size("literals") > 0)
     named = hooks.withColumn("ph", R.placeholder(F.col("hook")))
-    joined = named.join(loops, [*KEY], "left").where("lo is null or true")
-    fits = (F.col("off") >= F.col("lo")) & (F.col("off") < F.col("hi")) & ((F.col("ph") == F.col("loop_var")) | (F.col("ph") == F.col("loop_key"))) & (F.col("ph") != "")
-    met = joined.where(fits).select(*KEY, "off", F.explode("literals").alias("literal")).distinct()
+    inside = named.where("ph <> ''").select(*KEY, "off", "ph", F.explode("loops").alias("loop")).join(loops, [*KEY, "loop"])
+    met = inside.where("ph = loop_var or ph = loop_key").select(*KEY, "off", F.explode("literals").alias("literal")).distinct()
     out = named.join(met, [*KEY, "off"], "left")
     return out.withColumn("hook", F.when(F.col("literal").isNotNull(), F.regexp_replace("hook", r"\{[^}]+\}", F.col("literal"))).otherwise(F.col("hook"))).drop("ph", "literal")
 
@@ -378,10 +378,10 @@ def content_types(facts: Facts) -> DataFrame:
 
 def wrappers(facts: Facts) -> DataFrame:
     """Functions that pass a parameter on as a hook's name: (plugin, class, method, index, prefix, kind)."""
-    fns = facts.functions.where("not is_closure").select(*KEY, F.col("name").alias("enclosing_fn"), F.col("class").alias("enclosing_class"), "params", "is_static", "off", "end_off")
-    hook = facts.calls.where("callee in ('add_action', 'add_filter')").select(*KEY, F.col("off").alias("at"), _arg(0).alias("v"), F.lit("hook").alias("kind"), F.lit("").alias("ns"), F.lit(None).cast("string").alias("perm"))
-    rest_ = facts.calls.where("callee = 'register_rest_route'").select(*KEY, F.col("off").alias("at"), _arg(1).alias("v"), F.lit("rest").alias("kind"), _arg(0).alias("ns"), _item(F.filter("items", lambda i: i["arg"] == 2), F.lit(-1), "permission_callback", "cb").alias("perm"))
-    made = hook.unionByName(rest_).join(fns, KEY).where("at >= off and at < end_off and enclosing_fn not in ('register_routes', 'register_rest_route')")
+    fns = facts.functions.where("not is_closure").select(*KEY, node_of().alias("holder"), F.col("name").alias("enclosing_fn"), F.col("class").alias("enclosing_class"), "params", "is_static")
+    hook = facts.calls.where("callee in ('add_action', 'add_filter')").select(*KEY, "holders", _arg(0).alias("v"), F.lit("hook").alias("kind"), F.lit("").alias("ns"), F.lit(None).cast("string").alias("perm"))
+    rest_ = facts.calls.where("callee = 'register_rest_route'").select(*KEY, "holders", _arg(1).alias("v"), F.lit("rest").alias("kind"), _arg(0).alias("ns"), _item(F.filter("items", lambda i: i["arg"] == 2), F.lit(-1), "permission_callback", "cb").alias("perm"))
+    made = hook.unionByName(rest_).withColumn("holder", F.explode("holders")).join(fns, [*KEY, "holder"]).where("enclosing_fn not in ('register_routes', 'register_rest_route')")
     name = R.placeholder(R.clean_interpolation(F.col("v")))
     at = F.array_position("params", name)
     prefix = F.regexp_extract("v", r"^([^{$]*)", 1)

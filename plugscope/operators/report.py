@@ -76,6 +76,11 @@ def filter_levels(endpoints: DataFrame, levels: list[str] | None = None, authent
     return endpoints.where(F.col("auth_level").isin(*wanted)) if wanted else endpoints
 
 
+def level_bounds(endpoints: DataFrame) -> DataFrame:
+    """The highest and the lowest level of each plugin."""
+    return endpoints.groupBy("plugin_slug").agg(F.max("auth_level").alias("top"), F.min("auth_level").alias("least"))
+
+
 def by_level(endpoints: DataFrame) -> DataFrame:
     return endpoints.groupBy("auth_level").agg(F.count("*").alias("n")).withColumn("name", R.level_name(F.col("auth_level")))
 

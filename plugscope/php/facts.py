@@ -103,6 +103,7 @@ class File:
         self._declarations()
         self._inside = Nesting(self.classes), Nesting(self.functions)
         self._assignments()
+        self._loops = Nesting(self.foreachs)
         self._calls()
         self._direct_actions()
 
@@ -511,7 +512,7 @@ class File:
             {
                 "off": off, "line": self.src.line(off), "callee": callee.rpartition("\\")[2], "receiver_kind": kind, "receiver": receiver,
                 "args": [self.src.span(a, b) for a, b in args], "vals": [self.resolve(a, b, off) for a, b in args], "callbacks": [self.callback(a, b) for a, b in args],
-                "items": items, "raw": self.text[off : self.tokens[close].end], "enclosing_class": cls["name"] if cls else "", "enclosing_fn": fn["name"] if fn else "", "class_fqn": cls["fqn"] if cls else "", "type": self._type(kind, receiver, callee, off), "holders": [self._node(f) for f in around],
+                "items": items, "raw": self.text[off : self.tokens[close].end], "enclosing_class": cls["name"] if cls else "", "enclosing_fn": fn["name"] if fn else "", "class_fqn": cls["fqn"] if cls else "", "type": self._type(kind, receiver, callee, off), "holders": [self._node(f) for f in around], "loops": [x["off"] for x in self._loops.at(off)],
                 "context_level": self.checks.level(max(0, off - 500), self.tokens[close].end + 500, self.config), "raw_level": self.checks.level(off, self.tokens[close].end, self.config),
                 "before": self.text[max(0, off - 200) : off],
             }
@@ -547,7 +548,7 @@ class File:
             if name not in ("-1", "false", "0"):
                 lo, hi = max(0, m.start() - 500), m.end() + 500
                 fn, cls = self._function_at(m.start()), self._class_at(m.start())
-                self.calls.append({"off": m.start(), "line": self.src.line(m.start()), "callee": "__direct_action", "receiver_kind": "none", "receiver": "", "args": [m[0]], "vals": [name], "callbacks": ["inline"], "items": [], "raw": m[0], "enclosing_class": cls["name"] if cls else "", "enclosing_fn": fn["name"] if fn else "", "class_fqn": cls["fqn"] if cls else "", "type": "", "holders": [self._node(f) for f in self._around(m.start(), 1)], "context_level": self.checks.level(lo, hi, self.config), "raw_level": 0, "before": ""})
+                self.calls.append({"off": m.start(), "line": self.src.line(m.start()), "callee": "__direct_action", "receiver_kind": "none", "receiver": "", "args": [m[0]], "vals": [name], "callbacks": ["inline"], "items": [], "raw": m[0], "enclosing_class": cls["name"] if cls else "", "enclosing_fn": fn["name"] if fn else "", "class_fqn": cls["fqn"] if cls else "", "type": "", "holders": [self._node(f) for f in self._around(m.start(), 1)], "loops": [], "context_level": self.checks.level(lo, hi, self.config), "raw_level": 0, "before": ""})
 
     def direct(self) -> bool:
         """Whether the first 100 lines, without namespace or bootstrap guard, read the request at once."""

@@ -20,7 +20,7 @@ from ..config import Config
 _FN = "array<struct<name:string,class:string,class_fqn:string,is_closure:boolean,is_static:boolean,visibility:string,params:array<string>,off:int,end_off:int,line:int,level:int,guard:int,returns:int,returns_of:array<string>,reads_input:boolean,has_nonce:boolean,fields:array<string>,keys:array<string>,capability:string,literals:array<string>,calls:array<string>,ordered:array<string>,asks:array<string>,first_field:string,query_var:string>>"
 _CLASS = "array<struct<name:string,fqn:string,kind:string,parent:string,interfaces:array<string>,traits:array<string>,rules:array<struct<trait:string,method:string,alias:string,instead:array<string>>>,off:int,end_off:int,line:int>>"
 _ITEM = "array<struct<arg:int,grp:int,key:string,value:string,val:string,cb:string>>"
-_CALL = f"array<struct<off:int,line:int,callee:string,receiver_kind:string,receiver:string,args:array<string>,vals:array<string>,callbacks:array<string>,items:{_ITEM},raw:string,enclosing_class:string,enclosing_fn:string,class_fqn:string,type:string,holders:array<string>,context_level:int,raw_level:int,before:string>>"
+_CALL = f"array<struct<off:int,line:int,callee:string,receiver_kind:string,receiver:string,args:array<string>,vals:array<string>,callbacks:array<string>,items:{_ITEM},raw:string,enclosing_class:string,enclosing_fn:string,class_fqn:string,type:string,holders:array<string>,loops:array<int>,context_level:int,raw_level:int,before:string>>"
 FACTS = f"struct<functions:{_FN},classes:{_CLASS},calls:{_CALL},symbols:array<struct<class:string,kind:string,name:string,value:string,off:int>>,foreachs:array<struct<off:int,end_off:int,kind:string,source:string,literals:array<string>,loop_var:string,loop_key:string>>,includes:array<struct<off:int,kind:string,target:string,raw:string,node:string,given:array<int>,hints:array<string>>>,namespace:string,uses:map<string,string>,direct:boolean>"
 
 FILES = 64  # files whose facts are sent together
@@ -127,8 +127,10 @@ def build(files: DataFrame, config: Config | None = None, path: str | None = Non
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else /tmp/checkpoints in local mode or the warehouse."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; a local master, as in tests, may do without it."""
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     master = conf.get("spark.master", "local")
-    return (found or ("file:///tmp/checkpoints" if master.startswith("local") and "cluster" not in master else spark.conf.get("spark.sql.warehouse.dir"))).rstrip("/")
+    if not found and (not master.startswith("local") or "cluster" in master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or "file:///tmp/checkpoints").rstrip("/")

@@ -89,12 +89,14 @@ def corpus_directory(spark, sf_dir):
     return corpus.read_corpus(spark, path).where("file like '%.txt'").groupBy("plugin_slug").agg(F.sum(F.octet_length("content")).cast("long").alias("n_bytes"))
 
 
-@_query("SELECT * FROM (VALUES ('header', true), ('none', false)) v(kind, single)")
+@_query("SELECT kind, max(CASE WHEN kind = 'some' THEN s_suppkey % 7 = 0 ELSE kind = 'every' END) AS single FROM supplier, (VALUES ('every'), ('some'), ('none'), ('nested')) v(kind) GROUP BY kind")
 def single_plugin(spark, sf_dir):
-    """Whether a file at the root has a plugin header."""
-    found = corpus.is_single_plugin(_files(spark, sf_dir, ("a@.php", "/*\n * Plugin Name: X\n */"), ("b/c@.php", "")))
-    other = corpus.is_single_plugin(_files(spark, sf_dir, ("a@.php", "echo 1;"), ("b/c@.php", "/* Plugin Name: X */")))
-    return found.select(F.lit("header").alias("kind"), "single").unionByName(other.select(F.lit("none").alias("kind"), "single"))
+    """Whether any file at the root of a directory has a plugin header: all, some, none, or only nested ones have."""
+    head = _code("/*\n * Plugin Name: X\n */")
+    made = lambda name, has: _supplier(spark, sf_dir).select(F.col("slug").alias("plugin_slug"), F.replace(F.lit(name), F.lit("@"), F.col("k")).alias("file"), F.when(has, head).otherwise(F.lit(b"<?php")).alias("content"))
+    cases = {"every": made("a@.php", F.lit(True)), "some": made("a@.php", F.col("s_suppkey") % 7 == 0), "none": made("a@.php", F.lit(False)), "nested": made("b/c@.php", F.lit(True))}
+    out = [corpus.is_single_plugin(files).select(F.lit(kind).alias("kind"), "single") for kind, files in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @_query("SELECT 'z' || s_suppkey AS plugin_slug, f AS file, CAST(length(f || s_suppkey) AS INTEGER) AS n_bytes FROM supplier, (VALUES ('main.php'), ('inc/b.php')) v(f) WHERE s_suppkey % 5 <> 0")
@@ -378,7 +380,7 @@ def extra_detected(spark, sf_dir):
 def level_bounds(spark, sf_dir):
     """The highest and the lowest level of each plugin."""
     e = _endpoints(spark, sf_dir)
-    return e.groupBy(F.regexp_replace("plugin_slug", "^n", "p").alias("plugin_slug")).agg(F.max("auth_level").alias("top"), F.min("auth_level").alias("least"))
+    return report.level_bounds(e).withColumn("plugin_slug", F.regexp_replace("plugin_slug", "^n", "p"))
 
 
 # Graphs
