@@ -479,6 +479,13 @@ def streaming_corpus(spark, sf_dir):
     return incremental.endpoints(spark, f"{base}/now/endpoints").select("plugin_slug", "route", "auth_level")
 
 
+@_query("SELECT 'n' || s_nationkey AS plugin_slug, '/wp-json/n' || s_nationkey || '/v1/f' || s_suppkey AS route, 'GET' AS method, CAST(0 AS INTEGER) AS auth_level FROM supplier UNION ALL SELECT 'n' || s_nationkey, '/wp-json/n' || s_nationkey || '/v1/g' || s_suppkey, 'DELETE', 5 FROM supplier")
+def rest_default_namespace(spark, sf_dir):
+    """Short registrations in a file that names no namespace are below the plugin's own."""
+    code = "class A { function go() { $this->register_route('/f@', ['callback' => 'f', 'permission_callback' => '__return_true']); self::register_route('/g@', 'cb', WP_REST_Server::DELETABLE); } }"
+    return detect.rest(build(_files(spark, sf_dir, ("s@.php", code)))).select("plugin_slug", "route", "method", "auth_level")
+
+
 @_query("SELECT s_suppkey, CAST(CASE s_suppkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS level, CAST(1 AS BIGINT) AS n_calls FROM supplier")
 def sql_functions(spark, sf_dir):
     """The engine's functions in SQL: levels of code, comments, calls."""
