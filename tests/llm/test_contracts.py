@@ -1,14 +1,20 @@
 """Letters and whole texts of language ID, and how much of a packing the priced columns place."""
 
+import zlib
+
 import numpy as np
+import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from plugscope.llm import langid, packing
-from plugscope.llm.common import table
+from plugscope.llm import langid, packing, queries, sharding, tokenfile
+from plugscope.llm.common import new_path, table
 from plugscope.llm.tokens import TOKENIZER, encoder
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_numerals_are_no_letters(spark):
     rows = [(1, "½ ² Ⅷ ①", 0.0), (2, "12 _ !?", 0.0), (3, "½ a", None), (4, "中", None), (5, "ª", None), (6, None, 0.0), (7, "", 0.0)]
@@ -66,3 +72,33 @@ def test_priced_columns_place_nearly_all(spark):
     made = packing.plan(demand)
     assert sum(made.covered) >= 0.95 * demand[1:].sum()
     assert made.tail <= 0.1 * (made.copies + made.tail)
+
+
+def test_shard_sizes_and_digests(spark):
+    """Sizes and digests of every row against Python's, over the whole table and over odd texts."""
+    docs = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
+    for r in queries.op5_sharding(spark, SF).collect():
+        data = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 8, zlib.crc32(data))
+    odd = [(1, None), (2, ""), (3, "é🙂"), (3, "é🙂"), (4, "x" * 100_000)]
+    got = sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in sharding.shard(spark.createDataFrame(odd, "doc_id long, text string"), 24).collect())
+    assert got == sorted((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in odd)
+
+
+def test_token_files_of_odd_rows(spark):
+    """Ids of null, empty, repeated and special texts are the library's, with its default settings."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = [(1, None, 5), (2, "", 5), (3, "one <|endoftext|> two", 5), (4, "é🙂\\n\\n  x", 5), (4, "é🙂\\n\\n  x", 5), (5, "w " * 9000, 5)]
+    path = new_path(spark, "odd-orc")
+    tokenfile.write(spark.createDataFrame(odd, "doc_id long, text string, n_tokens int"), path)
+    got, start = [], 0
+    want = []
+    for i, text, _ in odd:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [2]
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    rows = sorted(tokenfile.digests(spark, path).collect(), key=lambda r: r["start"])
+    for r in rows:
+        assert r["start"] == start
+        start += r["n_tokens"]
+        got.append((r["doc_id"], r["n_tokens"], r["ids_crc32"]))
+    assert sorted(got) == sorted(want) and [g[0] for g in got] == sorted(g[0] for g in got)
