@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.facts import shared_dir
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on from stage to stage, and each would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/plugscope/{label}-{uuid.uuid4().hex}"
 

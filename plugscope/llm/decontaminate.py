@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trim
 
 CLASSES = (24, 48, 96)
 LEAST = 2 * CLASSES[0]
@@ -549,6 +549,8 @@ def hits_column(index: Index | None, text: Column, most_edits: float = MOST_EDIT
             if part:
                 out += search(index, part, most_edits)
             yield pd.Series([[dict(zip(("item_id", "start", "end", "distance", "similarity"), h)) for h in found] for found in out], dtype=object)
+            del out, part, texts
+            trim()
 
     # as if not deterministic: else a filter that an explode implies makes the hits a second time
     return hits.asNondeterministic()(text)

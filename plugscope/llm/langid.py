@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
@@ -173,6 +175,7 @@ def predict_column(model: Model | None, text: Column) -> Column:
                 best = p.argmax(axis=1)
                 lang[part], score[part] = np.array(model.langs, dtype=object)[best], p.max(axis=1)
             yield pd.DataFrame({"lang": lang, "score": score})
+        trim()
 
     return predict(text)
 

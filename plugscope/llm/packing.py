@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trim
 from .tokens import TOKENIZER, encoder
 
 LENGTH = 1024
@@ -244,6 +244,7 @@ def _ranked(tokenizer: str, end_id: int, length: int):
             if rows:
                 yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
                 rows, size = [], 0
+        trim()
 
     return run
 
@@ -271,6 +272,7 @@ def _placed(plan: Plan):
                     rows, size = [], 0
             if rows:
                 yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+        trim()
 
     return run
 

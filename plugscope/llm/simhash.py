@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trim
 
 RADIUS = 4
 SHINGLE = 4
@@ -61,6 +61,7 @@ def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+        trim()
 
     return of(text)
 
