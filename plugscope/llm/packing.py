@@ -6,7 +6,7 @@ the driver. A linear program over patterns (multisets of lengths that fit a sequ
 revised simplex whose new columns come from a knapsack dynamic program over the dual prices. The
 solution is rounded down; patterns that leave more than ``WASTE`` ids are dropped. What that leaves
 gets integer columns at the solution's dual prices, one at a time: a knapsack over what is left finds the
-column of most value that fills a sequence but for ``WASTE`` ids, and at the end for ``LAST_WASTE``.
+column of most value that fills a sequence but for ``WASTE`` ids, and at the end for one in ``LAST_SHARE``.
 Remainders are ranked within their length, and a rank tells pattern copy, place and offset in closed form.
 Ranks beyond all patterns, of lengths that nothing left fills up, are laid end to end and cut at sequence borders.
 
@@ -32,7 +32,7 @@ from .tokens import TOKENIZER, encoder
 LENGTH = 1024
 END_ID = 0
 WASTE = 4
-LAST_WASTE = 64  # of the last patterns, made of the few orders that all others leave
+LAST_SHARE = 16  # the last patterns, made of the few orders that all others leave, waste up to this part of a sequence
 ENOUGH = 0.999  # of a sequence's price; an optimal column is worth 1
 GAP = 2e-3
 PIVOTS = 400
@@ -193,7 +193,7 @@ def plan(demand: np.ndarray, length: int = LENGTH, waste: int = WASTE) -> Plan:
             chosen.append((copies, pattern))
             left -= copies * pattern
     # what rounding leaves gets integer columns at the same prices, the last ones with more waste
-    for most in (waste, LAST_WASTE):
+    for most in (waste, max(waste, length // LAST_SHARE)):
         chosen += priced(left, prices, length, most)
     covered, sequence = [0] * len(demand), 0
     for copies, pattern in chosen:
