@@ -189,6 +189,7 @@ def route_key(route: Column) -> Column:
 
 def fuzzy_score(a: Column, b: Column) -> Column:
     """Likeness of two route keys, 0 to 1."""
+    # The scores, and the lengths from which they hold. ``report.match_manual`` finds the same pairs by index.
     pa, pb = F.split(a, "/"), F.split(b, "/")
     la, lb = F.element_at(pa, -1), F.element_at(pb, -1)
     same = F.aggregate(F.transform(pa, lambda x: F.size(F.filter(pb, lambda y: (y == x) & (F.length(y) > 2)))), F.lit(0), lambda s, x: s + x)

@@ -48,14 +48,14 @@ ROUTE_LIKELY_ADMIN = [
 ROUTE_USER_FACING = [
     "/form", "/submit", "/post", "/comment", "/reply", "/message", "/contact", "/subscription", "/newsletter", "/register", "/login", "/auth", "/password", "/bookmark", "/favorite", "/wishlist", "/rating", "/vote", "/like", "/share", "/search", "/filter", "/cart", "/checkout", "/order", "/payment", "/shipping", "/address",
 ]
-# What the names of unknown capabilities say: beginnings, endings and parts of admins' ones, then of editors'.
+# What the names of unknown capabilities say: beginnings, endings and parts of admins' ones, then of editors'.
 CAP_ADMIN_STARTS = ["manage_", "install_", "activate_", "update_", "delete_", "unfiltered_", "customize_", "setup_", "upgrade_"]
 CAP_ADMIN_ENDS = ["_plugins", "_themes", "_users", "_shop"]
 CAP_ADMIN_PARTS = ["shop_", "woocommerce", "backwpup", "backup", "restore", "updraft", "migrate", "duplicator"]
 CAP_ADMIN_NAMES = ["edit_theme_options"]
 CAP_EDITOR_STARTS = ["moderate_"]
 CAP_EDITOR_PARTS = ["_others_", "_private_"]
-# Calls, variables and array keys by which code says whom it lets in, and what it reads.
+# Calls, variables and array keys by which code says whom it lets in, and what it reads.
 CAP_KEYS = ["capability", "cap"]
 CAP_HOLDERS = ["$user", "$current_user", "$role", "$roleObject", "$this->user"]
 ADMIN_CALLS = ["is_super_admin", "can_manage", "canManage", "is_admin_user", "isAdminUser"]
