@@ -15,7 +15,7 @@ from ..functions import rules as R
 from ..functions import words as W
 from ..operators import detect, fold, graph, report
 from ..sources import corpus, remote
-from .facts import Facts, build, shared_dir
+from .facts import Facts, build, shared_dir, written
 
 
 @dataclass
@@ -76,8 +76,7 @@ def analyze(files: DataFrame, config: Config | None = None, compat: bool = False
     facts = build(kept, config).prepare()
     found = report.dedup(report.resolve_routes(detect.detect_all(facts, config, compat), facts)).drop("off")
     path = f"{shared_dir(files.sparkSession)}/plugscope/endpoints-{uuid.uuid4().hex}"
-    found.write.parquet(path)
-    endpoints = files.sparkSession.read.schema(found.schema).parquet(path)
+    endpoints = written(found, path)
     counts = facts.files.groupBy("plugin_slug").agg(F.count("*").alias("files_analyzed"), F.array_sort(F.collect_set(F.concat_ws(": ", "file", "error"))).alias("noted"), F.count("error").alias("n_errors"))
     counts = counts.select("plugin_slug", "files_analyzed", F.when(F.col("n_errors") > 0, F.filter("noted", lambda x: F.contains(x, F.lit(": ")))).otherwise(F.array().cast("array<string>")).alias("errors"))
     plugins = counts.join(corpus.plugin_headers(files), "plugin_slug", "left").select("plugin_slug", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("version", F.lit("")).alias("version"), "files_analyzed", "errors")
