@@ -55,11 +55,11 @@ def with_traits(classes: DataFrame, own: DataFrame) -> DataFrame:
     added = rules.where("alias <> ''").withColumnRenamed("trait", "name").join(known, ["plugin_slug", "name"], "left").select("plugin_slug", "class", F.col("method"), "alias", F.col("known").alias("only"))
     table = graph._write(own, "methods")
     while True:
-        given = uses.join(table.withColumnRenamed("class", "trait"), ["plugin_slug", "trait"])
+        given = uses.join(table.withColumnRenamed("class", "trait").hint("merge"), ["plugin_slug", "trait"])
         plain = given.join(left_out, ["plugin_slug", "class", "method", "trait"], "left_anti").select("plugin_slug", "class", "method", "decl", "name", "pos")
         alias = given.join(added, ["plugin_slug", "class", "method"]).where("only is null or only = trait").select("plugin_slug", "class", F.col("alias").alias("method"), "decl", "name", "pos")
         new = plain.unionByName(alias).groupBy("plugin_slug", "class", "method").agg(F.min(F.struct("pos", "decl", "name")).alias("m"))
-        new = new.join(table, ["plugin_slug", "class", "method"], "left_anti")
+        new = new.join(table.hint("merge"), ["plugin_slug", "class", "method"], "left_anti")
         new = graph._write(new.select("plugin_slug", "class", "method", "m.decl", "m.name"), "methods")
         if new.isEmpty():
             return table
@@ -73,8 +73,8 @@ class Methods:
         classes, functions = facts.classes, facts.functions.where("not is_closure")
         own = functions.where("class_fqn <> ''").select("plugin_slug", F.col("class_fqn").alias("class"), F.col("name").alias("method"), F.col("class_fqn").alias("decl"), "name").distinct()
         self.classes, self.functions = classes, functions
-        self.parents = graph.class_edges(classes)
-        self.uses = trait_uses(classes)
+        self.parents = graph._write(graph.class_edges(classes), "class-edges")
+        self.uses = graph._write(trait_uses(classes), "trait-uses")
         table = with_traits(classes, own) if not self.uses.isEmpty() else own
         up = self.parents.select("plugin_slug", F.col("child").alias("src"), F.col("parent").alias("dst"))
         roots = classes.select("plugin_slug", F.col("fqn").alias("root"))
@@ -82,7 +82,7 @@ class Methods:
         some = not up.isEmpty()
         chain = graph.closure(up, roots) if some else flat
         near = Window.partitionBy("plugin_slug", "root", "method").orderBy("depth")
-        met = chain.join(table.withColumnRenamed("class", "node"), ["plugin_slug", "node"]).withColumn("n", F.rank().over(near)).where("n = 1")
+        met = chain.join(table.withColumnRenamed("class", "node").hint("merge"), ["plugin_slug", "node"]).withColumn("n", F.rank().over(near)).where("n = 1")
         #: (plugin_slug, class, method, decl, name): what a method's name means in a class, with what it inherits
         self.table = graph._write(met.select("plugin_slug", F.col("root").alias("class"), "method", "decl", "name"), "method-table")
         mixed = up.unionByName(self.uses.select("plugin_slug", F.col("class").alias("src"), F.col("trait").alias("dst")))
@@ -123,7 +123,7 @@ def fired_calls(facts, methods: Methods, hooks: DataFrame) -> DataFrame:
 def resolved(facts, methods: Methods | None = None, hooks: DataFrame | None = None) -> DataFrame:
     """Calls with the node each may reach: (plugin_slug, file, off, holders, args, vals, dst)."""
     methods = methods or Methods(facts)
-    calls = calls_of(facts)
+    calls = calls_of(facts).hint("merge")  # a union: what its parts were read from would not say
     keep = ["plugin_slug", "file", "off", "holders", "args", "vals"]
     named = methods.functions.where("class_fqn = ''").select("plugin_slug", F.col("name").alias("method")).distinct()
     plain = calls.where("kind = 'none'").join(named, ["plugin_slug", "method"]).select(*keep, F.col("method").alias("dst"))
