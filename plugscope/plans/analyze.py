@@ -111,13 +111,15 @@ def register(spark: SparkSession, done: Analysis) -> None:
     for name in ("calls", "functions", "classes", "symbols", "includes"):
         getattr(done.facts, name).createOrReplaceTempView(name)
 
-    @F.pandas_udf("string")
-    def php_strip_comments(s):
-        return s.map(lambda x: None if x is None else lexer.strip_comments(x))
+    # texts of any length go to Python a hundred at a time, not in batches of ten thousand
 
-    @F.pandas_udf("int")
-    def php_auth_level(s):
-        return s.map(lambda x: 0 if x is None else auth.infer_level(x, Config()))
+    @F.udf("string", useArrow=False)
+    def php_strip_comments(x):
+        return None if x is None else lexer.strip_comments(x)
+
+    @F.udf("int", useArrow=False)
+    def php_auth_level(x):
+        return 0 if x is None else auth.infer_level(x, Config())
 
     spark.udf.register("php_strip_comments", php_strip_comments)
     spark.udf.register("php_auth_level", php_auth_level)
